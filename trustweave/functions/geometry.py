@@ -1,21 +1,41 @@
 """Quaternion, rigid-transform, box and visibility Columns (no Python per row).
 
-Vectors are structs ``{x, y, z}``, quaternions ``{x, y, z, w}``.
+Stored vectors are structs ``{x, y, z}``, quaternions ``{x, y, z, w}``. Functions
+take such a struct column or :class:`Parts` and return :class:`Parts`: separate
+component Columns, so that a nested call does not repeat whole structs. Call
+``.col()`` for a struct again; keep long chains short by storing steps as columns.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def vec(x, y, z) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+class Parts(dict):
+    """Named component Columns of a vector or quaternion."""
 
+    def col(self) -> Column:
+        return F.struct(*[c.alias(n) for n, c in self.items()])
 
-def quat(x, y, z, w) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"), w.alias("w"))
+
+def vec(x, y, z) -> Parts:
+    return Parts(x=x, y=y, z=z)
+
+
+def quat(x, y, z, w) -> Parts:
+    return Parts(x=x, y=y, z=z, w=w)
+
+
+def parts_of(prefix: str, names: str = "xyz") -> Parts:
+    """Components stored in the columns ``<prefix>x``, ``<prefix>y``, ..."""
+    return Parts({n: F.col(prefix + n) for n in names})
+
+
+def columns_of(prefix: str, parts: Parts) -> dict[str, Column]:
+    """Columns to store components under, for ``withColumns``."""
+    return {prefix + n: c for n, c in parts.items()}
 
 
 def finite(*cols: Column) -> Column:
@@ -30,26 +50,26 @@ def finite_vec(v: Column, parts: str = "xyz") -> Column:
     return finite(*[v[p] for p in parts])
 
 
-def add(a: Column, b: Column) -> Column:
+def add(a, b) -> Parts:
     return vec(*[a[p] + b[p] for p in "xyz"])
 
 
-def sub(a: Column, b: Column) -> Column:
+def sub(a, b) -> Parts:
     return vec(*[a[p] - b[p] for p in "xyz"])
 
 
-def scale(a: Column, k) -> Column:
+def scale(a, k) -> Parts:
     return vec(*[a[p] * k for p in "xyz"])
 
 
-def dot(a: Column, b: Column, parts: str = "xyz") -> Column:
+def dot(a, b, parts: str = "xyz") -> Column:
     total = a[parts[0]] * b[parts[0]]
     for p in parts[1:]:
         total = total + a[p] * b[p]
     return total
 
 
-def cross(a: Column, b: Column) -> Column:
+def cross(a, b) -> Parts:
     return vec(
         a["y"] * b["z"] - a["z"] * b["y"],
         a["z"] * b["x"] - a["x"] * b["z"],
@@ -57,20 +77,20 @@ def cross(a: Column, b: Column) -> Column:
     )
 
 
-def norm(a: Column, parts: str = "xyz") -> Column:
+def norm(a, parts: str = "xyz") -> Column:
     return F.sqrt(dot(a, a, parts))
 
 
-def quat_normalize(q: Column) -> Column:
+def quat_normalize(q) -> Parts:
     n = norm(q, "xyzw")
     return quat(*[q[p] / n for p in "xyzw"])
 
 
-def quat_conjugate(q: Column) -> Column:
+def quat_conjugate(q) -> Parts:
     return quat(-q["x"], -q["y"], -q["z"], q["w"])
 
 
-def quat_multiply(a: Column, b: Column) -> Column:
+def quat_multiply(a, b) -> Parts:
     """Hamilton product: rotate by ``b``, then by ``a``."""
     return quat(
         a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"],
@@ -80,29 +100,39 @@ def quat_multiply(a: Column, b: Column) -> Column:
     )
 
 
-def quat_rotate(q: Column, v: Column) -> Column:
+def quat_rotate(q, v) -> Parts:
     """Rotate ``v`` by unit ``q``: v + 2w(u x v) + 2u x (u x v)."""
     t = scale(cross(q, v), F.lit(2.0))
     u = cross(q, t)
     return vec(*[v[p] + q["w"] * t[p] + u[p] for p in "xyz"])
 
 
-def quat_slerp(a: Column, b: Column, t: Column) -> Column:
-    """Short-arc spherical interpolation of unit quaternions."""
-    d = dot(a, b, "xyzw")
-    sign = F.when(d < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+def slerp(df: DataFrame, a: Parts, b: Parts, share: Column, out: str) -> DataFrame:
+    """Append ``<out>x`` ... ``<out>w``: short-arc interpolation of unit quaternions.
+
+    Each step is a column of its own: written as one expression, the angle would be
+    repeated dozens of times and outgrow code generation.
+    """
+    step = df.withColumn("__sign", F.when(dot(a, b, "xyzw") < 0, -1.0).otherwise(1.0))
+    near = Parts({p: F.col("__sign") * b[p] for p in "xyzw"})
+    gap = Parts({p: near[p] - a[p] for p in "xyzw"})
+    both = Parts({p: near[p] + a[p] for p in "xyzw"})
     # atan2 of the chord lengths stays exact for tiny angles, acos does not
-    diff = F.sqrt(sum(((sign * b[p] - a[p]) * (sign * b[p] - a[p]) for p in "xyzw"), F.lit(0.0)))
-    summ = F.sqrt(sum(((sign * b[p] + a[p]) * (sign * b[p] + a[p]) for p in "xyzw"), F.lit(0.0)))
-    theta = 2 * F.atan2(diff, summ)
-    s = F.sin(theta)
+    step = step.withColumn("__theta", 2 * F.atan2(norm(gap, "xyzw"), norm(both, "xyzw")))
+    step = step.withColumn("__rest", share)
+    theta, t = F.col("__theta"), F.col("__rest")
     tiny = theta < 1e-12
-    wa = F.when(tiny, 1 - t).otherwise(F.sin((1 - t) * theta) / F.when(tiny, 1.0).otherwise(s))
-    wb = F.when(tiny, t).otherwise(F.sin(t * theta) / F.when(tiny, 1.0).otherwise(s))
-    return quat(*[wa * a[p] + wb * sign * b[p] for p in "xyzw"])
+    sine = F.when(tiny, 1.0).otherwise(F.sin(theta))
+    step = step.withColumns({
+        "__wa": F.when(tiny, 1 - t).otherwise(F.sin((1 - t) * theta) / sine),
+        "__wb": F.col("__sign") * F.when(tiny, t).otherwise(F.sin(t * theta) / sine),
+    })
+    return step.withColumns({
+        out + p: F.col("__wa") * a[p] + F.col("__wb") * b[p] for p in "xyzw"
+    }).drop("__sign", "__theta", "__rest", "__wa", "__wb")
 
 
-def quat_first_angle(q: Column) -> Column:
+def quat_first_angle(q) -> Column:
     """The angle about z that an extrinsic z-y-x decomposition applies first."""
     r00 = 1 - 2 * (q["y"] * q["y"] + q["z"] * q["z"])
     r01 = 2 * (q["x"] * q["y"] - q["z"] * q["w"])
@@ -131,13 +161,13 @@ def matrix_to_quat(m: Column) -> Column:
     four = 4 * big
     return (
         F.when(big == w, quat((e(2, 1) - e(1, 2)) / four, (e(0, 2) - e(2, 0)) / four,
-                              (e(1, 0) - e(0, 1)) / four, w))
+                              (e(1, 0) - e(0, 1)) / four, w).col())
         .when(big == x, quat(x, (e(0, 1) + e(1, 0)) / four, (e(0, 2) + e(2, 0)) / four,
-                             (e(2, 1) - e(1, 2)) / four))
+                             (e(2, 1) - e(1, 2)) / four).col())
         .when(big == y, quat((e(0, 1) + e(1, 0)) / four, y, (e(1, 2) + e(2, 1)) / four,
-                             (e(0, 2) - e(2, 0)) / four))
+                             (e(0, 2) - e(2, 0)) / four).col())
         .otherwise(quat((e(0, 2) + e(2, 0)) / four, (e(1, 2) + e(2, 1)) / four, z,
-                        (e(1, 0) - e(0, 1)) / four))
+                        (e(1, 0) - e(0, 1)) / four).col())
     )
 
 
@@ -159,7 +189,7 @@ def matrix_is_rigid(m: Column, tolerance: float = 1e-6) -> Column:
     return F.coalesce(ok & (F.abs(det - 1) <= tolerance) & (last <= tolerance), F.lit(False))
 
 
-def transform_point(m: Column, x: Column, y: Column, z: Column) -> Column:
+def transform_point(m: Column, x: Column, y: Column, z: Column) -> Parts:
     """Apply a 4x4 rigid matrix column to a point."""
     return vec(*[m[i][0] * x + m[i][1] * y + m[i][2] * z + m[i][3] for i in range(3)])
 

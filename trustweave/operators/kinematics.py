@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trustweave.functions.geometry import (
-    add, cross, dot, finite_vec, norm, quat_conjugate, quat_first_angle, quat_multiply,
-    quat_normalize, quat_rotate, scale, sub, vec,
+    add, columns_of, cross, dot, finite_vec, norm, parts_of, quat_conjugate, quat_first_angle,
+    quat_multiply, quat_normalize, quat_rotate, scale, sub,
 )
 from trustweave.operators.ordered import DAY_NS, previous_row, time_slot
 
@@ -17,28 +17,26 @@ SUBSTEPS = 10
 NORM_TOLERANCE = 1e-3
 
 
-def _mean_rotated(q0: Column, turn: Column, v: Column, substeps: int) -> Column:
-    """Mean of ``v`` rotated by the orientations at the midpoints of equal substeps.
+def _turning(turn: str, substeps: int) -> dict[str, Column]:
+    """Rotation axis and the means of cos and sin over the substep midpoints.
 
-    ``turn`` is the relative rotation with w >= 0. Along the short arc only the
-    angle grows, so the mean over midpoints needs the means of cos and sin of an
-    arithmetic series of angles, which have closed forms: no loop per row.
+    Along the short arc only the angle grows, so the mean of a vector over the
+    midpoint orientations needs the means of cos and sin of an arithmetic series of
+    angles. These have closed forms: no loop per row.
     """
-    axis_part = vec(turn["x"], turn["y"], turn["z"])
-    s = norm(axis_part)
-    angle = 2 * F.atan2(s, turn["w"])
+    w = F.col(f"{turn}w")
+    s = norm(parts_of(turn))
     tiny = s < 1e-15
-    safe = F.when(tiny, 1.0).otherwise(s)
-    n = scale(axis_part, 1.0 / safe)
-    half_step = angle / (2 * substeps)
-    denominator = F.when(tiny, 1.0).otherwise(substeps * F.sin(half_step))
+    angle = 2 * F.atan2(s, w)
+    below = substeps * F.sin(angle / (2 * substeps))
     half = F.sin(angle / 2)
-    mean_cos = F.when(tiny, 1.0).otherwise(half * F.cos(angle / 2) / denominator)
-    mean_sin = F.when(tiny, 0.0).otherwise(half * half / denominator)
-    along = scale(n, dot(n, v))
-    across = sub(v, along)
-    local = add(add(along, scale(across, mean_cos)), scale(cross(n, v), mean_sin))
-    return F.when(tiny, quat_rotate(q0, v)).otherwise(quat_rotate(q0, local))
+    out = {
+        f"__n{p}": F.when(tiny, 0.0).otherwise(F.col(f"{turn}{p}") / F.when(tiny, 1.0).otherwise(s))
+        for p in "xyz"
+    }
+    out["__cos"] = F.when(tiny, 1.0).otherwise(half * F.cos(angle / 2) / F.when(tiny, 1.0).otherwise(below))
+    out["__sin"] = F.when(tiny, 0.0).otherwise(half * half / F.when(tiny, 1.0).otherwise(below))
+    return out
 
 
 def interval_kinematics(
@@ -88,29 +86,32 @@ def measure_intervals(
         .when(off(prev["quaternion_xyzw"]) | off(cur["quaternion_xyzw"]), "invalid_quaternion")
         .otherwise("matched")
     )
-    # stepwise projections keep each expression small enough for code generation
-    usable = rows.select(
-        "*", reason.alias("reason_code"), dt.alias("__dt"),
-        F.when(reason == "matched", quat_normalize(prev["quaternion_xyzw"])).alias("__q0"),
-        F.when(reason == "matched", quat_normalize(cur["quaternion_xyzw"])).alias("__q1"),
-    )
-    q0, q1 = F.col("__q0"), F.col("__q1")
+    # one projection per step, so that no expression is repeated inside another
     ok = F.col("reason_code") == "matched"
-    turn = quat_multiply(quat_conjugate(q0), q1)
-    usable = usable.withColumn("__turn", turn).withColumn(
-        "__turn",
-        F.when(F.col("__turn.w") < 0, F.struct(*[(-F.col(f"__turn.{p}")).alias(p) for p in "xyzw"]))
-        .otherwise(F.col("__turn")),
-    )
+    q0, q1 = parts_of("__a", "xyzw"), parts_of("__b", "xyzw")
     v0, v1 = prev["body_velocity_mps"], F.col("body_velocity_mps")
-    mean_v = scale(add(v0, v1), F.lit(0.5))
-    usable = usable.withColumn("__v", mean_v)
-    moved = scale(_mean_rotated(q0, F.col("__turn"), F.col("__v"), substeps), F.col("__dt"))
-    usable = usable.withColumn("__moved", moved).withColumn(
-        "__actual", sub(F.col("position_m"), prev["position_m"])
-    ).withColumn("__residual", sub(F.col("__actual"), F.col("__moved")))
+    steps = rows.select("*", reason.alias("reason_code"), dt.alias("__dt")).withColumns({
+        **{f"__a{p}": F.when(ok, prev["quaternion_xyzw"][p]) for p in "xyzw"},
+        **{f"__b{p}": F.when(ok, F.col(f"quaternion_xyzw.{p}")) for p in "xyzw"},
+        **columns_of("__v", scale(add(v0, v1), F.lit(0.5))),
+    })
+    steps = steps.withColumns({**columns_of("__a", quat_normalize(q0)), **columns_of("__b", quat_normalize(q1))})
+    steps = steps.withColumns(columns_of("__t", quat_multiply(quat_conjugate(q0), q1)))
+    short = F.when(F.col("__tw") < 0, -1.0).otherwise(1.0)
+    steps = steps.withColumns({f"__t{p}": short * F.col(f"__t{p}") for p in "xyzw"})
+    steps = steps.withColumns(_turning("__t", substeps))
+    n, v = parts_of("__n"), parts_of("__v")
+    steps = steps.withColumn("__along", dot(n, v))
+    along = scale(n, F.col("__along"))
+    turned = add(add(along, scale(sub(v, along), F.col("__cos"))), scale(cross(n, v), F.col("__sin")))
+    steps = steps.withColumns(columns_of("__l", turned))
+    steps = steps.withColumns(columns_of("__m", scale(quat_rotate(q0, parts_of("__l")), F.col("__dt"))))
+    actual = sub(F.col("position_m"), prev["position_m"])
+    steps = steps.withColumns(columns_of("__d", actual))
+    moved, gone = parts_of("__m"), parts_of("__d")
+    left = sub(gone, moved)
     pick = lambda c: F.when(ok, c)
-    return usable.select(
+    return steps.select(
         *keep,
         ok.alias("kinematics_available"),
         "reason_code",
@@ -118,10 +119,10 @@ def measure_intervals(
         pick(0.5 * (norm(v0) + norm(v1))).alias("speed_mps"),
         pick(norm(sub(v1, v0)) / F.col("__dt")).alias("acceleration_mps2"),
         pick(quat_first_angle(quat_multiply(q1, quat_conjugate(q0)))).alias("yaw_change_rad"),
-        pick(F.col("__actual")).alias("actual_displacement_m"),
-        pick(F.col("__moved")).alias("integrated_displacement_m"),
-        pick(F.col("__residual")).alias("residual_vector_m"),
-        pick(norm(F.col("__residual"))).alias("residual_m"),
+        pick(gone.col()).alias("actual_displacement_m"),
+        pick(moved.col()).alias("integrated_displacement_m"),
+        pick(left.col()).alias("residual_vector_m"),
+        pick(norm(left)).alias("residual_m"),
         F.lit(substeps).alias("integration_substeps"),
     )
 

@@ -132,17 +132,13 @@ def match_messages(
         "*", F.col("decision_time_ns").alias("__t"), F.lit(1).alias("__kind")
     )
     line = asked.unionByName(seen, allowMissingColumns=True)
-    slot = time_slot(F.col("__t"), slot_ns)
     line = running(
-        line, keys, ["__t", "__kind"], slot,
+        line, keys, ["__t", "__kind"], time_slot(F.col("__t"), slot_ns),
         [
             Running("past", F.col("__past"), "max"),
             Running("seen_before", F.col("__sent.source_time_ns"), "max"),
+            Running("next_sent", F.col("__sent"), "min", reverse=True, include_current=False),
         ],
-    ).drop("__past")
-    line = running(
-        line, keys, ["__t", "__kind"], slot, [Running("next_sent", F.col("__sent"), "min")],
-        include_current=False, reverse=True,
     )
     rows = line.filter("__kind = 1").select(
         *memberships.columns, "past", "seen_before", "next_sent",

@@ -20,11 +20,17 @@ SLOT = "__slot"
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``last`` (ignores nulls), ``max``, ``min`` or ``sum``."""
+    """One running value: ``last`` (ignores nulls), ``max``, ``min`` or ``sum``.
+
+    ``reverse`` scans from the last row to the first; ``include_current`` decides
+    whether a row sees its own value.
+    """
 
     name: str
     value: Column
     how: str = "last"
+    reverse: bool = False
+    include_current: bool = True
 
 
 def int_div(a: Column, b) -> Column:
@@ -66,55 +72,39 @@ def _combine(how: str, here: Column, before: Column) -> Column:
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    slot: Column,
-    values: list[Running],
-    *,
-    include_current: bool = True,
-    reverse: bool = False,
-    keep_slot: bool = False,
+    df: DataFrame, keys: list[str], order: list[str], slot: Column, values: list[Running]
 ) -> DataFrame:
     """Append running values over ``order`` within ``keys``.
 
-    ``slot`` must not decrease along ``order``. With ``reverse`` the scan goes from
-    the last row to the first. ``order`` must be a total order for ``last``.
+    ``slot`` must not decrease along ``order``, and ``order`` must be a total order
+    for ``last``. Both directions share one shuffle of the rows.
     """
     rows = df.withColumn(SLOT, slot)
-    direct = [F.desc(c) if reverse else F.asc(c) for c in order]
-    window = (
-        Window.partitionBy(*keys, SLOT)
-        .orderBy(*direct)
-        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    )
-    slot_order = F.desc(SLOT) if reverse else F.asc(SLOT)
-    before = (
-        Window.partitionBy(*keys).orderBy(slot_order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    start = Window.unboundedPreceding
     position = F.struct(*order)
     here, totals, carried = [], [], []
     for v in values:
+        way = F.desc if v.reverse else F.asc
+        inside = (
+            Window.partitionBy(*keys, SLOT).orderBy(*[way(c) for c in order])
+            .rowsBetween(start, 0 if v.include_current else -1)
+        )
+        before = Window.partitionBy(*keys).orderBy(way(SLOT)).rowsBetween(start, -1)
+        total = f"__t_{v.name}"
         if v.how == "last":
-            pick = F.min_by if reverse else F.max_by
-            here.append(F.last(v.value, ignorenulls=True).over(window).alias(v.name))
-            totals.append(
-                pick(v.value, F.when(v.value.isNotNull(), position)).alias(f"__t_{v.name}")
-            )
-            carried.append(F.last(f"__t_{v.name}", ignorenulls=True).over(before))
+            pick = F.min_by if v.reverse else F.max_by
+            here.append(F.last(v.value, ignorenulls=True).over(inside).alias(v.name))
+            totals.append(pick(v.value, F.when(v.value.isNotNull(), position)).alias(total))
+            carried.append(F.last(total, ignorenulls=True).over(before).alias(f"__c_{v.name}"))
         else:
             agg = {"max": F.max, "min": F.min, "sum": F.sum}[v.how]
-            here.append(agg(v.value).over(window).alias(v.name))
-            totals.append(agg(v.value).alias(f"__t_{v.name}"))
-            carried.append(agg(f"__t_{v.name}").over(before))
-        carried[-1] = carried[-1].alias(f"__c_{v.name}")
+            here.append(agg(v.value).over(inside).alias(v.name))
+            totals.append(agg(v.value).alias(total))
+            carried.append(agg(total).over(before).alias(f"__c_{v.name}"))
     scanned = rows.select("*", *here)
     carry = rows.groupBy(*keys, SLOT).agg(*totals).select(*keys, SLOT, *carried)
-    joined = scanned.join(carry, [*keys, SLOT], "left")
-    out = [c for c in df.columns]
-    return joined.select(
-        *out,
-        *([SLOT] if keep_slot else []),
+    return scanned.join(carry, [*keys, SLOT], "left").select(
+        *df.columns,
         *[_combine(v.how, F.col(v.name), F.col(f"__c_{v.name}")).alias(v.name) for v in values],
     )
 
@@ -124,19 +114,8 @@ def previous_row(
     name: str = "previous",
 ) -> DataFrame:
     """Append a struct of the previous row's ``columns`` (null on a key's first row)."""
-    return running(
-        df, keys, order, slot, [Running(name, F.struct(*columns))], include_current=False
-    )
-
-
-def following_row(
-    df: DataFrame, keys: list[str], order: list[str], slot: Column, columns: list[str],
-    name: str = "following",
-) -> DataFrame:
-    return running(
-        df, keys, order, slot, [Running(name, F.struct(*columns))],
-        include_current=False, reverse=True,
-    )
+    value = Running(name, F.struct(*columns), include_current=False)
+    return running(df, keys, order, slot, [value])
 
 
 def rank_in_key(

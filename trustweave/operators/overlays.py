@@ -50,9 +50,9 @@ def velocity_changes(
     expected = F.when(F.col("order") > 0, F.get(F.col("__times"), F.col("order") - 1))
     return hit.select(
         VARIANT, *keys, "time_ns", "order",
-        applied.alias("applied_delta_mps"),
+        applied.col().alias("applied_delta_mps"),
         F.col("body_velocity_mps").alias("original_velocity_mps"),
-        add(F.col("body_velocity_mps"), applied).alias("perturbed_velocity_mps"),
+        add(F.col("body_velocity_mps"), applied).col().alias("perturbed_velocity_mps"),
         (expected.isNull() | expected.eqNullSafe(F.col("previous.time_ns"))).alias("in_sequence"),
     )
 
@@ -274,7 +274,7 @@ def added_points(specs: DataFrame, keys: list[str], chunk: int = 4096) -> DataFr
     if not has_matrix:
         return placed
     back = transform_point(invert_transform(F.col("matrix")), F.col("x"), F.col("y"), F.col("z"))
-    return placed.withColumn("__raw", back).select(
+    return placed.withColumn("__raw", back.col()).select(
         VARIANT, *keys, "draw", *[F.col(f"__raw.{c}").alias(c) for c in "xyz"]
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trustweave.functions.geometry import quat_slerp, vec
+from trustweave.functions.geometry import parts_of, slerp, vec
 from trustweave.operators.ordered import DAY_NS, Running, running, time_slot
 from trustweave.schemas import BUFFERED, CAUSAL, SOURCE_KEY
 
@@ -34,11 +34,12 @@ def pose_at(
     )
     asked = targets.select("*", F.col("target_time_ns").alias("__t"), F.lit(1).alias("__kind"))
     line = asked.unionByName(known, allowMissingColumns=True)
-    slot = time_slot(F.col("__t"), slot_ns)
-    line = running(line, keys, ["__t", "__kind"], slot, [Running("__p", F.col("__sample"))])
     line = running(
-        line, keys, ["__t", "__kind"], slot, [Running("__f", F.col("__sample"))],
-        include_current=False, reverse=True,
+        line, keys, ["__t", "__kind"], time_slot(F.col("__t"), slot_ns),
+        [
+            Running("__p", F.col("__sample")),
+            Running("__f", F.col("__sample"), reverse=True, include_current=False),
+        ],
     )
     rows = line.filter("__kind = 1")
     target = F.col("target_time_ns")
@@ -54,19 +55,23 @@ def pose_at(
     )
     span = (after["time_ns"] - before["time_ns"]).cast("double")
     share = F.when(span > 0, (target - before["time_ns"]).cast("double") / span).otherwise(0.0)
-    a, b = before["translation_m"], after["translation_m"]
-    line_at = vec(*[a[c] + share * (b[c] - a[c]) for c in "xyz"])
-    turn_at = F.when(exact, before["quaternion_xyzw"]).otherwise(
-        quat_slerp(before["quaternion_xyzw"], after["quaternion_xyzw"], share)
-    )
     ok = F.col("reason_code") == "matched"
-    return rows.withColumn("reason_code", reason).select(
+    a, b = before["translation_m"], after["translation_m"]
+    q, r = before["quaternion_xyzw"], after["quaternion_xyzw"]
+    rows = rows.withColumn("reason_code", reason).withColumns({
+        "__share": share,
+        **{f"__a{c}": F.when(ok, q[c]) for c in "xyzw"},
+        **{f"__b{c}": F.when(ok, r[c]) for c in "xyzw"},
+    })
+    rows = slerp(rows, parts_of("__a", "xyzw"), parts_of("__b", "xyzw"), F.col("__share"), "__q")
+    moved = vec(*[a[c] + F.col("__share") * (b[c] - a[c]) for c in "xyz"])
+    return rows.select(
         *targets.columns,
         "reason_code",
         before["time_ns"].alias("previous_time_ns"),
         after["time_ns"].alias("next_time_ns"),
         F.when(ok, after["time_ns"]).alias("pose_source_time_ns"),
         F.when(ok, F.col("decision_time_ns") - after["time_ns"]).alias("pose_age_ns"),
-        F.when(ok, line_at).alias("translation_m"),
-        F.when(ok, turn_at).alias("quaternion_xyzw"),
+        F.when(ok, moved.col()).alias("translation_m"),
+        F.when(ok, F.when(exact, q).otherwise(parts_of("__q", "xyzw").col())).alias("quaternion_xyzw"),
     )

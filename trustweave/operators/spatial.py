@@ -114,7 +114,7 @@ def transform_points(points: DataFrame, matrix: str) -> DataFrame:
     moved = transform_point(
         F.col(matrix), F.col("x").cast("double"), F.col("y").cast("double"), F.col("z").cast("double")
     )
-    return points.withColumn("__moved", moved).withColumns(
+    return points.withColumn("__moved", moved.col()).withColumns(
         {c: F.col(f"__moved.{c}") for c in "xyz"}
     ).drop("__moved")
 

@@ -1,7 +1,5 @@
 """Explicit schemas, key lists and code lists shared by every operator."""
 
-from pyspark.sql import types as T
-
 # The reason vocabulary of the data model.
 REASONS = (
     "matched", "unmatched", "late", "missing_message", "empty_scene", "invalid_pose",
@@ -68,30 +66,28 @@ PEER_EVIDENCE = (
     "peer_count_surplus_residual", "peer_count_disagreement", "peer_corroboration_score",
 )
 
-XYZ = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
-XYZW = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyzw"])
-
-MEMBERSHIPS = T.StructType.fromDDL(
+# Table schemas, as DDL text (accepted by readers and by createDataFrame).
+MEMBERSHIPS = (
     "sequence_id string, session_id string, sync_frame_id bigint, "
     "decision_time_ns bigint, agent_id string, member boolean, message_expected boolean"
 )
-MESSAGES = T.StructType.fromDDL(
+MESSAGES = (
     "sequence_id string, session_id string, agent_id string, source_time_ns bigint, "
     "arrival_time_ns bigint, empty_scene boolean, pose_valid boolean, "
     "pose_source_time_ns bigint"
 )
-POSE_SAMPLES = T.StructType.fromDDL(
+POSE_SAMPLES = (
     "sequence_id string, session_id string, agent_id string, time_ns bigint, "
     "translation_m struct<x:double,y:double,z:double>, "
     "quaternion_xyzw struct<x:double,y:double,z:double,w:double>"
 )
-ODOMETRY = T.StructType.fromDDL(
+ODOMETRY = (
     "agent_id string, time_ns bigint, header_time_ns bigint, "
     "position_m struct<x:double,y:double,z:double>, "
     "quaternion_xyzw struct<x:double,y:double,z:double,w:double>, "
     "body_velocity_mps struct<x:double,y:double,z:double>"
 )
-FRAMES = T.StructType.fromDDL(
+FRAMES = (
     "experiment_id string, variant_id string, sequence_id string, session_id string, "
     "sync_frame_id bigint, decision_time_ns bigint, source_time_ns bigint, "
     "agent_id string, agent_type string, object_key string, member boolean, "
@@ -100,7 +96,7 @@ FRAMES = T.StructType.fromDDL(
     "lookahead_buffer_ns bigint, pose_source_time_ns bigint, pose_age_ns bigint, "
     "oracle_gt boolean"
 )
-OBJECTS = T.StructType.fromDDL(
+OBJECTS = (
     "experiment_id string, variant_id string, sequence_id string, session_id string, "
     "sync_frame_id bigint, decision_time_ns bigint, source_time_ns bigint, "
     "agent_id string, agent_type string, object_key string, object_index bigint, "
@@ -110,7 +106,7 @@ OBJECTS = T.StructType.fromDDL(
     "center_y_m double, center_z_m double, size_x_m double, size_y_m double, "
     "size_z_m double, yaw_rad double, box_frame string"
 )
-EVIDENCE = T.StructType.fromDDL(
+EVIDENCE = (
     "experiment_id string, variant_id string, sequence_id string, session_id string, "
     "sync_frame_id bigint, decision_time_ns bigint, source_time_ns bigint, "
     "agent_id string, agent_type string, object_key string, object_index bigint, "
@@ -119,7 +115,7 @@ EVIDENCE = T.StructType.fromDDL(
     "evidence_name string, value double, applicable boolean, available boolean, "
     "reason_code string, oracle_gt boolean"
 )
-REGISTRY = T.StructType.fromDDL(
+REGISTRY = (
     "agent_id string, agent_type string, sensor_type string, odometry string, "
     "extrinsics struct<from_frame:string,to_frame:string,"
     "matrix_4x4:array<array<double>>,status:string,note:string>, "
@@ -127,15 +123,15 @@ REGISTRY = T.StructType.fromDDL(
     "range_m:double,status:string>, "
     "expected_point_fields array<string>, expected_odometry_fields array<string>"
 )
-SPLITS = T.StructType.fromDDL(
+SPLITS = (
     "source_id string, sequence_id string, role string, resolved boolean, frozen boolean"
 )
-LINEAGE = T.StructType.fromDDL(
+LINEAGE = (
     "sequence_id string, session_id string, source_episode_id string, "
     "neighboring_frame_block_id string, clean_counterpart_id string, "
     "variant_id string, role string, agent_id string, object_key string"
 )
-FIXTURE = T.StructType.fromDDL(
+FIXTURE = (
     "fixture_run_id string, source_id string, sequence_id string, session_id string, "
     "ego_agent_id string, seed bigint, max_source_age_ns bigint, "
     "ewma struct<alpha:double,threshold:double,initial_value:double,"
