@@ -1,5 +1,5 @@
 """All queries by name: (Spark callable, SQL text or None)."""
 
-from catalog import match_queries
+from catalog import evidence_queries, match_queries, message_queries
 
-ALL = {**match_queries.QUERIES}
+ALL = {**match_queries.QUERIES, **evidence_queries.QUERIES, **message_queries.QUERIES}

@@ -165,7 +165,7 @@ def sql_inside(p: str = "p", b: str = "b") -> str:
 def agent_boxes(spark, d) -> DataFrame:
     """Each box once per agent 0..4, with the eligibility of that agent."""
     rows = boxes(spark, d).withColumn(
-        "agent", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("bigint")
+        "agent", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")))
     )
     return rows.withColumn("eligible", _mod(F.col("box") + F.col("agent"), 6) != 0)
 
@@ -226,7 +226,7 @@ SQL_EVENT_BOXES = """event_boxes AS (
 # -- observations ----------------------------------------------------------------
 
 def observations(spark, d) -> DataFrame:
-    """One observation per event: frame = event, sender = user."""
+    """One observation per event: sender = user, frame = eight events, one of them ego."""
     e = F.col("event_id")
     kin = F.when(_mod(e, 5) != 0, _mod(e, 114) / 4000.0)
     residual = F.when(_mod(e, 7) != 0, _mod(e, 60) / 40.0)
@@ -241,7 +241,8 @@ def observations(spark, d) -> DataFrame:
             "sync_frame_id"),
         ns.alias("decision_time_ns"),
         F.when(_mod(e, 19) != 0, ns - _mod(e, 140) * 1_000_000).alias("source_time_ns"),
-        (_mod("user_id", 10) == 0).alias("is_ego"),
+        F.floor(e / 8).alias("frame"),
+        (_mod(e, 8) == 3).alias("is_ego"),
         (_mod(e, 19) != 0).alias("message_present"),
         kin.alias("kinematic_error_m"),
         residual.alias("two_sided_count_residual"),
@@ -260,7 +261,7 @@ SQL_OBSERVATIONS = f"""observations AS (
   SELECT event_id, user_id::VARCHAR AS agent_id,
     (epoch_us(ts)*1000-{BASE_NS})//{DAY_NS} AS sync_frame_id, epoch_us(ts)*1000 AS decision_time_ns,
     CASE WHEN event_id%19<>0 THEN epoch_us(ts)*1000-(event_id%140)*1000000 END AS source_time_ns,
-    user_id%10=0 AS is_ego, event_id%19<>0 AS message_present,
+    event_id//8 AS frame, event_id%8=3 AS is_ego, event_id%19<>0 AS message_present,
     CASE WHEN event_id%5<>0 THEN (event_id%114)/4000.0::DOUBLE END AS kin,
     CASE WHEN event_id%7<>0 THEN (event_id%60)/40.0::DOUBLE END AS residual,
     CASE WHEN event_id%11<>0 THEN 1-(event_id%5)/8.0::DOUBLE END AS peer,

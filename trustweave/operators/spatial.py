@@ -72,7 +72,7 @@ def pairs_in_boxes(
     listed = (
         sized.withColumn("__ix", F.explode(span("center_x_m", ex)))
         .withColumn("__iy", F.explode(span("center_y_m", ey)))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     )
     return (
         placed.join(listed, [*keys, "__ix", "__iy", "__salt"])

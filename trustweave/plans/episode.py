@@ -73,23 +73,23 @@ def run_episode(
     max_source_age_ns: int = 100_000_000,
     packet_identity: list[str],
     nested: list[str] | None = None,
-    check_integrity: bool = True,
-    require_ego: bool = True,
+    replay: bool = False,
     width: int | None = None,
     reference: str | None = None,
     slot_ns: int = DAY_NS,
 ) -> Episode:
     """Run every case in ``observations`` (a ``case`` column belongs to the keys).
 
-    ``check_integrity`` and ``require_ego`` choose between the two documented
-    variants: the fixture pipeline has both, the episode replay neither.
+    The pipeline form checks packet integrity, needs an ego for fusion and counts the
+    bytes of ``corrupted`` senders. ``replay`` has no integrity step, averages whatever
+    exists, and reports the honest companions of the intended target.
     """
     senders = score_senders(observations, keys, smoothing, slot_ns)
     packets = build_packets(senders, packet_identity, payload="payload", nested=nested)
-    if check_integrity:
+    if not replay:
         packets = verify_packets(packets, packet_identity, payload="payload", nested=nested)
     schedule = admit(
-        packets, max_source_age_ns=max_source_age_ns, check_integrity=check_integrity
+        packets, max_source_age_ns=max_source_age_ns, check_integrity=not replay
     )
     confidence = F.col("local_confidence")
     quality = F.col("quality_score") if "quality_score" in observations.columns else F.lit(1.0)
@@ -108,12 +108,12 @@ def run_episode(
     )
     fusion = mean_fusion(
         ego.unionByName(remote), [*keys.frame, "policy"], width=width,
-        require_ego=require_ego, frames=frames,
+        require_ego=not replay, frames=frames,
     )
     if reference:
         clean = senders.groupBy(*keys.frame).agg(F.any_value(reference).alias(reference))
         fusion = reconstruction_error(fusion.join(clean, keys.frame), reference)
-    if "actually_affected" in observations.columns:
+    if replay:
         metrics = episode_metrics(senders, schedule, fusion, keys.frame)
     else:
         metrics = frame_metrics(senders, schedule, fusion, keys.frame)
