@@ -20,6 +20,7 @@ from trustweave.operators.peers import (
 from trustweave.operators.quantiles import exact_median
 from trustweave.operators.spatial import cloud_summary, count_in_boxes, spatial_support
 from trustweave.operators.temporal import Smoothing, ewma, label_state
+from trustweave.sources.stage import stage
 
 REFERENCE = (1.0, 0.5)  # expected log1p count and its scale
 POINT_SALTS = 4
@@ -65,7 +66,7 @@ FROM counts c JOIN boxes b USING (box)""")
 def _peers(spark, d):
     eligible = agent_boxes(spark, d).select("frame", "agent", "box", "eligible")
     counts = _agent_counts(spark, d).join(eligible, ["frame", "agent", "box"])
-    return leave_one_out(counts, ["frame", "box"])
+    return leave_one_out(stage(counts), ["frame", "box"])
 
 
 def peer_corroboration(spark, d):
@@ -121,7 +122,7 @@ def suspicion_summary(spark, d):
         "suspicion",
         F.when(~unknown, object_suspicion(F.col("deficit_residual"), F.col("surplus_residual"))),
     )
-    return summarize_suspicion(rows, ["frame", "agent"]).select(
+    return summarize_suspicion(stage(rows), ["frame", "agent"]).select(
         "frame", "agent", "object_count", "available_object_count", "unavailable_object_count",
         r6("maximum_object_suspicion").alias("maximum"),
         r6("median_object_suspicion").alias("median"), "any_object_evidence_unavailable",
@@ -142,7 +143,7 @@ def suspicion_by_agent(spark, d):
         points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"],
         reference=REFERENCE, salts=POINT_SALTS,
     ).withColumn("suspicion", object_suspicion(F.col("deficit_residual"), F.col("surplus_residual")))
-    return exact_median(out, ["agent"], "suspicion").select("agent", r6("median").alias("median"))
+    return exact_median(stage(out), ["agent"], "suspicion").select("agent", r6("median").alias("median"))
 
 
 SQL_SUSPICION_AGENT = with_sql(SQL_COUNTS, """
@@ -160,7 +161,7 @@ SQL_VALUE_MEDIANS = "SELECT event_type, round(median(value),6)+0.0 AS median FRO
 
 
 def point_share(spark, d):
-    counts = _agent_counts(spark, d).withColumn(
+    counts = stage(_agent_counts(spark, d)).withColumn(
         "point_count", F.when(_mod("box", 9) != 0, F.col("point_count"))
     )
     shares = frame_shares(point_shares(counts, ["frame", "box"], "agent"), ["frame", "agent"])

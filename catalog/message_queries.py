@@ -13,6 +13,7 @@ from trustweave.operators.fusion import (
 )
 from trustweave.operators.messaging import admit, build_packets, verify_packets
 from trustweave.operators.metrics import completeness_problems, coverage, policy_totals
+from trustweave.sources.stage import stage
 from trustweave.plans.episode import EpisodeKeys, run_episode, score_senders
 
 IDENTITY = ["event_id", "agent_id", "sync_frame_id", "decision_time_ns", "source_time_ns"]
@@ -82,7 +83,7 @@ SELECT event_id, policy, source_age_ns, reason_code='admitted' AS admitted,
 
 def admitted_bytes_by_day(spark, d):
     """Semi-join of packets with the admitting schedule, bytes per day and policy."""
-    schedule = _schedule(spark, d)
+    schedule = stage(_schedule(spark, d))
     packets = build_packets(observations(spark, d), IDENTITY)
     both = [
         admitted_packets(packets, schedule.filter(F.col("policy") == p), []).withColumn("policy", F.lit(p))

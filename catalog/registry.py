@@ -1,5 +1,8 @@
 """All queries by name: (Spark callable, SQL text or None)."""
 
-from catalog import evidence_queries, match_queries, message_queries
+from catalog import evidence_queries, match_queries, message_queries, overlay_queries
 
-ALL = {**match_queries.QUERIES, **evidence_queries.QUERIES, **message_queries.QUERIES}
+ALL = {
+    **match_queries.QUERIES, **evidence_queries.QUERIES, **message_queries.QUERIES,
+    **overlay_queries.QUERIES,
+}

@@ -87,11 +87,11 @@ def self_including_size(base: Column) -> Column:
 
     ``base`` is the byte length of everything but the digits.
     """
-    out = None
-    for digits in range(1, 11):
-        fits = F.length((base + digits).cast("string")) <= digits
-        out = F.when(fits, base + digits) if out is None else out.when(fits, base + digits)
-    return out
+    fits = F.filter(
+        F.array(*[F.lit(d).cast("bigint") for d in range(1, 11)]),
+        lambda d: F.length((base + d).cast("string")) <= d,
+    )
+    return base + F.array_min(fits)
 
 
 def vector_error(a: Column, b: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trustweave.operators.ordered import DAY_NS, Running, int_div, running, time_slot
 from trustweave.schemas import BUFFERED, CAUSAL, SOURCE_KEY
+from trustweave.sources.stage import stage
 
 
 def _check(policy: str, max_age_ns: int, lookahead_ns: int) -> None:
@@ -151,6 +152,8 @@ def match_messages(
         # A future source can only win when it is closer than the newest past one.
         # Mostly the very next message has arrived in time and is the answer; only
         # decisions whose next message is late need the search.
+        # Three branches read the decisions again, so they are written once.
+        rows = stage(rows)
         past_gap = decision - F.col("past.source_time_ns")
         wanted = (F.col("seen_after") <= limit) & (
             F.col("past").isNull() | (F.col("seen_after") - decision < past_gap)

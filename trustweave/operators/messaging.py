@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from trustweave.functions.canonical import json_text, line_sha256, row_json, self_including_size
 from trustweave.operators.joins import null_safe
 from trustweave.schemas import POLICIES
+from trustweave.sources.stage import once
 
 SIZE = "measured_size_bytes"
 _EMPTY = f'"{SIZE}":0'
@@ -55,18 +56,16 @@ def build_packets(
         ~F.col("is_ego") & F.col("message_present")
         & F.col("source_time_ns").isNotNull() & F.col(payload).isNotNull()
     )
-    rows = sent.withColumn("payload_sha256", payload_digest(F.col(payload))).withColumn(
+    rows = once(sent, payload_sha256=payload_digest(F.col(payload))).withColumn(
         SIZE, F.lit(0).cast("bigint")
     )
     text = _wire(rows, _flat_fields(identity, payload, nested), nested)
-    rows = rows.withColumn("__wire", text)
+    rows = once(rows, __wire=text)
     # one digit stands in for the size, one newline ends the message
     size = self_including_size(F.octet_length("__wire") - 1 + 1).cast("bigint")
-    return (
-        rows.withColumn(SIZE, size)
-        .withColumn("packet_sha256", line_sha256(_with_size(F.col("__wire"), F.col(SIZE))))
-        .drop("__wire")
-    )
+    rows = once(rows.drop(SIZE), **{SIZE: size})
+    digest = line_sha256(_with_size(F.col("__wire"), F.col(SIZE)))
+    return once(rows, packet_sha256=digest).drop("__wire")
 
 
 def verify_packets(
@@ -76,17 +75,13 @@ def verify_packets(
     """Append ``integrity_valid``: both digests and the size recomputed and compared."""
     zero = packets.withColumn("__size", F.col(SIZE)).withColumn(SIZE, F.lit(0).cast("bigint"))
     text = _wire(zero, _flat_fields(identity, payload, nested), nested)
-    rows = zero.withColumn("__wire", _with_size(text, F.col("__size"))).withColumn(
-        SIZE, F.col("__size")
-    )
+    rows = once(zero, __wire=_with_size(text, F.col("__size"))).withColumn(SIZE, F.col("__size"))
     valid = (
         (payload_digest(F.col(payload)) == F.col("payload_sha256"))
         & (F.octet_length("__wire") + 1 == F.col(SIZE))
         & (line_sha256(F.col("__wire")) == F.col("packet_sha256"))
     )
-    return rows.withColumn("integrity_valid", F.coalesce(valid, F.lit(False))).drop(
-        "__wire", "__size"
-    )
+    return once(rows, integrity_valid=F.coalesce(valid, F.lit(False))).drop("__wire", "__size")
 
 
 def admit(
@@ -117,7 +112,7 @@ def admit(
     rows = rows.withColumn("reason_code", reason)
     admitted = F.col("reason_code") == "admitted"
     return rows.select(
-        *packets.columns,
+        *[c for c in packets.columns if c != "reason_code"],
         "policy",
         F.lit(max_source_age_ns).cast("bigint").alias("max_source_age_ns"),
         age.alias("source_age_ns"),

@@ -17,6 +17,7 @@ from trustweave.operators.metrics import episode_metrics, frame_metrics
 from trustweave.operators.ordered import DAY_NS, time_slot
 from trustweave.operators.temporal import Smoothing, ewma, label_state
 from trustweave.schemas import POLICIES
+from trustweave.sources.stage import stage
 
 
 @dataclass(frozen=True)
@@ -84,12 +85,12 @@ def run_episode(
     bytes of ``corrupted`` senders. ``replay`` has no integrity step, averages whatever
     exists, and reports the honest companions of the intended target.
     """
-    senders = score_senders(observations, keys, smoothing, slot_ns)
+    senders = stage(score_senders(observations, keys, smoothing, slot_ns))
     packets = build_packets(senders, packet_identity, payload="payload", nested=nested)
     if not replay:
         packets = verify_packets(packets, packet_identity, payload="payload", nested=nested)
-    schedule = admit(
-        packets, max_source_age_ns=max_source_age_ns, check_integrity=not replay
+    schedule = stage(
+        admit(packets, max_source_age_ns=max_source_age_ns, check_integrity=not replay)
     )
     confidence = F.col("local_confidence")
     quality = F.col("quality_score") if "quality_score" in observations.columns else F.lit(1.0)
