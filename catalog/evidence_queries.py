@@ -20,7 +20,7 @@ from trustweave.operators.peers import (
 from trustweave.operators.quantiles import exact_median
 from trustweave.operators.spatial import cloud_summary, count_in_boxes, spatial_support
 from trustweave.operators.temporal import Smoothing, ewma, label_state
-from trustweave.sources.stage import stage
+from trustweave.sources.stage import once, stage
 
 REFERENCE = (1.0, 0.5)  # expected log1p count and its scale
 POINT_SALTS = 4
@@ -298,7 +298,7 @@ SQL_FIXED = with_sql(f"""{SQL_OBSERVATIONS}, f AS (SELECT event_id,
 
 def senders(spark, d, config=Smoothing()):
     """Scored observations with smoothing and states, per sender."""
-    rows = observations(spark, d).withColumn("s", missing_aware(
+    rows = once(observations(spark, d), s=missing_aware(
         F.col("kinematic_error_m"), F.col("two_sided_count_residual"),
         F.col("peer_corroboration_score"), F.col("kinematic_applicable"),
     ))

@@ -1,8 +1,10 @@
 """All queries by name: (Spark callable, SQL text or None)."""
 
-from catalog import evidence_queries, match_queries, message_queries, overlay_queries
+from catalog import (
+    evidence_queries, governance_queries, match_queries, message_queries, overlay_queries,
+)
 
 ALL = {
     **match_queries.QUERIES, **evidence_queries.QUERIES, **message_queries.QUERIES,
-    **overlay_queries.QUERIES,
+    **overlay_queries.QUERIES, **governance_queries.QUERIES,
 }

@@ -17,7 +17,7 @@ from trustweave.operators.metrics import episode_metrics, frame_metrics
 from trustweave.operators.ordered import DAY_NS, time_slot
 from trustweave.operators.temporal import Smoothing, ewma, label_state
 from trustweave.schemas import POLICIES
-from trustweave.sources.stage import stage
+from trustweave.sources.stage import once, stage
 
 
 @dataclass(frozen=True)
@@ -51,10 +51,8 @@ def score_senders(
         F.col("kinematic_error_m"), F.col("two_sided_count_residual"),
         F.col("peer_corroboration_score"), F.col("kinematic_applicable"),
     )
-    rows = observations.withColumn("__score", score)
-    rows = rows.withColumn(
-        "__p", prediction(F.col("__score"), F.col("message_present"), reason)
-    )
+    rows = once(observations, __score=score)
+    rows = once(rows, __p=prediction(F.col("__score"), F.col("message_present"), reason))
     kept = [c for c in observations.columns if c != "reason_code"]
     rows = rows.select(
         *kept, "__p.*", F.col("message_present").alias("evidence_available")
