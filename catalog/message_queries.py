@@ -107,7 +107,7 @@ def _contributions(spark, d):
         F.col("embedding").cast("array<double>").alias("vector"),
     )
     first = vectors.groupBy("frame").agg(F.min("vec_id").alias("ego"))
-    rows = vectors.join(F.broadcast(first), "frame")
+    rows = vectors.join(first, "frame")
     return rows.select(
         "frame", "agent_id", "vector", (F.col("vec_id") == F.col("ego")).alias("is_ego"),
         # ego of frame 3 is unusable; in frame 4 only the ego is aligned

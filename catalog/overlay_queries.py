@@ -36,16 +36,15 @@ def _targets(spark, d):
     )
 
 
-def _grid(spark):
-    """The user's parameter grid: kind, duration, severity, velocity offset."""
-    return spark.createDataFrame(
-        [("velocity_spike", 1, "mild", (1.0, 0.0, 0.0)), ("velocity_drift", 2, "severe", (0.004, -0.002, 0.0))],
-        "kind string, duration_samples int, severity string, delta_v_mps struct<x:double,y:double,z:double>",
-    )
+# The user's parameter grid.
+GRID = [
+    {"kind": "velocity_spike", "duration_samples": 1, "severity": "mild", "delta_v_mps": (1.0, 0.0, 0.0)},
+    {"kind": "velocity_drift", "duration_samples": 2, "severity": "severe", "delta_v_mps": (0.004, -0.002, 0.0)},
+]
 
 
 def _specs(spark, d):
-    return O.build_series_specs(_targets(spark, d), _grid(spark))
+    return O.build_series_specs(_targets(spark, d), GRID)
 
 
 SQL_SPECS_CTE = f"""{SQL_ODOMETRY},

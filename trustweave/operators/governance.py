@@ -38,9 +38,9 @@ def leakage(lineage: DataFrame, groups: dict[str, tuple[str, ...]] = LINEAGE_GRO
 
 def role_conflicts(lineage: DataFrame, splits: DataFrame) -> DataFrame:
     """Lineage rows whose sequence is unassigned, not frozen, or has another role."""
-    assigned = F.broadcast(splits.select(
+    assigned = splits.select(
         "sequence_id", F.col("role").alias("assigned_role"), "resolved", "frozen"
-    ))
+    )
     problem = (
         F.when(F.col("assigned_role").isNull(), "unassigned")
         .when(~(F.col("resolved") & F.col("frozen")), "not_frozen")
@@ -60,7 +60,7 @@ def allowed_actions(spark) -> DataFrame:
 def forbidden_actions(requests: DataFrame, splits: DataFrame, allowed: DataFrame) -> DataFrame:
     """Requested (sequence, action) rows that no frozen role permits."""
     usable = splits.filter("resolved and frozen").select("sequence_id", "role")
-    permitted = usable.join(F.broadcast(allowed), "role").select("sequence_id", "action")
+    permitted = usable.join(allowed, "role").select("sequence_id", "action")
     return requests.join(permitted, ["sequence_id", "action"], "left_anti")
 
 

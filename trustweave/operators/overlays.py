@@ -363,18 +363,29 @@ def spatial_dependencies(
 
 # -- specs and attempts ----------------------------------------------------------
 
-def build_series_specs(targets: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every target with every parameter row of a (small, user-written) grid.
+def build_series_specs(targets: DataFrame, grid: list[dict]) -> DataFrame:
+    """Every target with every parameter set of a user-written grid.
 
     ``targets`` names where to start and lists the following sample times; specs
-    take the first ``duration_samples`` of them. The grid is broadcast: it is a
-    handful of parameter rows, so this multiplies targets by a constant.
+    take the first ``duration_samples`` of them. Each grid entry has ``kind``,
+    ``duration_samples``, ``severity`` and ``delta_v_mps`` (x, y, z). The grid is
+    part of the plan, so no join is needed.
     """
-    rows = targets.join(F.broadcast(grid), how="cross")
+    sets = F.array(*[
+        F.struct(
+            F.lit(g["kind"]).alias("kind"),
+            F.lit(int(g["duration_samples"])).alias("duration_samples"),
+            F.lit(g["severity"]).alias("severity"),
+            F.struct(*[F.lit(float(v)).alias(a) for a, v in zip("xyz", g["delta_v_mps"])])
+            .alias("delta_v_mps"),
+        )
+        for g in grid
+    ])
+    rows = targets.select("*", F.inline(sets))
     return rows.select(
         F.concat_ws("-", "target_id", "kind", F.col("duration_samples").cast("string"), "severity")
         .alias(VARIANT),
-        *targets.columns, *grid.columns,
+        *rows.columns,
         F.slice("sample_times_ns", F.lit(1), F.col("duration_samples")).alias(
             "interval_sample_times_ns"
         ),
