@@ -84,6 +84,7 @@ def mean_fusion(
     usable = usable & (F.when(
         F.col("__egos") > 1, F.raise_error(F.lit("more than one ego in a frame")).cast("boolean")
     ).otherwise(F.lit(True)))
+    usable = usable & (F.coalesce("__width", F.lit(0)) >= 0)  # keeps the width check in the plan
     lonely = F.col("__remote") == 0
     reason = (
         F.when(~usable, "ego_absent" if require_ego else "no_contributor")

@@ -10,6 +10,7 @@ from trustweave.schemas import POLICIES
 from trustweave.sources.stage import once
 
 SIZE = "measured_size_bytes"
+SERIALIZATION = "canonical-json-sort-keys-utf8-v1"  # fixed value of the wire format
 _EMPTY = f'"{SIZE}":0'
 
 
@@ -23,12 +24,23 @@ def payload_digest(payload: Column) -> Column:
 
 
 def _wire(df: DataFrame, flat: list[str], nested: list[str] | None) -> Column:
-    """Canonical text of the wire object; ``nested`` fields go under ``descriptor``."""
+    """Canonical text of the wire object.
+
+    ``nested`` fields go under ``descriptor``, together with an ``integrity`` object.
+    """
     if not nested:
         return row_json(df, [*flat, SIZE])
     inner = [*nested, SIZE]
+    integrity = F.struct(
+        F.lit("sha256").alias("algorithm"), F.col("payload_sha256"),
+        F.lit(SERIALIZATION).alias("serialization"),
+    )
     parts = {name: (F.col(name), df.schema[name].dataType) for name in flat}
-    parts["descriptor"] = (F.struct(*inner), T.StructType([df.schema[n] for n in inner]))
+    kind = T.StructType([df.schema[n] for n in inner])
+    kind.add("integrity", T.StructType([
+        T.StructField(n, T.StringType()) for n in ("algorithm", "payload_sha256", "serialization")
+    ]))
+    parts["descriptor"] = (F.struct(*inner, integrity.alias("integrity")), kind)
     out = [F.lit("{")]
     for i, name in enumerate(sorted(parts)):
         out += [F.lit(("," if i else "") + f'"{name}":'), json_text(*parts[name])]

@@ -145,8 +145,6 @@ FIXTURE = (
     "yaw_rad:double>,region_or_object_key:string,local_confidence:double,"
     "quality_score:double,reason_code:string>>>>, "
     "integration_corruption struct<target_sync_frame_id:bigint,target_agent_id:string,"
-    "replacement:struct<source_time_ns:bigint,message_present:boolean,"
-    "kinematic_error_m:double,two_sided_count_residual:double,"
-    "peer_corroboration_score:double,vector:array<double>,local_confidence:double,"
-    "quality_score:double,reason_code:string>>"
+    "replacement:struct<kinematic_error_m:double,two_sided_count_residual:double,"
+    "peer_corroboration_score:double,vector:array<double>>>"
 )
