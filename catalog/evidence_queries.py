@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    SQL_BOXES, SQL_COUNTS, SQL_EVENT_POINTS, SQL_OBSERVATIONS, SQL_POINTS, SQL_SCORED,
+    SLOT_NS, SQL_BOXES, SQL_COUNTS, SQL_EVENT_POINTS, SQL_OBSERVATIONS, SQL_POINTS, SQL_SCORED,
     SQL_STATES, _mod, agent_boxes, boxes, event_points, observations, points, r6, sql_inside,
-    table, ts_ns, with_sql,
+    table, with_sql,
 )
 from trustweave.functions import geometry as G
 from trustweave.functions.scoring import fixed_diagnostic, missing_aware
 from trustweave.operators.evidence import Item, playback, stable_order, to_long, to_wide
-from trustweave.operators.ordered import DAY_NS, time_slot
+from trustweave.operators.ordered import time_slot
 from trustweave.operators.peers import (
     frame_shares, leave_one_out, mean_if_complete, object_suspicion, point_shares,
     summarize_suspicion, weakest_peer_score,
@@ -305,7 +305,7 @@ def senders(spark, d, config=Smoothing()):
     rows = rows.withColumn("risk_score", F.when(F.col("message_present"), F.col("s.risk"))).drop("s")
     smoothed = ewma(
         rows, ["agent_id"], ["decision_time_ns"],
-        time_slot(F.col("decision_time_ns"), DAY_NS), "risk_score", config,
+        time_slot(F.col("decision_time_ns"), SLOT_NS), "risk_score", config,
     )
     return label_state(smoothed, config)
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog.match_queries import sql_matched
 from catalog.views import (
-    BASE_NS, DAY_NS, SQL_MESSAGES, SQL_OBSERVATIONS, _mod, boxes, event_points, memberships,
+    BASE_NS, DAY_NS, SLOT_NS, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_OBSERVATIONS, _mod, boxes, event_points, memberships,
     messages, observations, r6, table, ts_ns, with_sql,
 )
-from trustweave.functions.canonical import number_text
+from trustweave.functions.canonical import frame_local_group, number_text
 from trustweave.operators import contracts as C
 from trustweave.operators import governance as R
 from trustweave.operators.joins import (
     absent_keys, cardinality_violations, checked_join, duplicate_keys, key_difference,
 )
+from trustweave.operators.match import match_messages
+from trustweave.operators.overlays import replace_observations
 from trustweave.schemas import SPLIT_ROLES
 from trustweave.sources.files import (
     DECIMAL_DIGITS, OMITTED_LEADING_ZEROES, cloud_metadata, index_clouds, index_labels,
@@ -286,7 +289,6 @@ SQL_FINGERPRINTS = """SELECT o_orderkey, sha256('{"o_custkey":'||o_custkey||',"o
 
 def number_texts(spark, d):
     """JSON number text over many magnitudes."""
-    v = F.col("value") * F.pow(F.lit(10.0), _mod("event_id", 9) * 2 - 8)
     return table(spark, d, "events").select("event_id", number_text(F.pow(F.lit(2.0), _mod("event_id", 40) - 20)).alias("text"))
 
 
@@ -386,7 +388,70 @@ def cloud_audit(spark, d):
 SQL_CLOUD_AUDIT = """SELECT event_id, 2::BIGINT AS points, CASE WHEN event_id%60=0 THEN 'binary_compressed' ELSE 'ascii' END AS encoding,
  CASE WHEN event_id%50=0 THEN 'missing_field' WHEN event_id%60=0 THEN 'unsupported_encoding' END AS problem FROM events"""
 
+def frame_contract(spark, d):
+    """Matched frames with planted faults, checked as a frame table."""
+    frames = match_messages(
+        memberships(spark, d), messages(spark, d), max_age_ns=2 * DAY_NS, slot_ns=SLOT_NS
+    )
+    day = F.col("sync_frame_id")
+    faulty = frames.withColumns({
+        "match_age_ns": F.col("match_age_ns") + F.when(day == 3, 1).otherwise(0),
+        "message_present": F.col("message_present") | ((day == 5) & (F.col("reason_code") == "missing_message")),
+    })
+    return C.violations(faulty, ["session_id", "agent_id", "sync_frame_id"], C.frame_rules())
+
+
+SQL_FRAME_CONTRACT = with_sql(sql_matched("causal"), """
+SELECT session_id, agent_id, sync_frame_id, 'age_is_decision_minus_source' AS rule FROM matched WHERE source_matched AND sync_frame_id=3
+UNION ALL SELECT session_id, agent_id, sync_frame_id, 'missing_message_is_absent' FROM matched WHERE reason_code='missing_message' AND sync_frame_id=5""")
+
+
+def frame_table_audit(spark, d):
+    """Frame table with repeated keys, object keys on frame rows and empty ids."""
+    base = memberships(spark, d).select(
+        F.lit("e").alias("experiment_id"),
+        F.when(F.col("sync_frame_id") == 7, "").otherwise("v").alias("variant_id"),
+        "sequence_id", "session_id", "sync_frame_id", "decision_time_ns",
+        F.lit(None).cast("bigint").alias("source_time_ns"), "agent_id", F.lit("vehicle").alias("agent_type"),
+        F.when(F.col("sync_frame_id") == 9, "0").alias("object_key"),
+    )
+    doubled = base.unionByName(base.filter("sync_frame_id = 11"))
+    return C.validate_table(doubled, "frame").select("session_id", "agent_id", "sync_frame_id", "rule")
+
+
+SQL_FRAME_AUDIT = with_sql(SQL_MEMBERSHIPS, """
+SELECT session_id, agent_id, sync_frame_id, CASE sync_frame_id WHEN 7 THEN 'variant_id_not_empty' WHEN 9 THEN 'frame_has_no_object' ELSE 'unique_key' END AS rule
+FROM memberships WHERE sync_frame_id IN (7,9,11)""")
+
+
+def replaced_observations(spark, d):
+    """Whole replacement of named observations, marked as corrupted."""
+    base = observations(spark, d).select("event_id", "kinematic_error_m", "peer_corroboration_score")
+    new = base.filter(_mod("event_id", 23) == 0).select(
+        "event_id", F.lit(0.057).alias("kinematic_error_m"), F.lit(None).cast("double").alias("peer_corroboration_score")
+    )
+    out = replace_observations(base, new, ["event_id"], ["kinematic_error_m", "peer_corroboration_score"])
+    return out.select("event_id", r6("kinematic_error_m").alias("kin"), r6("peer_corroboration_score").alias("peer"), "corrupted")
+
+
+SQL_REPLACED = with_sql(SQL_OBSERVATIONS, """
+SELECT event_id, CASE WHEN event_id%23=0 THEN 0.057::DOUBLE ELSE round(kin,6)+0.0 END AS kin,
+ CASE WHEN event_id%23<>0 THEN round(peer,6)+0.0 END AS peer, event_id%23=0 AS corrupted FROM observations""")
+
+
+def object_groups(spark, d):
+    """Frame-scoped object group keys of all boxes, hashed for comparison."""
+    key = frame_local_group(F.lit("seq"), F.lit("ses"), F.col("frame"), F.col("box"))
+    return boxes(spark, d).select("box", F.sha2(key, 256).alias("group_sha256"))
+
+
+SQL_GROUPS = """SELECT p_partkey AS box, sha256('seq'||chr(0)||'ses'||chr(0)||'frame='||(p_partkey%1000)||chr(0)||'local-object='||p_partkey) AS group_sha256 FROM part"""
+
 QUERIES = {
+    "frame_contract": (frame_contract, SQL_FRAME_CONTRACT),
+    "frame_table_audit": (frame_table_audit, SQL_FRAME_AUDIT),
+    "replaced_observations": (replaced_observations, SQL_REPLACED),
+    "object_groups": (object_groups, SQL_GROUPS),
     "duplicate_keys": (duplicate_keys_query, SQL_DUPLICATES),
     "checked_join": (checked_join_query, SQL_CHECKED),
     "join_cardinality": (join_cardinality, SQL_CARDINALITY),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    BASE_NS, DAY_NS, HOUR_NS, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_ODOMETRY, _mod, memberships,
+    BASE_NS, DAY_NS, HOUR_NS, SLOT_NS, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_ODOMETRY, _mod, memberships,
     messages, odometry, r6, table, ts_ns, with_sql,
 )
 from trustweave.operators.contracts import contiguity, order_violations
@@ -31,11 +31,11 @@ def _matched(spark, d, run):
     policy, age, ahead = RUNS[run]
     return match_messages(
         memberships(spark, d), messages(spark, d), policy=policy, max_age_ns=age,
-        lookahead_ns=ahead, quantum_ns=1000,
+        lookahead_ns=ahead, quantum_ns=1000, slot_ns=SLOT_NS,
     )
 
 
-def _sql_matched(run: str) -> str:
+def sql_matched(run: str) -> str:
     policy, age, ahead = RUNS[run]
     if policy == CAUSAL:
         pick = "max(m.source_time_ns) FILTER (WHERE ok)"
@@ -104,7 +104,7 @@ def pose_lookup(spark, d):
     )
     out = pose_at(
         pose_targets(spark, d), samples, policy=BUFFERED, max_gap_ns=DAY_NS,
-        lookahead_ns=12 * HOUR_NS, keys=["agent_id"],
+        lookahead_ns=12 * HOUR_NS, keys=["agent_id"], slot_ns=SLOT_NS,
     )
     return out.select(
         "agent_id", "day", "reason_code", "previous_time_ns", "next_time_ns",
@@ -138,7 +138,9 @@ FROM s""")
 
 
 def interval_kinematics_query(spark, d):
-    out = interval_kinematics(odometry(spark, d), ["agent_id"], max_gap_s=86400.0)
+    out = interval_kinematics(
+        odometry(spark, d), ["agent_id"], max_gap_s=86400.0, slot_ns=SLOT_NS
+    )
     return out.select(
         "agent_id", "time_ns", "reason_code", r6("dt_s").alias("dt_s"),
         (F.round("speed_mps", 9) + F.lit(0.0)).alias("speed_mps"),
@@ -176,7 +178,9 @@ def attach_kinematics_query(spark, d):
         "event_id", F.col("user_id").cast("string").alias("agent_id"),
         (ts_ns() + F.when(_mod("event_id", 9) == 0, 1).otherwise(0)).alias("source_time_ns"),
     )
-    kin = interval_kinematics(odometry(spark, d), ["agent_id"], max_gap_s=86400.0)
+    kin = interval_kinematics(
+        odometry(spark, d), ["agent_id"], max_gap_s=86400.0, slot_ns=SLOT_NS
+    )
     return attach_kinematics(frames, kin).select(
         "event_id", F.col("kinematics.reason_code").alias("reason_code"),
         r6(F.col("kinematics.residual_m")).alias("residual_m"),
@@ -229,13 +233,13 @@ SQL_LOCAL_INDEX = """SELECT o_custkey, o_orderkey,
 
 _sel = f"SELECT {', '.join(OUT)} FROM matched"
 QUERIES = {
-    "asof_causal": (asof_causal, with_sql(_sql_matched("causal"), _sel)),
-    "asof_buffered": (asof_buffered, with_sql(_sql_matched("buffered"), _sel)),
-    "asof_buffered_wide": (asof_buffered_wide, with_sql(_sql_matched("buffered_wide"), _sel)),
+    "asof_causal": (asof_causal, with_sql(sql_matched("causal"), _sel)),
+    "asof_buffered": (asof_buffered, with_sql(sql_matched("buffered"), _sel)),
+    "asof_buffered_wide": (asof_buffered_wide, with_sql(sql_matched("buffered_wide"), _sel)),
     "match_reasons": (match_reasons, f"""
-SELECT 'causal_backward' AS match_policy, reason_code, count(*) AS rows FROM ({with_sql(_sql_matched('causal'), 'SELECT * FROM matched')}) GROUP BY reason_code
+SELECT 'causal_backward' AS match_policy, reason_code, count(*) AS rows FROM ({with_sql(sql_matched('causal'), 'SELECT * FROM matched')}) GROUP BY reason_code
 UNION ALL
-SELECT 'buffered_nearest', reason_code, count(*) FROM ({with_sql(_sql_matched('buffered'), 'SELECT * FROM matched')}) GROUP BY reason_code"""),
+SELECT 'buffered_nearest', reason_code, count(*) FROM ({with_sql(sql_matched('buffered'), 'SELECT * FROM matched')}) GROUP BY reason_code"""),
     "pose_at": (pose_lookup, SQL_POSE),
     "interval_kinematics": (interval_kinematics_query, SQL_KINEMATICS),
     "attach_kinematics": (attach_kinematics_query, SQL_ATTACH),

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BASE_NS = 1_704_067_200_000_000_000  # 2024-01-01T00:00:00Z
 DAY_NS = 86_400_000_000_000
 HOUR_NS = 3_600_000_000_000
+# Rows of one key share a task only within a slot: ten days of a month of events.
+SLOT_NS = 10 * DAY_NS
 TYPES = ("click", "view", "purchase", "signup", "error")
 
 
@@ -225,7 +227,7 @@ SQL_EVENT_BOXES = """event_boxes AS (
 
 # -- observations ----------------------------------------------------------------
 
-def observations(spark, d) -> DataFrame:
+def observations(spark, d, events: DataFrame | None = None) -> DataFrame:
     """One observation per event: sender = user, frame = eight events, one of them ego."""
     e = F.col("event_id")
     kin = F.when(_mod(e, 5) != 0, _mod(e, 114) / 4000.0)
@@ -233,7 +235,8 @@ def observations(spark, d) -> DataFrame:
     peer = F.when(_mod(e, 11) != 0, 1 - _mod(e, 5) / 8.0)
     ns = ts_ns()
     zero = F.lit(0.0)
-    return table(spark, d, "events").select(
+    events = table(spark, d, "events") if events is None else events
+    return events.select(
         F.lit("seq").alias("sequence_id"), F.lit("ses").alias("session_id"),
         F.col("user_id").cast("string").alias("agent_id"),
         e.alias("event_id"),
