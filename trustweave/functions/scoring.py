@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
-from trustweave.functions.geometry import finite
-
 # Weights and caps of the published score.
 KINEMATIC_CAP_M = 0.057
 SUPPORT_CAP_POINTS = 350.0
@@ -39,11 +37,10 @@ def _positive(**caps):
 
 def clip01(c: Column) -> Column:
     """Clip to [0, 1]; null stays null; a non-finite input fails the query."""
-    bad = c.isNotNull() & ~finite(c)
     clipped = F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    return F.when(bad, F.raise_error(F.lit("score input must be finite")).cast("double")).when(
-        c.isNotNull(), clipped
-    )
+    broken = F.raise_error(F.lit("score input must be finite")).cast("double")
+    # NaN and both infinities are the values that do not vanish when multiplied by zero
+    return F.when(c * 0.0 == 0.0, clipped).when(c.isNotNull(), broken)
 
 
 def missing_aware(
@@ -64,26 +61,26 @@ def missing_aware(
     _positive(kinematic_cap=kinematic_cap, residual_cap=residual_cap)
     if not 0 < minimum_weight <= 1:
         raise ValueError("minimum_weight must lie in (0, 1]")
+    # weights depend on which inputs exist only, so the long score expressions occur once
     blocked = kinematic_applicable & kinematic_error.isNull()
     parts = {
-        "kinematic": (weights.kinematic, 1 - clip01(kinematic_error / kinematic_cap)),
-        "support": (weights.support, 1 - clip01(count_residual / residual_cap)),
-        "corroboration": (weights.corroboration, clip01(peer_score)),
+        "kinematic": (weights.kinematic, kinematic_error, 1 - clip01(kinematic_error / kinematic_cap)),
+        "support": (weights.support, count_residual, 1 - clip01(count_residual / residual_cap)),
+        "corroboration": (weights.corroboration, peer_score, clip01(peer_score)),
     }
     weighted, present = F.lit(0.0), F.lit(0.0)
-    for weight, score in parts.values():
+    for weight, given, score in parts.values():
         weighted = weighted + F.coalesce(score * weight, F.lit(0.0))
-        present = present + F.when(score.isNotNull(), weight).otherwise(0.0)
-    available = F.when(blocked, 0.0).otherwise(present)
-    abstained = blocked | (available + WEIGHT_EPSILON < minimum_weight)
-    trust = F.when(~abstained, weighted / available)
+        present = present + F.when(given.isNotNull(), weight).otherwise(0.0)
+    abstained = blocked | (present + WEIGHT_EPSILON < minimum_weight)
+    trust = F.when(~abstained, weighted / present)
     return F.struct(
         trust.alias("trust"),
         (1 - trust).alias("risk"),
-        available.alias("available_weight"),
+        F.when(blocked, 0.0).otherwise(present).alias("available_weight"),
         abstained.alias("abstained"),
         F.when(abstained, "incomplete_evidence").otherwise("matched").alias("reason_code"),
-        *[F.when(~blocked, s).alias(f"{n}_score") for n, (_, s) in parts.items()],
+        *[F.when(~blocked, s).alias(f"{n}_score") for n, (_, _, s) in parts.items()],
     )
 
 

@@ -53,20 +53,28 @@ def ewma(
     rows = rows.withColumn(
         "__b", int_div(F.greatest(F.col("__p"), F.lit(1)) - 1, block)
     ).withColumn("__q", F.col("__p") - F.col("__b") * block)
-    term = F.when(has, a * x * power(-F.col("__q")))
-    in_block = Window.partitionBy(*part, "__b").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    prior_block = Window.partitionBy(*part).orderBy("__b").rangeBetween(-1, -1)
-    tail = F.when(has, a * x * power(F.lit(block) - F.col("__q")))
+    # positions never fall along the order, so (block, order) is the order itself and
+    # one sort serves all windows from here on
+    step = Window.partitionBy(*part).orderBy("__b", *order)
     if r == 0:
-        local = F.last(x, ignorenulls=True).over(upto)
+        local = F.last(x, ignorenulls=True).over(step.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("__e", local)
     else:
-        local = power(F.col("__q")) * (
-            F.coalesce(F.sum(term).over(in_block), F.lit(0.0))
-            + F.coalesce(F.sum(tail).over(prior_block), F.lit(0.0))
+        in_block = Window.partitionBy(*part, "__b").orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, 0
+        )
+        prior_block = Window.partitionBy(*part).orderBy("__b").rangeBetween(-1, -1)
+        rows = rows.withColumn("__s", F.sum(a * x * power(-F.col("__q"))).over(in_block))
+        rows = rows.withColumn(
+            "__l", F.sum(a * x * power(F.lit(block) - F.col("__q"))).over(prior_block)
+        )
+        zero = F.lit(0.0)
+        rows = rows.withColumn(
+            "__e", power(F.col("__q")) * (F.coalesce("__s", zero) + F.coalesce("__l", zero))
         )
-    rows = rows.withColumn("__e", local)
+    rows = rows.withColumns({
+        "__e1": F.lag("__e").over(step), "__p1": F.lag("__p").over(step), "__has1": F.lag(has).over(step),
+    })
 
     # one row per (key, slot): how many values it has and what it adds
     position = F.struct(*order)
@@ -111,31 +119,29 @@ def ewma(
         lagged("__last_has").alias("__has0"),
     )
     out = rows.join(carry, part, "left")
-    count = F.col("__N0") + F.col("__p")
-    full = (
-        F.col("__e")
-        + power(F.col("__p")) * F.col("__E0")
-        + power(count) * F.coalesce(F.col("__start"), F.lit(0.0))
-    )
-    if r == 0:
-        full = F.coalesce(F.col("__e"), F.when(F.col("__N0") > 0, F.col("__E0")))
-    current = F.when(count > 0, full)
-    step = Window.partitionBy(*part).orderBy(*order)
-    out = out.withColumn("ewma", current).withColumn("available", has)
-    entering = F.when(
-        F.col("__N0") > 0,
-        F.col("__E0") + (0.0 if r == 0 else power(F.col("__N0")) * F.coalesce(F.col("__start"), F.lit(0.0))),
-    )
-    out = out.withColumn(
-        "ewma_previous",
-        F.when(F.row_number().over(step) == 1, entering).otherwise(F.lag("ewma").over(step)),
-    ).withColumn(
-        "available_previous",
-        F.when(F.row_number().over(step) == 1, F.col("__has0")).otherwise(
-            F.lag("available").over(step)
-        ),
+
+    def value_at(local: Column, position: Column) -> Column:
+        """Smoothed value after ``position`` values of the slot; null before the first."""
+        count = F.col("__N0") + position
+        if r == 0:
+            return F.coalesce(local, F.when(F.col("__N0") > 0, F.col("__E0")))
+        full = (
+            local
+            + power(position) * F.col("__E0")
+            + power(count) * F.coalesce(F.col("__start"), F.lit(0.0))
+        )
+        return F.when(count > 0, full)
+
+    first = F.col("__p1").isNull()
+    nothing = F.lit(None).cast("double") if r == 0 else F.lit(0.0)
+    before = F.when(first, value_at(nothing, F.lit(0))).otherwise(value_at(F.col("__e1"), F.col("__p1")))
+    return out.select(
+        *df.columns,
+        value_at(F.col("__e"), F.col("__p")).alias("ewma"),
+        has.alias("available"),
+        before.alias("ewma_previous"),
+        F.when(first, F.col("__has0")).otherwise(F.col("__has1")).alias("available_previous"),
     )
-    return out.select(*df.columns, "ewma", "available", "ewma_previous", "available_previous")
 
 
 def _label(available: Column, value: Column, threshold: float) -> Column:
