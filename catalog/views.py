@@ -89,12 +89,12 @@ SQL_MEMBERSHIPS = f"""memberships AS (
 
 # -- odometry --------------------------------------------------------------------
 
-def odometry(spark, d) -> DataFrame:
+def odometry(spark, d, agent: Column | None = None) -> DataFrame:
     yaw = _mod(F.col("event_id") * 37, 628) / 100.0
     half = yaw / 2.0
     zero = F.lit(0.0)
     return table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("agent_id"),
+        (F.col("user_id").cast("string") if agent is None else agent).alias("agent_id"),
         ts_ns().alias("time_ns"),
         F.struct(
             F.col("value").alias("x"), (_mod("event_id", 100) / 10.0).alias("y"), zero.alias("z")
