@@ -23,12 +23,11 @@ from trustweave.operators.temporal import Smoothing, ewma, label_state
 from trustweave.sources.stage import once, stage
 
 REFERENCE = (1.0, 0.5)  # expected log1p count and its scale
-POINT_SALTS = 4
 
 
 def points_in_boxes(spark, d):
     return count_in_boxes(
-        points(spark, d), boxes(spark, d), ["frame"], ["box"], salts=POINT_SALTS
+        points(spark, d), boxes(spark, d), ["frame"], ["box"]
     )
 
 
@@ -39,14 +38,14 @@ LEFT JOIN points p ON p.frame=b.frame AND {sql_inside()} GROUP BY b.frame, b.box
 
 def _agent_counts(spark, d):
     return count_in_boxes(
-        points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"], salts=POINT_SALTS
+        points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"]
     )
 
 
 def count_residuals_query(spark, d):
     out = spatial_support(
         points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"],
-        reference=REFERENCE, salts=POINT_SALTS,
+        reference=REFERENCE,
     )
     return out.select(
         "frame", "agent", "box", "point_count", "spatial_reason",
@@ -115,7 +114,7 @@ def suspicion_summary(spark, d):
     """Per frame and agent over its boxes; every seventh box is left unknown."""
     out = spatial_support(
         points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"],
-        reference=REFERENCE, salts=POINT_SALTS,
+        reference=REFERENCE,
     )
     unknown = _mod(F.col("box") + F.col("agent"), 7) == 0
     rows = out.withColumn(
@@ -141,7 +140,7 @@ def suspicion_by_agent(spark, d):
     """Exact median over large groups: all boxes of an agent."""
     out = spatial_support(
         points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"],
-        reference=REFERENCE, salts=POINT_SALTS,
+        reference=REFERENCE,
     ).withColumn("suspicion", object_suspicion(F.col("deficit_residual"), F.col("surplus_residual")))
     return exact_median(stage(out), ["agent"], "suspicion").select("agent", r6("median").alias("median"))
 

@@ -27,8 +27,8 @@ def _inside(p, b, tol=1e-6):
     return abs(lx) <= sx / 2 + tol and abs(ly) <= sy / 2 + tol and abs(dz) <= sz / 2 + tol
 
 
-@pytest.mark.parametrize("cell,salts", [(0.7, 1), (4.0, 3), (100.0, 2)])
-def test_points_in_boxes_equals_brute_force(spark, cell, salts):
+@pytest.mark.parametrize("cell,dense", [(0.7, 10**6), (4.0, 5), (100.0, 200)])
+def test_points_in_boxes_equals_brute_force(spark, cell, dense):
     random.seed(4)
     points = [(f, random.uniform(-9, 9), random.uniform(-9, 9), random.uniform(-3, 3), i)
               for i in range(900) for f in (0, 1)]
@@ -38,7 +38,7 @@ def test_points_in_boxes_equals_brute_force(spark, cell, salts):
     p = spark.createDataFrame(points, "frame int, x double, y double, z double, id int")
     b = spark.createDataFrame(boxes, "frame int, box int, " + BOX)
     got = {(r["frame"], r["box"]): r["point_count"] for r in
-           count_in_boxes(p, b, ["frame"], ["box"], cell_m=cell, salts=salts).collect()}
+           count_in_boxes(p, b, ["frame"], ["box"], cell_m=cell, dense_rows=dense).collect()}
     assert got == {(x[0], x[1]): sum(_inside(q[1:4], x[2:]) for q in points if q[0] == x[0]) for x in boxes}
 
 

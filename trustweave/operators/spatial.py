@@ -10,6 +10,7 @@ from trustweave.functions.geometry import (
     box_local, box_volume, center_range, finite, transform_point,
 )
 from trustweave.functions.scoring import count_residuals
+from trustweave.operators.ordered import int_div
 
 TOLERANCE_M = 1e-6
 BOX_COLUMNS = [
@@ -41,23 +42,33 @@ def pairs_in_boxes(
     *,
     tolerance_m: float = TOLERANCE_M,
     cell_m: float = 4.0,
-    salts: int = 1,
-    salt_by: list[str] | None = None,
+    dense_rows: int = 2_000_000,
+    split_by: list[str] | None = None,
 ) -> DataFrame:
     """All (point, box) rows of a key where the point lies in the box.
 
     Boxes are listed in every grid cell they may touch, points in one cell, so a
-    crowded frame spreads over its cells. ``salts`` further splits crowded cells:
-    points are divided by a hash of ``salt_by``, boxes repeated once per part.
-    Points with non-finite coordinates are in no box.
+    crowded frame spreads over its cells. A cell with more than ``dense_rows`` points
+    is split further: its points by a hash of ``split_by``, its boxes repeated once
+    per part. All other cells are left alone. Points with non-finite coordinates are
+    in no box.
     """
-    if not math.isfinite(tolerance_m) or tolerance_m < 0 or cell_m <= 0 or salts < 1:
-        raise ValueError("tolerance, cell size and salts must be valid")
+    if not math.isfinite(tolerance_m) or tolerance_m < 0 or cell_m <= 0 or dense_rows < 1:
+        raise ValueError("tolerance, cell size and dense_rows must be valid")
+    cell = [*keys, "__ix", "__iy"]
     placed = points.filter(finite(F.col("x"), F.col("y"), F.col("z"))).select(
         "*",
         _cell(F.col("x"), cell_m).alias("__ix"),
         _cell(F.col("y"), cell_m).alias("__iy"),
-        F.pmod(F.xxhash64(*(salt_by or points.columns)), F.lit(salts)).alias("__salt"),
+    )
+    # at most (points / dense_rows) rows, usually none
+    dense = (
+        placed.groupBy(*cell).agg(F.count("*").alias("__n")).filter(F.col("__n") > dense_rows)
+        .select(*cell, (int_div(F.col("__n"), dense_rows) + 1).alias("__parts"))
+    )
+    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
+    placed = placed.join(dense, cell, "left").withColumn(
+        "__part", F.pmod(F.xxhash64(*(split_by or points.columns)), parts)
     )
     sized = boxes.select(
         *keys, *box_id, *BOX_COLUMNS,
@@ -72,10 +83,12 @@ def pairs_in_boxes(
     listed = (
         sized.withColumn("__ix", F.explode(span("center_x_m", ex)))
         .withColumn("__iy", F.explode(span("center_y_m", ey)))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        .join(dense, cell, "left")
+        .withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+        .drop("__parts")
     )
     return (
-        placed.join(listed, [*keys, "__ix", "__iy", "__salt"])
+        placed.join(listed, [*cell, "__part"])
         .filter(_inside(tolerance_m))
         .select(*points.columns, *[c for c in box_id if c not in points.columns])
     )
