@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from trustweave.llm import sentencepiece_codec, token_count
 
@@ -23,13 +23,13 @@ def piece_model() -> str:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_count.count_tokens(docs, piece_model(), limit=4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_count.count_tokens(docs, piece_model(), columns=["doc_id"], limit=4096)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding gives its text back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.encode_texts(docs, piece_model(), verify=True).select("doc_id", "n_tokens", "ids", "round_trip")
+    return sentencepiece_codec.encode_texts(docs, piece_model(), columns=["doc_id"], verify=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

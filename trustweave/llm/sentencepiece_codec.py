@@ -15,15 +15,15 @@ raise; null ids are skipped. Rows are kept as they come, repeated ones too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
+from trustweave.llm.batches import name, with_text_columns
 from trustweave.llm.units import BYTE, CONTROL, MARK, UNKNOWN, check_units, load_model, split_units
 
 #: Entries of a worker's cache (about 120 MB); beyond, it starts anew.
@@ -128,44 +128,30 @@ def _plain(text: str) -> bytes:
     return text.replace(MARK, " ").encode()
 
 
-def encode_texts(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", verify: bool = False) -> DataFrame:
-    """Append ``ids`` (array of int) and ``n_tokens``; with ``verify`` also ``round_trip``,
-    true if decoding gives the text back. Columns of these names are replaced."""
-    made = [ids, "n_tokens"] + ["round_trip"] * verify
-    kept = [c for c in docs.columns if c.lower() not in {m.lower() for m in made}]
-    place = kept.index(text)
+def encode_texts(
+    docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", columns: Sequence[str] | None = None, verify: bool = False,
+) -> DataFrame:
+    """Append ``ids`` (array of int) and ``n_tokens`` to ``columns`` (default: all); with
+    ``verify`` also ``round_trip``, true if decoding gives the text back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         codec = worker_codec(model_path)
-        for batch in batches:
-            for low, high in _slices(batch.column(place)):
-                part = batch.slice(low, high - low)
-                texts = part.column(place).to_pylist()
-                coded = [codec.encode(x) if x else b"" for x in texts]
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(coded))])
-                missing = np.array([x is None for x in texts])
-                lists = pa.ListArray.from_arrays(pa.array(bounds), values, mask=pa.array(missing)) if len(texts) else pa.array([], pa.list_(pa.int32()))
-                out = [*part.columns, lists, pa.array(sizes)]
-                if verify:
-                    out.append(pa.array([x is None or codec.decode(np.frombuffer(c, np.int32)) == _plain(x) for x, c in zip(texts, coded)]))
-                yield pa.RecordBatch.from_arrays(out, [*kept, *made])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*rows.schema.fields]).add(ids, T.ArrayType(T.IntegerType())).add("n_tokens", "long")
-    return rows.mapInArrow(run, schema.add("round_trip", "boolean") if verify else schema)
-
-
-def _slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text, or of one longer text."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    low = 0
-    while low < len(size):
-        before = size[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(size, before + limit, "right")))
-        yield low, high
-        low = high
+
+        def compute(column: pa.Array) -> list[pa.Array]:
+            texts = column.to_pylist()
+            coded = [codec.encode(x) if x else b"" for x in texts]
+            sizes = np.array([len(x) // 4 for x in coded], np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(bounds[-1]), [None, pa.py_buffer(b"".join(coded))])
+            out = [pa.ListArray.from_arrays(pa.array(bounds), values, mask=column.is_null()), pa.array(sizes)]
+            if verify:
+                out.append(pa.array([x is None or codec.decode(np.frombuffer(c, np.int32)) == _plain(x) for x, c in zip(texts, coded)]))
+            return out
+
+        return compute
+
+    ddl = f"`{ids}` array<int>, n_tokens long" + ", round_trip boolean" * verify
+    return with_text_columns(docs, make, ddl, text=text, columns=columns)
 
 
 def decode_ids(rows: DataFrame, model_path: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -183,5 +169,5 @@ def decode_ids(rows: DataFrame, model_path: str, *, ids: str = "ids", text: str
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, text])
 
-    taken = rows.select(*[F.col(f"`{c}`") for c in kept])
+    taken = rows.select(*[name(c) for c in kept])
     return taken.mapInArrow(run, T.StructType([*taken.schema.fields]).add(text, "string"))

@@ -14,13 +14,14 @@ as they are, but those named like the results are replaced.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from trustweave.llm.batches import name, with_text_columns
 from trustweave.llm.units import check_units, load_model, split_units
 
 #: Entries of a worker's cache (about 90 MB); beyond, it starts anew from the table.
@@ -90,26 +91,18 @@ def frequent_units(docs: DataFrame, path: str, text: str, sample_rows: int, tabl
 
 
 def count_tokens(
-    docs: DataFrame, model_path: str, *, text: str = "text", limit: int = 4096, table_size: int = 1 << 15, sample_rows: int = 1000,
+    docs: DataFrame, model_path: str, *, text: str = "text", columns: Sequence[str] | None = None, limit: int = 4096, table_size: int = 1 << 15, sample_rows: int = 1000,
 ) -> DataFrame:
-    """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` to each row of ``docs``.
+    """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` to ``columns`` (default: all).
 
     ``model_path`` must exist on every executor.
     """
-    results = ("n_bytes", "n_tokens", "over_limit")
-    kept = [c for c in docs.columns if c != text and c.lower() not in results]
     table = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, model_path, text, sample_rows, table_size))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         counter = worker_counter(model_path).use(table.value)
-        for batch in batches:
-            texts = batch.column(len(kept))
-            n = pa.array([counter.count(x.as_py()) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, "n_tokens"])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(text))
-    schema = rows.schema.add("n_tokens", "long")
-    return rows.mapInArrow(run, schema).select(
-        *[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"),
-    )
+        return lambda texts: [pa.array([counter.count(x) for x in texts.to_pylist()], pa.int64())]
+
+    n_bytes = F.coalesce(F.octet_length(name(text).cast("string")), F.lit(0)).cast("long")
+    counted = with_text_columns(docs, make, "n_tokens long", text=text, columns=columns, before={"n_bytes": n_bytes})
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
