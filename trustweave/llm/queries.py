@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import sentencepiece_codec, token_count
+from trustweave.llm import language_id, sentencepiece_codec, token_count, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,78 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: The rules of the registered query.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by number: page and document ids count from the same zero, so the label of
+    a number is the page's outcome; poor or toxic is bad."""
+    labels = _table(spark, sf_dir, "labels")
+    return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by rule, or by its host's reputation."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_reputation.judge_urls(pages, page_outcomes(spark, sf_dir), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL_URL_FILTERS = r"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+sums AS (
+  SELECT host, coalesce(sum(bad), 0)::DOUBLE AS x, count(bad)::DOUBLE AS n,
+    regexp_extract(host, '[^.]+\.[^.]+\z') AS domain, regexp_extract(host, '[^.]*\z') AS suffix
+  FROM parts LEFT JOIN (
+    SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END AS bad FROM labels
+  ) l ON l.doc_id = parts.page_id GROUP BY host),
+s0 AS (
+  SELECT suffix, sum(x) AS x, sum(n) AS n, (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) FROM sums) AS m FROM sums GROUP BY suffix),
+k0 AS (
+  SELECT CASE WHEN coalesce(d, 0) = 0 OR s <= e THEN 1000.0 ELSE least(greatest(d / (s - e) - 1, 1.0), 1000.0) END AS k FROM (
+    SELECT sum(n * pow(x / n - m, 2)) AS s, sum(m * (1 - m)) AS e, sum(m * (1 - m) * (n - 1)) AS d FROM s0 WHERE n > 0)),
+d0 AS (
+  SELECT sums.suffix, domain, sum(sums.x) AS x, sum(sums.n) AS n, any_value((s0.m * k + s0.x) / (k + s0.n)) AS m
+  FROM sums JOIN s0 USING (suffix), k0 GROUP BY sums.suffix, domain),
+k1 AS (
+  SELECT CASE WHEN coalesce(d, 0) = 0 OR s <= e THEN 1000.0 ELSE least(greatest(d / (s - e) - 1, 1.0), 1000.0) END AS k FROM (
+    SELECT sum(n * pow(x / n - m, 2)) AS s, sum(m * (1 - m)) AS e, sum(m * (1 - m) * (n - 1)) AS d FROM d0 WHERE n > 0)),
+h0 AS (
+  SELECT host, sums.x, sums.n, (d0.m * k + d0.x) / (k + d0.n) AS m
+  FROM sums JOIN d0 ON sums.suffix = d0.suffix AND sums.domain = d0.domain, k1),
+k2 AS (
+  SELECT CASE WHEN coalesce(d, 0) = 0 OR s <= e THEN 1000.0 ELSE least(greatest(d / (s - e) - 1, 1.0), 1000.0) END AS k FROM (
+    SELECT sum(n * pow(x / n - m, 2)) AS s, sum(m * (1 - m)) AS e, sum(m * (1 - m) * (n - 1)) AS d FROM h0 WHERE n > 0)),
+judged AS (
+  SELECT host, r - 1.645 * sqrt(r * (1 - r) / (k + n + 1)) AS bound FROM (SELECT host, n, k, (m * k + x) / (k + n) AS r FROM h0, k2)),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN judged USING (host)
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; learned where the id's fold isn't 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(language_id.fold(F.col("doc_id")) != 1))
+    out = language_id.predict(docs.select("doc_id", "text"), model, columns=["doc_id"])
+    held = F.coalesce(language_id.fold(F.col("doc_id")) == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,8 +105,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
+    "op3_language_id": op3_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_url_filters": SQL_URL_FILTERS,
+}
