@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import language_id, sentencepiece_codec, token_count, url_reputation
+from trustweave.llm import language_id, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm.staging import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,9 +105,27 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(docs, piece_model(), columns=["doc_id"], verify=True)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back; digests are those of the records read."""
+    path = new_path(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    records = warc.read_records(spark, path)
+    own = F.col("kind") == "response"
+    records = records.withColumns({  # before the join, so that payloads stay out of its shuffle
+        "payload_bytes": F.when(own, F.octet_length("payload")).otherwise(F.regexp_extract("http_head", r"Content-Length: ([0-9]+)", 1).try_cast("long")).cast("long"),
+        "digest": F.when(own, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")),
+        "refers_to": F.col("refers_to_page").cast("long"),
+    })
+    return warc.assemble(records).select(
+        F.regexp_extract("metadata.payload", r"page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
+        "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "response.refers_to", "response.damaged",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
+    "op10_warc": op10_warc,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
 }
