@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import language_id, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import language_id, ngram_join, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -93,6 +93,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group, its class of equal sets and its number of links."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_documents(docs).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -125,6 +131,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
+    "op5_ngram_join": op5_ngram_join,
     "op10_warc": op10_warc,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
