@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import language_id, ngram_join, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import decontamination, language_id, ngram_join, quality, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -93,12 +93,34 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark: a row per document and item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_passages(docs, _table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+    return found.select("doc_id", F.inline("hits"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group, its class of equal sets and its number of links."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.link_documents(docs).select("doc_id", "class_id", "copy_id", "n_links")
 
 
+#: Ids (8 bytes each) that may be broadcast to the documents; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and log-likelihood ratio of every document; trusted are those labelled
+    good and not toxic."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
+    ratio = quality.fit_ratio(docs.join(good, "doc_id", "left"), F.col("trusted"))
+    out = quality.judge(docs, ratio, columns=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -131,7 +153,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op5_ngram_join": op5_ngram_join,
+    "op6_quality_rules": op6_quality_rules,
     "op10_warc": op10_warc,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
