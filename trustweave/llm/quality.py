@@ -6,9 +6,10 @@ of the whole corpus, are counted over all documents in one pass: each task sums
 of its n-grams' probabilities, so long and short texts compare. Every document is judged
 by the same fixed threshold; nothing is drawn by chance.
 
-Words are runs of bytes other than ASCII white space, as they stand; the n-grams of the
-ratio are of lower-cased words, with every digit one sign and every other sign that is
-neither a letter nor space its own class, so that noise shows as noise.
+Words are runs of bytes other than ASCII white space. The n-grams of the ratio are words,
+word pairs and pairs of word shapes; words are lower-cased, digits one sign. Shapes (kinds
+of letters, digits and other signs, runs written once) are common even in a small corpus,
+so noise shows before its words have been seen often.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text with
 words always has a score; without trusted documents all ratios are 0; lines are cut at
@@ -75,24 +76,38 @@ def base_statistics(t: Texts) -> tuple[Words, np.ndarray]:
     return w, out
 
 
-_SHAPE = np.arange(256)
-_SHAPE[0x41:0x5B] += 0x20
-_SHAPE[0x30:0x3A] = 0x30
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_LOWER[0x30:0x3A] = 0x30
+#: A word's shape: capitals, other letters and digits are one sign each.
+_SHAPE = _LOWER.copy()
+_SHAPE[0x61:0x7B] = _SHAPE[0x80:] = 0x61
+_SHAPE[0x41:0x5B] = 0x41
+
+
+def shapes(t: Texts) -> Texts:
+    """The texts with letters and digits by kind, runs of one sign written once."""
+    kind = _SHAPE[t.data]
+    keep = np.ones(len(kind), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    inner = t.bounds[:-1]
+    keep[inner[inner < len(kind)]] = True
+    return Texts(kind[keep], np.concatenate([[0], np.cumsum(keep)])[t.bounds], t.first)
 
 
 def buckets(t: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each unigram and bigram with its row, rows ascending."""
-    shaped = Texts(_SHAPE[t.data].astype(np.uint8), t.bounds, t.first)
-    w = words(shaped, SPACE)
+    """Buckets of each word, word pair and pair of shapes, and their rows."""
+    w = words(Texts(_LOWER[t.data], t.bounds, t.first), SPACE)
     pairs, at = windows(w.hash, w.row, 2, 43)
-    row = np.concatenate([w.row, w.row[at]])
-    order = np.argsort(row, kind="stable")
-    hashed = np.concatenate([mix(w.hash * constants(1, 44)[0]), pairs])[order]
-    return (hashed >> np.uint64(64 - bits)).astype(np.int64), row[order]
+    v = words(shapes(t), SPACE)
+    shape_pairs, shape_at = windows(v.hash, v.row, 2, 44)
+    hashed = np.concatenate([mix(w.hash * constants(1, 45)[0]), pairs, shape_pairs])
+    return (hashed >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([w.row, w.row[at], v.row[shape_at]])
 
 
-def fit_ratio(docs: DataFrame, trusted: Column, *, text: str = "text", bucket_bits: int = 16) -> np.ndarray:
-    """Log ratio of each bucket: trusted documents against all, smoothed by one count each."""
+def fit_ratio(docs: DataFrame, trusted: Column, *, text: str = "text", bucket_bits: int = 16, prior: float = 5.0) -> np.ndarray:
+    """Log ratio of each bucket: its count in trusted documents against that expected from
+    all documents, both raised by ``prior``, so that rare n-grams say little."""
     rows = docs.select(name(text).cast("string").alias("text"), F.coalesce(trusted.cast("boolean"), F.lit(False)).alias("trusted")).where("text IS NOT NULL")
     size = 1 << bucket_bits
 
@@ -109,12 +124,14 @@ def fit_ratio(docs: DataFrame, trusted: Column, *, text: str = "text", bucket_bi
 
     sums = rows.mapInArrow(count, "bucket int, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     found = np.array(sums.collect(), np.int64).reshape(-1, 3)  # at most 2**bucket_bits rows
-    raw, good = np.ones(size), np.ones(size)
-    raw[found[:, 0]] += found[:, 1]
-    if found[:, 2].sum() == 0:
-        return np.zeros(size, np.float32)
-    good[found[:, 0]] += found[:, 2]
-    return np.log((good / good.sum()) / (raw / raw.sum())).astype(np.float32)
+    return log_ratio(found[:, 0], found[:, 1], found[:, 2], size, prior)
+
+
+def log_ratio(bucket: np.ndarray, n: np.ndarray, good: np.ndarray, size: int, prior: float) -> np.ndarray:
+    out = np.zeros(size, np.float32)
+    if good.sum():
+        out[bucket] = np.log((good + prior) / (n * (good.sum() / n.sum()) + prior))
+    return out
 
 
 def judge(
