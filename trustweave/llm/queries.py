@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import decontamination, language_id, ngram_join, quality, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import decontamination, html_text, language_id, ngram_join, quality, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -133,6 +133,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_texts(docs, piece_model(), columns=["doc_id"], verify=True)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), columns=["page_id", "url"])
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back; digests are those of the records read."""
     path = new_path(spark, "warc")
@@ -156,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
