@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import decontamination, html_text, language_id, ngram_join, quality, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import decontamination, html_text, language_id, ngram_join, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -21,6 +21,16 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, a digest of the base spans, and all spans."""
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("base_spans")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
 #: The rules of the registered query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -156,6 +166,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
