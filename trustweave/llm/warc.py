@@ -5,11 +5,12 @@ equal payload is answered by a page with a smaller id) and its metadata. The req
 the metadata name the response in ``WARC-Concurrent-To``. The archive is written by
 Spark's own text writer, so it goes to any file system that Spark knows.
 
-Reading. Records are cut at the byte sequence that ends one record and begins the next,
-so an archive of any size is split among tasks and no task holds more than a record at a
-time. Each record's length is compared with its Content-Length; a record that doesn't
-fit is ``damaged``. A payload that itself holds the cut sequence is written in base64,
-and says so in its header.
+Reading. Records are cut at their version line, so an archive of any size is split among
+tasks and no task holds more than a record at a time. (The line end before it is no part
+of the cut: a sequence that can overlap itself is missed where a reader's buffer ends.)
+Each record's length is compared with its Content-Length; a record that doesn't fit is
+``damaged``. A payload that itself holds a version line is written in base64, and says so
+in its header; an url that ends like one is percent-encoded.
 
 Assembly. Request, response and metadata meet in a join on the response's record id; all
 ids of a capture are unique, so no key is hot. A capture is one nested row. Requests or
@@ -33,7 +34,7 @@ from trustweave.llm.staging import staged
 
 VERSION = "WARC/1.1"
 END = "\r\n"
-CUT = END + END + VERSION + END
+CUT = VERSION + END
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Groups of equal payloads (about 60 bytes each) that may be broadcast.
@@ -74,13 +75,14 @@ def write_archive(
 ) -> None:
     """Write all rows of ``pages`` as WARC records below ``path``."""
     address = F.regexp_replace(F.regexp_replace(name(url).cast("string"), "\r", "%0D"), "\n", "%0A")
+    address = F.regexp_replace(address, r"WARC/1\.1\z", "%57ARC/1.1")
     rows = pages.select(name(page_id).alias("page_id"), address.alias("url"), F.coalesce(name(html).cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("*", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").alias("bytes"))
     groups = staged(payload_groups(rows.select("page_id", "url", "digest", "bytes"), min_bytes), "payloads")
     small = groups.count() <= BROADCAST_GROUPS
     rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("*", (again & (F.col("bytes") >= min_bytes)).alias("again"), F.uuid().alias("unique"), F.contains(F.concat(F.lit(END + END), F.col("payload"), F.lit(END)), F.lit(CUT)).alias("coded"))
+    rows = rows.select("*", (again & (F.col("bytes") >= min_bytes)).alias("again"), F.uuid().alias("unique"), F.contains(F.concat(F.col("payload"), F.lit(END)), F.lit(CUT)).alias("coded"))
 
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}"), F.when(F.col("coded"), f"X-Archive-Coding: base64{END}").otherwise(""),
@@ -118,14 +120,12 @@ def _header(field: str) -> Column:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: ids, type, header fields, HTTP head, payload, ``damaged``."""
-    raw = spark.read.option("lineSep", CUT).text(path)
-    value = F.when(F.col("value").startswith(VERSION + END), F.substring("value", len(VERSION + END) + 1, 2**31 - 1)).otherwise(F.col("value"))
-    # head, then the block; a file's last record still has its end
-    cut = F.split(value, END + END, 2)
-    rows = raw.select(F.get(cut, F.lit(0)).alias("head"), F.coalesce(F.get(cut, F.lit(1)), F.lit("")).alias("block")).select("*", _header("Content-Length").cast("long").alias("length"))
-    over = F.octet_length("block") - F.col("length")
-    block = F.when((over == 4) & F.col("block").endswith(END + END), F.expr("left(block, char_length(block) - 4)")).otherwise(F.col("block"))
-    rows = rows.select("head", "length", block.alias("block"))
+    raw = spark.read.option("lineSep", CUT).text(path).where("value <> ''")  # nothing precedes the first
+    # head, block and the record's end
+    cut = F.split("value", END + END, 2)
+    rows = raw.select(F.get(cut, F.lit(0)).alias("head"), F.coalesce(F.get(cut, F.lit(1)), F.lit("")).alias("block"))
+    rows = rows.select("head", F.when(F.col("block").endswith(END + END), F.expr("left(block, char_length(block) - 4)")).otherwise(F.col("block")).alias("block"))
+    rows = rows.select("head", "block", _header("Content-Length").cast("long").alias("length"))
     http = F.col("kind").isin("response", "revisit", "request")
     parts = F.split("block", END + END, 2)
     rows = rows.select("head", "length", "block", _header("WARC-Type").alias("kind"))
