@@ -61,8 +61,6 @@ def with_text_columns(
     placed = [*head, *([rows.schema.fields[-1]] if back else []), *fields]
     # numbered names inside, so that no name clashes on the way
     schema = T.StructType([T.StructField(str(i), f.dataType) for i, f in enumerate(placed)])
-    numbered = rows.toDF(*[str(i) for i in range(len(rows.columns))])
-    out = numbered.mapInArrow(run, schema)
-    at = {f.name: str(i) for i, f in enumerate(placed)}
-    order = [*kept, *before, *[f.name for f in fields]]
-    return out.select(*[name(at["__text" if c == text and back else c]).alias(c) for c in order])
+    out = rows.toDF(*[str(i) for i in range(len(rows.columns))]).mapInArrow(run, schema)
+    at = {c: i for i, c in enumerate([*carried, *before, *[text] * back, *[f.name for f in fields]])}
+    return out.select(*[name(str(at[c])).alias(c) for c in [*kept, *before, *[f.name for f in fields]]])

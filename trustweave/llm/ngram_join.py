@@ -206,8 +206,8 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def link_documents(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.998,
 ) -> DataFrame:
-    """One row per document: doc_id, digest (of its set), class_id (smallest id of its linked
-    group), copy_id (smallest id with its very set), n_links (other documents, copies too,
+    """One row per document: doc_id, digest (of its set), group (digest that names its linked
+    group, told apart even where ids repeat), class_id (the group's smallest id), copy_id (smallest id with its very set), n_links (other documents, copies too,
     with a similarity of ``threshold`` or more)."""
     bands, rows = choose_bands(threshold, recall)
     source = _rows(docs, doc_id, text)
@@ -247,13 +247,13 @@ def link_documents(
     linked = links.join(classes.select("digest", "copy_id"), "digest").join(root.withColumnRenamed("node", "digest"), "digest", "left")
     linked = linked.withColumn("root", F.coalesce("root", "digest"))
     group = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    per_class = classes.select("digest", "copy_id", "copies").join(linked.join(group, "root").select("digest", "links", "class_id"), "digest", "left").select(
-        "digest", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    per_class = classes.select("digest", "copy_id", "copies").join(linked.join(group, "root").select("digest", "root", "links", "class_id"), "digest", "left").select(
+        "digest", F.coalesce("root", "digest").alias("group"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     out = signed.select("doc_id", "digest").join(per_class, "digest", "left")
     own = F.col("digest").isNull()
     return out.select(
-        "doc_id", "digest", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "digest", "group", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
@@ -266,23 +266,23 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     """
     found = staged(link_documents(docs, doc_id=doc_id, text=text, **options), "grouped")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("class_id").eqNullSafe(F.col("doc_id"))).alias("keeps"))
-    odd = staged(ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "odd")
-    gone = staged(ids.where("NOT keeps AND n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")), "gone")
+    odd = staged(ids.where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "odd")
+    gone = staged(ids.where("NOT keeps AND n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")), "gone")
     strange = odd.count()
 
     def sized(ids_of: DataFrame, n: int) -> DataFrame:
         return F.broadcast(ids_of) if n <= BROADCAST_IDS else ids_of
 
     key = name(doc_id)
-    kept = docs.join(sized(gone, gone.count()), key.eqNullSafe(F.col("id")), "left_anti")
+    kept = docs.join(sized(gone, gone.count()), key.eqNullSafe(F.col("__id")), "left_anti")
     if not strange:
         return kept
-    rest = docs.join(sized(odd, strange), key.eqNullSafe(F.col("id")), "left_semi")
-    kept = kept.join(sized(odd, strange), key.eqNullSafe(F.col("id")), "left_anti")
+    rest = docs.join(sized(odd, strange), key.eqNullSafe(F.col("__id")), "left_semi")
+    kept = kept.join(sized(odd, strange), key.eqNullSafe(F.col("__id")), "left_anti")
     # of rows with the group's id, one of the smallest set stays; those without words all do
     signer = lambda: Signer(options.get("width", 5), 1, 1).signatures
     marked = with_text_columns(rest.withColumn("__lower", F.lower(name(text).cast("string"))), signer, "__digest binary, __n long, __bands array<long>", text="__lower", columns=docs.columns)
-    chosen = found.where("digest IS NOT NULL AND class_id <=> doc_id").groupBy("class_id").agg(F.min("digest").alias("__chosen"))
+    chosen = found.where("digest IS NOT NULL AND class_id <=> doc_id").groupBy("group", F.col("class_id").alias("__class")).agg(F.min("digest").alias("__chosen"))
     worded = marked.where("__digest IS NOT NULL").dropDuplicates([doc_id, "__digest"])
-    worded = worded.join(chosen, name(doc_id).eqNullSafe(F.col("class_id")) & (F.col("__digest") == F.col("__chosen")), "left_semi")
+    worded = worded.join(chosen, name(doc_id).eqNullSafe(F.col("__class")) & (F.col("__digest") == F.col("__chosen")), "left_semi")
     return kept.unionByName(worded.select(*[name(c) for c in docs.columns])).unionByName(marked.where("__digest IS NULL").select(*[name(c) for c in docs.columns]))
