@@ -19,27 +19,41 @@ def _event_stream(spark, d):
     return spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
 
 
+END_KEY = -1
+
+
+def _closed_stream(spark, d):
+    """The event stream with its declared end: a control row of no user that moves the
+    watermark past all events, so that nothing is left waiting."""
+    schema = table(spark, d, "events").schema
+    path = f"{stage_root(spark)}/end-{uuid.uuid4().hex}"
+    values = {"user_id": F.lit(END_KEY), "event_type": F.lit("end"), "ts": F.lit("2100-01-01 00:00:00").cast("timestamp")}
+    end = spark.range(1).select(*[
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+    ])
+    end.write.parquet(path)
+    return _event_stream(spark, d).unionByName(spark.readStream.schema(schema).parquet(path))
+
+
 def _run(spark, stream):
     path = f"{stage_root(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.run_available(stream, f"{path}/data", f"{path}/checkpoint")
+    dropped = jobs.run_available(stream, f"{path}/data", f"{path}/checkpoint")
+    if dropped:
+        raise ValueError(f"{dropped} rows came later than the watermark allows")
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 def stream_states(spark, d):
-    """Smoothing and states over the stream: equal to the batch query.
-
-    A row is settled once the watermark has reached its millisecond, so rows of the
-    stream's last millisecond are still pending when the input ends.
-    """
+    """Smoothing and states over the stream: equal to the batch query, row by row."""
     jobs.use_rocksdb(spark)
-    rows = observations(spark, d, _event_stream(spark, d))
+    rows = observations(spark, d, _closed_stream(spark, d))
     score = missing_aware(
         F.col("kinematic_error_m"), F.col("two_sided_count_residual"),
         F.col("peer_corroboration_score"), F.col("kinematic_applicable"),
     )
     rows = rows.withColumn("risk_score", F.when(F.col("message_present"), score["risk"]))
-    out = _run(spark, jobs.smooth_stream(rows, ["agent_id"]))
-    return out.select(
+    out = _run(spark, jobs.smooth_stream(rows, ["agent_id"], delay="0 seconds"))
+    return out.filter(F.col("agent_id") != str(END_KEY)).select(
         "agent_id", "decision_time_ns", r6("ewma").alias("ewma"), "available",
         "previous_state", "current_state",
     )
@@ -47,19 +61,35 @@ def stream_states(spark, d):
 
 SQL_STREAM_STATES = with_sql(SQL_STATES, """
 SELECT agent_id, decision_time_ns, round(ewma,6)+0.0 AS ewma, risk_score IS NOT NULL AS available, previous_state, current_state
-FROM states WHERE (decision_time_ns+999999)//1000000 <= (SELECT max(epoch_us(ts))//1000 FROM events)""", recursive=True)
+FROM states""", recursive=True)
 
 
 def stream_daily_counts(spark, d):
-    """Events per day and type in tumbling windows that the watermark has closed."""
-    rows = _event_stream(spark, d).withColumn("t", F.col("ts").cast("timestamp"))
+    """Events per day and type in tumbling windows, all closed by the stream's end."""
+    rows = _closed_stream(spark, d).withColumn("t", F.col("ts").cast("timestamp"))
     out = _run(spark, jobs.windowed_counts(rows, "t", ["event_type"], "1 day", "0 seconds"))
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "rows")
 
 
 SQL_STREAM_COUNTS = """SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS rows FROM events
-GROUP BY date_trunc('day', ts), event_type
-HAVING epoch_us(date_trunc('day', ts))+86400000000 <= (SELECT max(epoch_us(ts))//1000*1000 FROM events)"""
+GROUP BY date_trunc('day', ts), event_type"""
+
+SESSION_GAP_S = 6 * 3600
+
+
+def stream_sessions(spark, d):
+    """Activity sessions of each user: rows less than six hours apart belong together."""
+    rows = _closed_stream(spark, d).withColumn("t", F.col("ts").cast("timestamp"))
+    out = _run(spark, jobs.session_counts(rows, "t", ["user_id"], f"{SESSION_GAP_S} seconds", "0 seconds"))
+    return out.filter(F.col("user_id") != END_KEY).select(
+        "user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "rows"
+    )
+
+
+SQL_STREAM_SESSIONS = f"""WITH t AS (SELECT user_id, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w < {SESSION_GAP_S}000000 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(us) AS start_us, max(us) + {SESSION_GAP_S}000000 AS end_us, count(*) AS rows FROM n GROUP BY user_id, session"""
 
 
 def stream_admitted_bytes(spark, d):
@@ -82,5 +112,6 @@ SELECT policy, reason_code, count(*) AS packets, sum(CASE WHEN reason_code='admi
 QUERIES = {
     "stream_states": (stream_states, SQL_STREAM_STATES),
     "stream_daily_counts": (stream_daily_counts, SQL_STREAM_COUNTS),
+    "stream_sessions": (stream_sessions, SQL_STREAM_SESSIONS),
     "stream_admitted_bytes": (stream_admitted_bytes, SQL_STREAM_BYTES),
 }

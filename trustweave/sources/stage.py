@@ -9,15 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; a cluster must set it.
 
-    Only where none is configured (local runs, tests) a temporary folder is made.
+    Only a local session, whose executors are the driver's own process, gets a folder of
+    its own where none is set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    setting = "spark.checkpoint.dir"
+    root = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {setting} to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set(setting, root)
+    return root.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustweave.operators.messaging import admit
+from trustweave.operators.ordered import int_div
 from trustweave.operators.temporal import Smoothing
 from trustweave.streaming.processors import MatchProcessor, SmoothProcessor
 
@@ -23,19 +24,21 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def event_time(ns: Column) -> Column:
-    """Microsecond timestamp at or after a nanosecond time."""
-    return F.timestamp_micros(F.ceil(ns / 1000.0).cast("bigint"))
+    """First microsecond timestamp at or after a nanosecond time, in integers."""
+    micros = int_div(ns, 1000) + F.when(ns % 1000 > 0, 1).otherwise(0)
+    return F.timestamp_micros(micros)
 
 
 def smooth_stream(
     observations: DataFrame, keys: list[str], value: str = "risk_score",
-    config: Smoothing = Smoothing(), *, delay: str = "0 seconds", expire_after_ns: int | None = None,
+    config: Smoothing = Smoothing(), *, delay: str, expire_after_ns: int | None = None,
 ) -> DataFrame:
     """Smoothing and state labels per key over a stream.
 
     ``observations``: string keys, ``decision_time_ns``, the value, and optionally a
     boolean ``reset`` whose row clears its key. A key that has been silent longer
-    than ``expire_after_ns`` starts anew.
+    than ``expire_after_ns`` starts anew. ``delay`` is how far rows may be behind the
+    newest; rows behind it are dropped by the watermark and counted by ``run_available``.
     """
     reset = F.coalesce("reset", F.lit(False)) if "reset" in observations.columns else F.lit(False)
     rows = observations.select(
@@ -54,13 +57,15 @@ def smooth_stream(
 
 def match_stream(
     memberships: DataFrame, messages: DataFrame, keys: list[str], *, max_age_ns: int,
-    lookahead_ns: int = 0, wait_ns: int = 0, delay: str = "0 seconds",
+    lookahead_ns: int = 0, wait_ns: int = 0, delay: str,
 ) -> DataFrame:
     """As-of matching over two streams; late messages are classified, not dropped.
 
     A decision is settled ``wait_ns`` after its look-ahead has ended, with every
     message that has arrived by then. A longer wait recognises later arrivals as
-    ``late``; it never changes which message matches.
+    ``late``; it never changes which message matches. A decision that no message has
+    reached by its settling is ``missing_message``, where a batch over the whole history
+    may say ``unmatched``. Rows behind ``delay`` are counted by ``run_available``.
     """
     none = F.lit(None)
     left = memberships.select(
@@ -109,6 +114,14 @@ def distinct_messages(messages: DataFrame, keys: list[str], delay: str) -> DataF
     )
 
 
+def message_copies(messages: DataFrame, keys: list[str], width: str, delay: str) -> DataFrame:
+    """Side count to :func:`distinct_messages`: copies per source message and window of arrival."""
+    timed = messages.withColumn("event_time", event_time(F.col("arrival_time_ns")))
+    return timed.withWatermark("event_time", delay).groupBy(
+        F.window("event_time", width), *keys, "source_time_ns"
+    ).agg((F.count("*") - 1).alias("duplicates")).select("window.start", *keys, "source_time_ns", "duplicates")
+
+
 def windowed_counts(rows: DataFrame, time: str, by: list[str], width: str, delay: str,
                     slide: str | None = None) -> DataFrame:
     """Rows per (sliding) time window and group."""
@@ -124,10 +137,17 @@ def session_counts(rows: DataFrame, time: str, by: list[str], gap: str, delay: s
     ).select("session_window.start", "session_window.end", *by, "rows")
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all data that is available now, into Parquet, and stop."""
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Run a stream over all data that is available now, into Parquet, and stop.
+
+    Returns the number of rows that stateful steps dropped as later than the watermark.
+    """
     query = (
         df.writeStream.format("parquet").outputMode(mode).option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return sum(
+        step["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress for step in progress["stateOperators"]
+    )

@@ -1,7 +1,14 @@
-"""Stateful processors: rows wait in state until the watermark has passed them."""
+"""Stateful processors: rows wait in state until the watermark has passed them.
+
+A micro-batch sets one timer per key, at its last due time. Until the watermark has passed
+that time the rows wait, and then all that are due are handled in time order, so the work
+is linear in rows and batch borders can't change a result.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -30,15 +37,14 @@ class SmoothProcessor(StatefulProcessor):
         self.memory = handle.getValueState("memory", "value double, label string, time bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        due = set()
+        due = 0
         for batch in rows:
             self.waiting.appendList([
                 (int(t), _opt(v), bool(r))
                 for t, v, r in zip(batch["decision_time_ns"], batch["value"], batch["reset"])
             ])
-            due.update(_ms(t) for t in batch["decision_time_ns"])
-        for at in due:
-            self.handle.registerTimer(at)
+            due = max(due, _ms(batch["decision_time_ns"].max()))
+        self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -96,7 +102,7 @@ class MatchProcessor(StatefulProcessor):
             "messages", "source bigint, arrival bigint, empty boolean, pose boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        due = set()
+        due = 0
         for batch in rows:
             asked = batch[batch["is_decision"]]
             sent = batch[~batch["is_decision"].astype(bool)]
@@ -106,14 +112,14 @@ class MatchProcessor(StatefulProcessor):
                         asked["sync_frame_id"], asked["time_ns"], asked["member"],
                         asked["message_expected"])
                 ])
-                due.update(_ms(int(t) + self.lookahead + self.wait) for t in asked["time_ns"])
+                due = max(due, _ms(int(asked["time_ns"].max()) + self.lookahead + self.wait))
             if len(sent):
                 self.messages.appendList([
                     (int(s), int(a), bool(e), bool(p)) for s, a, e, p in zip(
                         sent["time_ns"], sent["arrival_ns"], sent["empty_scene"], sent["pose_valid"])
                 ])
-        for at in due:
-            self.handle.registerTimer(at)
+        if due:
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -125,7 +131,7 @@ class MatchProcessor(StatefulProcessor):
             return
         rest = [d for d in held if _ms(d[1] + settle) > limit]
         messages = [tuple(m) for m in self.messages.get()]
-        out = [(*key, *self._settle(d, messages)) for d in ready]
+        out = [(*key, *answer) for answer in self._settle(ready, messages)]
         if rest:
             self.decisions.put(rest)
         else:
@@ -148,29 +154,49 @@ class MatchProcessor(StatefulProcessor):
             frame[c] = pd.array(frame[c], dtype="Int64")
         yield frame
 
-    def _settle(self, decision, messages):
-        frame, time, member, expected = decision
-        limit = time + self.lookahead
-        seen = [m for m in messages if m[1] <= limit + self.wait]
-        row = lambda reason, present, source=None: (
-            frame, time, source, None if source is None else time - source, present, reason)
+    def _settle(self, decisions, messages):
+        """Answers of decisions in time order, by one sweep over the arrivals.
+
+        ``usable`` holds the sources that arrived within the look-ahead, ``seen`` those that
+        arrived until the settling, both sorted; equal sources keep their order of receipt.
+        """
+        arrivals = sorted((m[1], n) for n, m in enumerate(messages))
+        usable, seen = [], []
+        near = far = 0
+        for frame, time, member, expected in decisions:
+            limit = time + self.lookahead
+            while far < len(arrivals) and arrivals[far][0] <= limit + self.wait:
+                n = arrivals[far][1]
+                insort(seen, (messages[n][0], n))
+                far += 1
+            while near < len(arrivals) and arrivals[near][0] <= limit:
+                n = arrivals[near][1]
+                insort(usable, (messages[n][0], n))
+                near += 1
+            reason, best = self._answer(time, limit, member, expected, usable, seen, messages)
+            present = reason not in ("not_member", "missing_message")
+            yield frame, time, best, None if best is None else time - best, present, reason
+
+    def _answer(self, time, limit, member, expected, usable, seen, messages):
         if not member:
-            return row("not_member", False)
+            return "not_member", None
         if not expected or not seen:
-            return row("missing_message", False)
-        usable = [m for m in seen if m[0] <= limit and m[1] <= limit]
-        if usable:
-            best = min(usable, key=lambda m: (abs(time - m[0]), m[0] > time))
-            age = time - best[0]
+            return "missing_message", None
+        after = bisect_right(usable, (time, len(messages)))
+        sources = [usable[k][0] for k in (after - 1, after) if 0 <= k < len(usable) and usable[k][0] <= limit]
+        if sources:
+            source = min(sources, key=lambda s: (abs(time - s), s > time))
+            best = messages[usable[bisect_left(usable, (source, -1))][1]]
+            age = time - source
             if abs(age) > self.max_age:
-                return row("stale" if age > 0 else "out_of_range", True)
-            reason = "empty_scene" if best[2] else "matched" if best[3] else "invalid_pose"
-            return row(reason, True, best[0])
-        if any(m[0] <= limit and abs(time - m[0]) <= self.max_age for m in seen):
-            return row("late", True)
-        if all(m[0] > limit for m in seen):
-            return row("unmatched", True)
-        return row("stale" if any(m[0] < time for m in seen) else "out_of_range", True)
+                return ("stale" if age > 0 else "out_of_range"), None
+            return ("empty_scene" if best[2] else "matched" if best[3] else "invalid_pose"), source
+        close = bisect_left(seen, (time - self.max_age, -1))
+        if close < len(seen) and seen[close][0] <= min(limit, time + self.max_age):
+            return "late", None
+        if seen[0][0] > limit:
+            return "unmatched", None
+        return ("stale" if seen[0][0] < time else "out_of_range"), None
 
     def close(self):
         pass
