@@ -7,10 +7,20 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text given to a function at once; a longer single text comes alone.
 SLICE_BYTES = 1 << 22
+#: Bytes of one Arrow batch on its way to a Python worker, in place of Spark's larger default.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: texts are long, and each task holds a batch on both
+    sides. A smaller value that the user has set stays."""
+    now = spark.conf.get(BATCH_SETTING, None)
+    if not (now or "").isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def name(column: str) -> Column:
@@ -39,6 +49,7 @@ def with_text_columns(
     the text goes back from Python only if it is among them. ``before`` adds columns that
     Spark computes itself. A carried column named like a new one is replaced.
     """
+    small_batches(docs.sparkSession)
     fields = T.StructType.fromDDL(ddl).fields
     before = before or {}
     new = {f.name.lower() for f in fields} | {b.lower() for b in before}

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trustweave.llm.batches import name, with_text_columns
+from trustweave.llm.batches import name, small_batches, with_text_columns
 from trustweave.llm.text import byte_class, chunks, constants, mix
 
 UNDETERMINED = "und"
@@ -122,6 +122,7 @@ def fit(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", bucket_bits: int = 15,
 ) -> Model | None:
     """Learn from every row with a text and a language; None if there is none."""
+    small_batches(docs.sparkSession)
     rows = docs.select(name(text).cast("string").alias("text"), name(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

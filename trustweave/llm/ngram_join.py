@@ -182,7 +182,7 @@ def _verify(threshold: float):
 
         now, members, out = None, [], []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for k in range(0, batch.num_rows, 256) for r in batch.slice(k, 256).to_pylist()):
                 block = (r["band"], r["key"], r["low"], r["high"])
                 if block != now:
                     if now:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trustweave.llm.batches import name, with_text_columns
+from trustweave.llm.batches import name, small_batches, with_text_columns
 from trustweave.llm.text import SPACE, Texts, Words, byte_class, chunks, constants, mix, windows, words
 
 #: Fixed by the rules: signs that count as symbols.
@@ -108,6 +108,7 @@ def buckets(t: Texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def fit_ratio(docs: DataFrame, trusted: Column, *, text: str = "text", bucket_bits: int = 16, prior: float = 5.0) -> np.ndarray:
     """Log ratio of each bucket: its count in trusted documents against that expected from
     all documents, both raised by ``prior``, so that rare n-grams say little."""
+    small_batches(docs.sparkSession)
     rows = docs.select(name(text).cast("string").alias("text"), F.coalesce(trusted.cast("boolean"), F.lit(False)).alias("trusted")).where("text IS NOT NULL")
     size = 1 << bucket_bits
 

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, types as T
 from trustweave.llm.batches import name, with_text_columns
 from trustweave.llm.units import BYTE, CONTROL, MARK, UNKNOWN, check_units, load_model, split_units
 
-#: Entries of a worker's cache (about 120 MB); beyond, it starts anew.
-CACHE_SIZE = 1 << 19
+#: Entries of a worker's cache (about 60 MB); beyond, it starts anew.
+CACHE_SIZE = 1 << 18
 CACHED_CHARS = 64
 UNK_PENALTY = 10.0
 

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from trustweave.llm.batches import name, with_text_columns
 from trustweave.llm.units import check_units, load_model, split_units
 
-#: Entries of a worker's cache (about 90 MB); beyond, it starts anew from the table.
-CACHE_SIZE = 1 << 19
+#: Entries of a worker's cache (about 45 MB); beyond, it starts anew from the table.
+CACHE_SIZE = 1 << 18
 #: Longer pre-tokens are encoded each time, so that the caches stay small.
 CACHED_CHARS = 64
 
