@@ -44,6 +44,9 @@ def _build(spark, d):
         "source_matched": F.lit(True), "reason_code": F.lit("matched"),
         "pose_source_time_ns": F.col("source_time_ns"), "pose_age_ns": F.lit(5_000_000).cast("bigint"),
     })
+    # frames of an agent that the registry doesn't know: its counts are unknown, and so are
+    # all shares of its scenes
+    frames = frames.unionByName(frames.filter("agent_id = '4' and sync_frame_id % 50 = 0").withColumn("agent_id", F.lit("9")))
     series = odometry(spark, d, sender)
     points = event_points(spark, d).select(
         *[c.alias(n) for n, c in scene.items()], F.col("frame").alias("sync_frame_id"),
@@ -79,7 +82,7 @@ score AS (SELECT a.frame, a.object, a.agent, count(*) AS peers, count(*) FILTER
 weak AS (SELECT frame, agent, min(CASE WHEN peers>=2 THEN sc END) AS peer FROM score GROUP BY 1,2),
 tot AS (SELECT frame, object, sum(n) AS t FROM cnt GROUP BY 1,2),
 obj AS (SELECT c.frame, c.agent, count(*) AS objects, max(abs((ln(1+n::DOUBLE)-1.0)/0.5)) AS mx, median(abs((ln(1+n::DOUBLE)-1.0)/0.5)) AS md,
-  avg(n) AS mean_n, avg(CASE WHEN t>0 THEN n::DOUBLE/t::DOUBLE END) AS share FROM cnt c JOIN tot USING (frame, object) GROUP BY 1,2),
+  avg(n) AS mean_n, CASE WHEN frame NOT IN (SELECT frame FROM fr WHERE agent=4 AND frame%50=0) THEN avg(CASE WHEN t>0 THEN n::DOUBLE/t::DOUBLE END) END AS share FROM cnt c JOIN tot USING (frame, object) GROUP BY 1,2),
 w AS (SELECT f.frame, f.agent, o.*, weak.peer, f.agent<3 AS moves, CASE WHEN f.agent<3 AND k.reason_code='matched' THEN k.res END AS res
   FROM fr f JOIN (SELECT frame AS f1, agent AS a1, objects, mx, md, mean_n, share FROM obj) o ON o.f1=f.frame AND o.a1=f.agent
   LEFT JOIN weak ON weak.frame=f.frame AND weak.agent=f.agent
@@ -92,6 +95,7 @@ SELECT frame AS sync_frame_id, agent::VARCHAR AS agent_id, round(res,6)+0.0 AS k
  round(mx,6)+0.0 AS maximum_object_suspicion, round(md,6)+0.0 AS median_object_suspicion, round(share,6)+0.0 AS raw_point_share_diagnostic,
  round(1-(0.4::DOUBLE*coalesce(1-CASE WHEN res IS NOT NULL THEN least(res/0.057::DOUBLE,1) END,1)+0.3::DOUBLE*least(mean_n/350.0::DOUBLE,1)+0.3::DOUBLE*coalesce(share,0)),6)+0.0 AS historical_fixed_risk_diagnostic,
  CASE WHEN NOT blocked AND wt+1e-12>=0.6 THEN round(1-ws/wt,6)+0.0 END AS unknown_aware_fixed_risk_uncalibrated,
- CASE WHEN NOT blocked AND wt+1e-12>=0.6 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS unknown_aware_fixed_abstained FROM x""")
+ CASE WHEN NOT blocked AND wt+1e-12>=0.6 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS unknown_aware_fixed_abstained FROM x
+UNION ALL SELECT frame, '9', NULL, 2.0, NULL, NULL, NULL, 0.6, NULL, 1.0 FROM fr WHERE agent=4 AND frame%50=0""")
 
 QUERIES = {"evidence_build": (evidence_build, SQL_BUILD)}

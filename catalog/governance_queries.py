@@ -334,12 +334,14 @@ SQL_LABEL_INDEX = """SELECT p_partkey, CASE WHEN p_partkey%30<>0 AND p_partkey>=
 
 
 def label_parse(spark, d):
-    """A label text per part: two boxes, a blank line, and sometimes a broken line."""
+    """A label text per part: two boxes, a blank line (of a tab or nothing), sometimes a
+    broken line; lines may be led by spaces or a tab."""
     k = F.col("p_partkey")
     s = lambda c: c.cast("string")
     first = F.concat_ws(" ", s(_mod(k, 3) + 1), s(F.col("p_size")), s(_mod(k, 10)), s(_mod(k, 8)), s(_mod(k, 9) + 1), F.lit("2.5"), F.lit("1e0"), s(_mod(k, 314) / 100.0))
-    second = F.when(_mod(k, 20) == 0, F.lit("1 2 3")).when(_mod(k, 21) == 0, F.lit("1 a 3 4 5 6 7 8")).otherwise(F.concat(F.lit("  "), first, F.lit(" ")))
-    texts = table(spark, d, "part").select("p_partkey", F.concat(first, F.lit("\n\n"), second, F.lit("\n")).alias("content"))
+    second = F.when(_mod(k, 20) == 0, F.lit("1 2 3")).when(_mod(k, 21) == 0, F.lit("1 a 3 4 5 6 7 8")).when(_mod(k, 3) == 0, F.concat(F.lit("\t"), first, F.lit(" \t"))).otherwise(F.concat(F.lit("  "), first, F.lit(" ")))
+    blank = F.when(_mod(k, 2) == 0, "\n\t\n").otherwise("\n\n")
+    texts = table(spark, d, "part").select("p_partkey", F.concat(first, blank, second, F.lit("\n")).alias("content"))
     return parse_labels(texts).select(
         "p_partkey", F.col("local_index").cast("bigint").alias("local_index"), "class_id",
         *[r6(c).alias(c) for c in ("center_x_m", "center_y_m", "center_z_m", "size_x_m", "size_y_m", "size_z_m", "yaw_rad")], "problem",
@@ -370,15 +372,16 @@ def _cloud_texts(spark, d):
 def cloud_points(spark, d):
     out = parse_ascii_clouds(_cloud_texts(spark, d), ["x", "y", "z", "intensity"])
     return out.select(
-        "event_id", "declared_points", "parsed_points", F.col("point_index").cast("bigint").alias("point_index"),
+        "event_id", "declared_points", "parsed_points", "problem", F.col("point_index").cast("bigint").alias("point_index"),
         *[r6(c).alias(c) for c in ("x", "y", "z", "intensity")],
     )
 
 
-SQL_CLOUD_POINTS = """SELECT event_id, 2::BIGINT AS declared_points, 2::BIGINT AS parsed_points, i::BIGINT AS point_index, round(value/10.0::DOUBLE,6)+0.0 AS x,
+SQL_CLOUD_POINTS = """SELECT event_id, 2::BIGINT AS declared_points, 2::BIGINT AS parsed_points, NULL::VARCHAR AS problem, i::BIGINT AS point_index, round(value/10.0::DOUBLE,6)+0.0 AS x,
  round((event_id%100)/10.0::DOUBLE-5,6)+0.0 AS y, (event_id%8-4)::DOUBLE+0.0 AS z,
  CASE WHEN event_id%50<>0 THEN (event_id%4000+i)::DOUBLE END AS intensity
-FROM events, (SELECT unnest([0,1]) AS i) WHERE event_id%60<>0"""
+FROM events, (SELECT unnest([0,1]) AS i) WHERE event_id%60<>0
+UNION ALL SELECT event_id, 2, 0, 'unsupported_encoding', NULL, NULL, NULL, NULL, NULL FROM events WHERE event_id%60=0"""
 
 
 def cloud_audit(spark, d):

@@ -10,6 +10,7 @@ from catalog.views import (
     SLOT_NS, SQL_EVENT_BOXES, SQL_EVENT_POINTS, SQL_ODOMETRY, _mod, event_boxes, event_points, odometry,
     r6, sql_inside, table, ts_ns, with_sql,
 )
+from trustweave import schemas as S
 from trustweave.operators import overlays as O
 from trustweave.operators.joins import delta_problems, merge_delta
 from trustweave.operators.metrics import coverage
@@ -152,6 +153,9 @@ SELECT variant_id, evidence_name, count(*) AS keys FROM re, (SELECT unnest(['kin
  'kinematic_yaw_change_rad','kinematic_residual_m','unknown_aware_fixed_risk_uncalibrated']) AS evidence_name) GROUP BY 1,2""")
 
 
+SERIES_NAMES = (*S.KINEMATIC_EVIDENCE, "unknown_aware_fixed_risk_uncalibrated")
+
+
 def _evidence(spark, d):
     e = long_evidence(spark, d)
     return e.select(
@@ -160,22 +164,60 @@ def _evidence(spark, d):
     )
 
 
+def _series_base(spark, d):
+    """Base evidence of each event: the six names a series overlay replaces (some rows are
+    lacking) and the two that the risk reads besides."""
+    e = F.col("event_id")
+    value = lambda i: F.when(_mod(e, 6) != 0, _mod(e * (i + 3), 50) / 10.0)
+    rows = [F.struct(F.lit(n).alias("evidence_name"), value(i).alias("value"), (_mod(e + i, 9) != 0).alias("there")) for i, n in enumerate(SERIES_NAMES)]
+    rows += [
+        F.struct(F.lit(n).alias("evidence_name"), v.alias("value"), F.lit(True).alias("there"))
+        for n, v in (("maximum_object_suspicion", _mod(e, 30) / 10.0), ("peer_corroboration_score", _mod(e, 4) / 4.0))
+    ]
+    return table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("agent_id"), e.alias("sync_frame_id"),
+        F.lit(None).cast("string").alias("object_key"), F.inline(F.array(*rows)),
+    ).filter("there").drop("there").withColumns({
+        "available": F.col("value").isNotNull(),
+        "reason_code": F.when(F.col("value").isNotNull(), "matched").otherwise("out_of_range"),
+    })
+
+
+def _delta(spark, d):
+    return O.series_delta(_series_base(spark, d), _recomputed(spark, d), _frames(spark, d), KEY)
+
+
 def series_delta(spark, d):
-    """Evidence delta: the residual rows that a velocity overlay replaces."""
-    evidence = _evidence(spark, d)
-    delta = O.series_delta(evidence, _recomputed(spark, d), _frames(spark, d), KEY)
+    """Evidence delta: the rows of six names that a velocity overlay replaces."""
+    delta, _ = _delta(spark, d)
     return delta.select(
         "overlay_id", "sync_frame_id", "evidence_name", r6("value").alias("value"),
         "available", "reason_code", "changed",
     )
 
 
-SQL_DELTA = with_sql(SQL_INCREMENTAL_CTE, """
-SELECT variant_id AS overlay_id, event_id AS sync_frame_id, 'kinematic_residual_m' AS evidence_name,
- CASE WHEN reason_code='matched' THEN round(res1,6)+0.0 END AS value, reason_code='matched' AS available,
- CASE WHEN reason_code='matched' THEN 'matched' ELSE 'incomplete_evidence' END AS reason_code,
- (CASE WHEN reason_code='matched' THEN res1 END) IS DISTINCT FROM (CASE WHEN event_id%5<>0 THEN (event_id%114)/4000.0::DOUBLE END) AS changed
-FROM re""")
+def series_delta_problems(spark, d):
+    """Keys that an overlay reaches but the base has no row for."""
+    _, missing = _delta(spark, d)
+    return missing.select("overlay_id", "agent_id", "sync_frame_id", "evidence_name", "problem")
+
+
+SQL_DELTA_CTE = SQL_INCREMENTAL_CTE + """,
+long AS (SELECT variant_id, agent_id, event_id, reason_code='matched' AS ok, u.i AS i, u.n AS n, u.v AS v FROM (SELECT *, unnest([
+  {'i': 0, 'n': 'kinematic_dt_s', 'v': dt}, {'i': 1, 'n': 'kinematic_speed_mps', 'v': speed1},
+  {'i': 2, 'n': 'kinematic_acceleration_mps2', 'v': sqrt((wx-wx0)**2+(wy-wy0)**2)/dt}, {'i': 3, 'n': 'kinematic_yaw_change_rad', 'v': dyaw},
+  {'i': 4, 'n': 'kinematic_residual_m', 'v': res1},
+  {'i': 5, 'n': 'unknown_aware_fixed_risk_uncalibrated', 'v': 1-(0.4::DOUBLE*(1-least(res1/0.057::DOUBLE,1))
+    +0.3::DOUBLE*(1-least((event_id%30)/10.0::DOUBLE/3.0::DOUBLE,1))+0.3::DOUBLE*((event_id%4)/4.0::DOUBLE))}]) AS u FROM re))"""
+
+SQL_DELTA = with_sql(SQL_DELTA_CTE, """
+SELECT variant_id AS overlay_id, event_id AS sync_frame_id, n AS evidence_name, CASE WHEN ok THEN round(v,6)+0.0 END AS value, ok AS available,
+ CASE WHEN ok THEN 'matched' ELSE 'incomplete_evidence' END AS reason_code,
+ (CASE WHEN ok THEN v END) IS DISTINCT FROM (CASE WHEN event_id%6<>0 THEN ((event_id*(i+3))%50)/10.0::DOUBLE END) AS changed
+FROM long WHERE (event_id+i)%9<>0""")
+
+SQL_DELTA_PROBLEMS = with_sql(SQL_DELTA_CTE, """
+SELECT variant_id AS overlay_id, agent_id, event_id AS sync_frame_id, n AS evidence_name, 'no_base_row' AS problem FROM long WHERE (event_id+i)%9=0""")
 
 
 def _attempts(spark, d):
@@ -411,6 +453,7 @@ QUERIES = {
     "incremental_series": (incremental_series, SQL_INCREMENTAL),
     "series_dependencies": (series_dependencies, SQL_DEPENDENCIES),
     "series_delta": (series_delta, SQL_DELTA),
+    "series_delta_problems": (series_delta_problems, SQL_DELTA_PROBLEMS),
     "attempts": (attempts_query, SQL_ATTEMPTS),
     "attempt_coverage": (attempt_coverage, SQL_ATTEMPT_COVERAGE),
     "unresolved_targets": (unresolved_targets, SQL_UNRESOLVED),

@@ -152,31 +152,38 @@ def series_dependencies(recomputed: DataFrame, frames: DataFrame, keys: list[str
     )
 
 
-def replacement_rows(evidence: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Base evidence rows with new values: null means ``incomplete_evidence``.
+def replacement_rows(
+    evidence: DataFrame, values: DataFrame, keys: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Base evidence rows with new values, and the keys that the base lacks.
 
     ``values`` has the keys (null-safe), ``variant_id`` as ``overlay_id`` and
-    ``new_value``. Keys the base does not have yield no row.
+    ``new_value``; a null value means ``incomplete_evidence``.
     """
-    e, v = evidence.alias("e"), values.alias("v")
-    joined = v.join(e, null_safe("v", "e", keys))
+    e, v = evidence.withColumn("__found", F.lit(True)).alias("e"), values.alias("v")
+    joined = v.join(e, null_safe("v", "e", keys), "left")
     new = F.col("v.new_value").cast("double")
     replaced = {
         "value": new,
         "available": new.isNotNull(),
         "reason_code": F.when(new.isNotNull(), "matched").otherwise("incomplete_evidence"),
     }
-    return joined.select(
+    rows = joined.filter("e.__found").select(
         F.col("v.overlay_id"),
         *[replaced[c].alias(c) if c in replaced else F.col(f"e.{c}") for c in evidence.columns],
         (~new.eqNullSafe(F.col("e.value"))).alias("changed"),
     )
+    missing = joined.filter("e.__found IS NULL").select(
+        "v.overlay_id", *[F.col(f"v.{k}") for k in keys], F.lit("no_base_row").alias("problem")
+    )
+    return rows, missing
 
 
 def series_delta(
     evidence: DataFrame, recomputed: DataFrame, frames: DataFrame, keys: list[str]
-) -> DataFrame:
-    """Evidence delta of a series overlay: motion values and the risk that uses them."""
+) -> tuple[DataFrame, DataFrame]:
+    """Evidence delta of a series overlay (motion values and the risk that uses them), and
+    the dependent keys for which the base has no row."""
     at = frames.select(*keys, "sync_frame_id", F.col("source_time_ns").alias("time_ns"))
     hit = recomputed.join(at, [*keys, "time_ns"])
     entity = [*keys, "sync_frame_id"]

@@ -30,6 +30,7 @@ class EvidenceTables:
     frames: DataFrame
     objects: DataFrame
     evidence: DataFrame
+    problems: DataFrame
 
 
 def frames_by_id(
@@ -77,24 +78,29 @@ def build_evidence(
     slot_ns: int = DAY_NS,
     **spatial_options,
 ) -> EvidenceTables:
-    """The three evidence tables.
+    """The three evidence tables, and problem rows of frames.
 
     ``frames``: SENDER, decision and source time, match columns and identity.
     ``odometry``: series per ``agent_id``. ``points``: SENDER, x, y, z, optionally
     ``intensity``. ``labels``: SCENE, ``local_index``, ``class_id`` and a box in the
-    common frame. All agents and scenes are handled at once.
+    common frame. All agents and scenes are handled at once. A frame whose agent the
+    registry doesn't know stays, with an unresolved transform and a problem row.
     """
     matrix, quality = G.resolve_extrinsics(F.col("extrinsics"))
     known = registry.select(
         "agent_id", "agent_type", (F.col("odometry") != "not_applicable").alias("__moves"),
         matrix.alias("__matrix"), quality.alias("transform_quality"), "nominal_coverage",
     )
-    base = frames.drop("agent_type").join(known, "agent_id")
+    base = frames.drop("agent_type").join(known.withColumn("__known", F.lit(True)), "agent_id", "left").withColumns({
+        "__moves": F.coalesce("__moves", F.lit(True)),
+        "transform_quality": F.coalesce("transform_quality", F.lit("unresolved_transform")),
+    })
     kinematics = interval_kinematics(odometry, ["agent_id"], max_gap_s=max_gap_s, slot_ns=slot_ns)
     base = stage(attach_kinematics(base, kinematics))
 
-    transforms = base.select(*SENDER, "__matrix").filter(F.col("__matrix").isNotNull())
-    moved = transform_points(points.join(transforms, SENDER), "__matrix").drop("__matrix")
+    # an agent's matrix is the same in all scenes, so points meet only the small registry
+    transforms = known.select("agent_id", "__matrix").filter(F.col("__matrix").isNotNull())
+    moved = transform_points(points.join(transforms, "agent_id"), "__matrix").drop("__matrix")
     boxes = replicate_labels(
         labels, base.select(*SENDER, "source_matched", "__matrix", "transform_quality", "nominal_coverage")
     )
@@ -160,7 +166,10 @@ def build_evidence(
         F.lit("frame_local_index").alias("object_key_kind"), F.lit("oracle_gt").alias("source_kind"),
         F.lit(True).alias("oracle_gt"), "class_id", *BOX_COLUMNS,
     )
-    return EvidenceTables(base.drop("__moves", "__matrix"), objects, frame_rows.unionByName(object_rows))
+    problems = base.filter(F.col("__known").isNull()).select(*SENDER, F.lit("unknown_agent").alias("problem"))
+    return EvidenceTables(
+        base.drop("__moves", "__matrix", "__known"), objects, frame_rows.unionByName(object_rows), problems
+    )
 
 
 def _identity(frames: DataFrame) -> list[str]:

@@ -79,16 +79,21 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     ).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def _strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_labels(texts: DataFrame, content: str = "content") -> DataFrame:
     """One row per non-blank line with class and box; ``local_index`` counts them.
 
     Lines without exactly eight numeric fields keep a problem instead of values.
     """
-    lines = F.filter(F.split(F.col(content), r"\r?\n"), lambda s: F.trim(s) != "")
+    lines = F.filter(F.split(F.col(content), r"\r?\n"), lambda s: s.rlike(r"\S"))
     rows = texts.select(
         *[c for c in texts.columns if c != content], F.posexplode(lines).alias("local_index", "__line")
     )
-    rows = rows.withColumn("__f", F.split(F.trim("__line"), r"\s+"))
+    rows = rows.withColumn("__f", F.split(_strip(F.col("__line")), r"\s+"))
     number = lambda i: F.expr(f"try_cast(get(__f, {i}) AS DOUBLE)")
     values = {
         "class_id": F.expr("try_cast(get(__f, 0) AS INT)"),
@@ -141,28 +146,33 @@ def _header(content: Column, key: str) -> Column:
 def parse_ascii_clouds(texts: DataFrame, fields: list[str], content: str = "content") -> DataFrame:
     """One row per point of ASCII point-cloud files, with all requested fields.
 
-    Carries ``declared_points`` and ``parsed_points`` so that they can be audited.
+    A file without points, or one that can't be read here, gives one row without a point.
+    Each row carries ``declared_points``, ``parsed_points`` and the file's ``problem``.
     """
     kept = [c for c in texts.columns if c != content]
     rows = texts.select(
         *kept,
-        F.split(F.trim(_header(F.col(content), "FIELDS")), r"\s+").alias("__names"),
-        _header(F.col(content), "POINTS").cast("bigint").alias("declared_points"),
+        F.split(_strip(_header(F.col(content), "FIELDS")), r"\s+").alias("__names"),
+        _header(F.col(content), "POINTS").try_cast("bigint").alias("declared_points"),
+        _strip(_header(F.col(content), "DATA")).alias("__encoding"),
         F.filter(
             F.split(F.regexp_extract(F.col(content), r"(?s)\nDATA ascii\s*?\n(.*)$", 1), r"\r?\n"),
-            lambda s: F.trim(s) != "",
+            lambda s: s.rlike(r"\S"),
         ).alias("__lines"),
     )
     rows = rows.withColumn("parsed_points", F.size("__lines").cast("bigint"))
+    problem = F.when(~F.col("__encoding").eqNullSafe("ascii"), "unsupported_encoding").when(
+        ~F.col("declared_points").eqNullSafe(F.col("parsed_points")), "point_count"
+    )
     rows = rows.select(
-        *kept, "declared_points", "parsed_points", "__names",
-        F.posexplode("__lines").alias("point_index", "__line"),
-    ).withColumn("__v", F.split(F.trim("__line"), r"\s+"))
+        *kept, "declared_points", "parsed_points", problem.alias("problem"), "__names",
+        F.posexplode_outer("__lines").alias("point_index", "__line"),
+    ).withColumn("__v", F.split(_strip(F.col("__line")), r"\s+"))
     values = [
         F.get(F.col("__v"), F.array_position("__names", F.lit(f)).cast("int") - 1).cast("double").alias(f)
         for f in fields
     ]
-    return rows.select(*kept, "declared_points", "parsed_points", "point_index", *values)
+    return rows.select(*kept, "declared_points", "parsed_points", "problem", "point_index", *values)
 
 
 def cloud_metadata(texts: DataFrame, content: str = "content") -> DataFrame:
