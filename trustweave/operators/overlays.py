@@ -16,7 +16,7 @@ from trustweave.functions.scoring import missing_aware
 from trustweave.operators.joins import null_safe
 from trustweave.operators.kinematics import SAMPLE, measure_intervals
 from trustweave.operators.metrics import effect_band, effect_status
-from trustweave.operators.ordered import DAY_NS, int_div, previous_row, rank_in_key, time_slot
+from trustweave.operators.ordered import DAY_NS, Running, int_div, previous_row, running, time_slot
 from trustweave.operators.peers import leave_one_out
 from trustweave.operators.quantiles import exact_median
 from trustweave.operators.spatial import BOX_COLUMNS, pairs_in_boxes
@@ -228,21 +228,22 @@ def removal_choice(
     prefix, so a box with very many points is spread over its prefixes.
     """
     boxes = specs.select(VARIANT, *keys, *BOX_COLUMNS, "removal_fraction", "seed")
-    inside = pairs_in_boxes(points, boxes, keys, [VARIANT], **options).select(
-        VARIANT, *keys, *point_id
-    )
-    per_spec = inside.groupBy(VARIANT).agg(F.count("*").alias("inside"))
-    sizes = boxes.join(per_spec, VARIANT, "left").select(
-        VARIANT, "seed",
-        F.floor(F.col("removal_fraction") * F.coalesce("inside", F.lit(0))).alias("requested"),
-    )
-    drawn = inside.join(sizes, VARIANT).withColumn(
+    spec = [VARIANT, "removal_fraction", "seed"]
+    inside = pairs_in_boxes(points, boxes, keys, spec, **options).select(*spec, *keys, *point_id)
+    drawn = inside.withColumn(
         "digest", F.md5(F.concat_ws("|", F.col("seed").cast("string"),
                                     *[F.col(c).cast("string") for c in point_id]))
     )
     prefix = F.conv(F.substring("digest", 1, 3), 16, 10).cast("bigint")
-    ranked = rank_in_key(drawn, [VARIANT], ["digest", *point_id], prefix)
-    return ranked.filter(F.col("rank") <= F.col("requested")).select(VARIANT, *keys, *point_id)
+    # ranks from both ends: together they give the number inside, without a count beside
+    one = F.lit(1).cast("bigint")
+    ranked = running(drawn, [VARIANT], ["digest", *point_id], prefix, [
+        Running("rank", one, "sum"), Running("rest", one, "sum", reverse=True, include_current=False),
+    ])
+    inside_count = F.col("rank") + F.coalesce("rest", F.lit(0))
+    return ranked.filter(
+        F.col("rank") <= F.floor(F.col("removal_fraction") * inside_count)
+    ).select(VARIANT, *keys, *point_id)
 
 
 def remove_points(points: DataFrame, removed: DataFrame, point_id: list[str]) -> DataFrame:
@@ -353,19 +354,26 @@ def spatial_dependencies(
         "maximum_object_suspicion", "median_object_suspicion",
         "unknown_aware_fixed_risk_uncalibrated",
     ]
-    names = lambda ns: F.explode(F.array(*[F.lit(n) for n in ns])).alias("evidence_name")
+    names = lambda ns: F.array(*[F.lit(n) for n in ns])
     rest = [k for k in object_keys if k not in frame_keys]
-    own = changes.select(VARIANT, *object_keys, agent, names(own_names))
-    everyone = agents.select(*frame_keys, agent).distinct()
-    peers = changes.select(VARIANT, *object_keys).distinct().join(everyone, frame_keys).select(
-        VARIANT, *object_keys, agent, names(S.PEER_EVIDENCE)
-    )
-    whole = changes.select(VARIANT, *frame_keys).distinct().join(everyone, frame_keys).select(
-        VARIANT, *frame_keys,
-        *[F.lit(None).cast(changes.schema[k].dataType).alias(k) for k in rest],
-        agent, names(frame_names),
-    )
-    return own.unionByName(peers).unionByName(whole)
+    scope = F.col("__scope")
+    # each change once per scope, without what the scope leaves open
+    scoped = changes.select(
+        VARIANT, *object_keys, agent, F.explode(names(["own", "object", "frame"])).alias("__scope")
+    ).withColumns({
+        **{k: F.when(scope != "frame", F.col(k)) for k in rest},
+        agent: F.when(scope == "own", F.col(agent)),
+    }).distinct()
+    # the agents of one frame: as many as the registry has at most
+    everyone = agents.groupBy(*frame_keys).agg(F.collect_set(agent).alias("__all"))
+    who = F.when(scope == "own", F.array(agent)).otherwise(F.col("__all"))
+    what = (
+        F.when(scope == "own", names(own_names)).when(scope == "object", names(S.PEER_EVIDENCE))
+        .otherwise(names(frame_names))
+    )
+    return scoped.join(everyone, frame_keys, "left").select(
+        VARIANT, *object_keys, F.explode(who).alias(agent), what.alias("__names")
+    ).select(VARIANT, *object_keys, agent, F.explode("__names").alias("evidence_name"))
 
 
 # -- specs and attempts ----------------------------------------------------------
