@@ -36,9 +36,9 @@ def r6(c: Column | str) -> Column:
 
 # -- messages and memberships ----------------------------------------------------
 
-def messages(spark, d) -> DataFrame:
+def messages(spark, d, events: DataFrame | None = None) -> DataFrame:
     ns = ts_ns()
-    return table(spark, d, "events").select(
+    return (table(spark, d, "events") if events is None else events).select(
         F.lit("seq").alias("sequence_id"),
         F.col("user_id").cast("string").alias("session_id"),
         F.col("event_type").alias("agent_id"),

@@ -143,3 +143,10 @@ def merge_delta(
         else F.when(hit, F.col(f"d.__new.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
         for c in base.columns
     ])
+
+
+def frame_range(df: DataFrame, first: int, end: int, column: str = "sync_frame_id") -> DataFrame:
+    """Rows of the frames ``first`` up to but without ``end``; the filter reaches the scan."""
+    if not 0 <= first < end:
+        raise ContractError("a frame range needs 0 <= first < end")
+    return df.filter((F.col(column) >= first) & (F.col(column) < end))

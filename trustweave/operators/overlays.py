@@ -303,6 +303,13 @@ def fill_fields(
     return out
 
 
+def with_added_points(points: DataFrame, added: DataFrame) -> DataFrame:
+    """The cloud and the points added to it, told apart by ``added``; fields that only one
+    side has are null on the other."""
+    old, new = points.withColumn("added", F.lit(False)), added.withColumn("added", F.lit(True))
+    return old.unionByName(new, allowMissingColumns=True)
+
+
 def changed_counts(
     boxes: DataFrame, keys: list[str], box_id: list[str], *, added: DataFrame | None = None,
     removed_points: DataFrame | None = None, **options,

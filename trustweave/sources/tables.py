@@ -79,6 +79,15 @@ def read_verified(spark: SparkSession, path: str, fingerprint: str | None = None
     return spark.read.parquet(f"{path}/data")
 
 
+def read_attempts(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """Recorded attempts of a published table, for coverage and replay."""
+    rows = read_verified(spark, path, fingerprint)
+    missing = {"variant_id", "status", "realized_effect_band", "maximum_effect"} - set(rows.columns)
+    if missing:
+        raise StoreError(f"{path} holds no attempts: {sorted(missing)} are missing")
+    return rows
+
+
 def write_report(df: DataFrame, path: str, order: list[str]) -> None:
     """JSON report in a stable order."""
     df.orderBy(*[F.asc_nulls_first(c) for c in order]).write.mode("errorifexists").json(path)
