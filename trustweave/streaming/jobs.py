@@ -68,15 +68,16 @@ def match_stream(
     may say ``unmatched``. Rows behind ``delay`` are counted by ``run_available``.
     """
     none = F.lit(None)
+    unused = F.lit(-1).cast("bigint")  # a null would turn its column, and the others' values, into doubles
     left = memberships.select(
         *keys, F.lit(True).alias("is_decision"), "sync_frame_id",
-        F.col("decision_time_ns").alias("time_ns"), none.cast("bigint").alias("arrival_ns"),
+        F.col("decision_time_ns").alias("time_ns"), unused.alias("arrival_ns"),
         "member", "message_expected",
         none.cast("boolean").alias("empty_scene"), none.cast("boolean").alias("pose_valid"),
         event_time(F.col("decision_time_ns") + (lookahead_ns + wait_ns)).alias("event_time"),
     ).withWatermark("event_time", delay)
     right = messages.select(
-        *keys, F.lit(False).alias("is_decision"), none.cast("bigint").alias("sync_frame_id"),
+        *keys, F.lit(False).alias("is_decision"), unused.alias("sync_frame_id"),
         F.col("source_time_ns").alias("time_ns"), F.col("arrival_time_ns").alias("arrival_ns"),
         none.cast("boolean").alias("member"), none.cast("boolean").alias("message_expected"),
         "empty_scene", "pose_valid",

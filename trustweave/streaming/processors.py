@@ -149,10 +149,10 @@ class MatchProcessor(StatefulProcessor):
         names = list(self.keys) + [
             "sync_frame_id", "decision_time_ns", "source_time_ns", "match_age_ns",
             "message_present", "reason_code"]
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("source_time_ns", "match_age_ns"):
-            frame[c] = pd.array(frame[c], dtype="Int64")
-        yield frame
+        columns = dict(zip(names, zip(*out)))
+        for c in ("source_time_ns", "match_age_ns"):  # never by way of doubles
+            columns[c] = pd.array(columns[c], dtype="Int64")
+        yield pd.DataFrame(columns)
 
     def _settle(self, decisions, messages):
         """Answers of decisions in time order, by one sweep over the arrivals.
