@@ -20,6 +20,7 @@ from trustweave.operators.peers import (
 from trustweave.operators.quantiles import exact_median
 from trustweave.operators.spatial import cloud_summary, count_in_boxes, spatial_support
 from trustweave.operators.temporal import Smoothing, ewma, label_state
+from trustweave.operators.ordered import rank_in_key
 from trustweave.sources.stage import once, stage
 
 REFERENCE = (1.0, 0.5)  # expected log1p count and its scale
@@ -409,12 +410,16 @@ def stable_order_query(spark, d):
     ordered = stable_order(
         long_evidence(spark, d), ["sync_frame_id", "agent_id", "event_id", "evidence_name"]
     )
-    return ordered.select("sync_frame_id", "agent_id", "event_id", "evidence_name", r6("value").alias("value"))
+    # sorted partitions follow each other, so this number grows along the order
+    placed = stage(ordered.select(
+        "sync_frame_id", "agent_id", "event_id", "evidence_name", r6("value").alias("value"), F.monotonically_increasing_id().alias("__at")
+    ))
+    return rank_in_key(placed, [], ["__at"], F.shiftright("__at", 33), "position").drop("__at")
 
 
 SQL_STABLE = with_sql(SQL_LONG_CTE, """
-SELECT sync_frame_id, agent_id, event_id, evidence_name, round(value,6)+0.0 AS value FROM evidence
-ORDER BY 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST""")
+SELECT sync_frame_id, agent_id, event_id, evidence_name, round(value,6)+0.0 AS value,
+ row_number() OVER (ORDER BY sync_frame_id NULLS FIRST, agent_id NULLS FIRST, event_id NULLS FIRST, evidence_name NULLS FIRST) AS position FROM evidence""")
 
 
 def playback_query(spark, d):

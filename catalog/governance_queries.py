@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.match_queries import sql_matched
 from catalog.views import (
-    BASE_NS, DAY_NS, SLOT_NS, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_OBSERVATIONS, _mod, boxes, event_points, memberships,
+    BASE_NS, DAY_NS, SLOT_NS, TYPES, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_OBSERVATIONS, _mod, boxes, event_points, memberships,
     messages, observations, r6, table, ts_ns, with_sql,
 )
 from trustweave.functions.canonical import frame_local_group, number_text
@@ -63,18 +63,21 @@ SQL_ANTI = """SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_partkey NOT
 
 
 def missing_and_extra_frames(spark, d):
-    """Days of each event type against the days of an anchor type, per user."""
+    """Days of every other event type against the days of an anchor type, per user."""
     rows = table(spark, d, "events").select(
         "user_id", "event_type", F.floor((ts_ns() - BASE_NS) / DAY_NS).alias("day")
     )
-    anchor = rows.filter(F.col("event_type") == "view").select("user_id", "day")
-    other = rows.filter(F.col("event_type") == "click").select("user_id", "day")
-    return key_difference(anchor, other, ["user_id", "day"])
+    others = F.explode(F.array(*[F.lit(t) for t in TYPES if t != "view"])).alias("event_type")
+    anchor = rows.filter(F.col("event_type") == "view").select("user_id", others, "day")
+    other = rows.filter(F.col("event_type") != "view")
+    return key_difference(anchor, other, ["user_id", "event_type", "day"])
 
 
-SQL_DIFFERENCE = f"""WITH r AS (SELECT user_id, event_type, (epoch_us(ts)*1000-{BASE_NS})//{DAY_NS} AS day FROM events)
-SELECT *, 'missing' AS difference FROM (SELECT user_id, day FROM r WHERE event_type='view' EXCEPT SELECT user_id, day FROM r WHERE event_type='click')
-UNION ALL SELECT *, 'extra' FROM (SELECT user_id, day FROM r WHERE event_type='click' EXCEPT SELECT user_id, day FROM r WHERE event_type='view')"""
+SQL_DIFFERENCE = f"""WITH r AS (SELECT user_id, event_type, (epoch_us(ts)*1000-{BASE_NS})//{DAY_NS} AS day FROM events),
+a AS (SELECT DISTINCT user_id, t AS event_type, day FROM r, (SELECT unnest(['click','purchase','signup','error']) AS t) WHERE event_type='view'),
+o AS (SELECT DISTINCT user_id, event_type, day FROM r WHERE event_type<>'view')
+SELECT *, 'missing' AS difference FROM (SELECT * FROM a EXCEPT SELECT * FROM o)
+UNION ALL SELECT *, 'extra' FROM (SELECT * FROM o EXCEPT SELECT * FROM a)"""
 
 
 def message_contract(spark, d):
@@ -210,7 +213,7 @@ SQL_SPLIT_RULES = """WITH s AS (SELECT DISTINCT source, length(source)%3=0 AS de
 SELECT source AS sequence_id, 'frozen' AS rule FROM s WHERE NOT frozen
 UNION ALL SELECT NULL, 'sole_development_source' FROM (SELECT count(*) FILTER (WHERE dev) AS n FROM s) WHERE n<>1"""
 
-HASHED = ["doc_id", "lang", "source", "n_chars"]
+HASHED = ["doc_id", "lang", "source", "n_chars", "text"]
 
 
 def row_hash(spark, d):
@@ -220,19 +223,21 @@ def row_hash(spark, d):
 
 # shares are multiples of 1/4000000; DuckDB prints exponents from 1e-5 down, as JSON does
 SQL_ROW_HASH = """SELECT doc_id, sha256('{"doc_id":'||doc_id||',"lang":"'||lang||'","n_chars":'||n_chars||',"share":'||
- (n_chars/4000000.0::DOUBLE)::VARCHAR||',"source":"'||source||'"}'||chr(10)) AS row_sha256 FROM documents"""
+ (n_chars/4000000.0::DOUBLE)::VARCHAR||',"source":"'||source||'","text":'||to_json(text)||'}'||chr(10)) AS row_sha256 FROM documents"""
 
 
 def table_hash(spark, d):
-    return R.table_hash(table(spark, d, "documents"), HASHED, fanout_digits=1, levels=2)
+    return R.table_hash(table(spark, d, "documents"), HASHED)
 
 
-SQL_TABLE_HASH = """WITH h AS (SELECT h, count(*) AS n FROM (SELECT sha256('{"doc_id":'||doc_id||',"lang":"'||lang||'","n_chars":'||n_chars||',"source":"'||source||'"}'||chr(10)) AS h FROM documents) GROUP BY h),
-a AS (SELECT substr(h,1,2) AS p, sha256(string_agg(h||':'||n, chr(10) ORDER BY h||':'||n)) AS l FROM h GROUP BY 1),
-b AS (SELECT substr(p,1,1) AS p, p||':'||l AS line FROM a),
+SQL_TABLE_HASH = """WITH h AS (SELECT h, count(*) AS n FROM (SELECT sha256('{"doc_id":'||doc_id||',"lang":"'||lang||'","n_chars":'||n_chars||',"source":"'||source||'","text":'||to_json(text)||'}'||chr(10)) AS h FROM documents) GROUP BY h),
+a AS (SELECT substr(h,1,6) AS p, sha256(string_agg(h||':'||n, chr(10) ORDER BY h||':'||n)) AS l FROM h GROUP BY 1),
+b AS (SELECT substr(p,1,4) AS p, p||':'||l AS line FROM a),
 c AS (SELECT p, sha256(string_agg(line, chr(10) ORDER BY line)) AS l FROM b GROUP BY p),
-e AS (SELECT p||':'||l AS line FROM c)
-SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS table_sha256 FROM e"""
+e AS (SELECT substr(p,1,2) AS p, p||':'||l AS line FROM c),
+f AS (SELECT p, sha256(string_agg(line, chr(10) ORDER BY line)) AS l FROM e GROUP BY p),
+g AS (SELECT p||':'||l AS line FROM f)
+SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS table_sha256 FROM g"""
 
 
 def _inventory(spark, d):

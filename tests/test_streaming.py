@@ -38,7 +38,7 @@ def test_smooth_stream_equals_batch(spark, tmp_path):
     # a last, far-away row moves the watermark past all others
     flush = spark.createDataFrame([("flush", 10_000 * SECOND, 0.0)], df.schema)
     _files(spark, df.unionByName(flush), tmp_path / "in", 4, "decision_time_ns")
-    out = jobs.smooth_stream(_stream(spark, df, tmp_path / "in"), ["agent_id"])
+    out = jobs.smooth_stream(_stream(spark, df, tmp_path / "in"), ["agent_id"], delay="0 seconds")
     jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {
         (r["agent_id"], r["decision_time_ns"]): (r["ewma"], r["previous_state"], r["current_state"])
@@ -67,7 +67,7 @@ def test_smooth_stream_reset_and_expiry(spark, tmp_path):
     ]
     df = spark.createDataFrame(rows, schema)
     _files(spark, df, tmp_path / "in", 2, "decision_time_ns")
-    out = jobs.smooth_stream(_stream(spark, df, tmp_path / "in"), ["agent_id"], expire_after_ns=50 * SECOND)
+    out = jobs.smooth_stream(_stream(spark, df, tmp_path / "in"), ["agent_id"], delay="0 seconds", expire_after_ns=50 * SECOND)
     jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r["agent_id"], r["decision_time_ns"] // SECOND): (r["ewma"], r["previous_state"])
            for r in spark.read.parquet(str(tmp_path / "out")).filter("agent_id <> 'flush'").collect()}
@@ -99,7 +99,7 @@ def test_match_stream_equals_rules(spark, tmp_path):
     age, ahead, wait = 6 * SECOND, 4 * SECOND, 40 * SECOND
     out = jobs.match_stream(
         spark.readStream.schema(d.schema).parquet(str(tmp_path / "d")), _stream(spark, m, tmp_path / "m"),
-        key, max_age_ns=age, lookahead_ns=ahead, wait_ns=wait,
+        key, max_age_ns=age, lookahead_ns=ahead, wait_ns=wait, delay="0 seconds",
     )
     jobs.run_available(out, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r["agent_id"], r["sync_frame_id"]): (r["reason_code"], r["source_time_ns"])
