@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.match_queries import SQL_KINEMATICS_CTE
 from catalog.views import (
-    SLOT_NS, SQL_EVENT_BOXES, SQL_EVENT_POINTS, _mod, event_boxes, event_points, odometry, r6,
+    slot_width, SQL_EVENT_BOXES, SQL_EVENT_POINTS, _mod, event_boxes, event_points, odometry, r6,
     sql_inside, table, ts_ns, with_sql,
 )
 from trustweave import schemas as S
@@ -59,7 +59,7 @@ def _build(spark, d):
     )
     return build_evidence(
         frames, _agents(spark), series, points, labels, max_gap_s=86400.0, reference=REFERENCE,
-        slot_ns=SLOT_NS // 10,
+        slot_ns=slot_width(spark, d) // 10,
     )
 
 

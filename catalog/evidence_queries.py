@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    SLOT_NS, SQL_BOXES, SQL_COUNTS, SQL_EVENT_POINTS, SQL_OBSERVATIONS, SQL_POINTS, SQL_SCORED,
+    slot_width, SQL_BOXES, SQL_COUNTS, SQL_EVENT_POINTS, SQL_OBSERVATIONS, SQL_POINTS, SQL_SCORED,
     SQL_STATES, _mod, agent_boxes, boxes, event_points, observations, points, r6, sql_inside,
     table, with_sql,
 )
@@ -305,7 +305,7 @@ def senders(spark, d, config=Smoothing()):
     rows = rows.withColumn("risk_score", F.when(F.col("message_present"), F.col("s.risk"))).drop("s")
     smoothed = ewma(
         rows, ["agent_id"], ["decision_time_ns"],
-        time_slot(F.col("decision_time_ns"), SLOT_NS), "risk_score", config,
+        time_slot(F.col("decision_time_ns"), slot_width(spark, d)), "risk_score", config,
     )
     return label_state(smoothed, config)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.match_queries import sql_matched
 from catalog.views import (
-    BASE_NS, DAY_NS, SLOT_NS, TYPES, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_OBSERVATIONS, _mod, boxes, event_points, memberships,
+    BASE_NS, DAY_NS, slot_width, TYPES, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_OBSERVATIONS, _mod, boxes, event_points, memberships,
     messages, observations, r6, table, ts_ns, with_sql,
 )
 from trustweave.functions.canonical import frame_local_group, number_text
@@ -399,7 +399,7 @@ SQL_CLOUD_AUDIT = """SELECT event_id, 2::BIGINT AS points, CASE WHEN event_id%60
 def frame_contract(spark, d):
     """Matched frames with planted faults, checked as a frame table."""
     frames = match_messages(
-        memberships(spark, d), messages(spark, d), max_age_ns=2 * DAY_NS, slot_ns=SLOT_NS
+        memberships(spark, d), messages(spark, d), max_age_ns=2 * DAY_NS, slot_ns=slot_width(spark, d)
     )
     day = F.col("sync_frame_id")
     faulty = frames.withColumns({

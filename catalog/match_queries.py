@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.views import (
-    BASE_NS, DAY_NS, HOUR_NS, SLOT_NS, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_ODOMETRY, _mod, memberships,
+    BASE_NS, DAY_NS, HOUR_NS, slot_width, SQL_MEMBERSHIPS, SQL_MESSAGES, SQL_ODOMETRY, _mod, memberships,
     messages, odometry, r6, table, ts_ns, with_sql,
 )
 from trustweave.operators.contracts import contiguity, order_violations
@@ -31,7 +31,7 @@ def _matched(spark, d, run):
     policy, age, ahead = RUNS[run]
     return match_messages(
         memberships(spark, d), messages(spark, d), policy=policy, max_age_ns=age,
-        lookahead_ns=ahead, quantum_ns=1000, slot_ns=SLOT_NS,
+        lookahead_ns=ahead, quantum_ns=1000, slot_ns=slot_width(spark, d),
     )
 
 
@@ -104,7 +104,7 @@ def pose_lookup(spark, d):
     )
     out = pose_at(
         pose_targets(spark, d), samples, policy=BUFFERED, max_gap_ns=DAY_NS,
-        lookahead_ns=12 * HOUR_NS, keys=["agent_id"], slot_ns=SLOT_NS,
+        lookahead_ns=12 * HOUR_NS, keys=["agent_id"], slot_ns=slot_width(spark, d),
     )
     return out.select(
         "agent_id", "day", "reason_code", "previous_time_ns", "next_time_ns",
@@ -139,7 +139,7 @@ FROM s""")
 
 def interval_kinematics_query(spark, d):
     out = interval_kinematics(
-        odometry(spark, d), ["agent_id"], max_gap_s=86400.0, slot_ns=SLOT_NS
+        odometry(spark, d), ["agent_id"], max_gap_s=86400.0, slot_ns=slot_width(spark, d)
     )
     return out.select(
         "agent_id", "time_ns", "reason_code", r6("dt_s").alias("dt_s"),
@@ -179,7 +179,7 @@ def attach_kinematics_query(spark, d):
         (ts_ns() + F.when(_mod("event_id", 9) == 0, 1).otherwise(0)).alias("source_time_ns"),
     )
     kin = interval_kinematics(
-        odometry(spark, d), ["agent_id"], max_gap_s=86400.0, slot_ns=SLOT_NS
+        odometry(spark, d), ["agent_id"], max_gap_s=86400.0, slot_ns=slot_width(spark, d)
     )
     return attach_kinematics(frames, kin).select(
         "event_id", F.col("kinematics.reason_code").alias("reason_code"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.evidence_queries import senders
 from catalog.views import (
-    SLOT_NS, SQL_OBSERVATIONS, SQL_SCORED, SQL_STATES, _mod, observations, r6, table, with_sql,
+    slot_width, SQL_OBSERVATIONS, SQL_SCORED, SQL_STATES, _mod, observations, r6, table, with_sql,
 )
 from trustweave.operators.fusion import (
     admitted_packets, ego_only, mean_fusion, reconstruction_error,
@@ -211,7 +211,7 @@ def _cases(spark, d):
 def _episode(spark, d, replay):
     return run_episode(
         _cases(spark, d), KEYS, max_source_age_ns=MAX_AGE, width=3, replay=replay,
-        slot_ns=SLOT_NS, packet_identity=IDENTITY, reference=None if replay else "clean_reference",
+        slot_ns=slot_width(spark, d), packet_identity=IDENTITY, reference=None if replay else "clean_reference",
     )
 
 
@@ -306,7 +306,7 @@ SELECT kase AS "case", frame, policy, observation_count, honest AS honest_compan
 def predictions_query(spark, d):
     """Prediction rows: risk only where a message exists and the score does not abstain."""
     obs = observations(spark, d).withColumn("reason_code", F.lit("missing_message"))
-    out = score_senders(obs, EpisodeKeys(sender=["agent_id"], frame=["frame"]), slot_ns=SLOT_NS)
+    out = score_senders(obs, EpisodeKeys(sender=["agent_id"], frame=["frame"]), slot_ns=slot_width(spark, d))
     return out.select(
         "event_id", r6("risk_score").alias("risk_score"),
         r6("operational_reliability").alias("reliability"), "abstained", "reason_code",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.evidence_queries import SQL_LONG_CTE, long_evidence
 from catalog.match_queries import SQL_KINEMATICS_CTE
 from catalog.views import (
-    SLOT_NS, SQL_EVENT_BOXES, SQL_EVENT_POINTS, SQL_ODOMETRY, _mod, event_boxes, event_points, odometry,
+    slot_width, SQL_EVENT_BOXES, SQL_EVENT_POINTS, SQL_ODOMETRY, _mod, event_boxes, event_points, odometry,
     r6, sql_inside, table, ts_ns, with_sql,
 )
 from trustweave import schemas as S
@@ -27,7 +27,7 @@ def _targets(spark, d):
         F.col("user_id").cast("string").alias("agent_id"), "event_id", ts_ns().alias("time_ns")
     )
     rows = running(
-        rows, KEY, ["time_ns"], time_slot(F.col("time_ns"), SLOT_NS),
+        rows, KEY, ["time_ns"], time_slot(F.col("time_ns"), slot_width(spark, d)),
         [Running("next", F.struct("time_ns"), reverse=True, include_current=False)],
     )
     return rows.filter((_mod("event_id", 97) == 0) & F.col("next").isNotNull()).select(
@@ -70,7 +70,7 @@ SELECT variant_id, target_id, agent_id, kind, severity, CASE WHEN k=1 THEN s0::V
 
 
 def _changes(spark, d):
-    return O.velocity_changes(odometry(spark, d), _specs(spark, d), KEY, slot_ns=SLOT_NS)
+    return O.velocity_changes(odometry(spark, d), _specs(spark, d), KEY, slot_ns=slot_width(spark, d))
 
 
 def velocity_overlay(spark, d):
@@ -94,7 +94,7 @@ def spillover_keys(spark, d):
             (_mod("event_id", 13) == 0).alias("changed"),
         ), ["agent_id", "time_ns"],
     )
-    return O.spillover(series, KEY, "changed", slot_ns=SLOT_NS).select("agent_id", "time_ns", "affected")
+    return O.spillover(series, KEY, "changed", slot_ns=slot_width(spark, d)).select("agent_id", "time_ns", "affected")
 
 
 SQL_SPILLOVER = """WITH s AS (SELECT user_id::VARCHAR AS agent_id, epoch_us(ts)*1000 AS time_ns, event_id%13=0 AS changed FROM events),
@@ -104,7 +104,7 @@ SELECT agent_id, time_ns, before IS NOT NULL AND (changed OR before) AS affected
 
 def _recomputed(spark, d):
     return O.recompute_series(
-        odometry(spark, d), stage(_changes(spark, d)), KEY, max_gap_s=86400.0, slot_ns=SLOT_NS
+        odometry(spark, d), stage(_changes(spark, d)), KEY, max_gap_s=86400.0, slot_ns=slot_width(spark, d)
     )
 
 

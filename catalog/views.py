@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from trustweave.operators.ordered import densest_rows, slot_for
+
 BASE_NS = 1_704_067_200_000_000_000  # 2024-01-01T00:00:00Z
 DAY_NS = 86_400_000_000_000
 HOUR_NS = 3_600_000_000_000
-# Rows of one key share a task only within a slot: ten days of a month of events.
-SLOT_NS = 10 * DAY_NS
+# Rows of one key share a task only within a slot: ten days, or less where days are full.
+WIDEST_SLOT_NS, SLOT_ROWS = 10 * DAY_NS, 1_000_000
 TYPES = ("click", "view", "purchase", "signup", "error")
 
 
@@ -21,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slot_width(spark: SparkSession, d: str) -> int:
+    """Slot width by a time histogram: even if the fullest day were all one key's, a slot
+    would hold about ``SLOT_ROWS`` rows of a key."""
+    densest = densest_rows(table(spark, d, "events").select(ts_ns().alias("t")), "t", DAY_NS)
+    return min(WIDEST_SLOT_NS, slot_for(densest, DAY_NS, SLOT_ROWS))
+
+
 def ts_ns(c: str = "ts") -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) * 1000
 

@@ -191,3 +191,13 @@ def test_parameters(spark):
     for bad in ({"alpha": 0}, {"alpha": 1.1}, {"threshold": 2}, {"initial_value": -1}):
         with pytest.raises(ValueError):
             Smoothing(**bad)
+
+
+def test_slots_stay_near_the_target_where_rows_crowd(spark):
+    """A key with a third of all rows, most of them within one hour."""
+    hot = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * 180_000_000).alias("t"))
+    rest = spark.range(40_000).select((F.col("id") % 40).cast("string").alias("k"), (F.col("id") * 60_000_000_000).alias("t"))
+    df = hot.unionByName(rest)
+    slot = choose_slot_ns(df, ["k"], "t", target_rows=1_000)
+    fullest = df.groupBy("k", time_slot(F.col("t"), slot).alias("s")).count().agg(F.max("count")).first()[0]
+    assert fullest <= 1_100

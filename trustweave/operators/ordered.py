@@ -45,20 +45,33 @@ def time_slot(time: Column, slot_ns: int) -> Column:
     return int_div(time, slot_ns)
 
 
-def choose_slot_ns(df: DataFrame, keys: list[str], time: str, target_rows: int = 2_000_000) -> int:
-    """Slot width that keeps an evenly filled slot of the largest key near the target.
+def densest_rows(df: DataFrame, time: str, step_ns: int, keys: list[str] = ()) -> int:
+    """Most rows that any key has in any ``step_ns`` of time, wherever they crowd.
 
-    One map-side-combined aggregate over the key and time columns; three numbers
-    reach the driver.
+    A histogram with partial sums before its shuffle; one number reaches the driver.
     """
-    per_key = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")
-    )
-    row = per_key.agg(F.max(F.struct("n", "lo", "hi")).alias("r")).first()
-    if row is None or row["r"] is None:
-        return DAY_NS
-    pieces = -(-row["r"]["n"] // target_rows)
-    return max(1, -(-(row["r"]["hi"] - row["r"]["lo"] + 1) // pieces))
+    steps = df.groupBy(*keys, time_slot(F.col(time), step_ns).alias(SLOT)).agg(F.count("*").alias("n"))
+    return steps.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def slot_for(densest: int, step_ns: int, target_rows: int) -> int:
+    """Slot width whose fullest slot holds about the target, given the fullest step."""
+    return max(1, step_ns * target_rows // max(densest, 1))
+
+
+def choose_slot_ns(
+    df: DataFrame, keys: list[str], time: str, target_rows: int = 2_000_000, step_ns: int = DAY_NS,
+) -> int:
+    """Slot width that keeps every slot of every key near the target, uneven fill included.
+
+    Widths come from the fullest step of any key. A step that alone exceeds the target is
+    looked at again in finer steps, since rows may crowd within it.
+    """
+    while True:
+        densest = densest_rows(df, time, step_ns, keys)
+        if densest <= target_rows or step_ns == 1:
+            return slot_for(densest, step_ns, target_rows)
+        step_ns = max(1, step_ns // 64)
 
 
 def _combine(how: str, here: Column, before: Column) -> Column:
