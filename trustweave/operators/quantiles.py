@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trustweave.operators.ordered import int_div
+from trustweave.sources.stage import stage
 
 SKETCH_ACCURACY = 10_000
 BAND = 2.0 / SKETCH_ACCURACY
+#: Groups (about 100 bytes each) whose brackets may be broadcast to the rows.
+BROADCAST_GROUPS = 200_000
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
@@ -15,7 +18,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
 
     A mergeable sketch brackets the two middle ranks (its rank error is bounded),
     so only the thin band between the brackets has to be ordered; everything
-    outside the band is merely counted. Copies collapse before they are shuffled.
+    outside the band is merely counted. The brackets are written once; where their
+    counted number allows, they are broadcast, so that rows stay where they are until
+    copies have collapsed. With more groups the rows are joined by shuffle.
     """
     data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     bounds = data.groupBy(*keys).agg(
@@ -31,7 +36,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
         F.when(F.col("__n") < SKETCH_ACCURACY, F.col("__lo")).otherwise(F.col("__b")[0]).alias("__lo"),
         F.when(F.col("__n") < SKETCH_ACCURACY, F.col("__hi")).otherwise(F.col("__b")[1]).alias("__hi"),
     )
-    placed = data.join(bounds, keys)
+    bounds = stage(bounds)
+    placed = data.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds, keys)
     counted = (
         placed.withColumn("__in", F.col("__v") >= F.col("__lo"))
         .filter(F.col("__v") <= F.col("__hi"))
