@@ -48,13 +48,13 @@ def test_support_reasons_and_two_sided_residual(spark):
         [("few", 0, *box, "verified"), ("many", 0, *box, "verified"), ("nan", 0, *box, "verified"),
          ("raw", 0, *box, "unresolved_transform")], "agent string, box int, " + BOX + ", transform_quality string")
     p = spark.createDataFrame(
-        [("many", 0.1 * i, 0.0, 0.0) for i in range(8)] + [("nan", math.nan, 0.0, 0.0), ("raw", 0.0, 0.0, 0.0)],
+        [("many", 0.07 * i, 0.2, -0.3) for i in range(13)] + [("nan", math.nan, 0.0, 0.0), ("raw", 0.0, 0.0, 0.0)],
         "agent string, x double, y double, z double")
     out = {r["agent"]: r for r in spatial_support(
-        p, b, ["agent"], ["box"], reference=(math.log1p(2), 0.5)).collect()}
+        p, b, ["agent"], ["box"], reference=(math.log1p(5), 0.7)).collect()}
     assert out["few"]["point_count"] == 0
     assert out["few"]["deficit_residual"] > 0 and out["few"]["surplus_residual"] == 0
-    assert out["many"]["point_count"] == 8
+    assert out["many"]["point_count"] == 13
     assert out["many"]["deficit_residual"] == 0 and out["many"]["surplus_residual"] > 0
     assert out["nan"]["spatial_reason"] == "nonfinite" and out["nan"]["point_count"] is None
     assert out["raw"]["spatial_reason"] == "unresolved_transform"
@@ -103,9 +103,9 @@ def test_medians_and_summary(spark):
     df = spark.createDataFrame(values + [("none", None)], "g string, v double")
     got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v").collect()}
     assert got == {"big": statistics.median(v for g, v in values if g == "big"), "even": 3.0}
-    rows = spark.createDataFrame([(0, 0.0), (0, 0.0), (0, 9.0), (0, None)], "f int, suspicion double")
+    rows = spark.createDataFrame([(3, 1.25), (3, None), (3, 6.5), (3, 1.25)], "f int, suspicion double")
     r = summarize_suspicion(rows, ["f"]).first()
-    assert (r["maximum_object_suspicion"], r["median_object_suspicion"], r["any_object_evidence_unavailable"]) == (9.0, 0.0, True)
+    assert (r["maximum_object_suspicion"], r["median_object_suspicion"], r["any_object_evidence_unavailable"]) == (6.5, 1.25, True)
 
 
 def test_scores(spark):
@@ -120,7 +120,7 @@ def test_scores(spark):
     null = F.lit(None).cast("double")
     assert df.select(fixed_diagnostic(null, null, null)["trust"]).first()[0] == pytest.approx(0.4)
     with pytest.raises(ValueError):
-        Weights(0.5, 0.5, 0.5)
+        Weights(0.7, 0.2, 0.3)
     with pytest.raises(ValueError):
         count_residuals(F.lit(1), 0.0, 0.0)
     with pytest.raises(Exception):

@@ -145,3 +145,37 @@ def test_distinct_windows_and_gate(spark, tmp_path):
     query.awaitTermination()
     got = {(r["policy"], r["reason_code"]): r["admitted_bytes"] for r in totals}
     assert got == {("full_share", "admitted"): 50, ("hard_gate", "admitted"): 30, ("hard_gate", "hard_gated"): 0}
+
+
+def test_match_sweep_is_exact_and_linear():
+    """Answers of one key with 100,000 decisions, in time that grows with the rows."""
+    import time
+
+    from trustweave.streaming.processors import MatchProcessor
+
+    rng = random.Random(4)
+    def rows(n):
+        messages = [(10 * k + rng.randrange(5), 10 * k + rng.randrange(5) + rng.choice([0, 3, 400]), False, True) for k in range(n)]
+        decisions = [(k, 10 * k + rng.randrange(10), rng.random() < 0.95, rng.random() < 0.95) for k in range(n)]
+        return messages, sorted(decisions, key=lambda d: d[1])
+
+    messages, decisions = rows(400)
+    processor = MatchProcessor(["k"], 60, 25, 1000)
+    got = {r[0]: (r[5], r[2]) for r in processor._settle(decisions, messages)}
+    for frame, at, member, expected in decisions:
+        row = ("s", "t", frame, at, "a", member, expected)
+        seen = [("s", "t", "a", m[0], m[1], m[2], m[3], None) for m in messages if m[1] <= at + 1025]
+        assert got[frame] == match_one(row, seen, "buffered_nearest", 60, 25)
+    took = []
+    for n in (25_000, 100_000):
+        messages, decisions = rows(n)
+        began = time.perf_counter()
+        assert sum(1 for _ in processor._settle(decisions, messages)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_event_time_is_exact(spark):
+    row = spark.sql("SELECT 1704067200000000001L AS a, 1704067200000000000L AS b, 999L AS c").select(
+        *[F.unix_micros(jobs.event_time(F.col(c))).alias(c) for c in "abc"]).first()
+    assert tuple(row) == (1704067200000001, 1704067200000000, 1)

@@ -48,34 +48,32 @@ def test_match_equals_brute_force(spark, policy, age, ahead, slot):
 
 
 def test_timeline_of_reasons(spark):
-    """The nine documented rows: one of every outcome."""
-    member = lambda f, a, t, yes=True, expected=True: ("s", "t", f, t, a, yes, expected)
-    members = [
-        member(0, "003", 1000), member(0, "004", 1000), member(0, "dome", 1000, expected=False),
-        member(0, "laser", 1000), member(0, "top", 1000), member(1, "003", 2000),
-        member(1, "dome", 2000), member(1, "top", 2000, yes=False, expected=False),
-    ]
-    messages = [
-        ("s", "t", "003", 950, 960, False, True, None), ("s", "t", "004", 990, 1100, False, True, None),
-        ("s", "t", "laser", 980, 990, False, False, 970), ("s", "t", "top", 1000, 1000, True, True, None),
-        ("s", "t", "dome", 2100, 2100, False, True, None),
-    ]
-    m, g = spark.createDataFrame(members, S.MEMBERSHIPS), spark.createDataFrame(messages, S.MESSAGES)
-    causal = match_messages(m, g, max_age_ns=100)
+    """One frame of agents for every outcome, each decision at 70,000."""
+    at, age = 70_000, 640
+    cases = {  # agent: (member, expected, source, arrival, empty, pose valid, pose time)
+        "fresh": (True, True, at - 310, at - 30, False, True, None), "slow": (True, True, at - 120, at + 1, False, True, None),
+        "silent": (True, False, None, None, None, None, None), "tilted": (True, True, at - 77, at, False, False, at - 90),
+        "bare": (True, True, at, at, True, True, None), "old": (True, True, at - 641, at - 600, False, True, None),
+        "early": (True, True, at + 5, at + 6, False, True, None), "guest": (False, False, at - 10, at - 10, False, True, None),
+    }
+    members = [("s", "t", 4, at, agent, c[0], c[1]) for agent, c in cases.items()]
+    messages = [("s", "t", agent, *c[2:]) for agent, c in cases.items() if c[2] is not None]
+    causal = match_messages(
+        spark.createDataFrame(members, S.MEMBERSHIPS), spark.createDataFrame(messages, S.MESSAGES), max_age_ns=age
+    )
     ahead = match_messages(
-        spark.createDataFrame([member(2, "top", 3000)], S.MEMBERSHIPS),
-        spark.createDataFrame([("s", "t", "top", 3150, 3150, False, True, None)], S.MESSAGES),
-        policy=S.BUFFERED, max_age_ns=100, lookahead_ns=200,
+        spark.createDataFrame([("s", "t", 5, at, "far", True, True)], S.MEMBERSHIPS),
+        spark.createDataFrame([("s", "t", "far", at + 700, at + 700, False, True, None)], S.MESSAGES),
+        policy=S.BUFFERED, max_age_ns=age, lookahead_ns=900,
     )
-    rows = {(r["sync_frame_id"], r["agent_id"]): r for r in causal.unionByName(ahead).collect()}
+    rows = {r["agent_id"]: r for r in causal.unionByName(ahead).collect()}
     assert {k: r["reason_code"] for k, r in rows.items()} == {
-        (0, "003"): "matched", (0, "004"): "late", (0, "dome"): "missing_message",
-        (0, "laser"): "invalid_pose", (0, "top"): "empty_scene", (1, "003"): "stale",
-        (1, "dome"): "unmatched", (1, "top"): "not_member", (2, "top"): "out_of_range",
+        "fresh": "matched", "slow": "late", "silent": "missing_message", "tilted": "invalid_pose", "bare": "empty_scene",
+        "old": "stale", "early": "unmatched", "guest": "not_member", "far": "out_of_range",
     }
-    assert rows[(0, "003")]["match_age_ns"] == 50
-    assert rows[(0, "laser")]["pose_source_time_ns"] is None
-    assert sum(r["rows"] for r in reason_counts(causal).collect()) == 8
+    assert rows["fresh"]["match_age_ns"] == 310
+    assert rows["tilted"]["pose_source_time_ns"] is None
+    assert sum(r["rows"] for r in reason_counts(causal).collect()) == len(cases)
 
 
 def test_tie_goes_to_the_past(spark):
