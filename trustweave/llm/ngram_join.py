@@ -250,7 +250,8 @@ def link_documents(
     per_class = classes.select("digest", "copy_id", "copies").join(linked.join(group, "root").select("digest", "root", "links", "class_id"), "digest", "left").select(
         "digest", F.coalesce("root", "digest").alias("group"), "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    out = signed.select("doc_id", "digest").join(per_class, "digest", "left")
+    # written first, so that the last join has plain sides, which AQE splits where copies crowd
+    out = signed.select("doc_id", "digest").join(staged(per_class, "classes"), "digest", "left")
     own = F.col("digest").isNull()
     return out.select(
         "doc_id", "digest", "group", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
