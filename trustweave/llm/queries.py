@@ -31,6 +31,37 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_matches(pattern: str, kind: int, rank: int, where: str = "true") -> str:
+    """All matches of a pattern with their places: a split and its matches alternate."""
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, {rank} AS rank, start, start + length(m) AS "end" FROM (
+  SELECT doc_id, i, ms[i] AS m, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents))) WHERE {where}"""
+
+
+def _sql_secret_scans() -> str:
+    value = "length(regexp_extract(m, '" + secrets.ASSIGN.replace("'", "''") + "', 2))"
+    parts = "\nUNION ALL ".join([
+        _sql_matches(secrets.ASSIGN, 0, 0, f"{value} >= 12"), _sql_matches(secrets.ACCESS, 1, 0, "length(m) >= 18"), _sql_matches(secrets.HEX, 2, 0, "length(m) >= 16"),
+        _sql_matches(secrets.ASSIGN, 3, 1, f"{value} < 12"), _sql_matches(secrets.NAMED, 3, 1), _sql_matches(secrets.IDENT, 4, 1), _sql_matches(secrets.ENDPOINT, 5, 1),
+        _sql_matches(secrets.BARE, 3, 2, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')"),
+    ])
+    name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(secrets.KINDS)) + " END"
+    text = f"string_agg({name}||':'||start||':'||\"end\", ',' ORDER BY start, kind, \"end\")"
+    return f"""WITH raw AS ({parts}),
+breaks AS ({_sql_matches(secrets.BREAK, 9, 3)}),
+placed AS (SELECT r.*, (SELECT count(*) FROM breaks b WHERE b.doc_id = r.doc_id AND b.start <= r.start) AS scope FROM raw r),
+parts AS (SELECT * FROM placed p WHERE rank = 0 OR NOT EXISTS (
+  SELECT 1 FROM placed o WHERE o.doc_id = p.doc_id AND o.rank < p.rank AND o.start < p."end" AND p.start < o."end")),
+linked AS (SELECT DISTINCT p.doc_id, p.kind, p.start, p."end" FROM parts p JOIN parts o ON o.doc_id = p.doc_id AND o.scope = p.scope
+  AND abs(o.start - p.start) <= 256 AND (o.kind IN (0, 2, 3)) <> (p.kind IN (0, 2, 3)) WHERE p.rank > 0),
+base AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, {text} AS spans FROM parts WHERE rank = 0 GROUP BY doc_id),
+every AS (SELECT doc_id, {text} AS spans FROM (SELECT doc_id, kind, start, "end" FROM parts WHERE rank = 0 UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base.spans, '')) AS base_sha256, coalesce(every.spans, '') AS spans
+FROM documents LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
 #: The rules of the registered query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -165,6 +196,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first_id FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, false AS damaged FROM d"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_url_filters": op2_url_filters,
@@ -179,5 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_secret_scans": _sql_secret_scans(),
     "op2_url_filters": SQL_URL_FILTERS,
+    "op10_warc": SQL_WARC,
 }
