@@ -196,6 +196,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL_NGRAM_JOIN = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4]) END)) AS gs FROM w WHERE len(ws) > 0),
+e AS (SELECT doc_id, unnest(gs) AS gram FROM g),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE c >= 0.8 * (len(x.gs) + len(y.gs) - c) - 1e-9),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id),
+classes AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id),
+copies AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(array_to_string(gs, chr(10)))) AS copy_id FROM g),
+counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN copies USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+
 SQL_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first_id FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
@@ -219,5 +231,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_secret_scans": _sql_secret_scans(),
     "op2_url_filters": SQL_URL_FILTERS,
+    "op5_ngram_join": SQL_NGRAM_JOIN,
     "op10_warc": SQL_WARC,
 }
