@@ -38,7 +38,7 @@ from trustweave.llm.staging import staged
 from trustweave.llm.text import SPACE, chunks, constants, mix, shingles, words
 
 #: Classes in one chunk of a bucket, and bytes of its n-gram sets.
-CHUNK_CLASSES, CHUNK_SET_BYTES = 512, 1 << 25
+CHUNK_CLASSES, CHUNK_SET_BYTES = 256, 1 << 25
 #: Ids (16 bytes each) of candidate classes that may be broadcast to the documents.
 BROADCAST_IDS = 1_000_000
 #: MinHash values that a document may have.
