@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier 1 is a table of frequent pre-tokens and their token counts, broadcast: at most
-``table_size`` entries, taken from at most ``sample_rows`` documents and the model's own
-vocabulary. It is a cache only; no count depends on what it holds. Tier 2 is a cache per
+``table_size`` entries, found in at most ``sample_rows`` documents. It is a cache only; no
+count depends on what it holds. Tier 2 is a cache per
 Python worker for pre-tokens outside the table, encoded by the library when first met.
 No pre-token is ever shuffled; the plan is one scan and one map.
 
@@ -14,7 +14,7 @@ as they are, but those named like the results are replaced.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,6 +26,8 @@ from trustweave.llm.units import check_units, load_model, split_units
 
 #: Entries of a worker's cache (about 45 MB); beyond, it starts anew from the table.
 CACHE_SIZE = 1 << 18
+#: Longer texts don't serve as samples for the broadcast table.
+SAMPLE_TEXT_BYTES = 1 << 16
 #: Longer pre-tokens are encoded each time, so that the caches stay small.
 CACHED_CHARS = 64
 
@@ -72,32 +74,26 @@ class UnitCounter:
         return sum(found)
 
 
-def frequent_units(docs: DataFrame, path: str, text: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """At most ``table_size`` frequent pre-tokens of at most ``sample_rows`` documents."""
+def frequent_units(docs: DataFrame, counter: UnitCounter, text: str, sample_rows: int, table_size: int) -> dict[str, int]:
+    """At most ``table_size`` frequent pre-tokens of a bounded sample, with their counts.
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for value in batch.column(0):
-                seen.update(u for u in split_units(value.as_py() or "") if len(u) <= CACHED_CHARS)
-            if len(seen) > 8 * table_size:
-                seen = Counter(dict(seen.most_common(4 * table_size)))
-        counter = UnitCounter(path, {})
-        best = [u for u, _ in seen.most_common(table_size)]
-        yield pa.RecordBatch.from_pydict({"unit": best, "n": [counter.encode_unit(u) for u in best]}, pa.schema([("unit", pa.string()), ("n", pa.int64())]))
-
-    sample = docs.select(F.col(text).cast("string").alias("text")).limit(sample_rows)
-    return {r["unit"]: r["n"] for r in sample.mapInArrow(top, "unit string, n long").orderBy(F.col("n")).limit(table_size).collect()}
+    ``take`` reads as few partitions as give ``sample_rows`` texts of at most
+    ``SAMPLE_TEXT_BYTES``, so the sample costs the same for any corpus.
+    """
+    value = name(text).cast("string")
+    sample = docs.select(value.alias("text")).where(F.octet_length("text").between(1, SAMPLE_TEXT_BYTES)).take(sample_rows)
+    seen = Counter(u for r in sample for u in split_units(r["text"]) if len(u) <= CACHED_CHARS)
+    return {u: counter.encode_unit(u) for u, _ in seen.most_common(table_size)}
 
 
 def count_tokens(
-    docs: DataFrame, model_path: str, *, text: str = "text", columns: Sequence[str] | None = None, limit: int = 4096, table_size: int = 1 << 15, sample_rows: int = 1000,
+    docs: DataFrame, model_path: str, *, text: str = "text", columns: Sequence[str] | None = None, limit: int = 4096, table_size: int = 1 << 15, sample_rows: int = 500,
 ) -> DataFrame:
     """Append ``n_bytes``, ``n_tokens`` and ``over_limit`` to ``columns`` (default: all).
 
     ``model_path`` must exist on every executor.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, model_path, text, sample_rows, table_size))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, UnitCounter(model_path, {}), text, sample_rows, table_size))
 
     def make():
         counter = worker_counter(model_path).use(table.value)
