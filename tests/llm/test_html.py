@@ -44,3 +44,24 @@ def test_broken_markup_and_defined_cases(spark):
     out = html_text.extract(df).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "q", 1), (1, "", 0), (1, "", 0)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+LONG = "".join(f"<p>Paragraph {k} of the story, which goes on for a while, says this, and ends; no more of it is told here. Then, after some time, it is taken up again, by others, who tell the rest.</p>" for k in range(8))
+LINKS = "".join(f"<li><a href={k}>Another story, number {k}, with a long title</a></li>" for k in range(12))
+
+
+def test_the_ratio_chooses_on_pages_with_an_article():
+    told = "\n".join(re.findall("<p>(.*?)</p>", LONG))
+    # a teaser beside the text in a plain element
+    teaser = "<article><a href=1>Read on</a></article>"
+    for page in (f"{teaser}<div>{LONG}</div>", f"<div>{LONG}</div>{teaser}", f"<div>{LONG}</div><main>{teaser}</main>"):
+        assert html_text.main_text(PAGE % page) == told
+    # text beside an article of equal weight is kept, too
+    assert html_text.main_text(PAGE % f"<article>{LONG}</article><div>{LONG}</div>") == f"{told}\n{told}"
+    # lists of links without a name, and crumbs, within the content element
+    for tag in ("main", "article"):
+        assert html_text.main_text(PAGE % f"<{tag}><div>{LONG}</div><ul>{LINKS}</ul></{tag}>") == told
+        assert html_text.main_text(PAGE % f"<{tag}><div>{LONG}</div>{'<div>Top</div><div>Up</div>' * 6}</{tag}>") == told
+        # short items of its text stay
+        items = "<ul>" + "<li>an item, short" * 9 + "</ul>"
+        assert html_text.main_text(PAGE % f"<{tag}><h2>A title</h2>{LONG}{items}</{tag}>") == f"A title\n{told}" + "\nan item, short" * 9

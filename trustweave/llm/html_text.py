@@ -4,9 +4,11 @@ A page is read once into blocks: runs of text under one block element, with inli
 left out. Each root-to-leaf path of block tags sums the text length, punctuation and link
 text of its blocks. A path's ratio is text per block, times punctuation per block, less
 what is link text; ratios are smoothed along the page, so that a heading gains from the
-paragraphs beside it, fused with what the path's elements say (an article speaks for its
-text; menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-against it), and paths above a share of the best one are content.
+paragraphs beside it, fused with what the path's elements say (menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments speak against their text), and paths
+from a share of the best one on are content. An article raises the values of its paths, the
+more of the page's text it holds; so a teaser raises little, and lists of links in an
+article are left out.
 
 Blocks keep page order and are joined by line ends; nothing else is dropped or cut.
 
@@ -60,6 +62,8 @@ AGAINST_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search"
 
 #: A path is content from this share of the best path's fused ratio on.
 SHARE = 0.2
+#: So much of that share an article adds to its paths, if it holds all of the page's text.
+RAISE = 0.9
 #: Weights of the blocks up to two places away.
 SMOOTHING = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 
@@ -176,7 +180,6 @@ def main_text(source: str | None) -> str:
     blocks = _Page(source or "").blocks
     if not blocks:
         return ""
-    has_article = any(inside and not against for _, _, _, against, inside, _ in blocks)
     number = {p: k for k, p in enumerate(dict.fromkeys(b[2] for b in blocks))}
     place = np.array([number[b[2]] for b in blocks])
     count = np.bincount(place)
@@ -185,17 +188,19 @@ def main_text(source: str | None) -> str:
     mean = lambda x: np.bincount(place, x) / count
     ratio = np.log1p(mean(size)) * (1 + np.log1p(mean(marks))) * (1 - np.bincount(place, links) / np.maximum(np.bincount(place, size), 1))
     smooth = np.convolve(np.pad(ratio[place], 2, mode="edge"), SMOOTHING, mode="valid")
-    fused = mean(smooth) * ratio
-    for b, k in zip(blocks, place):
-        if b[3] or has_article and not b[4]:
-            fused[k] = -1
-    best = fused.max()
-    if best < 0:
+    against, inside = np.array([b[3] for b in blocks]), np.array([b[4] for b in blocks])
+    if against.all():
         return ""
-    # an article's own paths are content whatever their ratio
-    chosen = [not b[3] and (has_article and b[4] or not has_article and fused[k] >= SHARE * best) for b, k in zip(blocks, place)]
+    # how much of the text that nothing speaks against stands in articles
+    held = size[inside & ~against].sum() / size[~against].sum()
+    value = (mean(smooth) * ratio)[place] * (1 + held * inside)
+    least = SHARE * value[~against].max()
+    # short texts of an article with most of the page's text are raised, links are not
+    text_share = (1 - np.bincount(place, links) / np.maximum(np.bincount(place, size), 1))[place]
+    value += RAISE * held * least * inside * np.minimum(1, 2 * text_share)
+    chosen = (~against & (value >= least)).tolist()
     for k in range(len(blocks) - 2, -1, -1):  # a heading goes with what follows it
-        if not chosen[k] and chosen[k + 1] and blocks[k][1] in HEADINGS and not blocks[k][3] and not has_article:
+        if not chosen[k] and chosen[k + 1] and blocks[k][1] in HEADINGS and not against[k]:
             chosen[k] = True
     return "\n".join(b[0] for b, c in zip(blocks, chosen) if c)
 
