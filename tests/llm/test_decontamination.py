@@ -82,3 +82,20 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_WORDS", 100)
     parts = {(r.doc_id, h.item_id) for r in d.find_passages(docs, bench).collect() for h in r.hits}
     assert whole == parts and {(k, k) for k in range(30)} <= whole
+
+
+def test_trimmed_passages_as_whole_documents_between_others():
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([20, 25, 30, 40, 60] * 6)]
+    index = d.Index(items, 0.8, 6, 8)
+    other = lambda: " ".join(rng.choices(vocabulary, k=rng.randrange(1, 40)))
+    for number, text in items:
+        words = text.split()
+        for head in range(0, len(words) // 5 + 1):
+            whole = words[head:len(words) - (len(words) // 5 - head)]
+            alone = index.hits(pa.array([" ".join(whole)]))[0]
+            rows = index.hits(pa.array([other(), " ".join(whole), other()]))
+            assert [h["item_id"] for h in alone] == [number]
+            assert rows == [[], alone, []]
+            assert (alone[0]["start_word"], alone[0]["end_word"], alone[0]["distance"]) == (0, len(whole), len(words) - len(whole))

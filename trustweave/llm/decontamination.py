@@ -66,8 +66,8 @@ class Walks:
             at += ((word >> np.uint64(40 + j)) & np.uint64(1)).astype(np.int64)
         return key, last, seen
 
-    def keys(self, padded: np.ndarray, n: int, repeat: int) -> np.ndarray:
-        """Only the hashes, for many words at once."""
+    def keys(self, padded: np.ndarray, n: int, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+        """Only the hashes and last places, for many words at once."""
         padded = padded * self.factors[repeat]
         at, key = np.arange(n), np.zeros(n, np.uint64)
         sampled = set(self.sampled[repeat])
@@ -75,8 +75,9 @@ class Walks:
             word = padded.take(at)
             if j in sampled:
                 key += word * self.fold[j]
-            at += ((word >> np.uint64(40 + j)) & np.uint64(1)).view(np.int64)
-        return key
+            if j < self.sampled[repeat][-1]:
+                at += ((word >> np.uint64(40 + j)) & np.uint64(1)).view(np.int64)
+        return key, at
 
 
 def edit_ends(item: dict[int, int], n: int, text: Sequence[int]) -> tuple[int, int]:
@@ -137,20 +138,22 @@ class Index:
             self.offsets.append(table[:, 2].astype(np.int64))
             self.maps.append(bits)
 
-    def candidates(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (start of the item's window, item) that some repeat names."""
+    def candidates(self, values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start of the item's window, item and row of each hit; walks stay in their row."""
         n = len(values)
         padded = np.concatenate([values, np.zeros(self.walks.steps, np.uint64)])
-        starts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        starts, numbers, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        row_ends = np.searchsorted(row, row, "right") if n else row
         for k in range(len(self.keys)):
-            key = self.walks.keys(padded, n, k)
-            at = np.flatnonzero(self.maps[k][(key >> np.uint64(44)).view(np.int64)])
+            key, last = self.walks.keys(padded, n, k)
+            at = np.flatnonzero(self.maps[k][(key >> np.uint64(44)).view(np.int64)] & (last < row_ends))
             low, high = np.searchsorted(self.keys[k], key[at], "left"), np.searchsorted(self.keys[k], key[at], "right")
             count = high - low
             hit = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
             starts.append(np.repeat(at, count) - self.offsets[k][hit])
             numbers.append(self.numbers[k][hit])
-        return np.concatenate(starts), np.concatenate(numbers)
+            rows.append(np.repeat(row[at], count))
+        return np.concatenate(starts), np.concatenate(numbers), np.concatenate(rows)
 
     def hits(self, column: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(column))]
@@ -161,24 +164,20 @@ class Index:
             if not len(found.hash):
                 continue
             bounds = np.searchsorted(found.row, np.arange(t.n + 1))
-            starts, numbers = self.candidates(found.hash)
-            if not len(starts):
-                continue
+            starts, numbers, rows = self.candidates(found.hash, found.row)
             # a start may lie before its row, if the passage's head is missing
-            anchors = np.clip(starts, 0, len(found.hash) - 1)
-            order = np.lexsort((anchors, numbers))
+            order = np.lexsort((starts, numbers))
             regions: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for s, number in zip(anchors[order].tolist(), numbers[order].tolist()):
+            for s, number, row in zip(starts[order].tolist(), numbers[order].tolist(), rows[order].tolist()):
                 _, n, most, *_ = self.items[number]
-                for row in {found.row[s], found.row[min(s + n - 1, len(found.hash) - 1)]}:
-                    low, high = max(bounds[row], s - most), min(bounds[row + 1], s + n + most)
-                    if high - low < n - most:
-                        continue
-                    merged = regions[row, number]
-                    if merged and low <= merged[-1][1] and high - merged[-1][0] <= 4 * (n + most):
-                        merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-                    else:
-                        merged.append((low, high))
+                low, high = max(bounds[row], s - most), min(bounds[row + 1], s + n + most)
+                if high - low < n - most:
+                    continue
+                merged = regions[row, number]
+                if merged and low <= merged[-1][1] and high - merged[-1][0] <= 4 * (n + most):
+                    merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+                else:
+                    merged.append((low, high))
             for (row, number), parts in regions.items():
                 best = self._best(number, found.hash, parts, bounds[row])
                 if best:
