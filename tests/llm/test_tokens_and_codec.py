@@ -98,3 +98,28 @@ def test_models_whose_pieces_cross_units_are_refused():
     model.pieces.add(piece="a▁b", score=-1.0, type=1)
     with pytest.raises(ValueError):
         check_units(model)
+
+
+def test_ids_equal_the_untouched_library(spark, library):
+    codec = sentencepiece_codec.worker_codec(PATH)
+    given = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(60).collect()]
+    rng = random.Random(4)
+    runs = ["".join(rng.choice(["▁", " ", "a", "aa", "th", "ing", "==", "--", "é", "漢", "🙂", "0", "\n"]) * rng.randrange(1, 6) for _ in range(12)) for _ in range(1500)]
+    for x in [*given, *texts(3000, 5), *runs, *[" " * k + "x" * (k % 3) for k in range(70)], "a" * 999, "=" * 999, " " * 999]:
+        assert np.frombuffer(codec.encode(x), np.int32).tolist() == library.encode(x), repr(x)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "doc_id long, text string")
+    coded = {r.doc_id: r for r in sentencepiece_codec.encode_texts(df, PATH, verify=True).collect()}
+    counted = {r.doc_id: r.n_tokens for r in token_count.count_tokens(df, PATH, limit=4096).collect()}
+    assert all(r.ids == library.encode(r.text) and r.round_trip and r.n_tokens == counted[r.doc_id] for r in coded.values())
+
+
+def test_model_types_choose_the_encoding(tmp_path):
+    model = load_model(PATH)
+    for kind, made in ((1, sentencepiece_codec.Codec), (2, sentencepiece_codec.MergeCodec)):
+        model.trainer_spec.model_type = kind
+        (tmp_path / f"{kind}.model").write_bytes(model.SerializeToString())
+        assert type(sentencepiece_codec.worker_codec(str(tmp_path / f"{kind}.model"))) is made
+    model.trainer_spec.model_type = 3
+    (tmp_path / "3.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        sentencepiece_codec.worker_codec(str(tmp_path / "3.model"))

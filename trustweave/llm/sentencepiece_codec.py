@@ -1,12 +1,20 @@
-"""SentencePiece encoding by an Aho-Corasick automaton and Viterbi, and decoding.
+"""SentencePiece encoding by an Aho-Corasick automaton in a single pass, and decoding.
 
 One automaton over all pieces reads a unit once; at each position its output links give
-every piece that ends there, and each relaxes the best score of that position. A
-character that no one-letter piece covers costs ``unk_penalty`` below the lowest score
-and is written as byte pieces. Among equal scores the longer last piece wins.
+every piece that ends there. A model's type says which of them is the last one:
+
+* unigram (``Codec``): each relaxes the best score of that position (Viterbi). A character
+  that no one-letter piece covers costs ``unk_penalty`` below the lowest score. Among equal
+  scores the longer last piece wins.
+* BPE (``MergeCodec``): scores are merge ranks, so sums of them mean nothing. A text's pieces
+  are the merges' result exactly if each two neighbours are, so the last piece is the only
+  one that forms a valid border with the piece before it; borders are checked by undoing
+  the merges of both sides, latest first, and kept.
+
+A character without a piece is written as byte pieces.
 
 Units (see ``units.py``) are encoded one by one, so a worker cache serves repeated ones;
-the best path of a text is the best paths of its units in a row.
+the encoding of a text is that of its units in a row.
 
 Defined cases: a null text gives a null list, an empty text an empty list. Decoding gives
 back the text, where the model's space mark reads as a space. Ids outside the vocabulary
@@ -34,8 +42,11 @@ UNK_PENALTY = 10.0
 
 @lru_cache(maxsize=2)
 def worker_codec(path: str) -> Codec:
-    """One codec for each Python worker, kept from task to task."""
-    return Codec(path)
+    """One codec of the model's type for each Python worker, kept from task to task."""
+    kind = load_model(path).trainer_spec.model_type
+    if kind not in CODECS:
+        raise ValueError(f"model type {kind}: only unigram and BPE models are coded")
+    return CODECS[kind](path)
 
 
 class Codec:
@@ -124,6 +135,86 @@ class Codec:
         return self.bytes[at].tobytes()[1:] if total and self.bytes[at[0]] == 0x20 else self.bytes[at].tobytes()
 
 
+class MergeCodec(Codec):
+    """The encoding of a BPE model."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        pieces = {piece: edge for piece, edge in self.automaton.items()}
+        self.ids = {piece: edge[0] for piece, edge in pieces.items()}
+        place = {score: k for k, score in enumerate(sorted({edge[2] for edge in pieces.values()}, reverse=True))}
+        self.rank: dict[str, int] = {}  # of pieces that merges can make, lower is earlier
+        self.halves: dict[str, tuple[str, str]] = {}  # what the last merge of a piece joins
+        self.borders: dict[tuple[str, str], bool] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece in sorted(pieces, key=lambda x: (place[pieces[x][2]], len(x))):
+            if len(piece) > 1:
+                halves = ((piece[:k], piece[k:]) for k in range(len(piece) - 1, 0, -1))
+                made = next((h for h in halves if all(len(x) == 1 or x in self.rank for x in h) and self.is_border(*h)), None)
+                if made is None:
+                    raise ValueError(f"the piece {piece!r} is not made by earlier merges")
+                self.rank[piece], self.halves[piece] = place[pieces[piece][2]], made
+            self.automaton.add_word(piece, piece)
+        self.automaton.make_automaton()
+
+    def is_border(self, left: str, right: str) -> bool:
+        """Whether no merge crosses from one piece into the next before both are made."""
+        rank = self.rank
+        limit = len(self.ids)
+        while True:
+            if rank.get(left + right, limit) < limit:
+                return False
+            a, b = rank.get(left, -1), rank.get(right, -1)
+            if a < 0 and b < 0:
+                return True
+            # undo the later merge; of equal ones the left one is made first
+            if a > b:
+                limit, left = a, self.halves[left][1]
+            else:
+                limit, right = b + 1, self.halves[right][0]
+
+    def best_path(self, unit: str) -> list[int]:
+        """Ids of the merges' result for one unit, spaces written as marks."""
+        n = len(unit)
+        last = [""] * (n + 1)  # the last piece of the text up to each place
+        borders = self.borders
+        done = n if self.letters.issuperset(unit) else 0
+        for end, piece in self.automaton.iter(unit):
+            end += 1
+            while done < end - 1:  # a character without a piece stands alone
+                done += 1
+                last[done] = last[done] or unit[done - 1]
+            if last[end]:
+                continue
+            before = last[end - len(piece)]
+            if before:
+                valid = borders.get((before, piece))
+                if valid is None:
+                    if len(borders) >= CACHE_SIZE:
+                        borders.clear()
+                    valid = borders[before, piece] = self.is_border(before, piece)
+                if not valid:
+                    continue
+            last[end] = piece
+        while done < n:
+            done += 1
+            last[done] = last[done] or unit[done - 1]
+        ids: list[int] = []
+        at = n
+        while at:
+            piece = last[at]
+            if piece in self.ids:
+                ids.append(self.ids[piece])
+            else:
+                ids += [self.byte_ids[b] for b in reversed(piece.encode())]
+            at -= len(piece)
+        return ids[::-1]
+
+
+#: By the format's model types.
+CODECS = {1: Codec, 2: MergeCodec}
+
+
 def _plain(text: str) -> bytes:
     return text.replace(MARK, " ").encode()
 
