@@ -47,3 +47,23 @@ def test_bad_hosts_are_blocked_and_few_labels_are_not(spark):
     for r in out:
         by.setdefault(r.host, set()).add(r.verdict)
     assert by == {"bad.one.com": {"block"}, "good.one.com": {"allow"}, "fresh.one.com": {"allow"}, "other.net": {"allow"}}
+
+
+def test_registered_query_blocks_bad_hosts_of_few_labels_among_many_good_ones(spark, tmp_path):
+    from trustweave.llm import queries
+
+    # 6 bad hosts of 10 to 30 labels, three of them in a domain with good hosts; the rest good
+    bad = {f"bad{k}.{'mixed.net' if k % 2 else f'own{k}.net'}": 10 + 4 * k for k in range(6)}
+    good = {f"h{k}.{'mixed.net' if k < 6 else f'site{k}.net'}": 10 + k % 21 for k in range(80)}
+    pages, labels = [], []
+    for host, n in {**bad, **good}.items():
+        for k in range(n):
+            wrong = (k % 10 != 9) if host in bad else (k % 10 == 9)  # nine of ten, or one of ten
+            labels.append((len(pages), 0 if wrong else 1, 0))
+            pages.append((len(pages), f"http://{host}/en/{k}", ""))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = queries.op2_url_filters(spark, str(tmp_path)).collect()
+    assert len(out) == len(pages) and all(r.rule is None for r in out)
+    assert {r.host for r in out if r.verdict == "block"} == set(bad)
+    assert {r.host for r in out if r.verdict == "allow"} == set(good)
