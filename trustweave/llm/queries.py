@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import decontamination, html_text, language_id, ngram_join, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import decontamination, html_text, language_id, ngram_join, periodic_runs, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -196,6 +198,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The registered query's word order: of ids whose checksum ends in 0, the words from a
+    place on repeat its first few."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None and n else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    index = np.arange(n)
+    index[a:] = a + (index[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return index
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document: the longest, and digests of all runs and of the collapsed text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs, columns=["doc_id"], order_key="doc_id", order=repeated_order)
+    # the greatest length, then the smallest start and period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 SQL_NGRAM_JOIN = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4]) END)) AS gs FROM w WHERE len(ws) > 0),
 e AS (SELECT doc_id, unnest(gs) AS gram FROM g),
@@ -226,6 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL: dict[str, str] = {
