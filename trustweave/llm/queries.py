@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import decontamination, html_text, language_id, ngram_join, periodic_runs, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import collocations, decontamination, html_text, language_id, ngram_join, periodic_runs, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -224,6 +224,37 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases of two or three words, over all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL_COLLOCATIONS = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT lang, ws[i] AS w1, ws[i+1] AS w2, ws[i+2] AS w3 FROM at),
+f1 AS (SELECT lang, w1, count(*) AS f FROM s GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+held AS (SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+pairs AS (
+  SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1000000::HUGEINT * f2.f * f2.f // (x.f::HUGEINT * y.f) AS score
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  LEFT JOIN held ON held.lang = f2.lang AND held.w1 = f2.w1 AND held.w2 = f2.w2 WHERE most IS NULL OR 100 * most < 50 * f2.f),
+cuts AS (
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x1.f AS l1, y2.f AS r1, x2.f AS l2, y1.f AS r2,
+    1000000::HUGEINT * f3.f * f3.f // (x1.f::HUGEINT * y2.f) AS s1, 1000000::HUGEINT * f3.f * f3.f // (x2.f::HUGEINT * y1.f) AS s2
+  FROM f3 JOIN f1 x1 ON x1.lang = f3.lang AND x1.w1 = f3.w1 JOIN f2 x2 ON x2.lang = f3.lang AND x2.w1 = f3.w1 AND x2.w2 = f3.w2
+  JOIN f2 y2 ON y2.lang = f3.lang AND y2.w1 = f3.w2 AND y2.w2 = f3.w3 JOIN f1 y1 ON y1.lang = f3.lang AND y1.w1 = f3.w3),
+found AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM found)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 SQL_NGRAM_JOIN = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4]) END)) AS gs FROM w WHERE len(ws) > 0),
 e AS (SELECT doc_id, unnest(gs) AS gram FROM g),
@@ -255,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -262,4 +294,5 @@ SQL: dict[str, str] = {
     "op2_url_filters": SQL_URL_FILTERS,
     "op5_ngram_join": SQL_NGRAM_JOIN,
     "op10_warc": SQL_WARC,
+    "op13_phrase_collocations": SQL_COLLOCATIONS,
 }
