@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trustweave.llm import collocations, decontamination, html_text, language_id, ngram_join, periodic_runs, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
+from trustweave.llm import chosen_path, collocations, decontamination, html_text, language_id, ngram_join, periodic_runs, quality, secrets, sentencepiece_codec, token_count, url_reputation, warc
 from trustweave.llm.staging import new_path
 
 
@@ -198,6 +198,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its set's size and its group of near duplicates."""
+    return chosen_path.link_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL_NEAR_DEDUP = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1]) END) AS gs FROM w WHERE len(ws) > 0),
+c AS (SELECT min(doc_id) AS c_id, list_sort(gs) AS gs, len(gs) AS n FROM g GROUP BY ALL),
+e AS (SELECT c_id, n, hash(unnest(gs)) AS gram FROM c),
+pairs AS (SELECT a.c_id AS a, b.c_id AS b, a.n AS x, b.n AS y, count(*) AS both FROM e a JOIN e b ON a.gram = b.gram AND a.c_id < b.c_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * both >= 80 * (x + y - both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(c_id, root) AS (SELECT c_id, c_id FROM c UNION SELECT l.b, r.root FROM reach r JOIN edges l ON l.a = r.c_id),
+groups AS (SELECT c_id, min(root) AS root FROM reach GROUP BY c_id),
+of AS (SELECT g.doc_id, c.n, groups.root FROM g JOIN c ON c.gs = list_sort(g.gs) JOIN groups USING (c_id))
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM documents LEFT JOIN of USING (doc_id)"""
+
+
 def repeated_order(doc_id: int | None, n: int) -> np.ndarray | None:
     """The registered query's word order: of ids whose checksum ends in 0, the words from a
     place on repeat its first few."""
@@ -232,8 +251,8 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_COLLOCATIONS = r"""WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
-at AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-s AS (SELECT lang, ws[i] AS w1, ws[i+1] AS w2, ws[i+2] AS w3 FROM at),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT lang, ws[i] AS w1, ws[i+1] AS w2, ws[i+2] AS w3 FROM spots),
 f1 AS (SELECT lang, w1, count(*) AS f FROM s GROUP BY ALL),
 f2 AS (SELECT lang, w1, w2, count(*) AS f FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
 f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
@@ -285,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
@@ -294,5 +314,6 @@ SQL: dict[str, str] = {
     "op2_url_filters": SQL_URL_FILTERS,
     "op5_ngram_join": SQL_NGRAM_JOIN,
     "op10_warc": SQL_WARC,
+    "op11_minhash_near_dedup": SQL_NEAR_DEDUP,
     "op13_phrase_collocations": SQL_COLLOCATIONS,
 }
