@@ -208,8 +208,8 @@ SQL_NEAR_DEDUP = r"""WITH RECURSIVE w AS (
 g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i+1]) END) AS gs FROM w WHERE len(ws) > 0),
 c AS (SELECT min(doc_id) AS c_id, list_sort(gs) AS gs, len(gs) AS n FROM g GROUP BY ALL),
 e AS (SELECT c_id, n, hash(unnest(gs)) AS gram FROM c),
-pairs AS (SELECT a.c_id AS a, b.c_id AS b, a.n AS x, b.n AS y, count(*) AS both FROM e a JOIN e b ON a.gram = b.gram AND a.c_id < b.c_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
-links AS (SELECT a, b FROM pairs WHERE 100 * both >= 80 * (x + y - both)),
+pairs AS (SELECT a.c_id AS a, b.c_id AS b, a.n AS x, b.n AS y, count(*) AS common FROM e a JOIN e b ON a.gram = b.gram AND a.c_id < b.c_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (x + y - common)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(c_id, root) AS (SELECT c_id, c_id FROM c UNION SELECT l.b, r.root FROM reach r JOIN edges l ON l.a = r.c_id),
 groups AS (SELECT c_id, min(root) AS root FROM reach GROUP BY c_id),
