@@ -37,6 +37,18 @@ SELECT b.frame, b.box, count(p.x) AS point_count FROM boxes b
 LEFT JOIN points p ON p.frame=b.frame AND {sql_inside()} GROUP BY b.frame, b.box""")
 
 
+def mixed_boxes(spark, d):
+    """Boxes from one metre to a kilometre in one join."""
+    times = F.pow(F.lit(10.0), F.pmod("box", F.lit(4)).cast("double"))
+    sized = boxes(spark, d).withColumns({c: F.col(c) * times for c in ("size_x_m", "size_y_m")})
+    return count_in_boxes(points(spark, d), sized, ["frame"], ["box"])
+
+
+SQL_MIXED_BOXES = with_sql(f"{SQL_POINTS}, {SQL_BOXES}, sized AS (SELECT * REPLACE (sx*10.0::DOUBLE**(box%4) AS sx, sy*10.0::DOUBLE**(box%4) AS sy) FROM boxes)", f"""
+SELECT b.frame, b.box, count(p.x) AS point_count FROM sized b
+LEFT JOIN points p ON p.frame=b.frame AND {sql_inside()} GROUP BY b.frame, b.box""")
+
+
 def _agent_counts(spark, d):
     return count_in_boxes(
         points(spark, d), agent_boxes(spark, d), ["frame", "agent"], ["box"]
@@ -446,6 +458,7 @@ FROM observations GROUP BY 1,2""")
 
 QUERIES = {
     "points_in_boxes": (points_in_boxes, SQL_POINTS_IN_BOXES),
+    "mixed_boxes": (mixed_boxes, SQL_MIXED_BOXES),
     "count_residuals": (count_residuals_query, SQL_RESIDUALS),
     "peer_corroboration": (peer_corroboration, SQL_PEERS),
     "weakest_peer": (weakest_peer, SQL_WEAKEST),

@@ -22,7 +22,7 @@ KEY = ["agent_id"]
 
 
 def _targets(spark, d):
-    """Every 97th event starts a target: its time and the user's next sample time."""
+    """Every event that has a next one starts a target: its time and the user's next sample time."""
     rows = table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("agent_id"), "event_id", ts_ns().alias("time_ns")
     )
@@ -30,7 +30,7 @@ def _targets(spark, d):
         rows, KEY, ["time_ns"], time_slot(F.col("time_ns"), slot_width(spark, d)),
         [Running("next", F.struct("time_ns"), reverse=True, include_current=False)],
     )
-    return rows.filter((_mod("event_id", 97) == 0) & F.col("next").isNotNull()).select(
+    return rows.filter(F.col("next").isNotNull()).select(
         F.col("event_id").cast("string").alias("target_id"), "agent_id",
         F.array("time_ns", "next.time_ns").alias("sample_times_ns"),
     )
@@ -53,7 +53,7 @@ nx AS (SELECT *, lead(time_ns) OVER (PARTITION BY agent_id ORDER BY time_ns) AS
 specs AS (SELECT event_id||'-'||kind||'-'||k||'-'||severity AS variant_id, event_id::VARCHAR AS target_id, agent_id, kind, k, severity, ax, ay, time_ns AS s0, t_next AS s1
   FROM nx, (SELECT 'velocity_spike' AS kind, 1 AS k, 'mild' AS severity, 1.0::DOUBLE AS ax, 0.0::DOUBLE AS ay
             UNION ALL SELECT 'velocity_drift', 2, 'severe', 0.004::DOUBLE, -0.002::DOUBLE)
-  WHERE event_id%97=0 AND t_next IS NOT NULL),
+  WHERE t_next IS NOT NULL),
 changes AS (SELECT variant_id, agent_id, s0 AS time_ns, 0 AS ord, CASE WHEN kind='velocity_drift' THEN 1.0::DOUBLE/k ELSE 1 END AS f, ax, ay FROM specs
   UNION ALL SELECT variant_id, agent_id, s1, 1, 1.0, ax, ay FROM specs WHERE k=2)"""
 
@@ -69,8 +69,9 @@ SQL_SPEC_BUILD = with_sql(SQL_SPECS_CTE, """
 SELECT variant_id, target_id, agent_id, kind, severity, CASE WHEN k=1 THEN s0::VARCHAR ELSE s0||','||s1 END AS times FROM specs""")
 
 
-def _changes(spark, d):
-    return O.velocity_changes(odometry(spark, d), _specs(spark, d), KEY, slot_ns=slot_width(spark, d))
+def _changes(spark, d, specs=None):
+    specs = _specs(spark, d) if specs is None else specs
+    return O.velocity_changes(odometry(spark, d), specs, KEY, slot_ns=slot_width(spark, d))
 
 
 def velocity_overlay(spark, d):
@@ -102,9 +103,9 @@ l AS (SELECT *, lag(changed) OVER (PARTITION BY agent_id ORDER BY time_ns) AS be
 SELECT agent_id, time_ns, before IS NOT NULL AND (changed OR before) AS affected FROM l"""
 
 
-def _recomputed(spark, d):
+def _recomputed(spark, d, specs=None):
     return O.recompute_series(
-        odometry(spark, d), stage(_changes(spark, d)), KEY, max_gap_s=86400.0, slot_ns=slot_width(spark, d)
+        odometry(spark, d), stage(_changes(spark, d, specs)), KEY, max_gap_s=86400.0, slot_ns=slot_width(spark, d)
     )
 
 
@@ -187,11 +188,17 @@ def _delta(spark, d):
     return O.series_delta(_series_base(spark, d), _recomputed(spark, d), _frames(spark, d), KEY)
 
 
+def _digits(c):
+    """Nine decimals of small values, six of large ones: the same number of true digits."""
+    v = F.col(c)
+    return F.when(F.abs(v) < 10, F.round(v, 9) + F.lit(0.0)).otherwise(r6(v))
+
+
 def series_delta(spark, d):
     """Evidence delta: the rows of six names that a velocity overlay replaces."""
     delta, _ = _delta(spark, d)
     return delta.select(
-        "overlay_id", "sync_frame_id", "evidence_name", r6("value").alias("value"),
+        "overlay_id", "sync_frame_id", "evidence_name", _digits("value").alias("value"),
         "available", "reason_code", "changed",
     )
 
@@ -211,7 +218,7 @@ long AS (SELECT variant_id, agent_id, event_id, reason_code='matched' AS ok, u.i
     +0.3::DOUBLE*(1-least((event_id%30)/10.0::DOUBLE/3.0::DOUBLE,1))+0.3::DOUBLE*((event_id%4)/4.0::DOUBLE))}]) AS u FROM re))"""
 
 SQL_DELTA = with_sql(SQL_DELTA_CTE, """
-SELECT variant_id AS overlay_id, event_id AS sync_frame_id, n AS evidence_name, CASE WHEN ok THEN round(v,6)+0.0 END AS value, ok AS available,
+SELECT variant_id AS overlay_id, event_id AS sync_frame_id, n AS evidence_name, CASE WHEN ok THEN CASE WHEN abs(v)<10 THEN round(v,9) ELSE round(v,6) END+0.0 END AS value, ok AS available,
  CASE WHEN ok THEN 'matched' ELSE 'incomplete_evidence' END AS reason_code,
  (CASE WHEN ok THEN v END) IS DISTINCT FROM (CASE WHEN event_id%6<>0 THEN ((event_id*(i+3))%50)/10.0::DOUBLE END) AS changed
 FROM long WHERE (event_id+i)%9<>0""")
@@ -222,12 +229,13 @@ SELECT variant_id AS overlay_id, agent_id, event_id AS sync_frame_id, n AS evide
 
 def _attempts(spark, d):
     """Attempts of all specs; every fifth target's overlay is reported as failed."""
-    specs = _specs(spark, d).withColumn(
+    made = stage(_specs(spark, d))
+    specs = made.withColumn(
         "problem", F.when(_mod(F.col("target_id").cast("bigint"), 5) == 0, "sample_unavailable")
     ).withColumn(
         "agent_type", F.when(_mod(F.col("agent_id").cast("bigint"), 2) == 0, "vehicle").otherwise("infrastructure")
     )
-    return O.attempts(specs, O.series_effects(_recomputed(spark, d)))
+    return O.attempts(specs, O.series_effects(_recomputed(spark, d, made)))
 
 
 def attempts_query(spark, d):
@@ -385,8 +393,7 @@ def _spatial_changes(spark, d):
     """Removal by one sender per user; its effect on both boxes."""
     points = _agent_points(spark, d)
     specs = event_boxes(spark, d).withColumn("agent", _mod("frame", 5))
-    gone = O.removal_choice(points, specs, ["frame", "agent"], ["event_id"])
-    rows = points.join(gone.select("variant_id", "frame", "agent", "event_id"), ["frame", "agent", "event_id"])
+    rows = O.removal_choice(points, specs, ["frame", "agent"], ["event_id"], carry=["x", "y", "z"])
     return O.changed_counts(
         _objects(spark, d), ["frame", "agent"], ["object"], removed_points=rows
     )
@@ -434,7 +441,7 @@ SELECT variant_id, frame, object::BIGINT AS object, agent::BIGINT AS agent, n AS
 
 
 def spatial_dependencies(spark, d):
-    agents = _objects(spark, d).select("frame", "agent").distinct()
+    agents = _objects(spark, d).select("frame", "agent")
     out = O.spatial_dependencies(_spatial_changes(spark, d), agents, ["frame", "object"], ["frame"], "agent")
     return out.select("variant_id", "frame", F.col("object").cast("bigint").alias("object"), "agent", "evidence_name")
 

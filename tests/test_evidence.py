@@ -15,7 +15,7 @@ from trustweave.operators import overlays as O
 from trustweave.operators.evidence import Item, to_long, to_wide
 from trustweave.operators.peers import leave_one_out, summarize_suspicion
 from trustweave.operators.quantiles import exact_median
-from trustweave.operators.spatial import count_in_boxes, spatial_support
+from trustweave.operators.spatial import box_cells, count_in_boxes, spatial_support
 
 BOX = "center_x_m double, center_y_m double, center_z_m double, size_x_m double, size_y_m double, size_z_m double, yaw_rad double"
 
@@ -27,8 +27,8 @@ def _inside(p, b, tol=1e-6):
     return abs(lx) <= sx / 2 + tol and abs(ly) <= sy / 2 + tol and abs(dz) <= sz / 2 + tol
 
 
-@pytest.mark.parametrize("cell,dense", [(0.7, 10**6), (4.0, 5), (100.0, 200)])
-def test_points_in_boxes_equals_brute_force(spark, cell, dense):
+@pytest.mark.parametrize("cell", [0.7, 4.0, 100.0])
+def test_points_in_boxes_equals_brute_force(spark, cell):
     random.seed(4)
     points = [(f, random.uniform(-9, 9), random.uniform(-9, 9), random.uniform(-3, 3), i)
               for i in range(900) for f in (0, 1)]
@@ -38,10 +38,27 @@ def test_points_in_boxes_equals_brute_force(spark, cell, dense):
     p = spark.createDataFrame(points, "frame int, x double, y double, z double, id int")
     b = spark.createDataFrame(boxes, "frame int, box int, " + BOX)
     got = {(r["frame"], r["box"]): r["point_count"] for r in
-           count_in_boxes(p, b, ["frame"], ["box"], cell_m=cell, dense_rows=dense).collect()}
+           count_in_boxes(p, b, ["frame"], ["box"], cell_m=cell).collect()}
     assert got == {(x[0], x[1]): sum(_inside(q[1:4], x[2:]) for q in points if q[0] == x[0]) for x in boxes}
 
 
+def test_boxes_of_any_size_are_listed_in_few_cells(spark):
+    random.seed(5)
+    sizes = [1e-3, 1.0, 3.9, 4.0, 4.1, 17.0, 1000.0, 5e4, 1e12, math.inf]
+    boxes = [(k, random.uniform(-50, 50), random.uniform(-50, 50), 0.0, s, s * random.uniform(0.1, 1), 4.0, random.uniform(-7, 7))
+             for k, s in enumerate(sizes * 8)]
+    unknown = [(900, 0.0, 0.0, 0.0, math.nan, 1.0, 1.0, 0.0), (901, None, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0), (902, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, math.inf)]
+    b = spark.createDataFrame([(0, *x) for x in boxes + unknown], "frame int, box int, " + BOX)
+    listed = {r["box"]: r["count"] for r in box_cells(b, ["frame"], ["box"], 1e-6, 4.0).groupBy("box").count().collect()}
+    assert max(listed.values()) <= 9
+    points = [(0, random.uniform(-600, 600), random.uniform(-60, 60), random.uniform(-3, 3), i) for i in range(2000)]
+    p = spark.createDataFrame(points, "frame int, x double, y double, z double, id int")
+    got = {r["box"]: r["point_count"] for r in count_in_boxes(p, b, ["frame"], ["box"]).collect()}
+    want = {x[0]: sum(_inside(q[1:4], x[1:]) for q in points) for x in boxes if math.isfinite(x[4])}
+    assert {k: got[k] for k in want} == want and sum(want.values()) > 2000
+    assert all(got[x[0]] == 0 for x in unknown)
+
+
 def test_support_reasons_and_two_sided_residual(spark):
     box = (0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0)
     b = spark.createDataFrame(

@@ -20,8 +20,11 @@ from trustweave.operators.ordered import DAY_NS, Running, int_div, previous_row,
 from trustweave.operators.peers import leave_one_out
 from trustweave.operators.quantiles import exact_median
 from trustweave.operators.spatial import BOX_COLUMNS, pairs_in_boxes
+from trustweave.sources.stage import stage
 
 VARIANT = "variant_id"
+#: Bits of what a count change reaches: its own sender, its object, its frame.
+OWN, OBJECT, FRAME = 1, 2, 4
 
 
 # -- series overlays -------------------------------------------------------------
@@ -101,18 +104,16 @@ def affected_intervals(
         VARIANT, *keys, F.col("time_ns").alias("__at"),
         F.col("perturbed_velocity_mps").alias("__v"),
     )
-    own = rows.join(new.withColumnRenamed("__at", "time_ns"), [*keys, "time_ns"]).select(
-        VARIANT, *rows.columns, F.lit("end").alias("__which"), "__v"
+    # both ends in one join: an interval can be touched at both, by two rows per variant
+    ends = F.array(
+        F.struct(F.lit(True).alias("__end"), F.col("time_ns").alias("__at")),
+        F.struct(F.lit(False).alias("__end"), F.col("previous.time_ns").alias("__at")),
     )
-    start = rows.withColumn("__at", F.col("previous.time_ns")).join(new, [*keys, "__at"]).select(
-        VARIANT, *rows.columns, F.lit("start").alias("__which"), "__v"
-    )
-    # an interval can be touched at both ends: at most two rows per variant and interval
-    both = own.unionByName(start)
+    both = rows.select("*", F.inline(ends)).join(new, [*keys, "__at"])
     one = both.groupBy(VARIANT, *keys, "time_ns").agg(
         F.any_value(F.struct(*[c for c in rows.columns if c not in (*keys, "time_ns")])).alias("__r"),
-        F.max(F.when(F.col("__which") == "end", F.col("__v"))).alias("__end_v"),
-        F.max(F.when(F.col("__which") == "start", F.col("__v"))).alias("__start_v"),
+        F.max(F.when(F.col("__end"), F.col("__v"))).alias("__end_v"),
+        F.max(F.when(~F.col("__end"), F.col("__v"))).alias("__start_v"),
     )
     return one.select(VARIANT, *keys, "time_ns", "__r.*", "__end_v", "__start_v")
 
@@ -121,23 +122,23 @@ def recompute_series(
     odometry: DataFrame, changes: DataFrame, keys: list[str], *, max_gap_s: float,
     slot_ns: int = DAY_NS,
 ) -> DataFrame:
-    """Kinematics of affected intervals only: ``clean`` and ``perturbed`` structs."""
+    """Kinematics of affected intervals only: ``clean`` and ``perturbed`` structs.
+
+    Both are measured in the interval's own row, one after the other.
+    """
     hit = affected_intervals(odometry, changes, keys, slot_ns)
     ends = [VARIANT, *keys, "time_ns"]
-    base = hit.select(*ends, "previous", *SAMPLE[1:])
-    moved = hit.select(
-        *ends,
+    moved = F.struct(
         F.col("previous").withField(
             "body_velocity_mps", F.coalesce("__start_v", F.col("previous.body_velocity_mps"))
         ).alias("previous"),
         *SAMPLE[1:3],
         F.coalesce("__end_v", "body_velocity_mps").alias("body_velocity_mps"),
     )
-    values = ["reason_code", "dt_s", "speed_mps", "acceleration_mps2", "yaw_change_rad", "residual_m"]
-    both = base.withColumn("__case", F.lit(0)).unionByName(moved.withColumn("__case", F.lit(1)))
-    measured = measure_intervals(both, max_gap_s)
-    pick = lambda case: F.max(F.when(F.col("__case") == case, F.struct(*values)))
-    return measured.groupBy(*ends).agg(pick(0).alias("clean"), pick(1).alias("perturbed"))
+    values = F.struct("reason_code", "dt_s", "speed_mps", "acceleration_mps2", "yaw_change_rad", "residual_m")
+    base = hit.select(*ends, "previous", *SAMPLE[1:], moved.alias("__moved"))
+    clean = measure_intervals(base, max_gap_s).select(*ends, values.alias("clean"), "__moved.*")
+    return measure_intervals(clean, max_gap_s).select(*ends, "clean", values.alias("perturbed"))
 
 
 def series_dependencies(recomputed: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -220,20 +221,24 @@ def hash_uniform(*parts: Column) -> Column:
 
 
 def removal_choice(
-    points: DataFrame, specs: DataFrame, keys: list[str], point_id: list[str], **options
+    points: DataFrame, specs: DataFrame, keys: list[str], point_id: list[str],
+    carry: list[str] | None = None, **options
 ) -> DataFrame:
-    """Points to take away: exactly ``floor(fraction * inside)`` per spec.
+    """Points to take away: exactly ``floor(fraction * inside)`` per spec; ``carry`` names
+    further columns of the points to return.
 
     The points with the smallest seeded digests go. Ranks are counted per digest
-    prefix, so a box with very many points is spread over its prefixes.
+    prefix, so a box with very many points is spread over its prefixes. The points inside
+    are written once, since ranks read them twice.
     """
     boxes = specs.select(VARIANT, *keys, *BOX_COLUMNS, "removal_fraction", "seed")
     spec = [VARIANT, "removal_fraction", "seed"]
-    inside = pairs_in_boxes(points, boxes, keys, spec, **options).select(*spec, *keys, *point_id)
-    drawn = inside.withColumn(
+    kept = [*keys, *point_id, *(carry or [])]
+    inside = pairs_in_boxes(points, boxes, keys, spec, **options).select(*spec, *kept)
+    drawn = stage(inside.withColumn(
         "digest", F.md5(F.concat_ws("|", F.col("seed").cast("string"),
                                     *[F.col(c).cast("string") for c in point_id]))
-    )
+    ))
     prefix = F.conv(F.substring("digest", 1, 3), 16, 10).cast("bigint")
     # ranks from both ends: together they give the number inside, without a count beside
     one = F.lit(1).cast("bigint")
@@ -243,7 +248,7 @@ def removal_choice(
     inside_count = F.col("rank") + F.coalesce("rest", F.lit(0))
     return ranked.filter(
         F.col("rank") <= F.floor(F.col("removal_fraction") * inside_count)
-    ).select(VARIANT, *keys, *point_id)
+    ).select(VARIANT, *kept)
 
 
 def remove_points(points: DataFrame, removed: DataFrame, point_id: list[str]) -> DataFrame:
@@ -290,17 +295,23 @@ def added_points(specs: DataFrame, keys: list[str], chunk: int = 4096) -> DataFr
 def fill_fields(
     added: DataFrame, points: DataFrame, keys: list[str], fields: list[str]
 ) -> DataFrame:
-    """Give added points the median of each further field of their cloud, else 0."""
-    out = added
-    for name in fields:
-        kind = points.schema[name].dataType
-        middle = exact_median(
-            points.select(*keys, F.col(name).cast("double").alias(name)), keys, name, name
-        )
-        out = out.join(middle, keys, "left").withColumn(
-            name, F.coalesce(F.col(name), F.lit(0.0)).cast(kind)
-        )
-    return out
+    """Give added points the median of each further field of their cloud, else 0.
+
+    All fields are ranked together as rows (cloud, field, value): one sketch, one band and
+    one join, however many fields there are.
+    """
+    if not fields:
+        return added
+    named = F.array(*[
+        F.struct(F.lit(k).alias("__field"), F.col(f).cast("double").alias("__value")) for k, f in enumerate(fields)
+    ])
+    middle = exact_median(points.select(*keys, F.inline(named)), [*keys, "__field"], "__value", "__middle")
+    wide = middle.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__field") == k, F.col("__middle"))).alias(f) for k, f in enumerate(fields)
+    ])
+    return added.join(wide, keys, "left").withColumns({
+        f: F.coalesce(F.col(f), F.lit(0.0)).cast(points.schema[f].dataType) for f in fields
+    })
 
 
 def with_added_points(points: DataFrame, added: DataFrame) -> DataFrame:
@@ -338,12 +349,13 @@ def recompute_peers(
     ``counts`` is the clean (object, agent) table with ``eligible``. An unknown
     clean count stays unknown.
     """
-    touched = changes.select(VARIANT, *object_keys).distinct()
-    affected = counts.join(touched, object_keys)
-    delta = changes.select(VARIANT, *object_keys, agent, "count_change")
-    now = affected.join(delta, [VARIANT, *object_keys, agent], "left").withColumn(
-        "point_count", F.col("point_count") + F.coalesce("count_change", F.lit(0))
-    ).drop("count_change")
+    # an object's changes, at most one for each agent, travel as one row
+    touched = changes.groupBy(VARIANT, *object_keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(agent), F.col("count_change")))).alias("__changes")
+    )
+    now = counts.join(touched, object_keys).withColumn(
+        "point_count", F.col("point_count") + F.coalesce(F.try_element_at("__changes", F.col(agent)), F.lit(0))
+    ).drop("__changes")
     return leave_one_out(now, [VARIANT, *object_keys], **options)
 
 
@@ -361,25 +373,27 @@ def spatial_dependencies(
         "maximum_object_suspicion", "median_object_suspicion",
         "unknown_aware_fixed_risk_uncalibrated",
     ]
-    names = lambda ns: F.array(*[F.lit(n) for n in ns])
+    kinds = {OWN: own_names, OBJECT: S.PEER_EVIDENCE, FRAME: frame_names}
     rest = [k for k in object_keys if k not in frame_keys]
     scope = F.col("__scope")
-    # each change once per scope, without what the scope leaves open
+    # each change once per scope, without what the scope leaves open; the scopes that reach
+    # one key are united as bits, in one aggregate over all changes
     scoped = changes.select(
-        VARIANT, *object_keys, agent, F.explode(names(["own", "object", "frame"])).alias("__scope")
+        VARIANT, *object_keys, agent, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("__scope")
     ).withColumns({
-        **{k: F.when(scope != "frame", F.col(k)) for k in rest},
-        agent: F.when(scope == "own", F.col(agent)),
-    }).distinct()
+        **{k: F.when(scope != FRAME, F.col(k)) for k in rest},
+        agent: F.when(scope == OWN, F.col(agent)),
+    })
+    reached = scoped.groupBy(VARIANT, *object_keys, agent).agg(F.bit_or("__scope").alias("__bits"))
     # the agents of one frame: as many as the registry has at most
     everyone = agents.groupBy(*frame_keys).agg(F.collect_set(agent).alias("__all"))
-    who = F.when(scope == "own", F.array(agent)).otherwise(F.col("__all"))
-    what = (
-        F.when(scope == "own", names(own_names)).when(scope == "object", names(S.PEER_EVIDENCE))
-        .otherwise(names(frame_names))
-    )
-    return scoped.join(everyone, frame_keys, "left").select(
-        VARIANT, *object_keys, F.explode(who).alias(agent), what.alias("__names")
+    who = F.when(F.col(agent).isNotNull(), F.array(agent)).otherwise(F.col("__all"))
+    names = F.flatten(F.array(*[
+        F.when(F.col("__bits").bitwiseAND(k) != 0, F.array(*[F.lit(n) for n in ns])).otherwise(F.array().cast("array<string>"))
+        for k, ns in kinds.items()
+    ]))
+    return reached.join(everyone, frame_keys, "left").select(
+        VARIANT, *object_keys, F.explode(who).alias(agent), names.alias("__names")
     ).select(VARIANT, *object_keys, agent, F.explode("__names").alias("evidence_name"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trustweave.operators.quantiles import exact_median, leave_one_out_median
+from trustweave.operators.quantiles import exact_median, leave_one_out_deviation
 
 MAD_SCALE = 1.4826
 
@@ -23,7 +23,9 @@ def leave_one_out(
     A sender's own count never enters its peer statistics. Senders of one object
     that report the same count share one answer, so the work is done on a
     histogram of counts per object (small, and built with map-side combine) and
-    joined back: no pairs of senders and no collected groups.
+    joined back: no pairs of senders and no collected groups. Taking one sender away
+    moves the median to one of three places; the deviations from each are ranked beside
+    the counts, in the one partitioning that the histogram has.
     """
     if minimum_peers < 1 or not 0 < scale_floor < float("inf"):
         raise ValueError("minimum_peers and scale_floor must be positive")
@@ -32,29 +34,11 @@ def leave_one_out(
     hist = counts.groupBy(*keys, n.alias("__n")).agg(
         F.sum(F.when(usable, 1).otherwise(0)).alias("__c")
     ).withColumn("__v", F.log1p(F.col("__n").cast("double")))
-    located = leave_one_out_median(hist, keys, "__v", "__c").withColumn(
-        "__positive", F.sum(F.when(F.col("__n") > 0, F.col("__c"))).over(Window.partitionBy(*keys))
-    )
-    stats = located.select(
-        *keys, "__n", "__v", "__c", F.col("total").alias("__total"),
-        F.coalesce("__positive", F.lit(0)).alias("__positive"),
-        F.col("median_without").alias("location"),
-    )
-    # at most three locations occur per group: spread the histogram around each
-    locations = stats.filter("location is not null").select(*keys, "location").distinct()
-    gaps = (
-        locations.join(stats.filter("__c > 0").select(*keys, "__v", "__c"), keys)
-        .groupBy(*keys, "location", F.abs(F.col("__v") - F.col("location")).alias("__gap"))
-        .agg(F.sum("__c").alias("__c"))
-    )
-    mads = leave_one_out_median(gaps, [*keys, "location"], "__gap", "__c").select(
-        *keys, "location", "__gap", F.col("median_without").alias("mad")
-    )
-    stats = stats.withColumn("__gap", F.abs(F.col("__v") - F.col("location"))).join(
-        mads, [*keys, "location", "__gap"], "left"
+    stats = leave_one_out_deviation(hist, keys, "__v", "__c").withColumn(
+        "__positive", F.coalesce(F.sum(F.when(F.col("__n") > 0, F.col("__c"))).over(Window.partitionBy(*keys)), F.lit(0))
     )
     answer = stats.select(
-        *keys, F.coalesce("__n", F.lit(-1)).alias("__join"), "__total", "__positive",
+        *keys, F.coalesce("__n", F.lit(-1)).alias("__join"), F.col("total").alias("__total"), "__positive",
         "location", "mad",
     )
     own = usable.cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trustweave.operators.ordered import int_div
 from trustweave.sources.stage import stage
@@ -56,39 +56,44 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     )
 
 
-def leave_one_out_median(hist: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Median of a weighted group with and without one copy of each value.
+def leave_one_out_deviation(hist: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Median and median absolute deviation of a weighted group without one copy of each value.
 
-    ``hist`` has one row per (group, value) with its multiplicity. Appends
-    ``total``, ``median_all`` and ``median_without`` (null where the remaining
-    group is empty). Removing one copy of ``v`` shifts only the ranks at or above
-    its last copy, so three order statistics per group answer every row.
+    ``hist`` has one row per (group, value) with its multiplicity. Appends ``total``,
+    ``location`` (the median of the others) and ``mad`` (of their distances from it), null
+    where nothing remains or the row has no weight. Removing one copy of ``v`` shifts only the
+    ranks at or above its last copy, so three order statistics per group answer every row;
+    the location takes one of three values, and for each the distances are ranked once. All
+    windows share the partitioning by ``keys``.
     """
     group = Window.partitionBy(*keys)
-    rows = hist.withColumn(
-        "__cum",
-        F.sum(weight).over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)),
-    )
-    total = F.sum(weight).over(group)
-    rows = rows.withColumn("total", total)
-    n = F.col("total")
-    h = int_div(n, 2)
-    at = lambda k: F.min(
-        F.when(F.col("__cum") >= F.col("__h") + k, F.col(value))
-    ).over(group)
-    rows = rows.withColumn("__h", h).select(
-        "*", at(0).alias("__s0"), at(1).alias("__s1"), at(2).alias("__s2")
-    )
-    s0, s1, s2, cum = (F.col(c) for c in ("__s0", "__s1", "__s2", "__cum"))
+    n, h, w = F.col("total"), F.col("__h"), F.col(weight)
     odd = F.pmod(n, F.lit(2)) == 1
-    # q-th of the others is the q-th of all below the removed copy, else the (q+1)-th
-    others = lambda k, low, high: F.when(
-        F.col("__h") + k < cum, low
-    ).otherwise(high)
-    without = F.when(odd, (others(0, s0, s1) + others(1, s1, s2)) / 2).otherwise(others(0, s0, s1))
+
+    def ranked(rows: DataFrame, of: str, k: int) -> DataFrame:
+        """Cumulated weights along ``of`` and the three middle values."""
+        cum = f"__cum{k}"
+        rows = rows.withColumn(cum, F.sum(weight).over(group.orderBy(of).rowsBetween(Window.unboundedPreceding, 0)))
+        middle = lambda i: F.min(F.when(F.col(cum) >= h + i, F.col(of))).over(group)
+        return rows.withColumns({f"__s{k}{i}": middle(i) for i in range(3)})
+
+    def places(k: int) -> list[Column]:
+        """The median of the others for a copy removed above, between and below the middle."""
+        s0, s1, s2 = (F.col(f"__s{k}{i}") for i in range(3))
+        return [F.when(odd, (s0 + s1) / 2).otherwise(s0), (s0 + s2) / 2, F.when(odd, (s1 + s2) / 2).otherwise(s1)]
+
+    def chosen(k: int, options: list[Column]) -> Column:
+        cum = F.col(f"__cum{k}")
+        # an even number of values leaves one middle rank, an odd one two
+        return F.when(F.when(odd, cum > h + 1).otherwise(cum > h), options[0]).when(odd & (cum == h + 1), options[1]).otherwise(options[2])
+
+    rows = hist.withColumn("total", F.sum(weight).over(group)).withColumn("__h", int_div(n, 2))
+    rows = ranked(rows, value, 0)
+    for k, place in enumerate(places(0), 1):
+        rows = ranked(rows.withColumn(f"__g{k}", F.abs(F.col(value) - place)), f"__g{k}", k)
+    known = (n > 1) & (w > 0)
     return rows.select(
-        *hist.columns,
-        "total",
-        F.when(n > 0, F.when(odd, s1).otherwise((s0 + s1) / 2)).alias("median_all"),
-        F.when((n > 1) & (F.col(weight) > 0), without).alias("median_without"),
+        *hist.columns, "total",
+        F.when(known, chosen(0, places(0))).alias("location"),
+        F.when(known, chosen(0, [chosen(k, places(k)) for k in (1, 2, 3)])).alias("mad"),
     )

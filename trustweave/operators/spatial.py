@@ -10,7 +10,6 @@ from trustweave.functions.geometry import (
     box_local, box_volume, center_range, finite, transform_point,
 )
 from trustweave.functions.scoring import count_residuals
-from trustweave.operators.ordered import int_div
 
 TOLERANCE_M = 1e-6
 BOX_COLUMNS = [
@@ -18,8 +17,15 @@ BOX_COLUMNS = [
 ]
 
 
-def _cell(c: Column, cell_m: float) -> Column:
-    return F.floor(c / cell_m).cast("bigint")
+#: Levels of the grid: cells of ``cell_m`` times a power of two. Beyond the last one, a box
+#: is listed in the one cell that holds everything.
+LEVELS = 24
+
+
+def _cell(c: Column, level: Column, cell_m: float) -> Column:
+    return F.when(level >= LEVELS, F.lit(0).cast("bigint")).otherwise(
+        F.floor(c / (cell_m * F.pow(F.lit(2.0), level))).cast("bigint")
+    )
 
 
 def _inside(tolerance_m: float) -> Column:
@@ -34,6 +40,31 @@ def _inside(tolerance_m: float) -> Column:
     return out
 
 
+def box_cells(
+    boxes: DataFrame, keys: list[str], box_id: list[str], tolerance_m: float, cell_m: float
+) -> DataFrame:
+    """Boxes listed in the cells of their own level that they may touch: at most three by
+    three. Boxes of unknown or undefined extent hold no point and are left out."""
+    slack = 2 * tolerance_m + 1e-6
+    sized = boxes.select(
+        *keys, *box_id, *BOX_COLUMNS,
+        F.cos("yaw_rad").alias("__cos"), F.sin("yaw_rad").alias("__sin"),
+    ).withColumns({
+        "__ex": (F.abs("__cos") * F.col("size_x_m") + F.abs("__sin") * F.col("size_y_m")) / 2 + slack,
+        "__ey": (F.abs("__sin") * F.col("size_x_m") + F.abs("__cos") * F.col("size_y_m")) / 2 + slack,
+    })
+    wide = 2 * F.greatest("__ex", "__ey") / cell_m
+    level = F.when(wide <= 1, 0).when(wide >= 2.0**LEVELS, LEVELS).otherwise(F.ceil(F.log2(wide)))
+    sized = sized.filter(~F.isnan(wide) & wide.isNotNull()).withColumn("__level", level.cast("int"))
+    span = lambda c, e: F.sequence(
+        _cell(F.col(c) - F.col(e), F.col("__level"), cell_m), _cell(F.col(c) + F.col(e), F.col("__level"), cell_m)
+    )
+    return (
+        sized.withColumn("__ix", F.explode(span("center_x_m", "__ex")))
+        .withColumn("__iy", F.explode(span("center_y_m", "__ey"))).drop("__ex", "__ey")
+    )
+
+
 def pairs_in_boxes(
     points: DataFrame,
     boxes: DataFrame,
@@ -42,53 +73,27 @@ def pairs_in_boxes(
     *,
     tolerance_m: float = TOLERANCE_M,
     cell_m: float = 4.0,
-    dense_rows: int = 2_000_000,
-    split_by: list[str] | None = None,
 ) -> DataFrame:
     """All (point, box) rows of a key where the point lies in the box.
 
-    Boxes are listed in every grid cell they may touch, points in one cell, so a
-    crowded frame spreads over its cells. A cell with more than ``dense_rows`` points
-    is split further: its points by a hash of ``split_by``, its boxes repeated once
-    per part. All other cells are left alone. Points with non-finite coordinates are
-    in no box.
+    An equi-join on the cells of a grid with levels. A box is listed at the level whose
+    cells are just as wide as it, in at most three by three cells whatever its size
+    (usually four); a point is listed once for each level that any box uses. So neither
+    a large box nor a small one makes many rows, and a crowded frame spreads over its
+    cells. A crowded cell is a skewed join key, which AQE splits on the points' side. The
+    levels in use, at most ``LEVELS`` + 1 numbers, are read once from the boxes. Points
+    with non-finite coordinates are in no box, boxes with an unknown extent hold no point.
     """
-    if not math.isfinite(tolerance_m) or tolerance_m < 0 or cell_m <= 0 or dense_rows < 1:
-        raise ValueError("tolerance, cell size and dense_rows must be valid")
-    cell = [*keys, "__ix", "__iy"]
-    placed = points.filter(finite(F.col("x"), F.col("y"), F.col("z"))).select(
-        "*",
-        _cell(F.col("x"), cell_m).alias("__ix"),
-        _cell(F.col("y"), cell_m).alias("__iy"),
-    )
-    # at most (points / dense_rows) rows, usually none
-    dense = (
-        placed.groupBy(*cell).agg(F.count("*").alias("__n")).filter(F.col("__n") > dense_rows)
-        .select(*cell, (int_div(F.col("__n"), dense_rows) + 1).alias("__parts"))
-    )
-    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
-    placed = placed.join(dense, cell, "left").withColumn(
-        "__part", F.pmod(F.xxhash64(*(split_by or points.columns)), parts)
-    )
-    sized = boxes.select(
-        *keys, *box_id, *BOX_COLUMNS,
-        F.cos("yaw_rad").alias("__cos"), F.sin("yaw_rad").alias("__sin"),
-    )
-    slack = 2 * tolerance_m + 1e-6
-    ex = (F.abs("__cos") * F.col("size_x_m") + F.abs("__sin") * F.col("size_y_m")) / 2 + slack
-    ey = (F.abs("__sin") * F.col("size_x_m") + F.abs("__cos") * F.col("size_y_m")) / 2 + slack
-    span = lambda c, e: F.sequence(
-        _cell(F.col(c) - e, cell_m), _cell(F.col(c) + e, cell_m)
-    )
-    listed = (
-        sized.withColumn("__ix", F.explode(span("center_x_m", ex)))
-        .withColumn("__iy", F.explode(span("center_y_m", ey)))
-        .join(dense, cell, "left")
-        .withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-        .drop("__parts")
-    )
+    if not math.isfinite(tolerance_m) or tolerance_m < 0 or cell_m <= 0:
+        raise ValueError("tolerance and cell size must be valid")
+    listed = box_cells(boxes, keys, box_id, tolerance_m, cell_m)
+    used = sorted(r[0] for r in listed.select("__level").distinct().collect())
+    at = F.col("__level")
+    placed = points.filter(finite(F.col("x"), F.col("y"), F.col("z"))).withColumn(
+        "__level", F.explode(F.array(*[F.lit(u) for u in used]).cast("array<int>"))
+    ).select("*", _cell(F.col("x"), at, cell_m).alias("__ix"), _cell(F.col("y"), at, cell_m).alias("__iy"))
     return (
-        placed.join(listed, [*cell, "__part"])
+        placed.join(listed, [*keys, "__level", "__ix", "__iy"])
         .filter(_inside(tolerance_m))
         .select(*points.columns, *[c for c in box_id if c not in points.columns])
     )
