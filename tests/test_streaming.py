@@ -175,6 +175,136 @@ def test_match_sweep_is_exact_and_linear():
     assert took[1] < 10 * took[0]
 
 
+class _Handle:
+    """State variables in plain dictionaries, counting what is read from slots."""
+
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Items(Value):
+        get = lambda self: iter(self.held or ())
+
+        def appendList(self, rows):
+            self.held = [*(self.held or ()), *rows]
+
+        def put(self, rows):
+            self.held = list(rows)
+
+    class Map:
+        def __init__(self):
+            self.held, self.read = {}, 0
+
+        containsKey = lambda self, k: k in self.held
+
+        def getValue(self, k):
+            self.read += len(self.held[k][0])
+            return self.held[k]
+
+        def updateValue(self, k, v):
+            self.held[k] = v
+
+        def removeKey(self, k):
+            del self.held[k]
+
+        def clear(self):
+            self.held = {}
+
+    def __init__(self):
+        self.timers = set()
+
+    getValueState = lambda self, *_: self.Value()
+    getListState = lambda self, *_: self.Items()
+    getMapState = lambda self, *_: self.Map()
+    registerTimer = lambda self, ms: self.timers.add(ms)
+
+    def expire(self, processor, key, until):
+        out = []
+        while due := sorted(t for t in self.timers if t <= until):
+            self.timers.discard(due[0])
+            out += list(processor.handleExpiredTimer(key, None, type("T", (), {"getExpiryTimeInMs": lambda _: due[0]})()))
+        return out
+
+
+def _arrow_rows(decisions, messages):
+    import pandas as pd
+
+    rows = [(True, f, t, -1, m, e, False, False) for f, t, m, e in decisions] + [(False, -1, s, a, False, False, e, p) for s, a, e, p in messages]
+    return pd.DataFrame(rows, columns=["is_decision", "sync_frame_id", "time_ns", "arrival_ns", "member", "message_expected", "empty_scene", "pose_valid"])
+
+
+def test_reads_per_timer_do_not_grow_with_history():
+    """A key with 400 micro-batches: answers are the rules', late timers read what early ones do."""
+    from trustweave.streaming.processors import MatchProcessor
+
+    rng = random.Random(8)
+    ahead, wait, age = 2 * SECOND, 8 * SECOND, 5 * SECOND
+    processor, handle = MatchProcessor(["k"], age, ahead, wait), _Handle()
+    processor.init(handle)
+    messages, decisions, got, reads, held = [], [], {}, [], []
+    for step in range(400):
+        at = 10 * step * SECOND
+        sent = [(at + rng.randrange(10 * SECOND), 0, rng.random() < 0.1, rng.random() < 0.8) for _ in range(rng.choice([0, 4, 9]))]
+        sent = [(s, s + rng.choice([0, 1, 7 * SECOND]), e, p) for s, _, e, p in sent]
+        asked = [(4 * step + k, at + rng.randrange(10 * SECOND), True, True) for k in range(4)]
+        messages, decisions = messages + sent, decisions + asked
+        processor.handleInputRows(("a",), iter([_arrow_rows(asked, sent)]), None)
+        before = processor.slots.read
+        for frame in handle.expire(processor, ("a",), at // 1_000_000 - 20_000):
+            got |= {r.sync_frame_id: (r.reason_code, None if r.source_time_ns is None or r.source_time_ns != r.source_time_ns else int(r.source_time_ns)) for r in frame.astype(object).where(frame.notna(), None).itertuples()}
+        reads.append(processor.slots.read - before)
+        held.append(sum(len(v[0]) for v in processor.slots.held.values()))
+    for frame in handle.expire(processor, ("a",), 10**9):
+        got |= {r.sync_frame_id: (r.reason_code, None if r.source_time_ns is None else int(r.source_time_ns)) for r in frame.astype(object).where(frame.notna(), None).itertuples()}
+    for frame, at, member, expected in decisions:
+        seen = [("s", "t", "a", *m, None) for m in messages if m[1] <= at + ahead + wait]
+        assert got[frame] == match_one(("s", "t", frame, at, "a", member, expected), seen, "buffered_nearest", age, ahead)
+    assert max(reads[300:]) <= 1.5 * max(reads[20:120]) and max(held) < 60
+    assert not processor.slots.held and processor.newest.exists()
+
+
+def test_messages_without_decisions_leave_the_state():
+    from trustweave.streaming.processors import MatchProcessor
+
+    for forget in (None, 100 * SECOND):
+        processor, handle = MatchProcessor(["k"], 5 * SECOND, 0, 0, forget), _Handle()
+        processor.init(handle)
+        for step in range(50):
+            processor.handleInputRows(("a",), iter([_arrow_rows([], [(step * SECOND, step * SECOND, False, True)])]), None)
+        handle.expire(processor, ("a",), 90_000)
+        assert not processor.slots.held and processor.newest.get()[0] == 49 * SECOND
+        handle.expire(processor, ("a",), 1_000_000)
+        assert processor.newest.exists() == processor.index.exists() == (forget is None) and not handle.timers
+
+
+def test_state_of_silent_keys_is_removed(spark, tmp_path):
+    """After the bound, the state store holds rows of the last key alone."""
+    jobs.use_rocksdb(spark)
+    schema = "agent_id string, decision_time_ns bigint, risk_score double"
+    batches = [[(str(k), t * SECOND, 0.5) for k in range(20) for t in (1, 2, 3)]] + [[(f"late{t}", t * SECOND, 0.5)] for t in (500, 900, 990, 999)]
+    df = spark.createDataFrame(batches[0], schema)
+    held = {}
+    for expire in (None, 50 * SECOND):
+        path = tmp_path / f"in-{expire}"
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        out = jobs.smooth_stream(_stream(spark, df, path), ["agent_id"], delay="0 seconds", expire_after_ns=expire)
+        jobs.run_available(out, str(tmp_path / f"out-{expire}"), str(tmp_path / f"cp-{expire}"))
+        state = spark.read.format("statestore").option("path", str(tmp_path / f"cp-{expire}")).option("stateVarName", "memory").load()
+        held[expire] = {r.key.agent_id for r in state.select("key").collect()}
+    assert {str(k) for k in range(20)} <= held[None]
+    assert not held[50 * SECOND] & {str(k) for k in range(20)} and len(held[50 * SECOND]) <= 3
+
+
 def test_event_time_is_exact(spark):
     row = spark.sql("SELECT 1704067200000000001L AS a, 1704067200000000000L AS b, 999L AS c").select(
         *[F.unix_micros(jobs.event_time(F.col(c))).alias(c) for c in "abc"]).first()

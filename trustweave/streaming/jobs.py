@@ -37,7 +37,7 @@ def smooth_stream(
 
     ``observations``: string keys, ``decision_time_ns``, the value, and optionally a
     boolean ``reset`` whose row clears its key. A key that has been silent longer
-    than ``expire_after_ns`` starts anew. ``delay`` is how far rows may be behind the
+    than ``expire_after_ns`` starts anew, and its state is removed by then. ``delay`` is how far rows may be behind the
     newest; rows behind it are dropped by the watermark and counted by ``run_available``.
     """
     reset = F.coalesce("reset", F.lit(False)) if "reset" in observations.columns else F.lit(False)
@@ -57,7 +57,7 @@ def smooth_stream(
 
 def match_stream(
     memberships: DataFrame, messages: DataFrame, keys: list[str], *, max_age_ns: int,
-    lookahead_ns: int = 0, wait_ns: int = 0, delay: str,
+    lookahead_ns: int = 0, wait_ns: int = 0, forget_after_ns: int | None = None, delay: str,
 ) -> DataFrame:
     """As-of matching over two streams; late messages are classified, not dropped.
 
@@ -66,7 +66,12 @@ def match_stream(
     ``late``; it never changes which message matches. A decision that no message has
     reached by its settling is ``missing_message``, where a batch over the whole history
     may say ``unmatched``. Rows behind ``delay`` are counted by ``run_available``.
+
+    Messages that no decision to come can need leave the state, but for the newest. A sender
+    without any row for ``forget_after_ns`` is forgotten: what it sent counts as never sent.
     """
+    if forget_after_ns is not None and forget_after_ns < max_age_ns + lookahead_ns + wait_ns:
+        raise ValueError("a sender can't be forgotten while its messages may still match")
     none = F.lit(None)
     unused = F.lit(-1).cast("bigint")  # a null would turn its column, and the others' values, into doubles
     left = memberships.select(
@@ -90,7 +95,7 @@ def match_stream(
         "match_age_ns bigint, message_present boolean, reason_code string"
     )
     return rows.groupBy(*keys).transformWithStateInPandas(
-        MatchProcessor(keys, max_age_ns, lookahead_ns, wait_ns), schema, "Append", "eventTime",
+        MatchProcessor(keys, max_age_ns, lookahead_ns, wait_ns, forget_after_ns), schema, "Append", "eventTime",
     )
 
 

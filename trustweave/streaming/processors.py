@@ -1,8 +1,10 @@
 """Stateful processors: rows wait in state until the watermark has passed them.
 
-A micro-batch sets one timer per key, at its last due time. Until the watermark has passed
+A micro-batch sets a timer per key, at its last due time. Until the watermark has passed
 that time the rows wait, and then all that are due are handled in time order, so the work
-is linear in rows and batch borders can't change a result.
+is linear in rows and batch borders can't change a result. A second timer, when what the key
+holds can't matter any more, takes it out of the state: a silent key leaves nothing behind
+but, for matching without a bound on memory, its newest message.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ class SmoothProcessor(StatefulProcessor):
         held = list(self.waiting.get())
         ready = sorted((tuple(r) for r in held if _ms(r[0]) <= limit), key=lambda r: r[0])
         if not ready:
+            if self._silent(limit):  # any row to come would start anew
+                self.memory.clear()
             return
         rest = [tuple(r) for r in held if _ms(r[0]) > limit]
         if rest:
@@ -78,31 +82,56 @@ class SmoothProcessor(StatefulProcessor):
                 label = "unknown"
             out.append((*key, time, seen, value, seen is not None, previous, label))
         self.memory.update((value, label, last))
+        if self.expire is not None:
+            self.handle.registerTimer(_ms(last + self.expire) + 1)
         if out:
             names = list(self.keys) + [
                 "decision_time_ns", "value", "ewma", "available", "previous_state", "current_state"]
             yield pd.DataFrame(out, columns=names)
 
+    def _silent(self, limit):
+        """The watermark is further past the key's last row than its memory lasts."""
+        if self.expire is None or not self.memory.exists():
+            return False
+        return limit * 1_000_000 - tuple(self.memory.get())[2] > self.expire
+
     def close(self):
         pass
 
 
 class MatchProcessor(StatefulProcessor):
-    """As-of matching of decisions to the messages that arrived by their settling time."""
+    """As-of matching of decisions to the messages that arrived by their settling time.
+
+    Messages lie in slots of time, by the earlier of source and arrival. A timer reads the
+    slots up to the last decision's settling and folds those that are too old for any decision
+    to come into one message, so a key's history is not read again. With ``forget_after_ns`` a
+    key without rows for so long is forgotten altogether.
+    """
 
-    def __init__(self, keys, max_age_ns, lookahead_ns, wait_ns):
+    ITEMS = ("source", "arrival", "empty", "pose", "received")
+
+    def __init__(self, keys, max_age_ns, lookahead_ns, wait_ns, forget_after_ns=None):
         self.keys, self.max_age = keys, max_age_ns
         self.lookahead, self.wait = lookahead_ns, wait_ns
+        self.width = max(max_age_ns + lookahead_ns, 1_000_000_000)
+        self.forget = forget_after_ns
 
     def init(self, handle):
         self.handle = handle
         self.decisions = handle.getListState(
             "decisions", "frame bigint, time bigint, member boolean, expected boolean")
-        self.messages = handle.getListState(
-            "messages", "source bigint, arrival bigint, empty boolean, pose boolean")
+        self.slots = handle.getMapState(
+            "slots", "slot bigint",
+            "source array<bigint>, arrival array<bigint>, empty array<boolean>, pose array<boolean>, received array<bigint>")
+        self.index = handle.getValueState("index", "slots array<bigint>, received bigint, last bigint")
+        self.newest = handle.getValueState(
+            "newest", "source bigint, arrival bigint, empty boolean, pose boolean, received bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         due = 0
+        live, received, last = self._index()
+        new: dict[int, list[tuple]] = {}
+        idle = None
         for batch in rows:
             asked = batch[batch["is_decision"]]
             sent = batch[~batch["is_decision"].astype(bool)]
@@ -112,40 +141,53 @@ class MatchProcessor(StatefulProcessor):
                         asked["sync_frame_id"], asked["time_ns"], asked["member"],
                         asked["message_expected"])
                 ])
+                last = max(last, int(asked["time_ns"].max()))
                 due = max(due, _ms(int(asked["time_ns"].max()) + self.lookahead + self.wait))
-            if len(sent):
-                self.messages.appendList([
-                    (int(s), int(a), bool(e), bool(p)) for s, a, e, p in zip(
-                        sent["time_ns"], sent["arrival_ns"], sent["empty_scene"], sent["pose_valid"])
-                ])
+            for s, a, e, p in zip(
+                sent["time_ns"], sent["arrival_ns"], sent["empty_scene"], sent["pose_valid"]
+            ):
+                item = (int(s), int(a), bool(e), bool(p), received)
+                new.setdefault(min(item[0], item[1]) // self.width, []).append(item)
+                received += 1
+                idle = max(idle or 0, item[0], item[1])
+        for slot, items in new.items():
+            self._write(slot, self._read(slot) + items)
+        if idle is not None:
+            last = max(last, idle)
+            # by then no decision to come can need the messages
+            self.handle.registerTimer(_ms(idle + self.max_age + self.lookahead + self.wait) + 2)
+        self.index.update((sorted({*live, *new}), received, last))
         if due:
             self.handle.registerTimer(due)
+        if self.forget is not None:
+            self.handle.registerTimer(_ms(last + self.forget) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         limit = expiredTimerInfo.getExpiryTimeInMs()
         settle = self.lookahead + self.wait
+        live, received, last = self._index()
         held = [tuple(d) for d in self.decisions.get()]
         ready = sorted((d for d in held if _ms(d[1] + settle) <= limit), key=lambda d: d[1])
+        rest = [d for d in held if _ms(d[1] + settle) > limit]
+        old = self._old(rest, limit)
+        # slots for the answers, and slots that begin before what still matters
+        end = max([(d[1] + settle) // self.width for d in ready], default=-1)
+        cached = {k: self._read(k) for k in live if k <= end or k * self.width < old}
+        if ready:
+            newest = [tuple(self.newest.get())] if self.newest.exists() else []
+            messages = sorted([*newest, *(m for items in cached.values() for m in items)], key=lambda m: m[4])
+            out = [(*key, *answer) for answer in self._settle(ready, messages)]
+            if rest:
+                self.decisions.put(rest)
+            else:
+                self.decisions.clear()
+        self._fold({k: v for k, v in cached.items() if k * self.width < old}, old, live, received, last)
+        if self.forget is not None and not rest and limit * 1_000_000 - last > self.forget:
+            for state in (self.slots, self.index, self.newest):
+                state.clear()
         if not ready:
             return
-        rest = [d for d in held if _ms(d[1] + settle) > limit]
-        messages = [tuple(m) for m in self.messages.get()]
-        out = [(*key, *answer) for answer in self._settle(ready, messages)]
-        if rest:
-            self.decisions.put(rest)
-        else:
-            self.decisions.clear()
-        # A decision that is still to come lies after (limit - settle). Of the messages
-        # that are too old for it, only the newest usable one can change an answer.
-        horizon = limit * 1_000_000 - settle
-        first = min([d[1] for d in rest], default=horizon)
-        old = min(first, horizon) - self.max_age - 1_000_000
-        stale = [m for m in messages if m[0] < old and m[1] < old]
-        if len(stale) > 1:
-            keep = max(stale)
-            left = [m for m in messages if not (m[0] < old and m[1] < old)]
-            self.messages.put([keep, *left])
         names = list(self.keys) + [
             "sync_frame_id", "decision_time_ns", "source_time_ns", "match_age_ns",
             "message_present", "reason_code"]
@@ -154,6 +196,44 @@ class MatchProcessor(StatefulProcessor):
             columns[c] = pd.array(columns[c], dtype="Int64")
         yield pd.DataFrame(columns)
 
+    def _old(self, rest, limit):
+        """Messages before this time are too old for every decision to come: those lie after
+        the timer's time less the settling."""
+        horizon = limit * 1_000_000 - self.lookahead - self.wait
+        return min([horizon, *(d[1] for d in rest)]) - self.max_age - 1_000_000
+
+    def _fold(self, cached, old, live, received, last):
+        """Of the messages that are too old, only the newest can change an answer."""
+        stale = [tuple(self.newest.get())] if self.newest.exists() else []
+        gone = set()
+        for slot, items in cached.items():
+            left = [m for m in items if m[0] >= old or m[1] >= old]
+            if len(left) < len(items):
+                stale += [m for m in items if m[0] < old and m[1] < old]
+                if left:
+                    self._write(slot, left)
+                else:
+                    self.slots.removeKey((slot,))
+                    gone.add(slot)
+        if stale:
+            self.newest.update(max(stale))
+        if gone:
+            self.index.update(([k for k in live if k not in gone], received, last))
+
+    def _index(self):
+        """Slots in use, messages received so far, time of the latest row."""
+        if not self.index.exists():
+            return [], 0, 0
+        slots, received, last = tuple(self.index.get())
+        return list(slots), received, last
+
+    def _read(self, slot):
+        value = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+        return list(zip(*value)) if value is not None else []
+
+    def _write(self, slot, items):
+        self.slots.updateValue((slot,), tuple(list(c) for c in zip(*items)))
+
     def _settle(self, decisions, messages):
         """Answers of decisions in time order, by one sweep over the arrivals.
 
