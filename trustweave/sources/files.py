@@ -7,9 +7,8 @@ One file holds one scan, one frame's labels, or one vehicle's series.
 from __future__ import annotations
 
 import json
-import pathlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trustweave.functions.geometry import vec
 from trustweave import schemas as S
@@ -17,7 +16,7 @@ from trustweave import schemas as S
 # File-name shapes and odometry columns of the data set.
 CLOUD_NAME = r"^(.+)_([0-9]+)_([0-9]+)\.([0-9]{1,9})\.pcd$"
 LABEL_NAME = r"^.+_([0-9]+)\.txt$"
-ODOMETRY_NAME = r"odometry_(.+)\.csv$"
+ODOMETRY_NAME = r"odometry_([^/]+)\.csv(?:/[^/]*)?$"
 ODOMETRY_FIELDS = (
     "%time", "field.header.stamp",
     "field.pose.pose.position.x", "field.pose.pose.position.y", "field.pose.pose.position.z",
@@ -125,18 +124,19 @@ def odometry_columns(df: DataFrame, agent: Column) -> DataFrame:
     )
 
 
-def read_odometry(spark: SparkSession, path: str) -> DataFrame:
+def read_odometry(spark: SparkSession, path: str, glob: str = "odometry_*.csv") -> DataFrame:
     """Odometry CSV files; a file without the required columns or types fails.
 
-    Audit the rows with ``odometry_rules`` and ``order_violations``.
+    A sender's series is a file, or a folder of parts, named after it; for folders ``glob``
+    is that of the parts. Audit the rows with ``odometry_rules`` and ``order_violations``.
     """
     raw = spark.read.option("header", "true").option("mode", "FAILFAST").option(
-        "pathGlobFilter", "odometry_*.csv"
+        "pathGlobFilter", glob
     ).csv(path)  # names only are inferred; every value is cast explicitly
     missing = sorted(set(ODOMETRY_FIELDS) - set(raw.columns))
     if missing:
         raise ValueError(f"odometry is missing columns: {missing}")
-    return odometry_columns(raw, F.regexp_extract(F.col("_metadata.file_name"), ODOMETRY_NAME, 1))
+    return odometry_columns(raw, F.regexp_extract(F.col("_metadata.file_path"), ODOMETRY_NAME, 1))
 
 
 def _header(content: Column, key: str) -> Column:
@@ -249,24 +249,38 @@ def _decoder(fields: list[str]):
 
 
 def read_registry(spark: SparkSession, path: str, schema: str = S.REGISTRY, rows: str = "agents") -> DataFrame:
-    """A small registry file (JSON, or YAML where a YAML reader is installed)."""
-    text = pathlib.Path(path).read_text(encoding="utf-8")
-    if path.endswith((".yaml", ".yml")):
+    """Rows of registry files (JSON, or YAML where a YAML reader is installed), each file
+    small and whole, read by Spark from any file system it knows. An unreadable file fails."""
+    name = F.input_file_name()
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        name.rlike(r"\.ya?ml$").alias("yaml"), F.col("value").alias("text")
+    )
+    strict = {"mode": "FAILFAST"}
+    listed = F.from_json("text", f"struct<{rows}: array<struct<{_struct_fields(schema)}>>>", strict)
+    plain = texts.filter("NOT yaml").select(F.inline(listed[rows]))
+    if not any(p.endswith((".yaml", ".yml")) for p in spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()):
+        return plain
+
+    def parse(batches):
+        import pandas as pd
         import yaml
 
-        data = yaml.safe_load(text)
-    else:
-        data = json.loads(text)
-    lines = [(json.dumps(row),) for row in data[rows]]
-    parsed = spark.createDataFrame(lines, "line string").select(
-        F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")
-    )
-    return parsed.select("r.*")
+        for batch in batches:
+            yield pd.DataFrame({"line": [json.dumps(r) for text in batch["text"] for r in yaml.safe_load(text)[rows]]})
+
+    lines = texts.filter("yaml").select("text").mapInPandas(parse, "line string")
+    return plain.unionByName(lines.select(F.from_json("line", schema, strict).alias("r")).select("r.*"))
+
+
+def _struct_fields(schema: str) -> str:
+    """The fields of a schema as those of a struct type."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
 
 
-def read_fixture(spark: SparkSession, path: str) -> DataFrame:
-    """Observation rows of nested fixture files, one row per frame and agent."""
-    raw = spark.read.schema(S.FIXTURE).json(path, multiLine=True)
+def read_fixture(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Observation rows of nested fixtures, one row per frame and agent. A file holds one
+    fixture, or one in each line."""
+    raw = spark.read.schema(S.FIXTURE).json(path, multiLine=not one_per_line)
     frames = raw.select("*", F.explode("frames").alias("f")).drop("frames")
     rows = frames.select("*", F.explode("f.observations").alias("o"))
     return rows.select(
