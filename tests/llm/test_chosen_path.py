@@ -72,16 +72,18 @@ def test_parts_by_bytes_and_other_thresholds(spark, monkeypatch):
     assert compare(spark, corpus(3, 20, 15, edits=9), percent=60, width=3) == []
 
 
-def test_later_blocks_hold_every_pair_of_different_labels(spark):
+def test_later_blocks_hold_every_pair_of_different_labels(spark, monkeypatch):
+    monkeypatch.setattr(c, "PART_CLASSES", 5)
     rng = random.Random(4)
-    rows = [(g, bytes([g, k]) * 8, 5, rng.choice([1, 1, 1, 2, 3]), b"", p) for g, p in ((1, 1), (2, 7), (3, 5)) for k in range(30)]
-    groups = spark.createDataFrame(rows, "part_of long, digest binary, n_shingles long, mark long, pivot binary, parts int")
+    rows = [(g, bytes([g, k]) * 8, rng.choice([1, 1, 1, 2, 3]), 5, b"") for g in (1, 2, 3) for k in range(30)]
+    rows += [(4, bytes([4, k]) * 8, 9, 5, b"") for k in range(30)]  # one label
     seen = {}
-    for r in c._later_blocks(groups).collect():
+    for r in c._later_blocks(spark.createDataFrame(rows, c._NODE_ROW)).collect():
         seen.setdefault((r.part_of, r.low, r.high), []).append((bytes(r.digest), r.side))
     met = {frozenset((a, b)) for m in seen.values() for a, x in m for b, y in m if a != b and x & c.LEFT and y & c.RIGHT}
-    marks = {bytes(r[1]): (r[0], r[3]) for r in rows}
+    marks = {bytes(r[1]): (r[0], r[2]) for r in rows}
     assert all(frozenset((a, b)) in met for a in marks for b in marks if marks[a][0] == marks[b][0] and marks[a][1] != marks[b][1])
+    assert not any(k[0] == 4 for k in seen)
 
 
 def test_trees_reach_the_recall():
@@ -91,7 +93,7 @@ def test_trees_reach_the_recall():
     one = rng.integers(0, 1 << 16, (n, c.COORDINATES)).astype(np.uint16)
     two = np.where(rng.random((n, c.COORDINATES)) < 0.8, one, one + np.uint16(1))
     met = np.zeros(n, bool)
-    trees, _ = c.plan_trees(4 * c.NODE * 8 ** 2, 80, 0.98)
+    trees, _ = c.plan_trees(c.NODE * 16 ** 3, 80, 0.98)
     for seed in constants(trees, 77):
         live = [{i: {int(seed)} for i in range(n)} for _ in range(2)]
         for _ in range(depth):

@@ -65,3 +65,20 @@ def test_the_ratio_chooses_on_pages_with_an_article():
         # short items of its text stay
         items = "<ul>" + "<li>an item, short" * 9 + "</ul>"
         assert html_text.main_text(PAGE % f"<{tag}><h2>A title</h2>{LONG}{items}</{tag}>") == f"A title\n{told}" + "\nan item, short" * 9
+
+
+WHOLE = [
+    ("<h2>What you need</h2><ul><li>salt<li>two eggs<li>milk</ul>", ["What you need", "salt", "two eggs", "milk"]),
+    ("<table><tr><th>Year<th>Sum<tr><td>1999<td>7<tr><td>2001<td>12</table>", ["Year", "Sum", "1999", "7", "2001", "12"]),
+    ("<pre>x = 1\ny = x + 2</pre>", ["x = 1 y = x + 2"]),
+    ("<h3>Sources</h3><ol><li>Doe 1999, <a href=1>On bread</a><li>Roe 2001, <a href=2>On milk</a></ol>", ["Sources", "Doe 1999, On bread", "Roe 2001, On milk"]),
+    ("<dl><dt>Yeast<dd>makes it rise</dl><figure><figcaption>Bread</figcaption></figure><blockquote>Eat!</blockquote>", ["Yeast", "makes it rise", "Bread", "Eat!"]),
+]
+
+
+def test_lists_tables_code_and_sources_stay():
+    told = re.findall("<p>(.*?)</p>", LONG)
+    for part, lines in WHOLE:
+        for page in (f"<article>{LONG}{part}</article>", f"<main><div>{LONG}</div>{part}</main>", f"<div><div>{LONG}{part}</div></div>"):
+            assert html_text.main_text(PAGE % page) == "\n".join([*told, *lines]), page
+        assert html_text.main_text(PAGE % f"<article>{part}{LONG}</article>") == "\n".join([*lines, *told])

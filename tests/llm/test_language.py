@@ -40,6 +40,31 @@ def test_defined_cases(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_noise_is_undecided_and_documents_are_not(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    assert language_id.predict(docs, model, columns=["doc_id"]).where("undecided").count() == 0
+    rng = np.random.default_rng(3)
+    noise = [(k, " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 9))) for _ in range(k))) for k in (5, 20, 100, 500)]
+    out = language_id.predict(spark.createDataFrame([*noise, (1, "De."), (2, None)], "doc_id long, text string"), model)
+    assert {r.doc_id for r in out.where("undecided").collect()} == {5, 20, 100, 500}
+
+
+def test_decoding_is_the_nearest_codeword_by_weighted_loss():
+    """Against every codeword in turn, bit by bit."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, (5, 64))
+    model = language_id.Model.fit(list("abcde"), counts, 6)
+    margins, n = rng.normal(0, 0.4, (200, model.code.shape[1])), rng.integers(0, 60, 200)
+    best, score, lead, least = model.decode(margins, n)
+    weight = model.reliability / model.reliability.sum()
+    for i in range(200):
+        losses = [sum(w * np.log1p(np.exp(-margins[i, b] * np.sqrt(n[i]) * word[b])) for b, w in enumerate(weight)) for word in model.code]
+        order = sorted(losses)
+        assert losses[best[i]] == pytest.approx(order[0]) and least[i] == pytest.approx(order[0]) and lead[i] == pytest.approx(order[1] - order[0])
+        assert score[i] == pytest.approx(1 / sum(np.exp(-language_id.SHARPNESS * (x - order[0])) for x in losses))
+
+
 def test_too_many_languages_raise(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
     with pytest.raises(ValueError):

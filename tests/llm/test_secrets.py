@@ -80,3 +80,20 @@ def test_links_equal_the_sql_twin(spark, tmp_path):
     want = set(con.execute(queries.SQL["op1_secret_scans"]).fetchall())
     assert sum("weak" in w[5] for w in want) > 100
     assert got == want
+
+
+def test_scan_and_mask_are_linear_in_spans(spark):
+    """Twice the spans of one log-like text take at most three times as long."""
+    import time
+
+    line = "2024-01-01 token=0123456789abcdef%04d ok\n"
+    took = {}
+    for n in (2_000, 8_000, 16_000):  # the first compiles
+        df = spark.createDataFrame([(1, "".join(line % (k % 10_000) for k in range(n)))], "doc_id long, text string")
+        for name, run in (("scan", lambda d: secrets.scan(d).select(F.size("spans").alias("n"))), ("mask", lambda d: secrets.mask_secrets(d).select(F.length("text").alias("n")))):
+            began = time.time()
+            got = run(df).first().n
+            took[name, n] = time.time() - began
+            assert got == (2 * n if name == "scan" else n * len("2024-01-01 " + secrets.MASK + " ok\n"))
+    for name in ("scan", "mask"):
+        assert took[name, 16_000] < 3 * max(took[name, 8_000], 0.5), took
