@@ -206,3 +206,55 @@ def test_publish_verify_resume(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).count() == 100
     inv = files.file_inventory(spark, str(tmp_path / "report"), "*.json")
     assert R.verify_inventory(inv, inv).count() == 0 and R.manifest_problems(inv).filter("rule <> 'path_safe'").count() == 0
+
+
+def test_binary_clouds_are_read_in_ranges(spark, tmp_path):
+    import numpy as np
+
+    from trustweave.sources import clouds
+
+    kind = np.dtype([("x", "<f4"), ("n", "<f4", (3,)), ("ring", "<u2"), ("t", "<f8")])
+    rng = np.random.default_rng(2)
+    want = {}
+    for k, n in enumerate((0, 1, 7, 2500)):
+        data = np.zeros(n, kind)
+        data["x"], data["ring"], data["t"] = rng.random(n), rng.integers(0, 60_000, n), rng.random(n)
+        head = f"# c\nVERSION 0.7\nFIELDS x n ring t\nSIZE 4 4 2 8\nTYPE F F U F\nCOUNT 1 3 1 1\nPOINTS {n}\nDATA binary\n"
+        (tmp_path / f"c{k}.pcd").write_bytes(head.encode() + data.tobytes())
+        want |= {(f"c{k}.pcd", i): (float(r["x"]), float(r["ring"]), float(r["t"])) for i, r in enumerate(data)}
+    ranges = clouds.cloud_ranges(spark, str(tmp_path), records=100).collect()
+    assert len(ranges) == 1 + 1 + 25 and all(r.n <= 100 for r in ranges)
+    got = {(r.path.rsplit("/", 1)[1], r.point_index): (r.x, r.ring, r.t) for r in clouds.read_binary_clouds(spark, str(tmp_path), ["x", "ring", "t"], records=100).collect()}
+    assert got == want
+    whole = {(r.path.rsplit("/", 1)[1], r.point_index): (r.x, r.ring, r.t) for r in files.read_clouds(spark, str(tmp_path), ["x", "ring", "t"]).collect()}
+    assert got == whole
+    (tmp_path / "short.pcd").write_bytes(head.encode() + b"1234")
+    with pytest.raises(Exception, match="declares"):
+        clouds.cloud_ranges(spark, str(tmp_path)).collect()
+
+
+def test_table_sums_follow_deltas(spark):
+    from trustweave.operators import governance as R
+
+    rows = [(k, "a" * (k % 5), k % 3 == 0) for k in range(200)] + [(7, "a" * 2, False)]
+    base = spark.createDataFrame(rows, "id long, text string, flag boolean")
+    delta = spark.createDataFrame([(k, "new", None) for k in range(0, 200, 9)] + [(900, "x", True)], base.schema)
+    columns = base.columns
+    digest = lambda df: R.sum_digest(R.table_sum(df, columns)).first()
+    merged = base.join(delta.select("id"), "id", "left_anti").unionByName(delta)
+    got = R.sum_digest(R.merge_sums(R.table_sum(base, columns), *R.delta_sums(base, delta, ["id"], columns))).first()
+    assert got == digest(merged) and got.rows == merged.count()
+    assert digest(base) == digest(base.repartition(7)) != digest(base.dropDuplicates())  # rows count as often as they occur
+    assert digest(base.limit(0)).rows == 0
+
+
+def test_registries_in_either_format(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"agents": [{"agent_id": "1", "odometry": "o"}, {"agent_id": "2"}], "more": 1}))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.json").write_text('{"agents": []}')
+    assert sorted((r.agent_id, r.odometry) for r in files.read_registry(spark, str(tmp_path)).collect()) == [("1", "o"), ("2", None)]
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(Exception):
+        files.read_registry(spark, str(tmp_path)).collect()
