@@ -4,21 +4,23 @@ A document's set holds the distinct word shingles of its whole text, as 64-bit h
 are linked at a Jaccard similarity of ``percent`` / 100 or more, and linked sets are groups.
 
 1. Signatures. Equal sets (128-bit digest) are one class from here on, so copies are one row
-   after a partial aggregate. A class has COORDINATES minwise tokens of 16 bits.
+   after a partial aggregate. A class has COORDINATES minwise tokens of 16 bits, and a sketch
+   of their lowest four.
 2. Trees. A tree starts with all classes at its root. A node chooses coordinates by the hash
    of its path, 100 / ``percent`` of them on average; each member goes to a child for each
    chosen coordinate, named by its token there. So a pair at the threshold expects one common
    child or more, and pairs far below it part. Nodes are counted by a partial aggregate; those
    above ``NODE`` members branch again, to a depth that follows from the number of classes.
    ``plan_trees`` takes as many independent trees as reach the target recall at that depth.
-3. Small nodes are compared exhaustively, one node at a time: by all minwise tokens first,
-   with five standard deviations of slack, then the likely ones by their full sets. The
-   likely ones of many nodes are mostly the same; equal groups are compared once.
+3. Small nodes are compared exhaustively, one node at a time: by sketches first, with five
+   standard deviations of slack, then the likely members by their full sets. The likely ones
+   of many nodes are mostly the same; equal groups are compared once.
 4. Nodes still large at the last depth hold near copies. They are cut into parts by hash, so
    that no task holds one; the first tree compares each part and every member with one pivot.
-5. Rounds. Groups found by the first tree are labels in the others: a node with one label is
-   let go, and only members with different labels are compared. Of a large node, those outside
-   its largest label meet all members, part by part. No link between groups is lost by this.
+5. Rounds. What the first tree links to one class is a label in the others: a node with one
+   label is let go, and only members with different labels are compared. Of a large node,
+   those outside its largest label meet all members, part by part, those of the first tree
+   too. No link between groups is lost by this.
 6. Connected components of all links found give the groups.
 
 Every link is exact; a pair at the threshold is missed with a probability of at most
@@ -51,8 +53,11 @@ COORDINATES = 64
 NODE, PART_CLASSES, PART_BYTES = 256, 256, 1 << 25
 #: Sides of a block.
 LEFT, RIGHT = 1, 2
-#: Ids (16 bytes each) of candidate classes that may be broadcast to the documents.
-BROADCAST_IDS = 1_000_000
+#: Rows (below 64 bytes each) of large nodes, candidate classes and their blocks that may be
+#: broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Bits of a token in the sketch.
+SKETCH_BITS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -70,8 +75,8 @@ def survival(percent: int, depth: int) -> float:
 
 
 def plan_trees(classes: int, percent: int, recall: float) -> tuple[int, int]:
-    """(trees, depth): unlike sets are taken to share an eighth of their tokens at most."""
-    depth = 2 + max(1, math.ceil(math.log(max(classes, NODE) / NODE, 8)))
+    """(trees, depth): unlike sets are taken to share a sixteenth of their tokens at most."""
+    depth = 2 + max(1, math.ceil(math.log(max(classes, NODE) / NODE, 16)))
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - survival(percent, depth)))), depth
 
 
@@ -103,6 +108,7 @@ class Signer:
         digests: list[bytes | None] = []
         sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
         tokens: list[bytes | None] = []
+        sketches: list[bytes | None] = []
         for grams, bounds in self.sets(column):
             size = np.diff(bounds)
             digests += self.digests(grams, bounds)
@@ -112,8 +118,11 @@ class Signer:
             if len(full):
                 for k, f in enumerate(self.factors):
                     out[full, k] = mix(np.minimum.reduceat(grams * f, bounds[full])) >> np.uint64(48)
+            low = (out & (1 << SKETCH_BITS) - 1).astype(np.uint8)
+            low = low[:, ::2] << SKETCH_BITS | low[:, 1::2]
             tokens += [row.tobytes() if n else None for row, n in zip(out, size.tolist())]
-        return [pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(tokens, pa.binary())]
+            sketches += [row.tobytes() if n else None for row, n in zip(low, size.tolist())]
+        return [pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())]
 
     def blobs(self, column: pa.Array) -> list[pa.Array]:
         digests: list[bytes | None] = []
@@ -124,10 +133,6 @@ class Signer:
         return [pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())]
 
 
-def _tokens_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
-
-
 def children(path: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, node) of each child that the rows' nodes send them to."""
     whole, rest = divmod(100 / percent, 1)
@@ -144,21 +149,21 @@ def children(path: np.ndarray, tokens: np.ndarray, percent: int) -> tuple[np.nda
 
 
 def _branch(seeds: np.ndarray | None, percent: int):
-    """Rows (digest, mark, tokens, path) to (node, digest, mark); the path is each seed at a
+    """Rows (tokens, path, rest of the columns) to (node, rest); the path is each seed at a
     tree's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 8192):
                 part = batch.slice(low, 8192)
-                tokens = _tokens_of(part.column(2))
+                tokens = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 if seeds is None:
-                    row, node = children(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64), tokens, percent)
+                    row, node = children(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64), tokens, percent)
                 else:
                     row, node = children(np.tile(seeds, len(tokens)), np.repeat(tokens, len(seeds), axis=0), percent)
                     row = row // len(seeds)
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(0).take(row), part.column(1).take(row)], ["node", "digest", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[c.take(row) for c in part.columns[2:]]], ["node", *part.schema.names[2:]])
 
     return run
 
@@ -201,25 +206,36 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def _likely(percent: int):
-    """Small nodes to groups (named by their members) of members that may be linked."""
+def _likely(percent: int, keys: list[str]):
+    """Small nodes, or blocks with sides, to groups (named by their members) of members that
+    may be linked."""
     share = percent / 100
+    share += (1 - share) / (1 << SKETCH_BITS)  # tokens that agree by chance
     least = COORDINATES * (share - 5 * math.sqrt(share * (1 - share) / COORDINATES))
 
     def of(members: list[dict]) -> Iterator[tuple]:
-        tokens = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint16).reshape(-1, COORDINATES)
-        size = np.array([m["n_shingles"] for m in members])
+        if len(members) < 2:
+            return
         mark = np.array([m["mark"] for m in members])
+        if (mark == mark[0]).all():
+            return
+        packed = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
+        size = np.array([m["n_shingles"] for m in members])
         common = np.zeros((len(members),) * 2, np.uint8)
-        for k in range(COORDINATES):
-            common += tokens[:, k][:, None] == tokens[:, k][None]
+        for k in range(packed.shape[1]):
+            for own in (packed[:, k] >> SKETCH_BITS, packed[:, k] & (1 << SKETCH_BITS) - 1):
+                common += own[:, None] == own[None]
         near = (common >= least) & (mark[:, None] != mark[None]) & (100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None]))
+        if "side" in members[0]:
+            side = np.array([m["side"] for m in members])
+            near &= (side[:, None] & LEFT > 0) & (side[None] & RIGHT > 0)
+            near |= near.T
         parent, find = _roots(len(members))
         for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near)))):
             parent[find(i)] = find(j)
-        groups: dict[int, list[bytes]] = {}
+        groups: dict[int, set[bytes]] = {}
         for i in np.flatnonzero(near.any(1)).tolist():
-            groups.setdefault(find(i), []).append(members[i]["digest"])
+            groups.setdefault(find(i), set()).add(members[i]["digest"])
         for own in groups.values():
             called = int(np.add.reduce(mix(np.frombuffer(b"".join(own), ">u8").reshape(-1, 2).astype(np.uint64) * constants(2, 54)).ravel()))
             called -= (called >> 63) << 64
@@ -227,30 +243,27 @@ def _likely(percent: int):
                 yield called, digest
 
     schema = pa.schema([("part_of", pa.int64()), ("digest", pa.binary())])
-    return lambda batches: _batched((row for _, members in _grouped(batches, ["node"]) for row in of(members)), schema)
+    return lambda batches: _batched((row for _, members in _grouped(batches, keys) for row in of(members)), schema)
 
 
 def _verify(percent: int):
-    """Blocks of members to links (member, root); only pairs of a left and a right member
-    with different labels that no other link joins yet are compared, on full sets."""
+    """Blocks of members to links (member, root), root being the least of those it is linked
+    to. Pairs with one label, or that other links join already, are not compared; the others
+    are, on full sets."""
 
     def of(members: list[dict]) -> Iterator[tuple]:
-        sides: dict[bytes, int] = {}  # a member may come for both sides
-        for m in members:
-            sides[m["digest"]] = sides.get(m["digest"], 0) | m["side"]
-        members = list({m["digest"]: m for m in members}.values())
-        left, right = (np.array([bool(sides[m["digest"]] & k) for m in members]) for k in (LEFT, RIGHT))
+        members = sorted({m["digest"]: m for m in members}.values(), key=lambda m: m["digest"])
         grams = [np.frombuffer(m["grams"], np.uint64) for m in members]
         size = np.array([len(g) for g in grams])
         parent, find = _roots(len(members))
+        linked = set()
         first: dict[int, int] = {}
         for i, m in enumerate(members):
             parent[i] = first.setdefault(m["mark"], i)
-        for i in np.flatnonzero(left).tolist():
+        for i in range(len(members)):
             own = find(i)
-            fits = (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & right
-            fits[:i] &= ~(left[:i] & right[i])  # compared before
-            others = [j for j in np.flatnonzero(fits).tolist() if find(j) != own]
+            fits = 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            others = [j for j in (np.flatnonzero(fits[i + 1:]) + i + 1).tolist() if find(j) != own]
             if not others:
                 continue
             held = np.concatenate([grams[j] for j in others])
@@ -258,103 +271,123 @@ def _verify(percent: int):
             common = np.add.reduceat(grams[i][place] == held, np.concatenate([[0], np.cumsum(size[others])[:-1]]))
             for j, c in zip(others, common.tolist()):
                 if 100 * c >= percent * (int(size[i]) + int(size[j]) - c):
-                    parent[find(j)] = find(i)
-                    yield members[i]["digest"], members[j]["digest"]
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a  # the least member stays a root
+                    linked |= {i, j}
+        for i in linked:
+            yield members[i]["digest"], members[find(i)]["digest"]
 
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     return lambda batches: _batched((row for _, members in _grouped(batches, ["part_of", "low", "high"]) for row in of(members)), schema)
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast where their counted number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+#: What a member brings to a comparison.
+_MEMBER = ["digest", "mark", "n_shingles", "sketch"]
+_NODE_ROW = "node long, digest binary, mark long, n_shingles int, sketch binary"
+
+
 def _grow(classes: DataFrame, seeds: np.ndarray, depth: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All trees of a round, level by level: likely groups of small nodes and large nodes of
-    the last level, both as (part_of, digest). ``classes`` has a mark; nodes of one go."""
-    likely, rows = [], classes.select("digest", "mark", "tokens", F.lit(0).cast("long").alias("path"))
+    """All trees of a round, level by level: likely groups (part_of, digest) of small nodes,
+    and the members of nodes still large at the last level. Nodes of one label are let go."""
+    likely = deep = None
+    rows = classes.select("tokens", F.lit(0).cast("long").alias("path"), *_MEMBER)
     for level in range(depth):
-        rows = staged(rows.mapInArrow(_branch(seeds if level == 0 else None, percent), "node long, digest binary, mark long"), "nodes")
-        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most")).where("least <> most").select("node", "n"), "sizes")
-        small = rows.join(sizes.where(f"n <= {NODE}"), "node").select("node", "digest", "mark")
-        small = small.join(classes.select("digest", "n_shingles", "tokens"), "digest").repartition("node").sortWithinPartitions("node")
-        likely.append(staged(small.mapInArrow(_likely(percent), "part_of long, digest binary").distinct(), "likely"))
-        large = sizes.where(f"n > {NODE}").select("node")
-        if large.isEmpty():
+        rows = staged(rows.mapInArrow(_branch(seeds if level == 0 else None, percent), _NODE_ROW), "nodes")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most"))
+        large = staged(sizes.where(f"n > {NODE}").select("node", (F.col("least") != F.col("most")).alias("mixed")), "large")
+        crowded = _sized(large)
+        small = rows.join(crowded, "node", "left_anti").repartition("node").sortWithinPartitions("node")
+        found = staged(small.mapInArrow(_likely(percent, ["node"]), "part_of long, digest binary"), "likely")
+        likely = found if likely is None else likely.unionByName(found)
+        live = rows.join(crowded.where("mixed").drop("mixed"), "node", "left_semi")
+        if level == depth - 1:
+            deep = live
+        elif large.where("mixed").isEmpty():
             break
-        rows = rows.join(large, "node")
-        if level < depth - 1:
-            rows = rows.join(classes.select("digest", "tokens"), "digest").select("digest", "mark", "tokens", F.col("node").alias("path"))
         else:
-            likely.append(staged(rows.select(F.col("node").alias("part_of"), "digest").distinct(), "deep"))
-    out = likely[0]
-    for more in likely[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def _parts(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Groups with the number of parts that bound their members and set bytes."""
-    sized = groups.join(classes.select("digest", "n_shingles", "mark"), "digest")
-    of = sized.groupBy("part_of").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("digest").alias("pivot"))
-    of = of.select("part_of", "pivot", F.greatest(F.ceil(F.col("n") / PART_CLASSES), F.ceil(F.col("size") * 8 / PART_BYTES)).cast("int").alias("parts"))
-    return staged(sized.join(of, "part_of").select("part_of", "digest", "n_shingles", "mark", "pivot", "parts"), "parts")
+            rows = live.join(classes.select("digest", "tokens"), "digest").select("tokens", F.col("node").alias("path"), *_MEMBER)
+    return likely, rows.limit(0) if deep is None else staged(deep, "deep")
 
 
 def _chunk(parts: str):
     return F.pmod(F.xxhash64("digest"), F.col(parts)).cast("int")
 
 
-def _first_blocks(groups: DataFrame) -> DataFrame:
-    """Each part with itself and with the group's pivot."""
-    own = groups.select("part_of", _chunk("parts").alias("low"), "digest", "mark")
-    pivots = groups.where("parts > 1 AND digest = pivot").select("part_of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), "digest", "mark")
-    return own.unionByName(pivots).select("part_of", "low", F.col("low").alias("high"), "digest", "mark", F.lit(LEFT | RIGHT).alias("side"))
+_BLOCK = ["part_of", "low", "high"]
+
+
+def _first_blocks(deep: DataFrame) -> DataFrame:
+    """Each part of a large node with itself and with the node's pivot, its least member."""
+    of = deep.groupBy("node").agg(F.ceil(F.count("*") / PART_CLASSES).cast("int").alias("parts"), F.min("digest").alias("pivot"))
+    of = deep.join(of, "node").withColumnRenamed("node", "part_of")
+    own = of.select("part_of", _chunk("parts").alias("low"), *_MEMBER)
+    pivots = of.where("digest = pivot").select("part_of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), *_MEMBER)
+    return own.unionByName(pivots).select("part_of", "low", F.col("low").alias("high"), *_MEMBER, F.lit(LEFT | RIGHT).alias("side"))
 
 
-def _later_blocks(groups: DataFrame) -> DataFrame:
-    """Whole groups of one part; of larger ones, members outside the largest label with all."""
-    whole = groups.where("parts = 1").select("part_of", F.lit(0).alias("low"), F.lit(0).alias("high"), "digest", "mark", F.lit(LEFT | RIGHT).alias("side"))
-    large = groups.where("parts > 1")
-    labels = large.groupBy("part_of", "mark").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
-    main = labels.groupBy("part_of").agg(F.max(F.struct("n", "mark", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > top.n")
-    lefts = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / PART_CLASSES), F.ceil((F.col("size") - F.col("top.size")) * 8 / PART_BYTES))
-    large = large.join(main.select("part_of", F.col("top.mark").alias("main"), lefts.cast("int").alias("lefts")), "part_of")
-    left = large.where("mark <> main").select("part_of", _chunk("lefts").alias("low"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("high"), "digest", "mark", F.lit(LEFT).alias("side"))
-    right = large.select("part_of", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("low"), _chunk("parts").alias("high"), "digest", "mark", F.lit(RIGHT).alias("side"))
-    return whole.unionByName(left).unionByName(right)
+def _later_blocks(deep: DataFrame) -> DataFrame:
+    """Members of a large node outside its largest label with all members, part by part."""
+    labels = deep.groupBy("node", "mark").agg(F.count("*").alias("n"))
+    of = labels.groupBy("node").agg(F.max(F.struct("n", "mark")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    of = of.select(
+        F.col("node"), F.col("top.mark").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / PART_CLASSES).cast("int").alias("lefts"),
+        F.ceil(F.col("n") / PART_CLASSES).cast("int").alias("rights"),
+    )
+    of = deep.join(of, "node").withColumnRenamed("node", "part_of")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = of.where("mark <> main").select("part_of", _chunk("lefts").alias("low"), each("rights").alias("high"), *_MEMBER, F.lit(LEFT).alias("side"))
+    right = of.select("part_of", each("lefts").alias("low"), _chunk("rights").alias("high"), *_MEMBER, F.lit(RIGHT).alias("side"))
+    return left.unionByName(right)
+
+
+def _group_blocks(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Likely groups, each once; one whose sets are too many bytes as all pairs of its parts."""
+    sized = groups.distinct().join(classes.select("digest", "n_shingles", "mark", "copy_id"), "digest")
+    of = sized.groupBy("part_of").agg(F.ceil(F.sum("n_shingles") * 8 / PART_BYTES).cast("int").alias("parts"))
+    placed = sized.join(of, "part_of").withColumn("chunk", _chunk("parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return placed.select("part_of", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "digest", "mark", "copy_id")
 
 
 def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, recall: float = 0.999) -> DataFrame:
     """One row per document: doc_id, n_shingles (of its set), component_id (smallest id of its
     group) and kept (its id is that one)."""
     source = docs.select(name(doc_id).alias("doc_id"), name(text).cast("string").alias("text"))
-    made = with_text_columns(source, lambda: Signer(width).signatures, "digest binary, n_shingles long, tokens binary", columns=["doc_id"])
+    made = with_text_columns(source, lambda: Signer(width).signatures, "digest binary, n_shingles long, tokens binary, sketch binary", columns=["doc_id"])
     signed = staged(made, "signatures")
     classes = staged(signed.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("copy_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"),
-    ).withColumn("mark", F.xxhash64("digest")), "classes")
+        F.min("doc_id").alias("copy_id"), F.first(F.struct(F.col("n_shingles").cast("int").alias("n_shingles"), "tokens", "sketch")).alias("own"),
+    ).select("digest", "copy_id", "own.*", F.xxhash64("digest").alias("mark")), "classes")
     trees, depth = plan_trees(classes.count(), percent, recall)
     seeds = constants(trees, 55)
 
-    def verified(blocks: DataFrame) -> DataFrame:
-        blocks = staged(blocks, "blocks")
-        ids = staged(blocks.select("digest").distinct().join(classes, "digest").select(F.col("copy_id").alias("id")).distinct(), "wanted")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    def linked(groups: DataFrame, of: DataFrame) -> DataFrame:
+        """Exact links among the members of likely groups."""
+        blocks = _sized(staged(_group_blocks(groups, of), "blocks"))
+        ids = _sized(staged(blocks.select(F.col("copy_id").alias("id")).distinct(), "wanted"))
         texts = source.join(ids, source["doc_id"].eqNullSafe(ids["id"]), "left_semi")
         sets = with_text_columns(texts, lambda: Signer(width).blobs, "digest binary, grams binary", columns=[])
-        sets = staged(sets.where("digest IS NOT NULL").dropDuplicates(["digest"]), "sets")
-        block = ["part_of", "low", "high"]
-        together = blocks.join(sets, "digest").repartition(*block).sortWithinPartitions(*block)
+        together = sets.join(blocks.drop("copy_id"), "digest").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
         return staged(together.mapInArrow(_verify(percent), "a binary, b binary"), "links")
 
-    first = _parts(_grow(classes, seeds[:1], depth, percent), classes)
-    links = verified(_first_blocks(first))
-    labels = staged(components(links), "labels")
-    labelled = classes.join(labels.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    labelled = staged(labelled.select("digest", "n_shingles", "tokens", F.xxhash64(F.coalesce("root", "digest")).alias("mark")), "labelled")
-    again = first.where("parts > 1").select("part_of", "digest")
-    later = _parts(_grow(labelled, seeds[1:], depth, percent).unionByName(again).distinct(), labelled)
-    links = links.unionByName(verified(_later_blocks(later)))
-
-    groups = components(links).select(F.col("node").alias("digest"), "root")
-    grouped = classes.join(groups, "digest", "left").select("digest", "copy_id", F.coalesce("root", "digest").alias("root"))
+    def likely_in(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_likely(percent, _BLOCK), "part_of long, digest binary")
+
+    groups, deep = _grow(classes, seeds[:1], depth, percent)
+    links = linked(groups.unionByName(likely_in(_first_blocks(deep))), classes)
+    # members linked to one class are of one label: not whole components, but sound
+    labels = links.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("root"))
+    labelled = staged(classes.join(labels, "digest", "left").withColumn("mark", F.xxhash64(F.coalesce("root", "digest"))).drop("root"), "labelled")
+    groups, more = _grow(labelled, seeds[1:], depth, percent)
+    again = deep.drop("mark").join(labelled.select("digest", "mark"), "digest").select(*more.columns)
+    later = linked(groups.unionByName(likely_in(_later_blocks(staged(more.unionByName(again), "deep")))), labelled)
+
+    found = components(links.unionByName(later)).select(F.col("node").alias("digest"), "root")
+    grouped = classes.join(found, "digest", "left").select("digest", "copy_id", F.coalesce("root", "digest").alias("root"))
     least = grouped.groupBy("root").agg(F.min("copy_id").alias("component_id"))
     # written first, so that the last join has plain sides, which AQE splits where copies crowd
     per_class = staged(grouped.join(least, "root").select("digest", "component_id"), "groups")
