@@ -31,7 +31,7 @@ def _matched(spark, d, run):
     policy, age, ahead = RUNS[run]
     return match_messages(
         memberships(spark, d), messages(spark, d), policy=policy, max_age_ns=age,
-        lookahead_ns=ahead, quantum_ns=1000, slot_ns=slot_width(spark, d),
+        lookahead_ns=ahead, slot_ns=slot_width(spark, d),
     )
 
 

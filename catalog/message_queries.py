@@ -15,6 +15,7 @@ from trustweave.operators.messaging import admit, build_packets, verify_packets
 from trustweave.operators.metrics import completeness_problems, coverage, policy_totals
 from trustweave.sources.stage import stage
 from trustweave.plans.episode import EpisodeKeys, run_episode, score_senders
+from trustweave.plans.whatif import compare_replay
 
 IDENTITY = ["event_id", "agent_id", "sync_frame_id", "decision_time_ns", "source_time_ns"]
 MAX_AGE = 100_000_000
@@ -303,6 +304,41 @@ SELECT kase AS "case", frame, policy, observation_count, honest AS honest_compan
  e+r>0 AND r=0 AS fallback, e+r=0 AS fusion_abstained FROM full_frames""", recursive=True)
 
 
+SENDER = ["sequence_id", "session_id", "sync_frame_id", "agent_id"]
+
+
+def replay_delta(spark, d):
+    """Clean against perturbed replay from a real delta: evidence is merged, widened and scored
+    for both cases; every 23rd event's motion is replaced, every 29th is an intended target."""
+    obs = observations(spark, d).withColumn("sync_frame_id", F.col("event_id"))
+    frames = obs.select(*SENDER, "decision_time_ns", "source_time_ns", "message_present")
+    values = {
+        "kinematic_residual_m": "kinematic_error_m", "maximum_object_suspicion": "two_sided_count_residual",
+        "peer_corroboration_score": "peer_corroboration_score",
+    }
+    rows = [F.struct(F.lit(n).alias("evidence_name"), F.col(c).alias("value")) for n, c in values.items()]
+    rows.append(F.struct(F.lit("kinematic_modality_applicable").alias("evidence_name"), F.col("kinematic_applicable").cast("double").alias("value")))
+    evidence = obs.select(*SENDER, F.lit(None).cast("string").alias("object_key"), F.inline(F.array(*rows)))
+    hit = (_mod("sync_frame_id", 23) == 0) & (F.col("evidence_name") == "kinematic_residual_m")
+    delta = evidence.filter(hit).withColumn("value", F.lit(0.05))
+    episode = compare_replay(
+        frames, stage(evidence), stage(delta), sender=SENDER, evidence_keys=[*SENDER, "object_key", "evidence_name"], ego="7",
+        targets=frames.filter(_mod("sync_frame_id", 29) == 0), slot_ns=slot_width(spark, d), max_source_age_ns=MAX_AGE,
+    )
+    return episode.senders.select(
+        "case", "sync_frame_id", "agent_id", "is_ego", "message_present", "kinematic_applicable", "intended_target", "actually_affected",
+        r6("risk_score").alias("risk_score"), r6(F.col("payload")[0]).alias("motion"), r6(F.col("payload")[2]).alias("distrust"),
+    )
+
+
+SQL_REPLAY_DELTA = with_sql(
+    SQL_SCORED.replace("observations AS (", "base AS (", 1).replace("parts AS (", """observations AS (SELECT *, 'clean' AS kase FROM base
+  UNION ALL SELECT * REPLACE (CASE WHEN event_id%23=0 THEN 0.05::DOUBLE ELSE kin END AS kin), 'perturbed' FROM base),
+parts AS (""", 1), """
+SELECT kase AS "case", event_id AS sync_frame_id, agent_id, agent_id='7' AS is_ego, message_present, applicable AS kinematic_applicable, event_id%29=0 AS intended_target,
+ kase='perturbed' AND event_id%23=0 AS actually_affected, round(risk_score,6)+0.0 AS risk_score, round(coalesce(kin,0),6)+0.0 AS motion, round(coalesce(1-peer,0),6)+0.0 AS distrust FROM predicted""")
+
+
 def predictions_query(spark, d):
     """Prediction rows: risk only where a message exists and the score does not abstain."""
     obs = observations(spark, d).withColumn("reason_code", F.lit("missing_message"))
@@ -370,6 +406,7 @@ QUERIES = {
     "frame_metrics": (frame_metrics_query, SQL_FRAME_METRICS),
     "policy_totals": (policy_totals_query, SQL_TOTALS),
     "replay_compare": (replay_compare, SQL_REPLAY),
+    "replay_delta": (replay_delta, SQL_REPLAY_DELTA),
     "predictions": (predictions_query, SQL_PREDICTIONS),
     "completeness": (completeness, SQL_COMPLETENESS),
     "coverage": (coverage_query, SQL_COVERAGE),

@@ -199,3 +199,27 @@ def test_slots_stay_near_the_target_where_rows_crowd(spark):
     slot = choose_slot_ns(df, ["k"], "t", target_rows=1_000)
     fullest = df.groupBy("k", time_slot(F.col("t"), slot).alias("s")).count().agg(F.max("count")).first()[0]
     assert fullest <= 1_100
+
+
+def test_future_sources_by_sweep_equal_brute_force(spark, monkeypatch):
+    """Slots, equal times, repeated decisions and null keys, in small pieces of rows."""
+    import random
+
+    from trustweave.operators import match
+
+    monkeypatch.setattr(match, "SWEEP_ROWS", 20)
+    rng = random.Random(3)
+    messages = sorted({(rng.choice(["a", "b", None]), rng.randrange(400)) for _ in range(250)}, key=str)
+    messages = [(k, s, s + rng.choice([0, 0, 3, 9, 40])) for k, s in messages]
+    decisions = [(rng.choice(["a", "b", "c", None]), rng.randrange(420)) for _ in range(300)]
+    m = spark.createDataFrame([(k, s, a, (s, a, "x")) for k, s, a in messages], "k string, source_time_ns bigint, arrival_time_ns bigint, __message struct<source_time_ns:bigint,arrival_time_ns:bigint,note:string>")
+    d = spark.createDataFrame(decisions, "k string, decision_time_ns bigint")
+    for ahead in (1, 7, 90):
+        got = {(r.k, r.decision_time_ns): tuple(r.future) for r in match.nearest_future(d, m, ["k"], ahead).collect()}
+        want = {}
+        for k, t in decisions:
+            fits = [(s, a) for q, s, a in messages if q == k and t < s <= t + ahead and a <= t + ahead]
+            if fits:
+                want[k, t] = (*min(fits), "x")
+        assert got == want
+    assert match.nearest_future(d.limit(0), m, ["k"], 5).count() == match.nearest_future(d, m.limit(0), ["k"], 5).count() == 0

@@ -14,11 +14,14 @@ see :func:`nearest_future`.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from trustweave.operators.ordered import DAY_NS, Running, int_div, running, time_slot
+from trustweave.operators.ordered import DAY_NS, Running, running, time_slot
 from trustweave.schemas import BUFFERED, CAUSAL, SOURCE_KEY
 from trustweave.sources.stage import stage
 
@@ -34,59 +37,93 @@ def _check(policy: str, max_age_ns: int, lookahead_ns: int) -> None:
         raise ValueError("buffered matching requires a positive look-ahead")
 
 
+#: Rows that a task sweeps at once, whole slots at least.
+SWEEP_ROWS = 200_000
+
+
+def _sweep(group: np.ndarray, is_decision: np.ndarray, time: np.ndarray, arrival: np.ndarray, lookahead_ns: int):
+    """(decision rows, message rows): for each decision the first later message that arrived by
+    its limit, if there is one. Rows are sorted by group, time, messages first."""
+    message = np.flatnonzero(~is_decision)
+    first = np.ones(len(group), bool)  # equal decisions are asked once
+    first[1:] = (group[1:] != group[:-1]) | (time[1:] != time[:-1]) | (is_decision[1:] != is_decision[:-1])
+    asked = np.flatnonzero(is_decision & first)
+    at = np.cumsum(~is_decision)[asked]  # messages up to the decision
+    limit = time[asked] + lookahead_ns
+    # least arrival of 2**k messages from each place on; the end stops every search
+    least = [np.append(arrival[message], np.iinfo(np.int64).min)]
+    while (1 << len(least)) <= len(least[0]):
+        step, last = 1 << (len(least) - 1), least[-1]
+        least.append(np.minimum(last, np.append(last[step:], np.full(step, last[-1]))))
+    for k in range(len(least) - 1, -1, -1):
+        at = np.where(least[k][at] > limit, np.minimum(at + (1 << k), len(message)), at)
+    there = at < len(message)
+    asked, limit, found = asked[there], limit[there], message[at[there]]
+    fits = (group[found] == group[asked]) & (time[found] <= limit)
+    return asked[fits], found[fits]
+
+
 def nearest_future(
-    decisions: DataFrame, messages: DataFrame, keys: list[str], lookahead_ns: int,
-    quantum_ns: int, slot_ns: int,
+    decisions: DataFrame, messages: DataFrame, keys: list[str], lookahead_ns: int
 ) -> DataFrame:
     """Smallest source after each decision among messages arrived by the limit.
 
-    Time is halved again and again. At each level a decision in the left half of
-    a cell can only gain from messages in its right half, all of which lie after
-    it; there the two-sided condition shrinks to a running minimum of the source
-    over arrival order. Each pair (decision, later source) meets at exactly one
-    level, so the smallest answer over the levels is exact, without forming pairs.
-    Returns one row per (keys, decision_time_ns) with ``future`` (source struct).
+    Time is cut into slots as wide as the look-ahead, so a decision's messages lie in its own
+    slot and the next: a message is listed in two slots, and each slot is swept on its own.
+    In a slot the messages lie by source; the answer is the first one from the decision on
+    whose arrival is within the limit, which a table of least arrivals over runs of 2**k
+    messages finds in a few steps for all decisions at once. No pairs are formed. Returns
+    one row per answered (keys, decision_time_ns) with ``future`` (the message).
     """
-    levels = max(1, math.ceil(math.log2(max(2, lookahead_ns / quantum_ns))))
-    if quantum_ns << levels < lookahead_ns:
-        levels += 1
-
-    def spread(df: DataFrame, time: Column, right: bool) -> DataFrame:
-        cells = []
-        for level in range(levels):
-            child = int_div(time, quantum_ns << level)
-            side = F.pmod(child, F.lit(2)) == (1 if right else 0)
-            cells.append(F.when(side, F.struct(
-                F.lit(level).alias("level"), int_div(child, 2).alias("cell"))))
-        top = int_div(time, quantum_ns << levels)
-        cells.append(F.struct(
-            F.lit(levels).alias("level"), (top - 1 if right else top).alias("cell")))
-        return df.withColumn(
-            "__at", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull()))
-        )
-
-    left = spread(decisions, F.col("decision_time_ns"), right=False).select(
-        *keys, "__at", F.col("decision_time_ns"),
-        (F.col("decision_time_ns") + lookahead_ns).alias("__limit"),
-        F.lit(1).alias("__kind"),
-    )
-    right = spread(messages, F.col("source_time_ns"), right=True).select(
-        *keys, "__at", F.col("arrival_time_ns").alias("__limit"), F.lit(0).alias("__kind"),
-        "__message",
-    )
-    line = left.unionByName(right, allowMissingColumns=True).select(
-        *keys, F.col("__at.level").alias("__level"), F.col("__at.cell").alias("__cell"),
-        "__limit", "__kind", "decision_time_ns", "__message",
-    )
-    answered = running(
-        line, [*keys, "__level", "__cell"], ["__limit", "__kind"],
-        time_slot(F.col("__limit"), slot_ns), [Running("future", F.col("__message"), "min")],
-    )
-    return (
-        answered.filter("__kind = 1 and future is not null")
-        .groupBy(*keys, "decision_time_ns")
-        .agg(F.min("future").alias("future"))
+    slot = time_slot(F.col("__t"), lookahead_ns)
+    asked = decisions.select(*keys, F.col("decision_time_ns").alias("__t"), F.lit(True).alias("__asks")).withColumn("__slot", slot)
+    sent = messages.select(*keys, F.col("source_time_ns").alias("__t"), F.lit(False).alias("__asks"), "arrival_time_ns", "__message").withColumn(
+        "__slot", F.explode(F.array(slot - 1, slot))
     )
+    by = [*keys, "__slot"]
+    line = sent.unionByName(asked, allowMissingColumns=True).select(*by, "__t", "__asks", "arrival_time_ns", "__message")
+    line = line.repartition(*by).sortWithinPartitions(*by, "__t", "__asks")
+    n = len(by)
+
+    def answer(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        group = np.cumsum(_changes(rows, n))
+        asks = rows.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
+        arrival = pc.fill_null(rows.column(n + 2), 0).to_numpy()
+        decision, message = _sweep(group, asks, rows.column(n).to_numpy(), arrival, lookahead_ns)
+        decision, message = pa.array(decision), pa.array(message)
+        out = [rows.column(k).take(decision) for k in range(n - 1)] + [rows.column(n).take(decision), rows.column(n + 3).take(message)]
+        return pa.Table.from_arrays(out, [*keys, "decision_time_ns", "future"]).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < SWEEP_ROWS:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cut = np.flatnonzero(_changes(rows, n))  # the last slot may go on
+            if len(cut):
+                yield from answer(rows.slice(0, int(cut[-1]))).to_batches()
+                rows = rows.slice(int(cut[-1]))
+            held = rows.to_batches()
+        if held:
+            yield from answer(pa.Table.from_batches(held)).to_batches()
+
+    schema = T.StructType([*[line.schema[k] for k in keys], T.StructField("decision_time_ns", T.LongType()), T.StructField("future", line.schema["__message"].dataType)])
+    return line.mapInArrow(run, schema)
+
+
+def _changes(rows: pa.Table, n: int) -> np.ndarray:
+    """Whether a row's first n columns differ from those of the row before."""
+    out = np.zeros(len(rows), bool)
+    for k in range(n):
+        value = rows.column(k).combine_chunks()
+        value = value.chunk(0) if isinstance(value, pa.ChunkedArray) else value
+        differs = pc.fill_null(pc.not_equal(value[1:], value[:-1]), False).to_numpy(zero_copy_only=False)
+        nulls = value.is_null().to_numpy(zero_copy_only=False)
+        out[1:] |= differs | (nulls[1:] != nulls[:-1])
+    return out
 
 
 def match_messages(
@@ -97,15 +134,13 @@ def match_messages(
     max_age_ns: int,
     lookahead_ns: int = 0,
     slot_ns: int = DAY_NS,
-    quantum_ns: int = 1,
     keys: list[str] = SOURCE_KEY,
 ) -> DataFrame:
     """Match each membership row; append source, age, flags and ``reason_code``.
 
-    ``quantum_ns`` may name a unit that divides every time (1 is always right); it
-    shortens the search for future sources. ``slot_ns`` bounds how many rows of one
-    key share a task (see ``choose_slot_ns``). Messages must be unique per
-    (key, source time): see ``duplicate_keys``.
+    ``slot_ns`` bounds how many rows of one key share a task (see ``choose_slot_ns``); the
+    search for future sources has slots as wide as the look-ahead. Messages must be unique
+    per (key, source time): see ``duplicate_keys``.
     """
     _check(policy, max_age_ns, lookahead_ns)
     source, arrival = F.col("source_time_ns"), F.col("arrival_time_ns")
@@ -152,25 +187,15 @@ def match_messages(
         # A future source can only win when it is closer than the newest past one.
         # Mostly the very next message has arrived in time and is the answer; only
         # decisions whose next message is late need the search.
-        # Three branches read the decisions again, so they are written once.
+        # Two branches read the decisions again, so they are written once.
         rows = stage(rows)
         past_gap = decision - F.col("past.source_time_ns")
         wanted = (F.col("seen_after") <= limit) & (
             F.col("past").isNull() | (F.col("seen_after") - decision < past_gap)
         )
         prompt = F.col("next_sent.arrival_time_ns") <= limit
-        open_rows = rows.filter(wanted & ~prompt).select(*keys, "decision_time_ns").distinct()
-        reach = (time_slot(decision, lookahead_ns)).alias("__reach")
-        near = open_rows.select(
-            *keys, F.explode(F.array(reach, time_slot(decision, lookahead_ns) + 1)).alias("__reach")
-        ).distinct()
-        ahead = nearest_future(
-            open_rows,
-            facts.filter(arrival - lookahead_ns < source)
-            .withColumn("__reach", time_slot(source, lookahead_ns))
-            .join(near, [*keys, "__reach"], "left_semi"),
-            keys, lookahead_ns, quantum_ns, slot_ns,
-        )
+        open_rows = rows.filter(wanted & ~prompt).select(*keys, "decision_time_ns")
+        ahead = nearest_future(open_rows, facts.filter(arrival - lookahead_ns < source), keys, lookahead_ns)
         rows = rows.join(ahead, [*keys, "decision_time_ns"], "left")
         future = F.when(wanted & prompt, F.col("next_sent")).otherwise(F.col("future"))
         gain = future["source_time_ns"] - decision
