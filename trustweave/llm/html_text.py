@@ -7,8 +7,13 @@ what is link text; ratios are smoothed along the page, so that a heading gains f
 paragraphs beside it, fused with what the path's elements say (menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments speak against their text), and paths
 from a share of the best one on are content. An article raises the values of its paths, the
-more of the page's text it holds; so a teaser raises little, and lists of links in an
-article are left out.
+more of the page's text it holds; so a teaser raises little.
+
+The paths so chosen name the container: the deepest element that holds most of their text,
+or the article if it holds most of the page's. Within it, lists, tables, preformatted text,
+captions and paragraphs are content however short they are, such as a recipe's ingredients;
+there the path decides only about what is almost all links, and about bare divisions, where
+crumbs and labels stand.
 
 Blocks keep page order and are joined by line ends; nothing else is dropped or cut.
 
@@ -46,6 +51,8 @@ INLINE = {
 }
 #: A start tag of the key ends an open element of these tags.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
+#: Elements whose text is told, not placed: in the content's container they are content.
+TOLD = {"p", "li", "dt", "dd", "td", "th", "caption", "figcaption", "pre", "blockquote", "address", "summary", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTENT = {"article", "main"}
 
@@ -64,6 +71,8 @@ AGAINST_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search"
 SHARE = 0.2
 #: So much of that share an article adds to its paths, if it holds all of the page's text.
 RAISE = 0.9
+#: Link text from this share on makes a path a list of links.
+LINK_SHARE = 0.9
 #: Weights of the blocks up to two places away.
 SMOOTHING = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 
@@ -96,6 +105,7 @@ class _Page:
         self.open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
         self.depth: Counter[str] = Counter()  # how many of a tag are open
         self.paths: dict[tuple[int, str], int] = {}  # a path is its parent and its last element
+        self.parent: list[int] = [0]
         self.parts: list[str] = []
         self.link_chars = self.links = 0
         self.blocks: list[tuple[str, str, int, bool, bool, int]] = []
@@ -124,7 +134,10 @@ class _Page:
                 self._pop()
         _, path, against, inside, header = self.open[-1]
         own = _speaks_against(tag, rest, inside)
-        path = self.paths.setdefault((path, tag + "!" * own), len(self.paths) + 1)
+        known = len(self.paths)
+        above, path = path, self.paths.setdefault((path, tag + "!" * own), known + 1)
+        if len(self.paths) > known:
+            self.parent.append(above)
         self.depth[tag] += 1
         self.open.append((tag, path, against or own, inside or tag in CONTENT, header or tag == "header" and inside))
 
@@ -175,9 +188,27 @@ class _Page:
             self._text(source[at:])
 
 
+def _within(parent: list[int], paths: list[int], weight: np.ndarray) -> list[bool]:
+    """Whether each block lies in the deepest element that holds more than half of the weight."""
+    total = np.zeros(len(parent))
+    for path, w in zip(paths, weight.tolist()):
+        total[parent[path]] += w
+    for path in range(len(parent) - 1, 0, -1):  # a parent comes before its children
+        total[parent[path]] += total[path]
+    depth = [0] * len(parent)
+    inside = [False] * len(parent)
+    for path in range(1, len(parent)):
+        depth[path] = depth[parent[path]] + 1
+    holder = max(np.flatnonzero(total * 2 > weight.sum()).tolist(), key=lambda p: depth[p], default=0)
+    for path in range(len(parent)):
+        inside[path] = path == holder or path > 0 and inside[parent[path]]
+    return [inside[p] for p in paths]
+
+
 def main_text(source: str | None) -> str:
     """Content blocks of a page, a line each."""
-    blocks = _Page(source or "").blocks
+    page = _Page(source or "")
+    blocks = page.blocks
     if not blocks:
         return ""
     number = {p: k for k, p in enumerate(dict.fromkeys(b[2] for b in blocks))}
@@ -198,7 +229,10 @@ def main_text(source: str | None) -> str:
     # short texts of an article with most of the page's text are raised, links are not
     text_share = (1 - np.bincount(place, links) / np.maximum(np.bincount(place, size), 1))[place]
     value += RAISE * held * least * inside * np.minimum(1, 2 * text_share)
-    chosen = (~against & (value >= least)).tolist()
+    chosen = ~against & (value >= least)
+    told = np.array([b[1] in TOLD for b in blocks]) & ~against & (text_share > 1 - LINK_SHARE)
+    within = np.array(_within(page.parent, [b[2] for b in blocks], np.where(chosen, size, 0)))
+    chosen = (chosen | told & (within | inside & (held > 0.5))).tolist()
     for k in range(len(blocks) - 2, -1, -1):  # a heading goes with what follows it
         if not chosen[k] and chosen[k + 1] and blocks[k][1] in HEADINGS and not against[k]:
             chosen[k] = True
