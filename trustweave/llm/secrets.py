@@ -7,8 +7,9 @@ and these need a secret, in the same scope (paragraph) and starting within ``rea
 characters.
 
 Positions without a UDF: a text split by a pattern and the pattern's matches alternate, so
-the running sum of their lengths gives each match's end in code points. Sums run in blocks
-to stay near linear for texts with very many matches.
+the running sum of their lengths gives each match's end in code points. Sums run in blocks,
+over arrays that are computed once, and masked texts are put together from pieces, so both
+stay near linear for texts with very many matches.
 
 The join works on candidates of few documents, found by cheap filters. Parts are cut into
 cells of ``reach`` characters; per (document, scope, side, cell) only the first and last
@@ -24,6 +25,8 @@ their text; columns named like the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trustweave.llm.batches import name
@@ -49,20 +52,36 @@ MASK = "[SECRET]"
 #: Linked documents (about 200 bytes each) that may be broadcast.
 BROADCAST_ROWS = 200_000
 _BLOCK = 256
+#: Code points in a piece of a text that is masked.
+_PIECE = 1024
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed one time, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, start: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running values of an array of long, block by block: appending to an array
+    copies it, so arrays stay short until they are joined."""
+    def run(array: Column, first: Column) -> Column:
+        state = F.struct(first.alias("now"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(array, state, lambda a, v: F.struct(join(a["now"], v).alias("now"), F.array_append(a["out"], join(a["now"], v)).alias("out")), lambda a: a["out"])
+
+    def long(array: Column) -> Column:
+        n = F.ceil(F.size(array) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(array, k * _BLOCK + 1, _BLOCK))
+        return once(blocks, lambda some: once(
+            run(F.transform(some, lambda b: F.aggregate(b, start, join)), start),
+            lambda ends: F.flatten(F.transform(some, lambda b, k: run(b, F.when(k == 0, start).otherwise(F.try_element_at(ends, F.greatest(k, F.lit(1))))))),
+        ))
+
+    return once(values, lambda array: F.when(F.size(array) == 0, F.array().cast("array<bigint>")).when(F.size(array) <= _BLOCK, run(array, start)).otherwise(long(array)))
 
 
 def running_sum(values: Column) -> Column:
     """Inclusive running sums of an array of long."""
-    def sums(array: Column, first: Column) -> Column:
-        start = F.struct(first.alias("total"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(array, start, lambda a, v: F.struct((a["total"] + v).alias("total"), F.array_append(a["out"], a["total"] + v).alias("out")), lambda a: a["out"])
-
-    zero = F.lit(0).cast("bigint")
-    n = F.ceil(F.size(values) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(values, k * _BLOCK + 1, _BLOCK))
-    ends = sums(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a + v)), zero)
-    long = F.flatten(F.transform(blocks, lambda b, k: sums(b, F.when(k == 0, zero).otherwise(F.try_element_at(ends, F.greatest(k, F.lit(1)))))))
-    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).when(F.size(values) <= _BLOCK, sums(values, zero)).otherwise(long)
+    return _running(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
 
 
 def located(rows: DataFrame, text: str, patterns: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -180,18 +199,40 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each stretch of spans, overlapping ones as one, replaced by a mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points of a text from its pieces: only those at hand are read."""
+    piece = lambda k: F.get(pieces, k)
+    first, last = (start / _PIECE).cast("int"), ((end - 1) / _PIECE).cast("int")
+    at = (start - first * _PIECE + 1).cast("int")
+    one = F.substring(piece(first), at, (end - start).cast("int"))
+    more = F.concat(
+        F.substring(piece(first), at, F.lit(_PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(piece(last), F.lit(1), (end - last * _PIECE).cast("int")),
+    )
+    return F.when(end <= start, "").when(first == last, one).otherwise(more)
 
-    def step(a: Column, s: Column) -> Column:
-        before = F.when(s["start"] >= a["at"], F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(MASK)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.coalesce(before, F.array().cast("array<string>"))).alias("out"))
 
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each stretch of spans, overlapping ones as one, replaced by a mark.
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
+    The text is cut into pieces once, and what stands between two stretches is read from the
+    pieces at hand, so the work is linear in the text and its spans.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def joined(own: Column, pieces: Column, length: Column) -> Column:
+        reach = _running(F.transform(own, lambda s: s["end"]), zero, lambda a, v: F.greatest(a, v))
+        return once(reach, lambda ends: F.concat(
+            F.array_join(F.flatten(F.zip_with(own, F.concat(F.array(zero), F.slice(ends, 1, F.size(ends) - 1)), lambda s, before: F.when(
+                s["start"] >= before, F.array(_cut(pieces, before, s["start"]), F.lit(MASK)),
+            ).otherwise(F.array().cast("array<string>")))), ""),
+            _cut(pieces, F.element_at(ends, -1), length),
+        ))
+
+    cut = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _PIECE), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(
+        once(spans, lambda own: once(cut, lambda pieces: once(F.char_length(text).cast("bigint"), lambda n: joined(own, pieces, n))))
+    )
 
 
 def mask_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
