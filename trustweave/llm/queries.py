@@ -187,14 +187,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     records = warc.read_records(spark, path)
     own = F.col("kind") == "response"
-    records = records.withColumns({  # before the join, so that payloads stay out of its shuffle
+    records = records.withColumns({  # before they are assembled, so that payloads stay out of the shuffle
+        "short": F.when(F.col("kind") == "metadata", F.col("payload")).when(F.col("kind") == "request", F.col("http_head")),
         "payload_bytes": F.when(own, F.octet_length("payload")).otherwise(F.regexp_extract("http_head", r"Content-Length: ([0-9]+)", 1).try_cast("long")).cast("long"),
         "digest": F.when(own, warc.base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")),
         "refers_to": F.col("refers_to_page").cast("long"),
     })
-    return warc.assemble(records).select(
-        F.regexp_extract("metadata.payload", r"page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
+    kept = ["kind", "payload_bytes", "digest", "refers_to", "damaged", "short"]
+    captures = warc.assemble(records, kept)
+    return captures.select(
+        F.regexp_extract("metadata.short", r"page-id: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
         "response.payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), "response.refers_to", "response.damaged",
+        F.regexp_extract("request.short", r"(?s)\AGET (.*) HTTP/1\.1", 1).alias("request_target"),
     )
 
 
@@ -286,11 +290,12 @@ counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT doc_id, class_id, coalesce(copy_id, doc_id) AS copy_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN copies USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
 
-SQL_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first_id FROM p)
+SQL_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, coalesce(regexp_extract(url, '(?s)://[^/?#]*([^#]*)', 1), '') AS place FROM pages),
+d AS (SELECT page_id, place, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first_id FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, false AS damaged FROM d"""
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, false AS damaged,
+  CASE WHEN place = '' THEN '/' ELSE place END AS request_target FROM d"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -12,8 +12,9 @@ Each record's length is compared with its Content-Length; a record that doesn't
 ``damaged``. A payload that itself holds a version line is written in base64, and says so
 in its header; an url that ends like one is percent-encoded.
 
-Assembly. Request, response and metadata meet in a join on the response's record id; all
-ids of a capture are unique, so no key is hot. A capture is one nested row. Requests or
+Assembly. Request, response and metadata are joined by the response's record id, as one
+aggregate over one scan; all ids of a capture are unique, so no key is hot. A capture is one
+nested row. Requests or
 metadata without a response give no capture; a response without them has null fields.
 
 Equal payloads are found on digests: groups of more than one page, with their smallest id,
@@ -27,6 +28,8 @@ only for pages without one. Line ends in urls are percent-encoded.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustweave.llm.batches import name
@@ -139,17 +142,19 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("payload", F.when(coded & (F.col("kind") == "response"), F.decode(F.unbase64("payload"), "UTF-8")).otherwise(F.col("payload")))
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response (or revisit), request, metadata.
+def assemble(records: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """One nested row per capture: record_id, and response (or revisit), request, metadata as
+    structs of ``fields`` (default: all columns of ``records``, also those added to them).
 
-    The structs hold all columns of ``records``, also those added to them before; fields
-    that are not read later don't take part in the join's shuffle.
+    All kinds are read in one scan and meet in one aggregate by the response's id, which at
+    most a few records share; name the fields that are needed to keep payloads out of it.
     """
-    fields = [c for c in records.columns if c not in ("record_id", "concurrent_to")]
-    answers = records.where("kind IN ('response', 'revisit')").select("record_id", F.struct(*fields).alias("response"))
-
-    def beside(kind: str) -> DataFrame:
-        some = records.where(F.col("kind") == kind).where("concurrent_to IS NOT NULL")
-        return some.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct("target_uri", "http_head", "payload", "damaged")).alias(kind))
-
-    return answers.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
+    fields = [c for c in records.columns if c not in ("record_id", "concurrent_to")] if fields is None else list(fields)
+    answer = F.col("kind").isin("response", "revisit")
+    rows = records.select(
+        F.when(answer, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("record_id"),
+        F.when(answer, "response").otherwise(F.col("kind")).alias("part"), F.struct(*[name(f) for f in fields]).alias("own"),
+    ).where("record_id IS NOT NULL")
+    # of several requests of one response, the least
+    of = lambda part: F.min(F.when(F.col("part") == part, F.col("own"))).alias(part)
+    return rows.groupBy("record_id").agg(of("response"), of("request"), of("metadata")).where("response IS NOT NULL")
