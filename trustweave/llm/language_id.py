@@ -73,6 +73,10 @@ def grams(texts, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[keep].astype(np.int64), np.searchsorted(row_of_first[:-2][keep], np.arange(texts.n + 1))
 
 
+#: N-grams from which a text without a near codeword is undecided.
+ENOUGH = 8
+
+
 class Model:
     """Codewords, bit classifiers and bit weights."""
 
@@ -105,8 +109,9 @@ class Model:
             sizes.append(n)
         return np.concatenate(parts), np.concatenate(sizes)
 
-    def decode(self, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score in 0..1, and the lead of the best loss over the next."""
+    def decode(self, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score in 0..1, the lead of the best loss over the next, and the best loss
+        (log 2 for margins that say nothing)."""
         evidence = margins * np.sqrt(n)[:, None]
         loss = np.zeros((len(margins), len(self.languages)))
         weight = self.reliability / self.reliability.sum()
@@ -115,7 +120,7 @@ class Model:
         order = np.sort(loss, 1)
         lead = order[:, 1] - order[:, 0] if loss.shape[1] > 1 else np.full(len(loss), np.inf)
         closeness = np.exp(-SHARPNESS * (loss - order[:, :1]))
-        return loss.argmin(1), 1 / closeness.sum(1), lead
+        return loss.argmin(1), 1 / closeness.sum(1), lead, order[:, 0]
 
 
 def fit(
@@ -159,7 +164,10 @@ def fit(
 def predict(
     docs: DataFrame, model: Model | None, *, text: str = "text", columns: Sequence[str] | None = None, min_lead: float = 0.002,
 ) -> DataFrame:
-    """Append ``lang_pred``, ``score`` and ``ambiguous`` (the best two codewords are nearly as close)."""
+    """Append ``lang_pred``, ``score``, ``ambiguous`` (the best two codewords are nearly as
+    close) and ``undecided``: the text has ``ENOUGH`` n-grams or more, and yet no codeword's loss
+    is below half of that of margins that say nothing, so it is of none of the languages.
+    Without two languages to tell apart nothing is undecided."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -167,14 +175,16 @@ def predict(
 
         def compute(column: pa.Array) -> list[pa.Array]:
             if m is None:
-                return [pa.array([UNDETERMINED] * len(column)), pa.array(np.zeros(len(column))), pa.array(np.ones(len(column), bool))]
-            best, score, lead = m.decode(*m.margins(column))
-            return [pa.array([m.languages[k] for k in best], pa.string()), pa.array(score), pa.array(lead < min_lead)]
+                return [pa.array([UNDETERMINED] * len(column)), pa.array(np.zeros(len(column))), pa.array(np.ones(len(column), bool)), pa.array(np.zeros(len(column), bool))]
+            margins, n = m.margins(column)
+            best, score, lead, loss = m.decode(margins, n)
+            undecided = (n >= ENOUGH) & (loss > np.log(2) / 2) & (len(m.languages) > 1)
+            return [pa.array([m.languages[k] for k in best], pa.string()), pa.array(score), pa.array(lead < min_lead), pa.array(undecided)]
 
         return compute
 
     letter = F.coalesce(name(text).cast("string").rlike(r"\p{L}"), F.lit(False))
-    out = with_text_columns(docs, make, "lang_pred string, score double, ambiguous boolean", text=text, columns=columns, before={"__letter": letter})
+    out = with_text_columns(docs, make, "lang_pred string, score double, ambiguous boolean, undecided boolean", text=text, columns=columns, before={"__letter": letter})
     return out.withColumns({
         "lang_pred": F.when(F.col("__letter"), F.col("lang_pred")).otherwise(UNDETERMINED),
         "score": F.when(F.col("__letter") & (F.col("lang_pred") != UNDETERMINED), F.col("score")).otherwise(0.0),
