@@ -28,11 +28,12 @@ def carried(stage: Stage) -> Stage:
 @carried
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the documents' own languages (fold 1 held out); those whose language can't
-    be told go: texts that are null or without a letter. Others keep their row as it is."""
+    be told go: texts that are null or without a letter, and those that the decoder leaves
+    undecided, being near no language's codeword. Others keep their row as it is."""
     model = language_id.fit(docs.where(language_id.fold(F.col("doc_id")) != 1))
     judged = language_id.predict(docs, model)
     # without any labelled text nothing is judged
-    rejected = F.col("lang_pred") == language_id.UNDETERMINED if model else F.lit(False)
+    rejected = (F.col("lang_pred") == language_id.UNDETERMINED) | F.col("undecided") if model else F.lit(False)
     return judged.where(~rejected)
 
 
