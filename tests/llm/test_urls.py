@@ -67,3 +67,13 @@ def test_registered_query_blocks_bad_hosts_of_few_labels_among_many_good_ones(sp
     assert len(out) == len(pages) and all(r.rule is None for r in out)
     assert {r.host for r in out if r.verdict == "block"} == set(bad)
     assert {r.host for r in out if r.verdict == "allow"} == set(good)
+
+
+def test_urls_without_a_host_are_judged_by_all_pages(spark):
+    pages = [(k, None if k % 2 else "nothing") for k in range(400)] + [(k, f"http://h{k % 7}.com/{k}") for k in range(400, 1400)]
+    labels = [(k, int(k < 400)) for k in range(1400)]
+    out = u.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), ()).collect()
+    empty = {(r.verdict, round(r.bound, 6)) for r in out if r.host == ""}
+    mean = 400.5 / 1401
+    assert len(empty) == 1 and next(iter(empty))[0] == "allow" and next(iter(empty))[1] <= mean
+    assert {r.verdict for r in out} == {"allow"}

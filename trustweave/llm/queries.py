@@ -88,14 +88,17 @@ WITH parts AS (
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
-sums AS (
+raw AS (
   SELECT host, coalesce(sum(bad), 0)::DOUBLE AS x, count(bad)::DOUBLE AS n,
     regexp_extract(host, '[^.]+\.[^.]+\z') AS domain, regexp_extract(host, '[^.]*\z') AS suffix
   FROM parts LEFT JOIN (
     SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END AS bad FROM labels
   ) l ON l.doc_id = parts.page_id GROUP BY host),
+sums AS (
+  SELECT host, CASE WHEN host = '' THEN 0.0 ELSE x END AS x, CASE WHEN host = '' THEN 0.0 ELSE n END AS n,
+    CASE WHEN host = '' THEN '/' ELSE domain END AS domain, CASE WHEN host = '' THEN '/' ELSE suffix END AS suffix FROM raw),
 s0 AS (
-  SELECT suffix, sum(x) AS x, sum(n) AS n, (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) FROM sums) AS m FROM sums GROUP BY suffix),
+  SELECT suffix, sum(x) AS x, sum(n) AS n, (SELECT (sum(x) + 0.5) / (sum(n) + 1.0) FROM raw) AS m FROM sums GROUP BY suffix),
 k0 AS (
   SELECT CASE WHEN coalesce(d, 0) = 0 OR s <= e THEN 1000.0 ELSE least(greatest(d / (s - e) - 1, 1.0), 1000.0) END AS k FROM (
     SELECT sum(n * pow(x / n - m, 2)) AS s, sum(m * (1 - m)) AS e, sum(m * (1 - m) * (n - 1)) AS d FROM s0 WHERE n > 0)),
