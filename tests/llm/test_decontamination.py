@@ -99,3 +99,40 @@ def test_trimmed_passages_as_whole_documents_between_others():
             assert [h["item_id"] for h in alone] == [number]
             assert rows == [[], alone, []]
             assert (alone[0]["start_word"], alone[0]["end_word"], alone[0]["distance"]) == (0, len(whole), len(words) - len(whole))
+
+
+def test_short_items_are_found_verbatim():
+    """Every length below the walks' one, at every place, and no longer or shorter match."""
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7] * 5)]
+    index = d.Index(items, 0.8, 6, 8)
+    docs = [rng.choices(vocabulary, k=rng.randrange(0, 30)) + (x.split() if rng.random() < 0.7 else []) + rng.choices(vocabulary, k=rng.randrange(0, 30)) for _, x in items for _ in range(8)]
+    out = index.hits(pa.array([" ".join(w) for w in docs]))
+    found = 0
+    for w, hits in zip(docs, out):
+        want = {}
+        for number, text in items:
+            own = text.split()
+            places = [k for k in range(len(w) - len(own) + 1) if w[k:k + len(own)] == own]
+            if len(own) >= 3 and places:
+                want[number] = places[0]
+        assert {h["item_id"]: h["start_word"] for h in hits} == want
+        assert all(h["end_word"] - h["start_word"] == h["n_words"] and h["distance"] == 0 for h in hits)
+        found += len(want)
+    assert found > 100
+    assert not any(h["n_words"] < 3 for hits in out for h in hits)
+
+
+def test_scripts_without_spaces_are_words_by_character():
+    rng = random.Random(14)
+    letters = [chr(k) for k in range(0x4E00, 0x4E00 + 900)] + [chr(k) for k in range(0x3042, 0x3094)]
+    items = [(k, "".join(rng.choices(letters, k=rng.randrange(10, 50)))) for k in range(60)]
+    index = d.Index(items, 0.8, 6, 8)
+    found = 0
+    for number, text in items:
+        passage = edited(rng, text, letters, int(0.2 * len(text) + 1e-9))
+        doc = "".join(rng.choices(letters, k=80)) + "。" + "".join(passage) + "".join(rng.choices(letters, k=80))
+        found += any(h["item_id"] == number for h in index.hits(pa.array([doc]))[0])
+    assert found / len(items) >= 0.9
+    assert not any(index.hits(pa.array(["".join(rng.choices(letters, k=300)) for _ in range(50)])))

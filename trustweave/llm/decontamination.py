@@ -1,7 +1,8 @@
 """Benchmark passages in documents, within an edit distance, by CGK embedding and LSH.
 
-Texts are sequences of words (lower-cased runs of letters and digits), and the distance
-counts words inserted, deleted or replaced. The CGK embedding walks over a sequence and
+Texts are sequences of words (lower-cased runs of letters and digits; in scripts that set no
+spaces each character is a word), and the distance counts words inserted, deleted or
+replaced. The CGK embedding walks over a sequence and
 stays on a word or steps on by a random bit of that word and step; two sequences that
 differ by few edits fall into step again, so their walks agree at most steps: edit
 distance has become Hamming distance. Bit sampling then hashes the words read at a few
@@ -17,7 +18,10 @@ tests at the largest allowed distance.
 Plan: one scan and one map; documents are never shuffled. Items are a query set: blocks of
 at most ``BLOCK_WORDS`` words are broadcast, each in a pass over all documents.
 
-Defined cases: null or empty texts hold no passage; items of fewer than ``min_words`` words
+Items of ``min_exact`` to ``min_words`` - 1 words allow no sampled walk; they are looked up whole,
+by a hash of all their words, and match verbatim only.
+
+Defined cases: null or empty texts hold no passage; items of fewer than ``min_exact`` words
 are no evidence and match nothing; equal items are all reported; repeated documents and
 rows with null ids are judged alike, each on its own; passages don't span rows.
 """
@@ -30,16 +34,34 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from trustweave.llm.batches import name, with_text_columns
-from trustweave.llm.text import NOT_ALNUM, chunks, constants, words
+from trustweave.llm.text import NOT_ALNUM, chunks, constants, windows, words
 
 #: Words of the items that one broadcast may hold (about 200 bytes each with all hashes).
 BLOCK_WORDS = 200_000
 HITS = "array<struct<item_id:bigint,start_word:int,end_word:int,distance:int,n_words:int>>"
 
 
+#: Scripts without spaces between words.
+_UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_UNSPACED_JAVA = _UNSPACED.replace("\\p{", "\\p{Is")
+_UNSPACED_LEADS = np.zeros(256, bool)
+_UNSPACED_LEADS[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+
+
+def spaced(column: pa.Array) -> pa.Array:
+    """The texts, with spaces around each character of a script that sets none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    data = column.buffers()[2]
+    if data is None or not _UNSPACED_LEADS[np.frombuffer(data, np.uint8)].any():
+        return column
+    return pc.replace_substring_regex(column, _UNSPACED, r" \0 ")
+
+
 class Walks:
     """The embedding's walks and the steps that each repeat samples."""
 
@@ -108,11 +130,12 @@ def edit_ends(item: dict[int, int], n: int, text: Sequence[int]) -> tuple[int, i
 class Index:
     """Hashes of some items, and the exact check."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, repeats: int, min_words: int):
+    def __init__(self, items: list[tuple[int, str]], similarity: float, repeats: int, min_words: int, min_exact: int = 3):
         self.walks = Walks(repeats)
         self.items = []
+        exact: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by number of words: hash, item
         entries: list[list[np.ndarray]] = [[] for _ in range(repeats)]
-        texts = pa.array([t.lower() for _, t in items], pa.large_string())
+        texts = spaced(pa.array([t.lower() for _, t in items], pa.large_string()))
         for t in chunks(texts):
             found = words(t, NOT_ALNUM)
             bounds = np.searchsorted(found.row, np.arange(t.n + 1))
@@ -120,6 +143,8 @@ class Index:
                 own = found.hash[bounds[r]:bounds[r + 1]]
                 n = len(own)
                 if n < min_words:
+                    if n >= max(1, min_exact):
+                        exact[n].append((int(windows(own, np.zeros(n), n, n)[0][0]), items[t.first + r][0]))
                     continue
                 number, values = len(self.items), own.tolist()
                 self.items.append((items[t.first + r][0], n, int((1 - similarity) * n + 1e-9), set(values), _places(values), _places(values[::-1])))
@@ -127,6 +152,10 @@ class Index:
                     key, last, seen = self.walks.hashes(own, k)
                     ok = np.flatnonzero((last < n) & (seen >= min(self.walks.distinct, n)))
                     entries[k].append(np.stack([key[ok], np.full(len(ok), number, np.uint64), ok.astype(np.uint64)], 1))
+        self.exact = {}
+        for n, pairs in exact.items():
+            pairs.sort(key=lambda p: p[0])
+            self.exact[n] = (np.array([p[0] for p in pairs], np.uint64), [p[1] for p in pairs])
         self.keys, self.numbers, self.offsets, self.maps = [], [], [], []
         for per_repeat in entries:
             table = np.concatenate(per_repeat) if per_repeat else np.zeros((0, 3), np.uint64)
@@ -157,13 +186,17 @@ class Index:
 
     def hits(self, column: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(column))]
-        if not self.items:
+        if not self.items and not self.exact:
             return out
-        for t in chunks(column):
+        for t in chunks(spaced(column)):
             found = words(t, NOT_ALNUM)
             if not len(found.hash):
                 continue
             bounds = np.searchsorted(found.row, np.arange(t.n + 1))
+            for row, hit in self._whole(found.hash, found.row, bounds):
+                out[t.first + row].append(hit)
+            if not self.items:
+                continue
             starts, numbers, rows = self.candidates(found.hash, found.row)
             # a start may lie before its row, if the passage's head is missing
             order = np.lexsort((starts, numbers))
@@ -184,6 +217,22 @@ class Index:
                     out[t.first + row].append(best)
         return out
 
+    def _whole(self, values: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> list[tuple[int, dict]]:
+        """(row, hit) of each short item that a row holds verbatim, at its first place."""
+        out = []
+        for n, (keys, ids) in self.exact.items():
+            hashed, at = windows(values, row, n, n)
+            low, high = np.searchsorted(keys, hashed, "left"), np.searchsorted(keys, hashed, "right")
+            seen = set()
+            for k in np.flatnonzero(high > low).tolist():
+                place, own = int(at[k]), int(row[at[k]])
+                for i in range(low[k], high[k]):
+                    if (own, i) not in seen:
+                        seen.add((own, i))
+                        start = place - int(bounds[own])
+                        out.append((own, {"item_id": ids[i], "start_word": start, "end_word": start + n, "distance": 0, "n_words": n}))
+        return out
+
     def _best(self, number: int, values: np.ndarray, parts: list[tuple[int, int]], first: int) -> dict | None:
         item_id, n, most, distinct, forward, backward = self.items[number]
         best: tuple[int, int, int] | None = None
@@ -211,20 +260,20 @@ def _places(values: list[int]) -> dict[int, int]:
 
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", columns: Sequence[str] | None = None, item_id: str = "item_id", item_text: str = "text",
-    similarity: float = 0.8, repeats: int = 6, min_words: int = 8,
+    similarity: float = 0.8, repeats: int = 6, min_words: int = 8, min_exact: int = 3,
 ) -> DataFrame:
     """Append ``hits`` to ``columns`` (default: all): the closest passage of each item found,
     with its word places (end exclusive), distance and the item's number of words."""
     kept = [c for c in (docs.columns if columns is None else columns) if c.lower() != "hits"]
     items = benchmark.select(name(item_id).cast("long").alias("id"), name(item_text).cast("string").alias("text")).where("text IS NOT NULL")
-    n_words = F.size(F.split(F.col("text"), r"[^\p{L}\p{N}]+"))
+    n_words = F.size(F.split(F.col("text"), r"[^\p{L}\p{N}]+")) + F.regexp_count(F.col("text"), F.lit(_UNSPACED_JAVA))
     blocks = max(1, -(-(items.agg(F.sum(n_words)).first()[0] or 0) // BLOCK_WORDS))
     lower = F.lower(name(text).cast("string"))
     rows = docs.select(*[name(c) for c in kept], lower.alias("__lower"))
     hashed = F.pmod(F.xxhash64("text"), F.lit(blocks))
     for b in range(blocks):
         block = [(r["id"], r["text"]) for r in items.where(hashed == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity, repeats, min_words))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity, repeats, min_words, min_exact))
 
         def make(shared=shared):
             index = shared.value
