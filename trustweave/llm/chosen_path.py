@@ -15,12 +15,13 @@ are linked at a Jaccard similarity of ``percent`` / 100 or more, and linked sets
 3. Small nodes are compared exhaustively, one node at a time: by sketches first, with five
    standard deviations of slack, then the likely members by their full sets. The likely ones
    of many nodes are mostly the same; equal groups are compared once.
-4. Nodes still large at the last depth hold near copies. They are cut into parts by hash, so
-   that no task holds one; the first tree compares each part and every member with one pivot.
-5. Rounds. What the first tree links to one class is a label in the others: a node with one
-   label is let go, and only members with different labels are compared. Of a large node,
-   those outside its largest label meet all members, part by part, those of the first tree
-   too. No link between groups is lost by this.
+4. Rounds. A shallow tree goes ahead of the others. Its large nodes are cut into parts by hash,
+   so that no task holds one, and each part is compared with itself and one pivot. What it
+   links to one class is a label from then on: a node with one label is let go, and only
+   members with different labels are compared.
+5. In the trees themselves a large node with few members outside its largest label, a group of
+   near copies as a rule, doesn't branch: those members meet all others, part by part. So do
+   the nodes still large at the last depth. No link between groups is lost by this.
 6. Connected components of all links found give the groups.
 
 Every link is exact; a pair at the threshold is missed with a probability of at most
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ from trustweave.llm.text import SPACE, Texts, chunks, constants, mix, shingles,
 COORDINATES = 64
 #: Members of a node that is compared exhaustively; classes and set bytes in one part.
 NODE, PART_CLASSES, PART_BYTES = 256, 256, 1 << 25
+#: Depth of the tree that only labels.
+FIRST_DEPTH = 2
 #: Sides of a block.
 LEFT, RIGHT = 1, 2
 #: Rows (below 64 bytes each) of large nodes, candidate classes and their blocks that may be
@@ -206,44 +210,86 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def _components(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """Smallest row that each of n rows is connected with by pairs of rows."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[one], label[two])
+        lower = label.copy()
+        np.minimum.at(lower, one, least)
+        np.minimum.at(lower, two, least)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def _likely(percent: int, keys: list[str]):
     """Small nodes, or blocks with sides, to groups (named by their members) of members that
-    may be linked."""
+    may be linked. Rows come sorted by keys; all nodes of a batch are compared together, the
+    pairs at one distance in the batch at a time."""
     share = percent / 100
     share += (1 - share) / (1 << SKETCH_BITS)  # tokens that agree by chance
     least = COORDINATES * (share - 5 * math.sqrt(share * (1 - share) / COORDINATES))
+    schema = pa.schema([("part_of", pa.int64()), ("digest", pa.binary())])
 
-    def of(members: list[dict]) -> Iterator[tuple]:
-        if len(members) < 2:
-            return
-        mark = np.array([m["mark"] for m in members])
-        if (mark == mark[0]).all():
-            return
-        packed = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-        size = np.array([m["n_shingles"] for m in members])
-        common = np.zeros((len(members),) * 2, np.uint8)
-        for k in range(packed.shape[1]):
-            for own in (packed[:, k] >> SKETCH_BITS, packed[:, k] & (1 << SKETCH_BITS) - 1):
-                common += own[:, None] == own[None]
-        near = (common >= least) & (mark[:, None] != mark[None]) & (100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None]))
-        if "side" in members[0]:
-            side = np.array([m["side"] for m in members])
-            near &= (side[:, None] & LEFT > 0) & (side[None] & RIGHT > 0)
-            near |= near.T
-        parent, find = _roots(len(members))
-        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near)))):
-            parent[find(i)] = find(j)
-        groups: dict[int, set[bytes]] = {}
-        for i in np.flatnonzero(near.any(1)).tolist():
-            groups.setdefault(find(i), set()).add(members[i]["digest"])
-        for own in groups.values():
-            called = int(np.add.reduce(mix(np.frombuffer(b"".join(own), ">u8").reshape(-1, 2).astype(np.uint64) * constants(2, 54)).ravel()))
-            called -= (called >> 63) << 64
-            for digest in own:
-                yield called, digest
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        group = np.zeros(len(rows), np.int64)
+        for k in keys:
+            value = rows[k].to_numpy()
+            group[1:] |= value[1:] != value[:-1]
+        group = np.cumsum(group)
+        mark, size = rows["mark"].to_numpy(), rows["n_shingles"].to_numpy().astype(np.int64)
+        packed = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        sketch = np.concatenate([packed >> SKETCH_BITS, packed & (1 << SKETCH_BITS) - 1], axis=1)
+        side = rows["side"].to_numpy() if "side" in rows.column_names else np.full(len(rows), LEFT | RIGHT)
+        ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(1, len(rows)):
+            one = np.flatnonzero(group[k:] == group[:-k])
+            if not len(one):
+                break
+            two = one + k
+            small, large = np.minimum(size[one], size[two]), np.maximum(size[one], size[two])
+            meets = (side[one] & LEFT > 0) & (side[two] & RIGHT > 0) | (side[two] & LEFT > 0) & (side[one] & RIGHT > 0)
+            one = one[(mark[one] != mark[two]) & (100 * small >= percent * large) & meets]
+            for low in range(0, len(one), 1 << 14):
+                some = one[low:low + (1 << 14)]
+                some = some[(sketch[some] == sketch[some + k]).sum(1) >= least]
+                ones.append(some)
+                twos.append(some + k)
+        one, two = np.concatenate(ones), np.concatenate(twos)
+        member = np.unique(np.concatenate([one, two]))
+        label = _components(np.searchsorted(member, one), np.searchsorted(member, two), len(member))
+        digests = rows["digest"].take(pa.array(member)).to_pylist()
+        pairs = sorted(set(zip(label.tolist(), digests)))  # a member may come for both sides
+        if not pairs:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], schema=schema)
+        label = np.array([p[0] for p in pairs])
+        words = np.frombuffer(b"".join(p[1] for p in pairs), ">u8").reshape(-1, 2).astype(np.uint64)
+        starts = np.flatnonzero(np.diff(label, prepend=-1))
+        named = np.add.reduceat(mix(words * constants(2, 54)).sum(1), starts)
+        named = np.repeat(named, np.diff(np.append(starts, len(label))))
+        return pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array([p[1] for p in pairs], pa.binary())], schema=schema)
 
-    schema = pa.schema([("part_of", pa.int64()), ("digest", pa.binary())])
-    return lambda batches: _batched((row for _, members in _grouped(batches, keys) for row in of(members)), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
+            other = np.zeros(len(rows), bool)  # than the last row's node, which may go on
+            for k in keys:
+                value = rows[k].to_numpy()
+                other |= value != value[-1]
+            end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            if end:
+                yield compare(rows.slice(0, end).combine_chunks())
+            held = rows.slice(end)
+        if held is not None and len(held):
+            yield compare(held.combine_chunks())
+
+    return run
 
 
 def _verify(percent: int):
@@ -291,27 +337,32 @@ _MEMBER = ["digest", "mark", "n_shingles", "sketch"]
 _NODE_ROW = "node long, digest binary, mark long, n_shingles int, sketch binary"
 
 
-def _grow(classes: DataFrame, seeds: np.ndarray, depth: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _grow(classes: DataFrame, seeds: np.ndarray, depth: int, percent: int, labelled: bool) -> tuple[DataFrame, DataFrame]:
     """All trees of a round, level by level: likely groups (part_of, digest) of small nodes,
-    and the members of nodes still large at the last level. Nodes of one label are let go."""
-    likely = deep = None
+    and the members of large nodes that are compared part by part: those still large at the
+    last level and, if classes are labelled, those with few members outside their largest
+    label. Nodes of one label are let go."""
+    likely, deep = [], []
     rows = classes.select("tokens", F.lit(0).cast("long").alias("path"), *_MEMBER)
     for level in range(depth):
         rows = staged(rows.mapInArrow(_branch(seeds if level == 0 else None, percent), _NODE_ROW), "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most"))
-        large = staged(sizes.where(f"n > {NODE}").select("node", (F.col("least") != F.col("most")).alias("mixed")), "large")
-        crowded = _sized(large)
-        small = rows.join(crowded, "node", "left_anti").repartition("node").sortWithinPartitions("node")
-        found = staged(small.mapInArrow(_likely(percent, ["node"]), "part_of long, digest binary"), "likely")
-        likely = found if likely is None else likely.unionByName(found)
-        live = rows.join(crowded.where("mixed").drop("mixed"), "node", "left_semi")
+        large = _sized(staged(sizes.where(f"n > {NODE}").select("node", (F.col("least") != F.col("most")).alias("mixed")), "large"))
+        small = rows.join(large, "node", "left_anti").repartition("node").sortWithinPartitions("node")
+        likely.append(staged(small.mapInArrow(_likely(percent, ["node"]), "part_of long, digest binary"), "likely"))
+        live = staged(rows.join(large.where("mixed").drop("mixed"), "node", "left_semi"), "live")
+        if live.isEmpty():
+            break
         if level == depth - 1:
-            deep = live
-        elif large.where("mixed").isEmpty():
+            deep.append(live)
             break
-        else:
-            rows = live.join(classes.select("digest", "tokens"), "digest").select("tokens", F.col("node").alias("path"), *_MEMBER)
-    return likely, rows.limit(0) if deep is None else staged(deep, "deep")
+        if labelled:
+            labels = live.groupBy("node", "mark").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"))
+            few = _sized(staged(labels.where(f"others <= {PART_CLASSES}").select("node"), "few"))
+            deep.append(live.join(few, "node", "left_semi"))
+            live = live.join(few, "node", "left_anti")
+        rows = live.join(classes.select("digest", "tokens"), "digest").select("tokens", F.col("node").alias("path"), *_MEMBER)
+    return reduce(DataFrame.unionByName, likely), staged(reduce(DataFrame.unionByName, deep), "deep") if deep else rows.limit(0)
 
 
 def _chunk(parts: str):
@@ -363,7 +414,6 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         F.min("doc_id").alias("copy_id"), F.first(F.struct(F.col("n_shingles").cast("int").alias("n_shingles"), "tokens", "sketch")).alias("own"),
     ).select("digest", "copy_id", "own.*", F.xxhash64("digest").alias("mark")), "classes")
     trees, depth = plan_trees(classes.count(), percent, recall)
-    seeds = constants(trees, 55)
 
     def linked(groups: DataFrame, of: DataFrame) -> DataFrame:
         """Exact links among the members of likely groups."""
@@ -377,14 +427,13 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def likely_in(blocks: DataFrame) -> DataFrame:
         return blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_likely(percent, _BLOCK), "part_of long, digest binary")
 
-    groups, deep = _grow(classes, seeds[:1], depth, percent)
+    groups, deep = _grow(classes, constants(1, 56), FIRST_DEPTH, percent, False)
     links = linked(groups.unionByName(likely_in(_first_blocks(deep))), classes)
     # members linked to one class are of one label: not whole components, but sound
     labels = links.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("root"))
     labelled = staged(classes.join(labels, "digest", "left").withColumn("mark", F.xxhash64(F.coalesce("root", "digest"))).drop("root"), "labelled")
-    groups, more = _grow(labelled, seeds[1:], depth, percent)
-    again = deep.drop("mark").join(labelled.select("digest", "mark"), "digest").select(*more.columns)
-    later = linked(groups.unionByName(likely_in(_later_blocks(staged(more.unionByName(again), "deep")))), labelled)
+    groups, deep = _grow(labelled, constants(trees, 55), depth, percent, True)
+    later = linked(groups.unionByName(likely_in(_later_blocks(deep))), labelled)
 
     found = components(links.unionByName(later)).select(F.col("node").alias("digest"), "root")
     grouped = classes.join(found, "digest", "left").select("digest", "copy_id", F.coalesce("root", "digest").alias("root"))
