@@ -15,9 +15,9 @@ are linked at a Jaccard similarity of ``percent`` / 100 or more, and linked sets
 3. Small nodes are compared exhaustively, one node at a time: by sketches first, with five
    standard deviations of slack, then the likely members by their full sets. The likely ones
    of many nodes are mostly the same; equal groups are compared once.
-4. Rounds. A shallow tree goes ahead of the others. Its large nodes are cut into parts by hash,
-   so that no task holds one, and each part is compared with itself and one pivot. What it
-   links to one class is a label from then on: a node with one label is let go, and only
+4. Rounds. Trees of one level go ahead of the others. Their large nodes are cut into parts by
+   hash, in two ways, so that no task holds one, and each part is compared with itself. What is
+   linked there has a common label from then on: a node with one label is let go, and only
    members with different labels are compared.
 5. In the trees themselves a large node with few members outside its largest label, a group of
    near copies as a rule, doesn't branch: those members meet all others, part by part. So do
@@ -53,8 +53,10 @@ from trustweave.llm.text import SPACE, Texts, chunks, constants, mix, shingles,
 COORDINATES = 64
 #: Members of a node that is compared exhaustively; classes and set bytes in one part.
 NODE, PART_CLASSES, PART_BYTES = 256, 256, 1 << 25
-#: Depth of the tree that only labels.
-FIRST_DEPTH = 2
+#: A large node doesn't branch if most members have one label and the others fill few parts.
+FEW_PARTS = 4
+#: Trees, of one level, that label before the others.
+FIRST_TREES = 3
 #: Sides of a block.
 LEFT, RIGHT = 1, 2
 #: Rows (below 64 bytes each) of large nodes, candidate classes and their blocks that may be
@@ -233,7 +235,7 @@ def _likely(percent: int, keys: list[str]):
     least = COORDINATES * (share - 5 * math.sqrt(share * (1 - share) / COORDINATES))
     schema = pa.schema([("part_of", pa.int64()), ("digest", pa.binary())])
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
+    def compare(rows: pa.Table) -> list[pa.RecordBatch]:
         group = np.zeros(len(rows), np.int64)
         for k in keys:
             value = rows[k].to_numpy()
@@ -259,17 +261,24 @@ def _likely(percent: int, keys: list[str]):
                 twos.append(some + k)
         one, two = np.concatenate(ones), np.concatenate(twos)
         member = np.unique(np.concatenate([one, two]))
+        if "side" in rows.column_names and (side != LEFT | RIGHT).all() and len(one) <= 4 * len(member):
+            # few on the left: a group for each, whichever tree and part it comes from
+            left, right = np.where(side[one] == LEFT, one, two), np.where(side[one] == LEFT, two, one)
+            digests = np.frombuffer(b"".join(rows["digest"].to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+            named = mix((digests[left] * constants(2, 57)).sum(1)).view(np.int64)
+            own = rows["digest"].take(pa.array(np.concatenate([left, right])))
+            return pa.Table.from_arrays([pa.array(np.concatenate([named, named])), own], ["part_of", "digest"]).combine_chunks().to_batches()
         label = _components(np.searchsorted(member, one), np.searchsorted(member, two), len(member))
         digests = rows["digest"].take(pa.array(member)).to_pylist()
         pairs = sorted(set(zip(label.tolist(), digests)))  # a member may come for both sides
         if not pairs:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], schema=schema)
+            return []
         label = np.array([p[0] for p in pairs])
         words = np.frombuffer(b"".join(p[1] for p in pairs), ">u8").reshape(-1, 2).astype(np.uint64)
         starts = np.flatnonzero(np.diff(label, prepend=-1))
         named = np.add.reduceat(mix(words * constants(2, 54)).sum(1), starts)
         named = np.repeat(named, np.diff(np.append(starts, len(label))))
-        return pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array([p[1] for p in pairs], pa.binary())], schema=schema)
+        return [pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array([p[1] for p in pairs], pa.binary())], schema=schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -284,10 +293,10 @@ def _likely(percent: int, keys: list[str]):
                 other |= value != value[-1]
             end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if end:
-                yield compare(rows.slice(0, end).combine_chunks())
+                yield from compare(rows.slice(0, end).combine_chunks())
             held = rows.slice(end)
         if held is not None and len(held):
-            yield compare(held.combine_chunks())
+            yield from compare(held.combine_chunks())
 
     return run
 
@@ -357,8 +366,8 @@ def _grow(classes: DataFrame, seeds: np.ndarray, depth: int, percent: int, label
             deep.append(live)
             break
         if labelled:
-            labels = live.groupBy("node", "mark").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"))
-            few = _sized(staged(labels.where(f"others <= {PART_CLASSES}").select("node"), "few"))
+            labels = live.groupBy("node", "mark").agg(F.count("*").alias("n")).groupBy("node").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+            few = _sized(staged(labels.where(f"n - top <= {FEW_PARTS * PART_CLASSES} AND 2 * top >= n").select("node"), "few"))
             deep.append(live.join(few, "node", "left_semi"))
             live = live.join(few, "node", "left_anti")
         rows = live.join(classes.select("digest", "tokens"), "digest").select("tokens", F.col("node").alias("path"), *_MEMBER)
@@ -373,12 +382,19 @@ _BLOCK = ["part_of", "low", "high"]
 
 
 def _first_blocks(deep: DataFrame) -> DataFrame:
-    """Each part of a large node with itself and with the node's pivot, its least member."""
-    of = deep.groupBy("node").agg(F.ceil(F.count("*") / PART_CLASSES).cast("int").alias("parts"), F.min("digest").alias("pivot"))
-    of = deep.join(of, "node").withColumnRenamed("node", "part_of")
-    own = of.select("part_of", _chunk("parts").alias("low"), *_MEMBER)
-    pivots = of.where("digest = pivot").select("part_of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("low"), *_MEMBER)
-    return own.unionByName(pivots).select("part_of", "low", F.col("low").alias("high"), *_MEMBER, F.lit(LEFT | RIGHT).alias("side"))
+    """Large nodes cut into parts in two ways that cross each other: every part of one has
+    members of every part of the other, so what is alike joins through both."""
+    of = deep.groupBy("node").agg(F.ceil(F.count("*") / PART_CLASSES).cast("int").alias("parts"))
+    of = deep.join(of, "node").withColumnRenamed("node", "part_of").withColumn("high", F.explode(F.array(F.lit(0), F.lit(1))))
+    return of.select("part_of", F.pmod(F.xxhash64("digest", "high"), F.col("parts")).cast("int").alias("low"), "high", *_MEMBER, F.lit(LEFT | RIGHT).alias("side"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(digest, root): the least root within three links. Members of one root are connected;
+    not all that are connected share one."""
+    own = links.groupBy("a").agg(F.min("b").alias("label"))
+    beside = links.join(own, "a").groupBy("b").agg(F.min("label").alias("label"))
+    return links.join(beside, "b").groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("root"))
 
 
 def _later_blocks(deep: DataFrame) -> DataFrame:
@@ -427,11 +443,9 @@ def link_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def likely_in(blocks: DataFrame) -> DataFrame:
         return blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_likely(percent, _BLOCK), "part_of long, digest binary")
 
-    groups, deep = _grow(classes, constants(1, 56), FIRST_DEPTH, percent, False)
+    groups, deep = _grow(classes, constants(FIRST_TREES, 56), 1, percent, False)
     links = linked(groups.unionByName(likely_in(_first_blocks(deep))), classes)
-    # members linked to one class are of one label: not whole components, but sound
-    labels = links.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("root"))
-    labelled = staged(classes.join(labels, "digest", "left").withColumn("mark", F.xxhash64(F.coalesce("root", "digest"))).drop("root"), "labelled")
+    labelled = staged(classes.join(_labels(links), "digest", "left").withColumn("mark", F.xxhash64(F.coalesce("root", "digest"))).drop("root"), "labelled")
     groups, deep = _grow(labelled, constants(trees, 55), depth, percent, True)
     later = linked(groups.unionByName(likely_in(_later_blocks(deep))), labelled)
 
