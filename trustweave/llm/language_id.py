@@ -167,6 +167,8 @@ def predict(
     """Append ``lang_pred``, ``score``, ``ambiguous`` (the best two codewords are nearly as
     close) and ``undecided``: the text has ``ENOUGH`` n-grams or more, and yet no codeword's loss
     is below half of that of margins that say nothing, so it is of none of the languages.
+    Not all such texts are seen: n-grams that training lacks lean to the languages with less of
+    it, so shorter noise, or any with two languages and little training, may seem decided.
     Without two languages to tell apart nothing is undecided."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
