@@ -77,7 +77,7 @@ FROM counts c JOIN boxes b USING (box)""")
 
 def _peers(spark, d):
     eligible = agent_boxes(spark, d).select("frame", "agent", "box", "eligible")
-    counts = _agent_counts(spark, d).join(eligible, ["frame", "agent", "box"])
+    counts = _agent_counts(spark, d).join(eligible.hint("merge"), ["frame", "agent", "box"])
     return leave_one_out(stage(counts), ["frame", "box"])
 
 

@@ -13,9 +13,9 @@ from trustweave.functions import geometry as G
 from trustweave.functions.scoring import Weights, count_residuals, fixed_diagnostic, missing_aware
 from trustweave.operators import overlays as O
 from trustweave.operators.evidence import Item, to_long, to_wide
-from trustweave.operators.peers import leave_one_out, summarize_suspicion
+from trustweave.operators.peers import leave_one_out, point_shares, summarize_suspicion
 from trustweave.operators.quantiles import exact_median
-from trustweave.operators.spatial import box_cells, count_in_boxes, spatial_support
+from trustweave.operators.spatial import LEVELS, box_cells, count_in_boxes, spatial_support
 
 BOX = "center_x_m double, center_y_m double, center_z_m double, size_x_m double, size_y_m double, size_z_m double, yaw_rad double"
 
@@ -59,6 +59,42 @@ def test_boxes_of_any_size_are_listed_in_few_cells(spark):
     assert all(got[x[0]] == 0 for x in unknown)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unfolded_boxes_are_not_broadcast(spark, tmp_path):
+    """A box list looks as small as the file it is unfolded from."""
+    spark.range(50).select((F.col("id") % 5).alias("frame"), F.col("id").alias("box")).write.parquet(f"{tmp_path}/b")
+    one = {c.split()[0]: F.lit(0.0 if "center" in c or "yaw" in c else 2.0) for c in BOX.split(", ")}
+    boxes = spark.read.parquet(f"{tmp_path}/b").withColumn("agent", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumns(one)
+    points = spark.range(100).select((F.col("id") % 5).alias("frame"), (F.col("id") % 2).cast("int").alias("agent"), *[F.lit(0.5).alias(c) for c in "xyz"])
+    out = spatial_support(points, boxes, ["frame", "agent"], ["box"], reference=(1.0, 0.5))
+    assert sum(r["point_count"] for r in out.collect()) == 1000
+    kept = boxes.select("frame", "agent", "box").withColumn("eligible", F.lit(True))
+    counts = count_in_boxes(points, boxes, ["frame", "agent"], ["box"])
+    peers = leave_one_out(counts.join(kept.hint("merge"), ["frame", "agent", "box"]), ["frame", "box"])
+    shares = point_shares(spark.createDataFrame([(0, 0, 1, 3)], "frame int, box int, agent_id int, point_count long"), ["frame", "box"])
+    assert "BroadcastHashJoin" not in _plan(counts) + _plan(peers) + _plan(shares)
+    assert _plan(out).count("BroadcastHashJoin") <= 1  # at most the clouds with a bad point
+
+
+def test_points_at_one_place_are_tested_once(spark):
+    """Repeated points travel as one row with their number; boxes wider than all points are one level."""
+    box = lambda k, at, s: (0, k, at, 0.0, 0.0, s, s, 2.0, 0.3)
+    boxes = [box(0, 0.0, 2.0), box(1, 0.0, 9.0), box(2, 5.0, 20.0), box(3, 0.0, 90.0), box(4, 0.0, 9e3), box(5, 0.0, 9e5), box(6, 9e6, 9e5)]
+    b = spark.createDataFrame(boxes, "frame int, box int, " + BOX)
+    points = [(0, x, 0.0, z) for x in (-9.5, -0.0, 0.0, 0.25, 9.5) for z in (0.0, 3.0)] * 40 + [(0, math.nan, 0.0, 0.0)]
+    p = spark.createDataFrame(points, "frame int, x double, y double, z double")
+    df = count_in_boxes(p, b, ["frame"], ["box"])
+    got = {r["box"]: r["point_count"] for r in df.collect()}
+    assert got == {x[1]: sum(_inside(q[1:], x[2:]) for q in points) for x in boxes} and got[5] == 200
+    listed = box_cells(b, ["frame"], ["box"], 1e-6, 4.0, 9.5)
+    assert {r[0] for r in listed.filter("box IN (3, 4, 5)").select("__level").distinct().collect()} == {LEVELS}
+    assert listed.filter("box = 6").count() == 0
+    assert "x#" in _plan(df).split("HashAggregate(keys=[frame")[-1].split("]")[0]  # places are grouped first
+
+
 def test_support_reasons_and_two_sided_residual(spark):
     box = (0.0, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0)
     b = spark.createDataFrame(

@@ -22,8 +22,8 @@ def leave_one_out(
 
     A sender's own count never enters its peer statistics. Senders of one object
     that report the same count share one answer, so the work is done on a
-    histogram of counts per object (small, and built with map-side combine) and
-    joined back: no pairs of senders and no collected groups. Taking one sender away
+    histogram of counts per object (built with map-side combine) and joined back by
+    shuffle, for it may have nearly as many rows as the counts: no pairs of senders and no collected groups. Taking one sender away
     moves the median to one of three places; the deviations from each are ranked beside
     the counts, in the one partitioning that the histogram has.
     """
@@ -43,7 +43,7 @@ def leave_one_out(
     )
     own = usable.cast("int")
     rows = counts.withColumn("__join", F.coalesce(n, F.lit(-1))).join(
-        answer, [*keys, "__join"], "left"
+        answer.hint("merge"), [*keys, "__join"], "left"
     )
     peers = F.col("__total") - own
     positive = F.col("__positive") - F.when(usable & (n > 0), 1).otherwise(0)
@@ -102,7 +102,7 @@ def point_shares(
         F.when(F.count("*") == F.count(count), F.sum(count)).alias("__total")
     )
     share = F.when(F.col("__total") > 0, F.col(count) / F.col("__total"))
-    return counts.join(totals, object_keys).select(*counts.columns, share.alias("point_share"))
+    return counts.join(totals.hint("merge"), object_keys).select(*counts.columns, share.alias("point_share"))
 
 
 def frame_shares(shares: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,6 +20,8 @@ BOX_COLUMNS = [
 #: Levels of the grid: cells of ``cell_m`` times a power of two. Beyond the last one, a box
 #: is listed in the one cell that holds everything.
 LEVELS = 24
+#: With more levels than these, reading the points' reach saves more than it costs.
+FEW_LEVELS = 4
 
 
 def _cell(c: Column, level: Column, cell_m: float) -> Column:
@@ -41,10 +43,13 @@ def _inside(tolerance_m: float) -> Column:
 
 
 def box_cells(
-    boxes: DataFrame, keys: list[str], box_id: list[str], tolerance_m: float, cell_m: float
+    boxes: DataFrame, keys: list[str], box_id: list[str], tolerance_m: float, cell_m: float,
+    reach_m: float = math.inf,
 ) -> DataFrame:
     """Boxes listed in the cells of their own level that they may touch: at most three by
-    three. Boxes of unknown or undefined extent hold no point and are left out."""
+    three. Boxes of unknown or undefined extent hold no point and are left out. No point is
+    further out than ``reach_m`` along x or y: boxes as wide as all points go to the one cell
+    of the last level, and those beyond the points are left out."""
     slack = 2 * tolerance_m + 1e-6
     sized = boxes.select(
         *keys, *box_id, *BOX_COLUMNS,
@@ -54,8 +59,12 @@ def box_cells(
         "__ey": (F.abs("__sin") * F.col("size_x_m") + F.abs("__cos") * F.col("size_y_m")) / 2 + slack,
     })
     wide = 2 * F.greatest("__ex", "__ey") / cell_m
-    level = F.when(wide <= 1, 0).when(wide >= 2.0**LEVELS, LEVELS).otherwise(F.ceil(F.log2(wide)))
+    whole = min(2.0**LEVELS, max(2 * reach_m / cell_m, 1.0))
+    level = F.when(wide <= 1, 0).when(wide >= whole, LEVELS).otherwise(F.ceil(F.log2(wide)))
     sized = sized.filter(~F.isnan(wide) & wide.isNotNull()).withColumn("__level", level.cast("int"))
+    if math.isfinite(reach_m):
+        near = lambda c, e: F.abs(c) - F.col(e) <= reach_m
+        sized = sized.filter(near("center_x_m", "__ex") & near("center_y_m", "__ey"))
     span = lambda c, e: F.sequence(
         _cell(F.col(c) - F.col(e), F.col("__level"), cell_m), _cell(F.col(c) + F.col(e), F.col("__level"), cell_m)
     )
@@ -81,35 +90,54 @@ def pairs_in_boxes(
     (usually four); a point is listed once for each level that any box uses. So neither
     a large box nor a small one makes many rows, and a crowded frame spreads over its
     cells. A crowded cell is a skewed join key, which AQE splits on the points' side. The
-    levels in use, at most ``LEVELS`` + 1 numbers, are read once from the boxes. Points
-    with non-finite coordinates are in no box, boxes with an unknown extent hold no point.
+    levels in use, at most ``LEVELS`` + 1 numbers, are read once from the boxes; where they
+    are many, the points' reach is read too, and all levels beyond it become one. The join
+    is shuffled: sizes of listed boxes, known before they are unfolded only, would have
+    them broadcast. Points with non-finite coordinates are in no box, boxes with an unknown
+    extent hold no point.
     """
+    return _pairs(points, points, boxes, keys, box_id, tolerance_m, cell_m)
+
+
+def _pairs(
+    points: DataFrame, measured: DataFrame, boxes: DataFrame, keys: list[str], box_id: list[str],
+    tolerance_m: float, cell_m: float,
+) -> DataFrame:
+    """``measured`` has the coordinates of ``points``, whose reach is read from it."""
     if not math.isfinite(tolerance_m) or tolerance_m < 0 or cell_m <= 0:
         raise ValueError("tolerance and cell size must be valid")
     listed = box_cells(boxes, keys, box_id, tolerance_m, cell_m)
     used = sorted(r[0] for r in listed.select("__level").distinct().collect())
+    if len(used) > FEW_LEVELS:
+        known = measured.filter(finite(F.col("x"), F.col("y"), F.col("z")))
+        reach = known.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
+        listed = box_cells(boxes, keys, box_id, tolerance_m, cell_m, float(reach))
+        used = sorted(r[0] for r in listed.select("__level").distinct().collect())
     at = F.col("__level")
     placed = points.filter(finite(F.col("x"), F.col("y"), F.col("z"))).withColumn(
         "__level", F.explode(F.array(*[F.lit(u) for u in used]).cast("array<int>"))
     ).select("*", _cell(F.col("x"), at, cell_m).alias("__ix"), _cell(F.col("y"), at, cell_m).alias("__iy"))
     return (
-        placed.join(listed, [*keys, "__level", "__ix", "__iy"])
+        placed.join(listed.hint("merge"), [*keys, "__level", "__ix", "__iy"])
         .filter(_inside(tolerance_m))
         .select(*points.columns, *[c for c in box_id if c not in points.columns])
     )
 
 
 def count_in_boxes(
-    points: DataFrame, boxes: DataFrame, keys: list[str], box_id: list[str], **options
+    points: DataFrame, boxes: DataFrame, keys: list[str], box_id: list[str], *,
+    tolerance_m: float = TOLERANCE_M, cell_m: float = 4.0,
 ) -> DataFrame:
     """Points per box; boxes without points stay, with count 0.
 
-    Hits are counted before they are shuffled, and the zero rows come from a union
-    instead of a second join.
+    Points of a key at the same place are tested once, with their number as weight. Hits
+    are counted before they are shuffled, and the zero rows come from a union instead of a
+    second join.
     """
-    hits = pairs_in_boxes(points, boxes, keys, box_id, **options).select(
-        *keys, *box_id, F.lit(1).cast("bigint").alias("__n")
+    places = points.filter(finite(F.col("x"), F.col("y"), F.col("z"))).groupBy(*keys, "x", "y", "z").agg(
+        F.count("*").alias("__n")
     )
+    hits = _pairs(places, points, boxes, keys, box_id, tolerance_m, cell_m).select(*keys, *box_id, "__n")
     zeros = boxes.select(*keys, *box_id, F.lit(0).cast("bigint").alias("__n"))
     return hits.unionByName(zeros).groupBy(*keys, *box_id).agg(F.sum("__n").alias("point_count"))
 
@@ -153,7 +181,8 @@ def spatial_support(
     """
     counted = count_in_boxes(points, boxes, keys, box_id, **options)
     clouds = cloud_summary(points, keys).filter("any_nonfinite").select(*keys, "any_nonfinite")
-    rows = boxes.join(counted, [*keys, *box_id]).join(clouds, keys, "left")
+    # shuffled like the grid's join, since unfolded boxes may look small enough to broadcast
+    rows = boxes.join(counted.hint("merge"), [*keys, *box_id]).join(clouds, keys, "left")
     quality = F.col("transform_quality") if "transform_quality" in boxes.columns else F.lit("verified")
     reason = (
         F.when(~quality.eqNullSafe("verified"), "unresolved_transform")
