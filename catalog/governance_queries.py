@@ -320,7 +320,8 @@ def cloud_index(spark, d):
     )
 
 
-SQL_CLOUD_INDEX = """WITH e AS (SELECT *, event_id%40<>0 AS ok, (event_id*7919)::VARCHAR AS f, user_id+1700000000 AS s FROM events)
+# a fraction of more than nine digits is no nanosecond time: such a name is invalid, as in CLOUD_NAME
+SQL_CLOUD_INDEX = """WITH e AS (SELECT *, event_id%40<>0 AND length(f)<=9 AS ok FROM (SELECT *, (event_id*7919)::VARCHAR AS f, user_id+1700000000 AS s FROM events))
 SELECT event_id, CASE WHEN ok THEN event_type END AS agent_id, CASE WHEN ok THEN event_id END AS sync_frame_id,
  CASE WHEN ok THEN s*1000000000+lpad(f,9,'0')::BIGINT END AS source_time_ns, CASE WHEN ok THEN s*1000000000+rpad(f,9,'0')::BIGINT END AS decimal_time_ns,
  CASE WHEN ok THEN s||'.'||f END AS timestamp_text, CASE WHEN NOT ok THEN 'invalid_cloud_name' END AS problem FROM e"""

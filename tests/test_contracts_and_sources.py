@@ -258,3 +258,23 @@ def test_registries_in_either_format(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(Exception):
         files.read_registry(spark, str(tmp_path)).collect()
+
+
+def test_cloud_index_of_large_ids_equals_its_sql(spark, tmp_path):
+    """From id 126,279 on the fraction has ten digits, which no nanosecond time has."""
+    import datetime
+
+    import duckdb
+
+    from catalog import registry
+
+    rows = [(i, datetime.datetime(2024, 1, 1), 7, "view", 1.0, "") for i in (0, 40, 101, 126278, 126279, 600001)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    run, sql = registry.ALL["cloud_index"]
+    df = run(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql}) ORDER BY event_id").fetchall()
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == want and [r[-1] for r in got][3:] == [None, "invalid_cloud_name", "invalid_cloud_name"]
