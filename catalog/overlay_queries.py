@@ -220,8 +220,8 @@ long AS (SELECT variant_id, agent_id, event_id, reason_code='matched' AS ok, u.i
 SQL_DELTA = with_sql(SQL_DELTA_CTE, """
 SELECT variant_id AS overlay_id, event_id AS sync_frame_id, n AS evidence_name, CASE WHEN ok THEN CASE WHEN abs(v)<10 THEN round(v,9) ELSE round(v,6) END+0.0 END AS value, ok AS available,
  CASE WHEN ok THEN 'matched' ELSE 'incomplete_evidence' END AS reason_code,
- (CASE WHEN ok THEN v END) IS DISTINCT FROM (CASE WHEN event_id%6<>0 THEN ((event_id*(i+3))%50)/10.0::DOUBLE END) AS changed
-FROM long WHERE (event_id+i)%9<>0""")
+ new IS DISTINCT FROM old AND coalesce(abs(new-old)>1e-9::DOUBLE*greatest(1.0::DOUBLE,abs(old)), true) AS changed
+FROM (SELECT *, CASE WHEN ok THEN v END AS new, CASE WHEN event_id%6<>0 THEN ((event_id*(i+3))%50)/10.0::DOUBLE END AS old FROM long) t WHERE (event_id+i)%9<>0""")
 
 SQL_DELTA_PROBLEMS = with_sql(SQL_DELTA_CTE, """
 SELECT variant_id AS overlay_id, agent_id, event_id AS sync_frame_id, n AS evidence_name, 'no_base_row' AS problem FROM long WHERE (event_id+i)%9=0""")

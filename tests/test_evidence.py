@@ -308,3 +308,15 @@ def test_incremental_peers_equal_full(spark):
     assert all(want[k] == v for k, v in got.items())
     before = {key(r): view(r) for r in leave_one_out(df, ["frame", "object"]).collect()}
     assert all(before[k] == v for k, v in want.items() if k not in got)
+
+
+def test_rounding_of_a_measured_value_is_no_change(spark):
+    """A value measured anew may differ from the base in its last bits."""
+    names = "k int, value double, available boolean, reason_code string"
+    old = [(0, 0.4), (1, 0.4), (2, None), (3, 0.4), (4, math.nan), (5, 5e9), (6, math.inf)]
+    new = [(0, 0.4 + 2**-54 * 4), (1, 0.4 + 1e-8), (2, 0.4), (3, None), (4, math.nan), (5, 5e9 + 1), (6, math.inf)]
+    base = spark.createDataFrame([(k, v, v is not None, "matched") for k, v in old], names)
+    values = spark.createDataFrame([("o", k, v) for k, v in new], "overlay_id string, k int, new_value double")
+    changed = lambda *noise: {r["k"] for r in O.replacement_rows(base, values, ["k"], *noise)[0].filter("changed").collect()}
+    assert changed() == {0, 1, 2, 3, 5}
+    assert changed(O.ROUNDING) == {1, 2, 3}
