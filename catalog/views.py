@@ -18,8 +18,14 @@ WIDEST_SLOT_NS, SLOT_ROWS = 10 * DAY_NS, 1_000_000
 TYPES = ("click", "view", "purchase", "signup", "error")
 
 
+# Larger methods are never compiled to machine code by the JVM. Spark splits up those of
+# steps that it doesn't fuse, so it is told not to fuse steps beyond this size.
+COMPILED_METHOD_BYTES = 8000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_METHOD_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

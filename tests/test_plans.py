@@ -39,3 +39,10 @@ def test_rows_are_shuffled_by_key_and_slot_only(spark):
     lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("__slot" in line for line in lines)
     assert len(lines) <= 3
+
+
+def test_fused_steps_stay_within_what_the_jvm_compiles(spark):
+    """Interval kinematics in one method of more than 8,000 bytes would run uncompiled."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    _plan(spark, "interval_kinematics")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
