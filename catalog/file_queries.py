@@ -22,7 +22,7 @@ def _new(spark, name):
 
 
 def odometry_files(spark, d):
-    """Every user's series written as CSV parts and read again."""
+    """Every user's series written as a CSV file and read again."""
     path = _new(spark, "odometry")
     series = odometry(spark, d)
     value = {
@@ -31,9 +31,10 @@ def odometry_files(spark, d):
         **{f"field.pose.pose.orientation.{a}": F.col(f"quaternion_xyzw.{a}") for a in "xyzw"},
         **{f"field.twist.twist.linear.{a}": F.col(f"body_velocity_mps.{a}") for a in "xyz"},
     }
-    rows = series.select(F.format_string("odometry_%s.csv", "agent_id").alias("file"), *[value[f].alias(f) for f in files.ODOMETRY_FIELDS])
-    rows.repartition("file").write.partitionBy("file").option("header", "true").csv(path)
-    back = files.read_odometry(spark, path, glob="part-*")
+    line = F.to_csv(F.struct(*[value[f].alias(f) for f in files.ODOMETRY_FIELDS]))
+    rows = series.select(F.format_string("odometry_%s.csv", "agent_id").alias("file"), "time_ns", line.alias("line"))
+    files.write_text_files(rows, path, "file", "line", ["time_ns"], header=",".join(files.ODOMETRY_FIELDS))
+    back = files.read_odometry(spark, path)
     return back.select(
         "agent_id", "time_ns", (F.col("header_time_ns") - F.col("time_ns")).alias("off"),
         r6("position_m.x").alias("px"), r6("position_m.y").alias("py"), r6("quaternion_xyzw.w").alias("qw"),
@@ -107,11 +108,12 @@ SQL_REGISTRY_ROWS = """SELECT s_suppkey::VARCHAR AS agent_id, CASE WHEN s_suppke
 def inventory_files(spark, d):
     """Size and digest of a file for each user, as the readers find them."""
     path = _new(spark, "files")
-    events = table(spark, d, "events").select("user_id", "event_id", F.col("event_id").cast("string").alias("value"))
-    rows = events.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value")
-    rows.write.partitionBy("user_id").text(path)
-    return files.file_inventory(spark, path, "part-*").select(
-        F.regexp_extract("path", "user_id=(-?[0-9]+)", 1).cast("bigint").alias("user_id"), "bytes", "sha256"
+    rows = table(spark, d, "events").select(
+        F.format_string("user_id=%d.txt", "user_id").alias("file"), "event_id", F.col("event_id").cast("string").alias("value")
+    )
+    files.write_text_files(rows, path, "file", "value", ["event_id"])
+    return files.file_inventory(spark, path, "user_id=*").select(
+        F.regexp_extract("path", r"user_id=(-?[0-9]+)\.txt$", 1).try_cast("bigint").alias("user_id"), "bytes", "sha256"
     )
 
 

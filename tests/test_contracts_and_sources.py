@@ -278,3 +278,20 @@ def test_cloud_index_of_large_ids_equals_its_sql(spark, tmp_path):
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql}) ORDER BY event_id").fetchall()
     got = sorted(tuple(r) for r in df.collect())
     assert got == want and [r[-1] for r in got][3:] == [None, "invalid_cloud_name", "invalid_cloud_name"]
+
+
+def test_files_of_a_query_are_written_in_place(spark, tmp_path, monkeypatch):
+    """A file for each sender and nothing else: no folder, rename or part for each of them."""
+    from catalog import file_queries
+
+    events = [(k, k % 7, 0.5 * k, "2024-01-01 00:00:00") for k in range(200)]
+    df = spark.createDataFrame(events, "event_id bigint, user_id bigint, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.repartition(3).write.parquet(str(tmp_path / "in" / "events.parquet"))
+    monkeypatch.setattr(file_queries, "_new", lambda spark, name: f"{tmp_path}/{name}")
+    got = {r["user_id"]: (r["bytes"], r["sha256"]) for r in file_queries.inventory_files(spark, str(tmp_path / "in")).collect()}
+    texts = {u: "".join(f"{k}\n" for k in range(200) if k % 7 == u).encode() for u in range(7)}
+    assert got == {u: (len(t), hashlib.sha256(t).hexdigest()) for u, t in texts.items()}
+    assert sorted(p.name for p in (tmp_path / "files").iterdir()) == [f"user_id={u}.txt" for u in range(7)]
+    rows = file_queries.odometry_files(spark, str(tmp_path / "in")).collect()
+    assert sorted((r["agent_id"], r["px"]) for r in rows) == sorted((str(k % 7), 0.5 * k) for k in range(200))
+    assert sorted(p.name for p in (tmp_path / "odometry").iterdir()) == [f"odometry_{u}.csv" for u in range(7)]

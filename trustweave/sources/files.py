@@ -7,7 +7,10 @@ One file holds one scan, one frame's labels, or one vehicle's series.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trustweave.functions.geometry import vec
@@ -130,9 +133,16 @@ def read_odometry(spark: SparkSession, path: str, glob: str = "odometry_*.csv")
     A sender's series is a file, or a folder of parts, named after it; for folders ``glob``
     is that of the parts. Audit the rows with ``odometry_rules`` and ``order_violations``.
     """
-    raw = spark.read.option("header", "true").option("mode", "FAILFAST").option(
+    found = spark.read.option("pathGlobFilter", glob)
+    # names come from one header: a reader left to find them lists every file once more as a path of its own
+    header = found.option("recursiveFileLookup", "true").text(path).filter("value <> ''").head()
+    if header is None:
+        raise ValueError("odometry has no rows")
+    names = spark.read.option("header", "true").csv(spark.sparkContext.parallelize([header["value"]], 1)).columns
+    strings = T.StructType([T.StructField(n, T.StringType()) for n in names])  # every value is cast explicitly
+    raw = spark.read.schema(strings).option("header", "true").option("mode", "FAILFAST").option(
         "pathGlobFilter", glob
-    ).csv(path)  # names only are inferred; every value is cast explicitly
+    ).csv(path)
     missing = sorted(set(ODOMETRY_FIELDS) - set(raw.columns))
     if missing:
         raise ValueError(f"odometry is missing columns: {missing}")
@@ -298,3 +308,37 @@ def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return files.select(
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
     )
+
+
+def write_text_files(
+    rows: DataFrame, path: str, file: str, line: str, order: list[str], header: str | None = None
+) -> None:
+    """One text file below ``path`` for each value of the column ``file``: the header, then the
+    column ``line`` of its rows by ``order``. A file is one task's work.
+
+    Tasks write whole files in place, and a repeated task writes the same. A table partitioned
+    by ``file`` would make folders and renames for each file, the last of them one by one on the
+    driver. The folder is complete when this returns; use a new one for each run.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        system.create_dir(place, recursive=True)
+        now, out, done = None, None, 0
+        try:
+            for batch in batches:
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if name != now:
+                        if out is not None:
+                            out.close()
+                        now, out, done = name, system.open_output_stream(f"{place}/{name}"), done + 1
+                        if header is not None:
+                            out.write(f"{header}\n".encode())
+                    out.write(f"{'' if text is None else text}\n".encode())
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done])], ["files"])
+
+    placed = rows.repartition(file).sortWithinPartitions(file, *order).select(file, line)
+    placed.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
