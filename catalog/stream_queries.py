@@ -55,7 +55,8 @@ def stream_states(spark, d):
         F.col("peer_corroboration_score"), F.col("kinematic_applicable"),
     )
     rows = rows.withColumn("risk_score", F.when(F.col("message_present"), score["risk"]))
-    out = _run(spark, jobs.smooth_stream(rows, ["agent_id"], delay="0 seconds"))
+    buckets = jobs.bucket_count(table(spark, d, "events").count())
+    out = _run(spark, jobs.smooth_stream(rows, ["agent_id"], delay="0 seconds", buckets=buckets))
     return out.filter(F.col("agent_id") != str(END_KEY)).select(
         "agent_id", "decision_time_ns", r6("ewma").alias("ewma"), "available",
         "previous_state", "current_state",
@@ -106,9 +107,10 @@ def stream_match(spark, d):
     closing = members.limit(1).select(*[end.get(c, F.col(c)).alias(c) for c in members.columns])
     members.unionByName(closing).write.parquet(path)
     decisions = spark.readStream.schema(members.schema).parquet(path)
+    buckets = jobs.bucket_count(spark.read.parquet(path).count() + table(spark, d, "events").count())
     out = _run(spark, jobs.match_stream(
         decisions, messages(spark, d, _closed_stream(spark, d)), keys, max_age_ns=age, lookahead_ns=ahead,
-        wait_ns=60 * DAY_NS, delay="0 seconds",
+        wait_ns=60 * DAY_NS, delay="0 seconds", buckets=buckets,
     ))
     return out.filter(F.col("session_id") != str(END_KEY)).select(
         "session_id", "agent_id", "sync_frame_id", "reason_code", "source_time_ns", "match_age_ns", "message_present"
@@ -128,7 +130,8 @@ def stream_reset(spark, d):
         F.col("user_id").cast("string").alias("agent_id"), ts_ns().alias("decision_time_ns"),
         (_mod("event_id", 50) == 0).alias("reset"), F.when(_mod("event_id", 7) != 0, _mod("event_id", 100) / 100.0).alias("risk_score"),
     )
-    out = _run(spark, jobs.smooth_stream(rows, ["agent_id"], delay="0 seconds", expire_after_ns=EXPIRY_NS))
+    buckets = jobs.bucket_count(table(spark, d, "events").count())
+    out = _run(spark, jobs.smooth_stream(rows, ["agent_id"], delay="0 seconds", expire_after_ns=EXPIRY_NS, buckets=buckets))
     return out.filter(F.col("agent_id") != str(END_KEY)).select("agent_id", "decision_time_ns", r6("ewma").alias("ewma"), "available", "previous_state", "current_state")
 
 

@@ -309,3 +309,60 @@ def test_event_time_is_exact(spark):
     row = spark.sql("SELECT 1704067200000000001L AS a, 1704067200000000000L AS b, 999L AS c").select(
         *[F.unix_micros(jobs.event_time(F.col(c))).alias(c) for c in "abc"]).first()
     assert tuple(row) == (1704067200000001, 1704067200000000, 1)
+
+
+def test_streams_in_buckets_equal_streams_by_key(spark, tmp_path):
+    """Keys dealt to buckets get the same answers; calls and timers follow buckets, not keys."""
+    jobs.use_rocksdb(spark)
+    random.seed(11)
+    schema = "agent_id string, decision_time_ns bigint, risk_score double, reset boolean"
+    rows = [
+        (str(k), t * SECOND + k, None if random.random() < 0.3 else random.random(), random.random() < 0.1)
+        for k in range(30) for t in range(1, 40) if random.random() < 0.5
+    ]
+    df = spark.createDataFrame([*rows, ("flush", 10_000 * SECOND, 0.0, False)], schema)
+    _files(spark, df, tmp_path / "in", 3, "decision_time_ns")
+    got = {}
+    for expire in (None, 3 * SECOND):
+        for buckets in (None, 4):
+            at = tmp_path / f"{expire}-{buckets}"
+            out = jobs.smooth_stream(_stream(spark, df, tmp_path / "in"), ["agent_id"], delay="0 seconds", expire_after_ns=expire, buckets=buckets)
+            jobs.run_available(out, str(at / "out"), str(at / "cp"))
+            got[expire, buckets] = sorted(map(repr, spark.read.schema(out.schema).parquet(str(at / "out")).filter("agent_id <> 'flush'").collect()))
+        assert got[expire, None] == got[expire, 4] and got[expire, 4]
+        state = spark.read.format("statestore").option("path", str(at / "cp")).option("stateVarName", "memory").load()
+        assert {r.key.bucket for r in state.select("key").collect()} <= set(range(4))
+
+
+def test_match_in_a_bucket_equals_rules_and_forgets():
+    """400 micro-batches of a bucket with three keys: answers are the rules', and of messages
+    that are too old only the newest of each key stays."""
+    from trustweave.streaming.processors import MatchManyProcessor, _unpacked
+
+    rng = random.Random(8)
+    ahead, wait, age = 2 * SECOND, 8 * SECOND, 5 * SECOND
+    processor, handle = MatchManyProcessor(["k"], age, ahead, wait), _Handle()
+    processor.init(handle)
+    size = lambda: len(_unpacked(processor.messages.get(), ["k"]))
+    messages, decisions, frames, held = {k: [] for k in "abc"}, {k: [] for k in "abc"}, [], []
+    for step in range(400):
+        at = 10 * step * SECOND
+        parts = []
+        for k in "abc":
+            sent = [(at + rng.randrange(10 * SECOND), rng.random() < 0.1, rng.random() < 0.8) for _ in range(rng.choice([0, 4, 9]))]
+            sent = [(s, s + rng.choice([0, 1, 7 * SECOND]), e, p) for s, e, p in sent]
+            asked = [(4 * step + i, at + rng.randrange(10 * SECOND), True, True) for i in range(4)]
+            messages[k] += sent
+            decisions[k] += asked
+            parts.append(_arrow_rows(asked, sent).assign(k=k))
+        processor.handleInputRows((0,), iter(parts), None)
+        frames += handle.expire(processor, (0,), at // 1_000_000 - 20_000)
+        held.append(size())
+    frames += handle.expire(processor, (0,), 10**9)
+    got = {(r.k, r.sync_frame_id): (r.reason_code, None if r.source_time_ns is None else int(r.source_time_ns))
+           for f in frames for r in f.astype(object).where(f.notna(), None).itertuples()}
+    for k in "abc":
+        for frame, at, member, expected in decisions[k]:
+            seen = [("s", "t", k, *m, None) for m in messages[k] if m[1] <= at + ahead + wait]
+            assert got[k, frame] == match_one(("s", "t", frame, at, k, member, expected), seen, "buffered_nearest", age, ahead)
+    assert max(held) < 180 and size() == 3 and processor.decisions.held is None

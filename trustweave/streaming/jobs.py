@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trustweave.operators.messaging import admit
 from trustweave.operators.ordered import int_div
 from trustweave.operators.temporal import Smoothing
-from trustweave.streaming.processors import MatchProcessor, SmoothProcessor
+from trustweave.streaming.processors import (
+    MatchManyProcessor, MatchProcessor, SmoothManyProcessor, SmoothProcessor,
+)
+
+
+#: Rows of a bucket of keys, see :func:`bucket_count`: a few MB in a task.
+BUCKET_ROWS = 20_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,9 +35,27 @@ def event_time(ns: Column) -> Column:
     return F.timestamp_micros(micros)
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets for a stream of about so many rows in state.
+
+    Each key with its own state costs calls between Spark and Python whose number grows with
+    the keys. Many keys with few rows each are dealt to buckets, with one state and one timer
+    for all keys of a bucket; each timer reads the bucket's rows. A checkpoint keeps its number
+    of buckets for good.
+    """
+    return max(32, -(-rows // BUCKET_ROWS))
+
+
+def _by_state(rows: DataFrame, keys: list[str], buckets: int | None):
+    if buckets is None:
+        return rows.groupBy(*keys)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
+
+
 def smooth_stream(
     observations: DataFrame, keys: list[str], value: str = "risk_score",
     config: Smoothing = Smoothing(), *, delay: str, expire_after_ns: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Smoothing and state labels per key over a stream.
 
@@ -39,6 +63,7 @@ def smooth_stream(
     boolean ``reset`` whose row clears its key. A key that has been silent longer
     than ``expire_after_ns`` starts anew, and its state is removed by then. ``delay`` is how far rows may be behind the
     newest; rows behind it are dropped by the watermark and counted by ``run_available``.
+    With ``buckets`` keys are dealt to so many, see :func:`bucket_count`.
     """
     reset = F.coalesce("reset", F.lit(False)) if "reset" in observations.columns else F.lit(False)
     rows = observations.select(
@@ -49,8 +74,9 @@ def smooth_stream(
         ", decision_time_ns bigint, value double, ewma double, available boolean, "
         "previous_state string, current_state string"
     )
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        SmoothProcessor(keys, config.alpha, config.threshold, config.initial_value, expire_after_ns),
+    processor = SmoothProcessor if buckets is None else SmoothManyProcessor
+    return _by_state(rows, keys, buckets).transformWithStateInPandas(
+        processor(keys, config.alpha, config.threshold, config.initial_value, expire_after_ns),
         schema, "Append", "eventTime",
     )
 
@@ -58,6 +84,7 @@ def smooth_stream(
 def match_stream(
     memberships: DataFrame, messages: DataFrame, keys: list[str], *, max_age_ns: int,
     lookahead_ns: int = 0, wait_ns: int = 0, forget_after_ns: int | None = None, delay: str,
+    buckets: int | None = None,
 ) -> DataFrame:
     """As-of matching over two streams; late messages are classified, not dropped.
 
@@ -69,7 +96,10 @@ def match_stream(
 
     Messages that no decision to come can need leave the state, but for the newest. A sender
     without any row for ``forget_after_ns`` is forgotten: what it sent counts as never sent.
+    With ``buckets`` keys are dealt to so many, see :func:`bucket_count`; then none is forgotten.
     """
+    if forget_after_ns is not None and buckets is not None:
+        raise ValueError("senders are forgotten only where each has its own state")
     if forget_after_ns is not None and forget_after_ns < max_age_ns + lookahead_ns + wait_ns:
         raise ValueError("a sender can't be forgotten while its messages may still match")
     none = F.lit(None)
@@ -94,9 +124,11 @@ def match_stream(
         ", sync_frame_id bigint, decision_time_ns bigint, source_time_ns bigint, "
         "match_age_ns bigint, message_present boolean, reason_code string"
     )
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        MatchProcessor(keys, max_age_ns, lookahead_ns, wait_ns, forget_after_ns), schema, "Append", "eventTime",
-    )
+    if buckets is None:
+        processor = MatchProcessor(keys, max_age_ns, lookahead_ns, wait_ns, forget_after_ns)
+    else:
+        processor = MatchManyProcessor(keys, max_age_ns, lookahead_ns, wait_ns)
+    return _by_state(rows, keys, buckets).transformWithStateInPandas(processor, schema, "Append", "eventTime")
 
 
 def admit_stream(packets: DataFrame, states: DataFrame, keys: list[str], **options) -> DataFrame:

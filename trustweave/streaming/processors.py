@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 STATES = ("normal", "quarantined", "unknown")
@@ -29,6 +30,8 @@ def _opt(value):
 class SmoothProcessor(StatefulProcessor):
     """Smoothing with missing values held, and threshold labels."""
 
+    ANSWER = ("decision_time_ns", "value", "ewma", "available", "previous_state", "current_state")
+
     def __init__(self, keys, alpha, threshold, initial, expire_after_ns):
         self.keys, self.alpha, self.threshold = keys, alpha, threshold
         self.initial, self.expire = initial, expire_after_ns
@@ -65,6 +68,15 @@ class SmoothProcessor(StatefulProcessor):
         value, label, last = (
             tuple(self.memory.get()) if self.memory.exists() else (None, "unknown", None)
         )
+        out, (value, label, last) = self._walk(key, ready, value, label, last)
+        self.memory.update((value, label, last))
+        if self.expire is not None:
+            self.handle.registerTimer(_ms(last + self.expire) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[*self.keys, *self.ANSWER])
+
+    def _walk(self, key, ready, value, label, last):
+        """Answers of one key's rows in time order, and its memory after them."""
         out = []
         for time, seen, reset in ready:
             silent = last is not None and self.expire is not None and time - last > self.expire
@@ -81,13 +93,7 @@ class SmoothProcessor(StatefulProcessor):
             else:
                 label = "unknown"
             out.append((*key, time, seen, value, seen is not None, previous, label))
-        self.memory.update((value, label, last))
-        if self.expire is not None:
-            self.handle.registerTimer(_ms(last + self.expire) + 1)
-        if out:
-            names = list(self.keys) + [
-                "decision_time_ns", "value", "ewma", "available", "previous_state", "current_state"]
-            yield pd.DataFrame(out, columns=names)
+        return out, (value, label, last)
 
     def _silent(self, limit):
         """The watermark is further past the key's last row than its memory lasts."""
@@ -99,6 +105,79 @@ class SmoothProcessor(StatefulProcessor):
         pass
 
 
+def _dealt(rows, width):
+    """Rows whose first ``width`` columns are a key, by key, in their order."""
+    by: dict[tuple, list[tuple]] = {}
+    for row in rows:
+        by.setdefault(tuple(row[:width]), []).append(tuple(row[width:]))
+    return by
+
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    """Rows as one element of a state list; row by row they would cost a conversion each."""
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(elements, columns) -> pd.DataFrame:
+    """Rows of all elements in the order of their coming."""
+    tables = [pa.ipc.open_stream(bytes(e[0])).read_all() for e in elements]
+    return pa.concat_tables(tables).to_pandas() if tables else pd.DataFrame(columns=columns)
+
+
+def _tuples(rows: pd.DataFrame):
+    return zip(*[rows[c].tolist() for c in rows.columns])
+
+
+def _store(state, rows: pd.DataFrame) -> None:
+    """Replace what a state list holds."""
+    state.put([_packed(rows)]) if len(rows) else state.clear()
+
+
+class SmoothManyProcessor(SmoothProcessor):
+    """:class:`SmoothProcessor` for many keys of one bucket: a call, a timer and a list in the
+    state serve all of them. What it answers for each key is the same."""
+
+    def init(self, handle):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.memory = handle.getListState("memory", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        due = 0
+        for batch in rows:
+            self.waiting.appendList([_packed(batch[[*self.keys, "decision_time_ns", "value", "reset"]])])
+            due = max(due, _ms(batch["decision_time_ns"].max()))
+        self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        limit, n = expiredTimerInfo.getExpiryTimeInMs(), len(self.keys)
+        held = _unpacked(self.waiting.get(), [*self.keys, "decision_time_ns", "value", "reset"])
+        is_due = held["decision_time_ns"] <= limit * 1_000_000
+        if is_due.any():
+            _store(self.waiting, held[~is_due])
+        elif self.expire is None:
+            return
+        # a value that is not a number stands for none, as a null does
+        known = lambda v: None if v is None or v != v else v
+        remembered = _unpacked(self.memory.get(), [*self.keys, "value", "label", "time"])
+        memory = {k: (known(m[0][0]), *m[0][1:]) for k, m in _dealt(_tuples(remembered), n).items()}
+        out = []
+        for k, ready in _dealt(_tuples(held[is_due].sort_values("decision_time_ns", kind="stable")), n).items():
+            answers, memory[k] = self._walk(k, [(t, known(v), r) for t, v, r in ready], *memory.get(k, (None, "unknown", None)))
+            out += answers
+        if self.expire is not None:  # any row to come of a silent key would start anew
+            memory = {k: m for k, m in memory.items() if limit * 1_000_000 - m[2] <= self.expire}
+        _store(self.memory, pd.DataFrame([(*k, *m) for k, m in memory.items()], columns=[*self.keys, "value", "label", "time"]).astype({"value": "float64"}))
+        if self.expire is not None and memory:
+            self.handle.registerTimer(max(_ms(min(m[2] for m in memory.values()) + self.expire) + 1, limit + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[*self.keys, *self.ANSWER])
+
+
 class MatchProcessor(StatefulProcessor):
     """As-of matching of decisions to the messages that arrived by their settling time.
 
@@ -188,13 +267,16 @@ class MatchProcessor(StatefulProcessor):
                 state.clear()
         if not ready:
             return
+        yield self._frame(out)
+
+    def _frame(self, out):
         names = list(self.keys) + [
             "sync_frame_id", "decision_time_ns", "source_time_ns", "match_age_ns",
             "message_present", "reason_code"]
         columns = dict(zip(names, zip(*out)))
         for c in ("source_time_ns", "match_age_ns"):  # never by way of doubles
             columns[c] = pd.array(columns[c], dtype="Int64")
-        yield pd.DataFrame(columns)
+        return pd.DataFrame(columns)
 
     def _old(self, rest, limit):
         """Messages before this time are too old for every decision to come: those lie after
@@ -280,3 +362,68 @@ class MatchProcessor(StatefulProcessor):
 
     def close(self):
         pass
+
+
+class MatchManyProcessor(MatchProcessor):
+    """:class:`MatchProcessor` for many keys of one bucket: a call, a timer and a list in the
+    state serve all of them. What it answers for each key is the same.
+
+    Messages stay in the order of their receipt. A timer reads the bucket's messages, which are
+    those of the settling and the age, and of each key the newest of those that are too old; the
+    others leave the state then.
+    """
+
+    ASKED = ("sync_frame_id", "time_ns", "member", "message_expected")
+    SENT = ("time_ns", "arrival_ns", "empty_scene", "pose_valid")
+
+    def __init__(self, keys, max_age_ns, lookahead_ns, wait_ns):
+        super().__init__(keys, max_age_ns, lookahead_ns, wait_ns)
+
+    def init(self, handle):
+        self.handle = handle
+        self.decisions = handle.getListState("decisions", "rows binary")
+        self.messages = handle.getListState("messages", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        settle = self.lookahead + self.wait
+        due = idle = 0
+        for batch in rows:
+            is_asked = batch["is_decision"].astype(bool)
+            asked, sent = batch[is_asked], batch[~is_asked]
+            if len(asked):
+                flags = {c: bool for c in self.ASKED[2:]}
+                self.decisions.appendList([_packed(asked[[*self.keys, *self.ASKED]].astype(flags))])
+                due = max(due, _ms(int(asked["time_ns"].max()) + settle))
+            if len(sent):
+                flags = {c: bool for c in self.SENT[2:]}
+                self.messages.appendList([_packed(sent[[*self.keys, *self.SENT]].astype(flags))])
+                latest = int(max(sent["time_ns"].max(), sent["arrival_ns"].max()))
+                # by then no decision to come can need the messages
+                idle = max(idle, _ms(latest + self.max_age + settle) + 2)
+        for timer in {due, idle} - {0}:
+            self.handle.registerTimer(timer)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        limit, n = expiredTimerInfo.getExpiryTimeInMs(), len(self.keys)
+        held = _unpacked(self.decisions.get(), [*self.keys, *self.ASKED])
+        is_due = held["time_ns"] + (self.lookahead + self.wait) <= limit * 1_000_000
+        rest = held[~is_due]
+        sent = _dealt(_tuples(_unpacked(self.messages.get(), [*self.keys, *self.SENT])), n)
+        out = []
+        for k, ready in _dealt(_tuples(held[is_due].sort_values("time_ns", kind="stable")), n).items():
+            messages = [(*m, i) for i, m in enumerate(sent.get(k, ()))]
+            out += [(*k, *answer) for answer in self._settle(ready, messages)]
+        if is_due.any():
+            _store(self.decisions, rest)
+        waiting = _dealt(_tuples(rest), n)
+        kept, before = [], 0
+        for k, messages in sent.items():
+            old = self._old(waiting.get(k, ()), limit)
+            newest = max((m for m in messages if m[0] < old and m[1] < old), default=None)
+            kept += [(*k, *m) for m in messages if m[0] >= old or m[1] >= old or m is newest]
+            before += len(messages)
+        if len(kept) < before:
+            _store(self.messages, pd.DataFrame(kept, columns=[*self.keys, *self.SENT]))
+        if out:
+            yield self._frame(out)
