@@ -86,6 +86,17 @@ def test_later_blocks_hold_every_pair_of_different_labels(spark, monkeypatch):
     assert not any(k[0] == 4 for k in seen)
 
 
+def test_a_group_in_every_tree_is_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(c, "PART_CLASSES", 8)
+    node = lambda n, ids: [(n, b"%d" % i, 7 if i < 40 else i, 10, b"s") for i in ids]
+    count = lambda rows: c._later_blocks(spark.createDataFrame(rows, c._NODE_ROW)).count()
+    one = count(node(1, range(60)))
+    assert count([r for n in range(12) for r in node(n, range(60))]) == one
+    # parts of one label that share few members stay apart
+    apart = [r for n in range(5) for r in node(n, [*range(8 * n, 8 * n + 8), 40 + n])]
+    assert count(apart) == sum(count(apart[k:k + 9]) for k in range(0, 45, 9))
+
+
 def test_trees_reach_the_recall():
     """A pair at the threshold, by independent tokens, shares a node as often as promised."""
     rng = np.random.default_rng(5)

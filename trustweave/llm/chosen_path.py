@@ -21,7 +21,8 @@ are linked at a Jaccard similarity of ``percent`` / 100 or more, and linked sets
    members with different labels are compared.
 5. In the trees themselves a large node with few members outside its largest label, a group of
    near copies as a rule, doesn't branch: those members meet all others, part by part. So do
-   the nodes still large at the last depth. No link between groups is lost by this.
+   the nodes still large at the last depth. Such nodes of several trees that hold much the same
+   members are one, so their pairs meet once. No link between groups is lost by this.
 6. Connected components of all links found give the groups.
 
 Every link is exact; a pair at the threshold is missed with a probability of at most
@@ -397,8 +398,22 @@ def _labels(links: DataFrame) -> DataFrame:
     return links.join(beside, "b").groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("root"))
 
 
+def _united(deep: DataFrame) -> DataFrame:
+    """Large nodes of all trees with the same largest label as one, named by that label, where
+    their union takes no more comparisons than they do: each tree has a node with much the same
+    group of near copies, whose pairs would be compared again in every tree."""
+    labels = deep.groupBy("node", "mark").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "mark")).alias("top"), F.sum("n").alias("n"))
+    of = labels.select("node", F.col("top.mark").alias("main"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("pairs"))
+    members = staged(deep.join(of.drop("pairs"), "node"), "members")
+    union = members.select("main", "mark", "digest").distinct().groupBy("main").agg((F.count_if(F.col("mark") != F.col("main")) * F.count("*")).alias("once"))
+    one = union.join(of.groupBy("main").agg(F.sum("pairs").alias("pairs")), "main").where("once <= pairs").select("main", F.col("main").alias("name"))
+    named = members.join(one, "main", "left").select(F.coalesce("name", "node").alias("node"), *_MEMBER)
+    return staged(named.distinct(), "united")
+
+
 def _later_blocks(deep: DataFrame) -> DataFrame:
     """Members of a large node outside its largest label with all members, part by part."""
+    deep = _united(deep)
     labels = deep.groupBy("node", "mark").agg(F.count("*").alias("n"))
     of = labels.groupBy("node").agg(F.max(F.struct("n", "mark")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     of = of.select(
@@ -414,7 +429,7 @@ def _later_blocks(deep: DataFrame) -> DataFrame:
 
 def _group_blocks(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Likely groups, each once; one whose sets are too many bytes as all pairs of its parts."""
-    sized = groups.distinct().join(classes.select("digest", "n_shingles", "mark", "copy_id"), "digest")
+    sized = staged(groups.distinct().join(classes.select("digest", "n_shingles", "mark", "copy_id"), "digest"), "sized")
     of = sized.groupBy("part_of").agg(F.ceil(F.sum("n_shingles") * 8 / PART_BYTES).cast("int").alias("parts"))
     placed = sized.join(of, "part_of").withColumn("chunk", _chunk("parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return placed.select("part_of", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "digest", "mark", "copy_id")
