@@ -6,6 +6,8 @@ expression with the same integer arithmetic, so that results can be compared.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustweave.operators.ordered import densest_rows, slot_for
@@ -36,6 +38,18 @@ def slot_width(spark: SparkSession, d: str) -> int:
     return min(WIDEST_SLOT_NS, slot_for(densest, DAY_NS, SLOT_ROWS))
 
 
+# Rows that one task unfolds from the users it has.
+UNFOLDED_ROWS = 200_000
+
+
+def users(spark: SparkSession, d: str, rows_each: int) -> DataFrame:
+    """Distinct user ids, to be unfolded to so many rows each. They are few bytes, which AQE
+    would gather in a task or two, so they are dealt over parts by the rows to come."""
+    ids = table(spark, d, "events").select("user_id")
+    n = ids.agg(F.approx_count_distinct("user_id")).first()[0]
+    return ids.distinct().repartition(max(1, math.ceil(n * rows_each / UNFOLDED_ROWS)), "user_id")
+
+
 def ts_ns(c: str = "ts") -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) * 1000
 
@@ -67,9 +81,9 @@ def messages(spark, d, events: DataFrame | None = None) -> DataFrame:
 
 def memberships(spark, d) -> DataFrame:
     """Every user x (five event types and one silent agent) x thirty days."""
-    users = table(spark, d, "events").select("user_id").distinct()
-    agents = F.explode(F.array(*[F.lit(t) for t in (*TYPES, "beacon")])).alias("agent_id")
-    rows = users.select("user_id", agents).select(
+    names = (*TYPES, "beacon")
+    agents = F.explode(F.array(*[F.lit(t) for t in names])).alias("agent_id")
+    rows = users(spark, d, len(names) * 30).select("user_id", agents).select(
         "user_id", "agent_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(29).cast("bigint"))).alias("day")
     )
     member = (_mod(F.col("user_id") * F.col("day"), 29) != 0) | (F.col("day") == 0)
