@@ -145,8 +145,7 @@ def _frames(spark, d):
 
 
 def series_dependencies(spark, d):
-    out = O.series_dependencies(_recomputed(spark, d), _frames(spark, d), KEY)
-    return out.groupBy("variant_id", "evidence_name").agg(F.count("*").alias("keys"))
+    return O.series_dependency_counts(_recomputed(spark, d), _frames(spark, d), KEY)
 
 
 SQL_DEPENDENCIES = with_sql(SQL_INCREMENTAL_CTE, """
