@@ -15,7 +15,7 @@ from trustweave.operators.messaging import admit, build_packets, verify_packets
 from trustweave.operators.metrics import completeness_problems, coverage, policy_totals
 from trustweave.sources.stage import stage
 from trustweave.plans.episode import EpisodeKeys, run_episode, score_senders
-from trustweave.plans.whatif import compare_replay
+from trustweave.plans.whatif import compare_senders
 
 IDENTITY = ["event_id", "agent_id", "sync_frame_id", "decision_time_ns", "source_time_ns"]
 MAX_AGE = 100_000_000
@@ -321,11 +321,11 @@ def replay_delta(spark, d):
     evidence = obs.select(*SENDER, F.lit(None).cast("string").alias("object_key"), F.inline(F.array(*rows)))
     hit = (_mod("sync_frame_id", 23) == 0) & (F.col("evidence_name") == "kinematic_residual_m")
     delta = evidence.filter(hit).withColumn("value", F.lit(0.05))
-    episode = compare_replay(
+    senders = compare_senders(
         frames, stage(evidence), stage(delta), sender=SENDER, evidence_keys=[*SENDER, "object_key", "evidence_name"], ego="7",
-        targets=frames.filter(_mod("sync_frame_id", 29) == 0), slot_ns=slot_width(spark, d), max_source_age_ns=MAX_AGE,
+        targets=frames.filter(_mod("sync_frame_id", 29) == 0), slot_ns=slot_width(spark, d),
     )
-    return episode.senders.select(
+    return senders.select(
         "case", "sync_frame_id", "agent_id", "is_ego", "message_present", "kinematic_applicable", "intended_target", "actually_affected",
         r6("risk_score").alias("risk_score"), r6(F.col("payload")[0]).alias("motion"), r6(F.col("payload")[2]).alias("distrust"),
     )

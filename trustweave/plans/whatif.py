@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trustweave.operators.evidence import to_wide
 from trustweave.operators.joins import merge_delta
-from trustweave.plans.episode import Episode, EpisodeKeys, run_episode
+from trustweave.plans.episode import Episode, EpisodeKeys, run_episode, score_senders
 
 NAMES = [
     "kinematic_residual_m", "maximum_object_suspicion", "peer_corroboration_score",
@@ -44,11 +44,11 @@ def replay_observations(
     )
 
 
-def compare_replay(
+def _cases(
     frames: DataFrame, evidence: DataFrame, delta: DataFrame, *, sender: list[str],
-    evidence_keys: list[str], ego: str, targets: DataFrame, **options,
-) -> Episode:
-    """Both cases in one run: the clean evidence and the evidence with the delta."""
+    evidence_keys: list[str], ego: str, targets: DataFrame,
+) -> tuple[DataFrame, EpisodeKeys, list[str]]:
+    """Rows of both cases, their keys and the packets' identity."""
     perturbed = merge_delta(evidence, delta, evidence_keys)
     both = replay_observations(frames, evidence, sender, "clean", ego=ego, targets=targets).unionByName(
         replay_observations(
@@ -58,5 +58,26 @@ def compare_replay(
     scene = [k for k in sender if k != "agent_id"]
     history = [k for k in scene if k != "sync_frame_id"]
     keys = EpisodeKeys(sender=["case", *history, "agent_id"], frame=["case", *scene, "decision_time_ns"])
-    identity = ["case", *scene, "decision_time_ns", "agent_id", "source_time_ns"]
+    return both, keys, ["case", *scene, "decision_time_ns", "agent_id", "source_time_ns"]
+
+
+def compare_replay(
+    frames: DataFrame, evidence: DataFrame, delta: DataFrame, *, sender: list[str],
+    evidence_keys: list[str], ego: str, targets: DataFrame, **options,
+) -> Episode:
+    """Both cases in one run: the clean evidence and the evidence with the delta."""
+    both, keys, identity = _cases(
+        frames, evidence, delta, sender=sender, evidence_keys=evidence_keys, ego=ego, targets=targets
+    )
     return run_episode(both, keys, replay=True, packet_identity=identity, width=3, **options)
+
+
+def compare_senders(
+    frames: DataFrame, evidence: DataFrame, delta: DataFrame, *, sender: list[str],
+    evidence_keys: list[str], ego: str, targets: DataFrame, **options,
+) -> DataFrame:
+    """The senders of :func:`compare_replay` alone, without packets, fusion and reports."""
+    both, keys, _ = _cases(
+        frames, evidence, delta, sender=sender, evidence_keys=evidence_keys, ego=ego, targets=targets
+    )
+    return score_senders(both, keys, **options)
