@@ -40,6 +40,8 @@ def slot_width(spark: SparkSession, d: str) -> int:
 
 # Rows that one task unfolds from the users it has.
 UNFOLDED_ROWS = 200_000
+# Rows that a user's boxes may unfold to: two boxes, five senders, up to nine cells.
+BOX_ROWS = 2 * 5 * 9
 
 
 def users(spark: SparkSession, d: str, rows_each: int) -> DataFrame:
@@ -230,8 +232,8 @@ SQL_EVENT_POINTS = """event_points AS (
 
 def event_boxes(spark, d) -> DataFrame:
     """One box per user around the origin, as the target of point overlays."""
-    users = table(spark, d, "events").select(F.col("user_id").alias("frame")).distinct()
-    return users.select(
+    ids = users(spark, d, BOX_ROWS).withColumnRenamed("user_id", "frame")
+    return ids.select(
         F.concat(F.lit("v"), F.col("frame").cast("string")).alias("variant_id"), "frame",
         _mod("frame", 3).cast("double").alias("center_x_m"),
         (_mod("frame", 5) - 2).cast("double").alias("center_y_m"),
