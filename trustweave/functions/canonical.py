@@ -61,14 +61,17 @@ def json_text(c: Column, data_type: T.DataType) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
-def row_json(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Canonical JSON object of a row, without the final newline."""
-    columns = columns or df.columns
+def row_json(
+    df: DataFrame, columns: list[str] | None = None, texts: dict[str, Column] | None = None
+) -> Column:
+    """Canonical JSON object of a row, without the final newline; ``texts`` are those of
+    columns that have theirs already."""
+    columns, texts = columns or df.columns, texts or {}
     parts = []
     for i, name in enumerate(sorted(columns)):
         parts += [
             F.lit(("," if i else "") + f'"{name}":'),
-            json_text(F.col(name), df.schema[name].dataType),
+            texts[name] if name in texts else json_text(F.col(name), df.schema[name].dataType),
         ]
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 

@@ -23,13 +23,15 @@ def payload_digest(payload: Column) -> Column:
     return line_sha256(json_text(payload, T.ArrayType(T.DoubleType())))
 
 
-def _wire(df: DataFrame, flat: list[str], nested: list[str] | None) -> Column:
-    """Canonical text of the wire object.
+def _wire(
+    df: DataFrame, flat: list[str], nested: list[str] | None, texts: dict[str, Column] | None = None
+) -> Column:
+    """Canonical text of the wire object; ``texts`` as for :func:`row_json`.
 
     ``nested`` fields go under ``descriptor``, together with an ``integrity`` object.
     """
     if not nested:
-        return row_json(df, [*flat, SIZE])
+        return row_json(df, [*flat, SIZE], texts)
     inner = [*nested, SIZE]
     integrity = F.struct(
         F.lit("sha256").alias("algorithm"), F.col("payload_sha256"),
@@ -43,7 +45,8 @@ def _wire(df: DataFrame, flat: list[str], nested: list[str] | None) -> Column:
     parts["descriptor"] = (F.struct(*inner, integrity.alias("integrity")), kind)
     out = [F.lit("{")]
     for i, name in enumerate(sorted(parts)):
-        out += [F.lit(("," if i else "") + f'"{name}":'), json_text(*parts[name])]
+        text = (texts or {}).get(name)
+        out += [F.lit(("," if i else "") + f'"{name}":'), json_text(*parts[name]) if text is None else text]
     return F.concat(*out, F.lit("}"))
 
 
@@ -57,27 +60,35 @@ def build_packets(
     *,
     payload: str = "payload",
     nested: list[str] | None = None,
+    digest: bool = True,
 ) -> DataFrame:
     """Packets of the present, non-ego observations that carry a vector.
 
     Appends ``payload_sha256``, ``measured_size_bytes`` (which counts its own
     digits) and ``packet_sha256`` of the wire text. With ``nested`` the identity is
-    wrapped in a descriptor object, else the wire text is one flat object.
+    wrapped in a descriptor object, else the wire text is one flat object. Without
+    ``digest`` there is no ``packet_sha256``, for reports that only count bytes.
     """
     sent = observations.filter(
         ~F.col("is_ego") & F.col("message_present")
         & F.col("source_time_ns").isNotNull() & F.col(payload).isNotNull()
     )
-    rows = once(sent, payload_sha256=payload_digest(F.col(payload))).withColumn(
+    # a number's text takes many steps, so the payload's is made once for digest and wire
+    rows = once(sent, __payload=json_text(F.col(payload), T.ArrayType(T.DoubleType())))
+    rows = once(rows, payload_sha256=line_sha256(F.col("__payload"))).withColumn(
         SIZE, F.lit(0).cast("bigint")
     )
-    text = _wire(rows, _flat_fields(identity, payload, nested), nested)
-    rows = once(rows, __wire=text)
+    same = sent.schema[payload].dataType.simpleString() == "array<double>"
+    texts = {payload: F.col("__payload")} if same else {}
+    text = _wire(rows, _flat_fields(identity, payload, nested), nested, texts)
+    rows = once(rows, __wire=text).drop("__payload")
     # one digit stands in for the size, one newline ends the message
     size = self_including_size(F.octet_length("__wire") - 1 + 1).cast("bigint")
     rows = once(rows.drop(SIZE), **{SIZE: size})
-    digest = line_sha256(_with_size(F.col("__wire"), F.col(SIZE)))
-    return once(rows, packet_sha256=digest).drop("__wire")
+    if not digest:
+        return rows.drop("__wire")
+    packet = line_sha256(_with_size(F.col("__wire"), F.col(SIZE)))
+    return once(rows, packet_sha256=packet).drop("__wire")
 
 
 def verify_packets(

@@ -76,15 +76,17 @@ def run_episode(
     width: int | None = None,
     reference: str | None = None,
     slot_ns: int = DAY_NS,
+    digest: bool = True,
 ) -> Episode:
     """Run every case in ``observations`` (a ``case`` column belongs to the keys).
 
     The pipeline form carries packet integrity, needs an ego for fusion and counts the
     bytes of ``corrupted`` senders. ``replay`` has no integrity step, averages whatever
-    exists, and reports the honest companions of the intended target.
+    exists, and reports the honest companions of the intended target. Its reports need no
+    packet digests: without ``digest`` the packets have none.
     """
     senders = stage(score_senders(observations, keys, smoothing, slot_ns))
-    packets = build_packets(senders, packet_identity, payload="payload", nested=nested)
+    packets = build_packets(senders, packet_identity, payload="payload", nested=nested, digest=digest)
     if not replay:  # built in this run; verify_packets is for packets that come from outside
         packets = packets.withColumn("integrity_valid", F.lit(True))
     schedule = stage(
