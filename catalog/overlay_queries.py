@@ -105,7 +105,7 @@ SELECT agent_id, time_ns, before IS NOT NULL AND (changed OR before) AS affected
 
 def _recomputed(spark, d, specs=None):
     return O.recompute_series(
-        odometry(spark, d), stage(_changes(spark, d, specs)), KEY, max_gap_s=86400.0, slot_ns=slot_width(spark, d)
+        odometry(spark, d), _changes(spark, d, specs), KEY, max_gap_s=86400.0, slot_ns=slot_width(spark, d)
     )
 
 

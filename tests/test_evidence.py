@@ -262,6 +262,45 @@ def test_failed_specs_stay_in_the_attempts(spark):
                    "nothing": ("zero_effect", "no_evidence_change")}
 
 
+def test_series_delta_equals_the_join_of_single_rows(spark):
+    """Repeated, lacking and further base rows, frames that share a time or have no number."""
+    odo = _series(spark)
+    specs = _spec(spark, "velocity_drift", [2, 3]).unionByName(
+        _spec(spark, "velocity_spike", [3]).withColumn("variant_id", F.lit("y")))
+    again = O.recompute_series(odo, O.velocity_changes(odo, specs, ["agent_id"]), ["agent_id"], max_gap_s=2.0)
+    frames = spark.createDataFrame(
+        [("v", 1, 2), ("v", 2, 3), ("v", 22, 3), ("v", None, 4), ("v", 5, 5), ("v", 6, None), ("w", 1, 2)],
+        "agent_id string, sync_frame_id bigint, t bigint",
+    ).selectExpr("agent_id", "sync_frame_id", "t * 1000000000 source_time_ns")
+    names = [*S.KINEMATIC_EVIDENCE, "unknown_aware_fixed_risk_uncalibrated"]
+    rows = [("v", f, None, n, 1.0, True, "matched", f"{f}{n}") for f in (1, 2, None) for n in names[:5]]
+    rows += [("v", 2, None, names[1], 1.5, True, "matched", "again"), ("v", 1, "o", names[5], 9.0, True, "matched", "object"),
+             ("v", 1, None, names[5], None, False, "out_of_range", "null"), ("v", 5, None, "other", 1.0, True, "matched", ""),
+             ("v", 1, None, "maximum_object_suspicion", 0.3, True, "matched", ""),
+             ("v", 1, "o", "maximum_object_suspicion", 0.6, True, "matched", ""),
+             ("v", 1, None, "peer_corroboration_score", 0.5, True, "matched", ""), ("w", 1, None, names[0], 1.0, True, "matched", "w")]
+    base = spark.createDataFrame(
+        rows, "agent_id string, sync_frame_id bigint, object_key string, evidence_name string, "
+        "value double, available boolean, reason_code string, note string")
+    hit = again.join(frames.withColumnRenamed("source_time_ns", "time_ns"), ["agent_id", "time_ns"])
+    known = F.col("sync_frame_id") == 1
+    risk = missing_aware(F.col("perturbed.residual_m"), F.when(known, 0.6), F.when(known, 0.5), F.lit(True))["risk"]
+    fields = ("dt_s", "speed_mps", "acceleration_mps2", "yaw_change_rad", "residual_m")
+    single = F.array(*[F.struct(F.lit(n).alias("evidence_name"), v.alias("new_value"))
+                       for n, v in zip(names, [*[F.col(f"perturbed.{f}") for f in fields], risk])])
+    values = hit.select(F.col("variant_id").alias("overlay_id"), "agent_id", "sync_frame_id",
+                        F.lit(None).cast("string").alias("object_key"), F.inline(single))
+    wanted = O.replacement_rows(base, values, ["agent_id", "sync_frame_id", "object_key", "evidence_name"], O.ROUNDING)
+    sizes = []
+    for made, want in zip(O.series_delta(base, again, frames, ["agent_id"]), wanted):
+        assert made.columns == want.columns
+        got = sorted(map(repr, made.collect()))
+        assert got == sorted(map(repr, want.collect()))
+        sizes.append(len(got))
+    # frame 1: one variant; 2 and 22: two, at one time; null: two
+    assert sizes == [6 + 2 * 6 + 2 * 5, 2 + 2 * 6 + 2]
+
+
 def _cloud(spark):
     rows = [(0, i, 0.1 * i - 1, 0.0, 0.0, float(i), i % 3) for i in range(21)]
     return spark.createDataFrame(rows, "frame int, id int, x double, y double, z double, intensity double, ring int")
